@@ -140,9 +140,17 @@ def ngram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats numpy's hashing ``unique`` here."""
+    if len(a) < 2:
+        return a
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])]
+
+
 def shingle_set(text: str | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles."""
-    return np.unique(ngram_hashes(hashes.of(words_of(text)), n))
+    return distinct(ngram_hashes(hashes.of(words_of(text)), n))
 
 
 def lower_bound(key: Column, cuts: list[int]) -> Column:
@@ -155,6 +163,11 @@ def lower_bound(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= m) & (F.get(arr, acc + s - 1) <= key), acc + s).otherwise(acc))
 
 
+def lower_ascii(c: Column) -> Column:
+    """A-Z lower-cased, all else as it is."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

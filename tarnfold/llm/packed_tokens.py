@@ -162,7 +162,10 @@ class PieceEncoder:
         odd = lone[np.isin(kind[lone - 1], (1, 4)) | np.isin(kind[np.minimum(lone + 1, len(kind) - 1)], (1, 4))]
         inner[odd - 1] = False
         inner[np.minimum(odd, len(inner) - 1)] &= kind[np.minimum(odd + 1, len(kind) - 1)] == 1
-        cut = np.union1d(first, np.flatnonzero(inner) + 1)
+        mark = np.zeros(len(data) + 1, bool)
+        mark[1:-1] = inner
+        mark[first] = True
+        cut = np.flatnonzero(mark)
         pieces = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         known = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))

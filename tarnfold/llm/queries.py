@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .packed_tokens import op1_packed_tokens
 from .robust_quality import op10_robust_quality
 from .scaled_sketch import op9_scaled_sketch
+from .url_rules import op7_url_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op9_scaled_sketch, op10_robust_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op7_url_rules, op9_scaled_sketch, op10_robust_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

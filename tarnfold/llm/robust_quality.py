@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, WordHashes, map_arrow, ngram_hashes, slices, table
+from .common import SPACE, Scratch, WordHashes, distinct, map_arrow, ngram_hashes, slices, table
 
 MIN_WORDS = 50
 #: Share of rows that each concentration step keeps, and number of steps.
@@ -64,14 +64,16 @@ def text_stats(text: str | None, hashes: WordHashes) -> tuple[int, int, int, int
     repeated = 0
     w = hashes.of(words)
     if n > 3:
-        _, inverse, counts = np.unique(ngram_hashes(w, 3), return_inverse=True, return_counts=True)
-        often = counts[inverse] > 1
-        if often.any():
+        h = ngram_hashes(w, 3)
+        order = np.sort(h)
+        twice = order[1:][order[1:] == order[:-1]]
+        if len(twice):
+            often = np.isin(h, twice)
             covered = np.zeros(n, bool)
             for k in range(3):
                 covered[k : k + n - 2] |= often
             repeated = int(covered.sum())
-    return n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), len(np.unique(w))
+    return n, len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), len(distinct(w))
 
 
 def stats(docs: DataFrame, keep: list[str]) -> DataFrame:
