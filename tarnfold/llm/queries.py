@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_mincut import op2_html_mincut
+from .lexicon_bpe import op5_lexicon_bpe
 from .packed_tokens import op1_packed_tokens
 from .robust_quality import op10_robust_quality
 from .scaled_sketch import op9_scaled_sketch
 from .url_rules import op7_url_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op7_url_rules, op9_scaled_sketch, op10_robust_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op5_lexicon_bpe, op7_url_rules, op9_scaled_sketch, op10_robust_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
