@@ -33,6 +33,8 @@ MIN_GROUP = 60
 #: The squared distance that a chi-squared variable of as many degrees of
 #: freedom as the vector has dimensions exceeds once in about 10^7 cases.
 CUTOFF = 42.0
+#: Estimates (about 300 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 #: Smallest standard deviation taken of each component: statistics that are
 #: constant in a group's core would make its scatter singular.
@@ -137,6 +139,11 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys, pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())), b.column("size")], ["key", "centre", "inverse", "size"])
 
 
+def _small(estimates: DataFrame, rows: int) -> DataFrame:
+    """Broadcast only if the estimates are few, by count; else Spark chooses."""
+    return F.broadcast(estimates) if rows <= BROADCAST_ROWS else estimates
+
+
 def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Estimates (key, centre, inverse, size) by concentration steps over all
     rows with a vector: one row for each group, language, and the whole."""
@@ -147,10 +154,12 @@ def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     scale = [1 / (F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + FEATURES[x][1] ** 2) for x in _X]
     inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
     found = scratch.write(quartiles.select("key", F.array(*[F.get(x, F.lit(1)) for x in _X]).alias("centre"), inverse.alias("inverse"), "size"), "fit0")
+    n = found.count()
     for step in range(1, STEPS + 1):
-        far = keyed.join(found, "key").select("key", "size", *_X, _distance().alias("d2"))
-        bound = far.groupBy("key").agg(F.percentile_approx("d2", H, 10_000).alias("bound"))
-        core = far.join(bound, "key").where(F.col("d2") <= F.col("bound"))
+        # Two passes over the rows, each summed on the map side: a group's rows never meet in one task.
+        far = keyed.join(_small(found, n), "key").select("key", _distance().alias("d2"))
+        bound = scratch.write(far.groupBy("key").agg(F.percentile_approx("d2", H, 10_000).alias("bound")), f"bound{step}")
+        core = keyed.join(_small(found.join(bound, "key"), n), "key").where(_distance() <= F.col("bound"))
         sums = core.groupBy("key", "size").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS])
         found = scratch.write(map_arrow(sums, _inverted, schema), f"fit{step}")
     return found
@@ -159,11 +168,12 @@ def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def judge(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Adds ``distance`` (null without an estimate or words) and ``kept``."""
     best = found.where(F.col("size") >= MIN_GROUP).select("key", "centre", "inverse")
+    n = best.count()
     keys = [F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit("all")]
     out = rows
     for i, k in enumerate(keys):
         own = best.select(F.col("key").alias(f"_k{i}"), F.col("centre").alias(f"_c{i}"), F.col("inverse").alias(f"_i{i}"))
-        out = out.withColumn(f"_q{i}", k).join(own, F.col(f"_q{i}") == F.col(f"_k{i}"), "left")
+        out = out.withColumn(f"_q{i}", k).join(_small(own, n), F.col(f"_q{i}") == F.col(f"_k{i}"), "left")
     out = out.withColumn("_c", F.coalesce("_c0", "_c1", "_c2")).withColumn("_i", F.coalesce("_i0", "_i1", "_i2"))
     out = out.withColumn("distance", _distance("_c", "_i"))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
