@@ -14,6 +14,7 @@ to one space, lower case, and a split that keeps the matches of a pattern.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
@@ -433,8 +434,7 @@ def publish(spark: SparkSession, lexicon: Lexicon) -> str:
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
     lexicon.save(os.path.join(folder, name))
     spark.sparkContext.addFile(os.path.join(folder, name))
-    if spark.sparkContext.master.startswith("local["):
-        shutil.rmtree(folder, True)  # copied by addFile
+    atexit.register(shutil.rmtree, folder, True)  # executors fetch it from the driver until then
     return name
 
 
