@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_mincut import op2_html_mincut
+from .jaccard_join import op3_jaccard_join
 from .lexicon_bpe import op5_lexicon_bpe
 from .mixing import op4_mixing
 from .packed_tokens import op1_packed_tokens
@@ -14,6 +15,6 @@ from .robust_quality import op10_robust_quality
 from .scaled_sketch import op9_scaled_sketch
 from .url_rules import op7_url_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op4_mixing, op5_lexicon_bpe, op7_url_rules, op9_scaled_sketch, op10_robust_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op3_jaccard_join, op4_mixing, op5_lexicon_bpe, op7_url_rules, op9_scaled_sketch, op10_robust_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
