@@ -60,6 +60,7 @@ class Scratch:
         """Writes ``df`` and returns a reader of it, whose lineage is the files."""
         schema = df.schema
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        del df  # its shuffle files are garbage from here on
         free(self.spark)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
