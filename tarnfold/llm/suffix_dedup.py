@@ -276,8 +276,8 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     dropped whole. Texts without repeats stay as they are, null included."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = _with_spans(docs.select(*docs.columns, F.col("text").isNull().alias("_null_")), [*others, "_null_"]).select("doc_id", "text", *others, "_null_", "copy", "spans")
-    keep = rows.drop("copy", "spans", "_null_")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
+    names = rows.drop("copy", "spans", "_null_").columns
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("copy", "spans", "_null_").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -285,7 +285,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
             for null, *x in zip(*(b.column(c).to_pylist() for c in ("_null_", "text", "copy", "spans")), strict=True):
                 m = _cut(*x)
                 texts.append(None if null else m[1].decode("utf-8", "ignore") if m[2] else x[0])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in keep.columns], keep.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
     out = map_arrow(rows, run, ddl)
     if "n_chars" in docs.columns:
