@@ -12,6 +12,7 @@ import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,8 +76,10 @@ class Scratch:
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that have ended: it does
     so when the driver's garbage is collected, which else may take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round unlinks, the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
