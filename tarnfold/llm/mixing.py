@@ -64,7 +64,7 @@ def targets(by_source: DataFrame) -> DataFrame:
     rows = rows.withColumn("ratio", F.col("cap") / F.col("w")).withColumn("budget", F.sum("source_size").over(whole) * BUDGET)
     before = level.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("own_level", (F.col("budget") - F.col("capped")) / F.col("rest"))
+    rows = rows.withColumn("own_level", F.try_divide(F.col("budget") - F.col("capped"), "rest"))
     fits = F.min(F.when(F.col("own_level") <= F.col("ratio"), F.struct("ratio", "skey", "own_level"))).over(whole)
     return rows.select("skey", "source_size", "place", F.least("cap", F.coalesce(fits["own_level"] * F.col("w"), F.col("cap"))).alias("target"))
 
@@ -103,7 +103,7 @@ def plan(docs: DataFrame, keep: list[str]) -> DataFrame:
     before, aim = F.col("base") + F.col("own"), F.round("target").cast("long")
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), aim - k * F.col("source_size") - before)) for k in range(REPEATS)]
     taken = sum(passes[1:], passes[0])
-    places = [F.when(p > 0, position(F.least(F.lit(1.0), (k * F.col("source_size") + before + p / 2) / F.col("target")), F.col("place"))) for k, p in enumerate(passes)]
+    places = [F.when(p > 0, position(F.least(F.lit(1.0), (k * F.col("source_size") + before + p / 2) / F.greatest("target", F.lit(1e-9))), F.col("place"))) for k, p in enumerate(passes)]
     return out.select(*keep, "name", "size", "source_size", "target", taken.cast("long").alias("taken"), places[0].alias("first"), places[1].alias("second"))
 
 
@@ -114,8 +114,8 @@ def mix(docs: DataFrame) -> DataFrame:
     nearest whole number; a text is never cut. Equal rows come equally often.
     """
     key = ["doc_id", "source", "name"]
-    rows = plan(docs, ["doc_id"]).groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("first").alias("first"), F.min("second").alias("second"))
-    times = F.array_compact(F.slice(F.array("first", F.coalesce("second", "first")), F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")))
+    rows = plan(docs, ["doc_id"]).where("size > 0").groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("first").alias("first"), F.min("second").alias("second"))
+    times = F.array_compact(F.slice(F.array("first", F.coalesce("second", "first")), F.lit(1), F.round(F.try_divide("taken", "size")).cast("int")))
     some = rows.where((F.col("size") > 0) & (2 * F.col("taken") >= F.col("size"))).select(*[F.col(c).alias(f"_{c}_") for c in key], times.alias("_times_"))
     on = docs["doc_id"].eqNullSafe(some["_doc_id_"]) & docs["source"].eqNullSafe(some["_source_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == some["_name_"])
     out = docs.join(some, on).select(*docs.columns, F.explode("_times_").alias("_position_"))
