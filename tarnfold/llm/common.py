@@ -75,11 +75,13 @@ class Scratch:
 
 def free(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of queries that have ended: it does
-    so when the driver's garbage is collected, which else may take long."""
+    so when the driver's garbage is collected, which else may take long. The
+    listeners keep the last query that they were told of, so a tiny one follows."""
+    spark.range(1).collect()
     for _ in range(2):  # what the first round unlinks, the second finds
+        time.sleep(0.15)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

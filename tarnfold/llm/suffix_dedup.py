@@ -275,9 +275,11 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     n_chars counted anew if there is such a column. A character cut in two is
     dropped whole. Texts without repeats stay as they are, null included."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = _with_spans(docs.select(*docs.columns, F.col("text").isNull().alias("_null_")), [*others, "_null_"]).select("doc_id", "text", *others, "_null_", "copy", "spans")
-    names = rows.drop("copy", "spans", "_null_").columns
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("copy", "spans", "_null_").schema)
+    held = [f"_c{i}_" for i in range(len(others))]  # the documents' other columns may have any names
+    source = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(h) for c, h in zip(others, held, strict=True)], F.col("text").isNull().alias("_null_"))
+    rows = _with_spans(source, [*held, "_null_"]).select("doc_id", "text", *held, "_null_", "copy", "spans")
+    names = ["doc_id", "text", *held]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -287,7 +289,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
                 texts.append(None if null else m[1].decode("utf-8", "ignore") if m[2] else x[0])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    out = map_arrow(rows, run, ddl)
+    out = map_arrow(rows, run, ddl).select("doc_id", "text", *[F.col(h).alias(c) for c, h in zip(others, held, strict=True)])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
