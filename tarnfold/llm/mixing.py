@@ -49,6 +49,11 @@ def sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_arrow(rows, run, f"{ddl}, size long")
 
 
+def order_hash(doc_id: Column) -> Column:
+    """60 bits of a digest: the order of documents in their source."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":mix")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(by_source: DataFrame) -> DataFrame:
     """skey, source_size, place, target from one row for each source.
 
@@ -89,10 +94,10 @@ def plan(docs: DataFrame, keep: list[str]) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     keep = list(dict.fromkeys([*keep, "source"]))
     skey = F.when(F.col("source").isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col("source")))
-    rows = scratch.write(sizes(docs, keep).withColumn("skey", skey).withColumn("h", F.xxhash64("doc_id", F.lit(17))), "sizes")
+    rows = scratch.write(sizes(docs, keep).withColumn("skey", skey).withColumn("h", order_hash(F.col("doc_id"))), "sizes")
     n = rows.count()
     buckets = max(1, n // BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.shiftright(F.shiftright("h", 20) * buckets, 40))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     sums = scratch.write(sums, "buckets")
     bases = sums.select("skey", "bucket", (F.sum("words").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("words")).alias("base"))
@@ -125,4 +130,4 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``."""
-    return plan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "first", "second")
+    return plan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))

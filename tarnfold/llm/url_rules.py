@@ -77,16 +77,14 @@ def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
 
 
 def match(url: str, index: dict[str, list[PatternRule]], compiled: dict[str, re.Pattern]) -> tuple[str, str | None]:
-    """Verdict and pattern; without a match: allow."""
+    """Verdict and pattern (the first by its text of those that decide);
+    without a match: allow."""
     low = url.lower()
-    block = None
-    for token in dict.fromkeys(_TOKEN.findall(low)):
-        for r in index.get(token, ()):
-            if (r.allow or block is None) and compiled[r.text].search(low):
-                if r.allow:
-                    return "allow", r.text
-                block = r.text
-    return ("block", block) if block else ("allow", None)
+    found = [r for token in dict.fromkeys(_TOKEN.findall(low)) for r in index.get(token, ()) if compiled[r.text].search(low)]
+    allow = [r.text for r in found if r.allow]
+    if allow or not found:
+        return "allow", min(allow, default=None)
+    return "block", min(r.text for r in found)
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
