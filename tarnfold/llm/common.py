@@ -59,10 +59,11 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Writes ``df`` and returns a reader of it, whose lineage is the files."""
-        schema = df.schema
+        schema, began = df.schema, time.monotonic()
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         del df  # its shuffle files are garbage from here on
-        free(self.spark)
+        if time.monotonic() - began > 2:  # a shorter query leaves little behind
+            free(self.spark)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -79,7 +80,7 @@ def free(spark: SparkSession) -> None:
     listeners keep the last query that they were told of, so a tiny one follows."""
     spark.range(1).collect()
     for _ in range(2):  # what the first round unlinks, the second finds
-        time.sleep(0.15)
+        time.sleep(0.6)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 

@@ -22,8 +22,13 @@ so that for each history the probabilities of all words and the unknown word
 add up to 1. A history without discounted counts counts one more for what is
 unseen. A document's first word follows a mark of its start.
 
-Words and bigrams are known by 64-bit hashes. Block tables and the table of
-shared bigrams lie in the shared folder and are removed by the session's owner.
+In an exchange a block's keys are sorted and cut into ranges of the hash space;
+each range travels as one compressed piece and meets those of the other blocks
+in one task, whose answer returns in the same order. A task holds its range of
+all blocks, which the number of shuffle partitions bounds.
+
+Words and bigrams are known by 64-bit hashes. Tables of
+blocks and answers lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -35,16 +40,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, mix, slices, table, words_of
+from .common import Scratch, map_arrow, mix, shuffle_partitions, slices, table, words_of
 
 #: Largest discounted count.
 K = 5
 #: Tokens in a block, unless one document has more.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 #: Numbers and hashes of the marks of a document's start and end in every block's vocabulary.
 START, END = 0, 1
 _MARKS = np.array([1, 2], np.uint64)
@@ -54,16 +60,20 @@ _STATE = "block long, data binary"
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays in one compressed piece, byte plane by byte plane."""
     head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()]
+    return zstandard.ZstdCompressor(3).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:4], "little")
     out, at = {}, 4 + n
     for k, kind, size in json.loads(data[4 : 4 + n]):
-        out[k] = np.frombuffer(data, kind, size, at)
-        at += out[k].nbytes
+        width = np.dtype(kind).itemsize
+        out[k] = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T).view(kind).reshape(size)
+        at += size * width
     return out
 
 
@@ -113,7 +123,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens = np.array([len(t) for t in tokens], np.int32)
         flat = np.concatenate(tokens)
         out = np.array(held, bool)
-        vocab = np.concatenate([_MARKS, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))])
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(flat, minlength=len(number) + len(_MARKS))[len(_MARKS) :], kind="stable")
+        rank = np.empty(len(number) + len(_MARKS), np.int32)
+        rank[: len(_MARKS)] = np.arange(len(_MARKS))
+        rank[order + len(_MARKS)] = np.arange(len(order)) + len(_MARKS)
+        flat = rank[flat]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+        vocab = np.concatenate([_MARKS, hashes[order]])
         train = np.bincount(flat[np.repeat(~out, lens)], minlength=len(vocab)).astype(np.int64)
         train[START] = int((~out).sum())
         data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": out, "lens": lens, "tokens": flat.astype(np.int32), "vocab": vocab, "train": train.astype(np.int32)})
@@ -142,37 +159,116 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PIECE = "bucket int, block long, data binary"
+
+
+def _pieces(block: int, keys: np.ndarray, buckets: int, **values: np.ndarray) -> pa.RecordBatch:
+    """A block's distinct keys with values, one piece a range of the keys."""
+    order = np.argsort(keys)
+    edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
+    data = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        k = keys[order[a:b]]
+        data.append(pack({"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])
+
+
+def _met(pieces: pa.Table) -> tuple[list[int], np.ndarray, list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of one range: their blocks and ends, what they hold, an order
+    of all keys, where equal keys start, and the number of each key in order."""
+    blocks = pieces.column("block").to_pylist()
+    held = [unpack(x.as_py()) for x in pieces.column("data")]
+    keys = np.concatenate([np.cumsum(x["step"], dtype=np.uint64) for x in held])
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
+    return blocks, np.cumsum([len(x["step"]) for x in held]), held, order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _replies(pieces: pa.Table, ends: np.ndarray, **values: np.ndarray) -> pa.Table:
+    parts = {n: np.split(v, ends[:-1]) for n, v in values.items()}
+    data = [pack({n: p[i] for n, p in parts.items()}) for i in range(len(ends))]
+    return pa.table({"bucket": pieces.column("bucket"), "block": pieces.column("block"), "data": pa.array(data, pa.binary())})
+
+
+def _count(pieces: pa.Table) -> pa.Table:
+    """For each key: 4 * its count in all, + 2 if other blocks hold it, + 1 if
+    this block is the first that does."""
+    blocks, ends, held, order, starts, number = _met(pieces)
+    if not len(order):
+        return _replies(pieces, ends, told=np.zeros(0, np.int64))
+    n = np.concatenate([x["n"] for x in held]).astype(np.int64)[order]
+    block = np.repeat(np.array(blocks, np.int64), np.diff(ends, prepend=0))[order]
+    total, first = np.add.reduceat(n, starts), np.minimum.reduceat(block, starts)
+    many = np.diff(np.append(starts, len(order))) > 1
+    told = np.empty(len(order), np.int64)
+    told[order] = 4 * total[number] + 2 * many[number] + (first[number] == block)
+    return _replies(pieces, ends, told=told)
+
+
+def backoff(total: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each history's counts are divided by, and its back-off weight."""
+    whole = np.where(total - seen > 1e-9 * np.maximum(total, 1), total, total + 1).astype(float)
+    alpha = np.where(total > 0, (whole - seen) / whole / np.maximum(1 - below, 1e-300), 1.0)
+    return whole, alpha
+
+
+def _weigh(pieces: pa.Table) -> pa.Table:
+    """For each history: 1 if it counts one more, and where the block wants it
+    the back-off weight, from the sums over all blocks."""
+    _, ends, held, order, starts, number = _met(pieces)
+    more, alpha = np.zeros(len(order), np.uint8), np.zeros(len(order))
+    if len(order):
+        total, want = (np.concatenate([h[n] for h in held])[order] for n in ("total", "want"))
+        seen, below = (np.add.reduceat(np.concatenate([h[n] for h in held])[order], starts) for n in ("seen", "below"))
+        whole, a = backoff(total[starts], seen, below)
+        more[order], alpha[order] = (whole > total[starts])[number], np.where(want > 0, a[number], 0.0)
+    return _replies(pieces, ends, more=more, alpha=alpha)
+
+
+def _histories(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The number of the word before each token."""
+    history = np.concatenate([[START], x["tokens"][:-1]])
+    history[np.cumsum(x["lens"])[:-1]] = START
+    return history
+
+
+def _returned(keys: np.ndarray, replies: pa.Table) -> dict[str, np.ndarray]:
+    """Replies to a block, in the order of the keys that it asked about."""
+    order = np.argsort(keys)
+    parts = [unpack(replies.column("data")[i].as_py()) for i in np.argsort(replies.column("bucket").to_numpy()).tolist()]
+    out = {}
+    for name in parts[0] if parts else ():
+        x = np.concatenate([p[name] for p in parts])
+        out[name] = np.empty_like(x)
+        out[name][order] = x
+    return out
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
             x = unpack(data.as_py())
-            n = len(x["vocab"])
-            yield pa.RecordBatch.from_arrays([pa.array(x["vocab"].view(np.int64)), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(x["train"].astype(np.int64))], ["word", "block", "i", "n"])
+            yield _pieces(block, x["vocab"], buckets, n=x["train"])
 
 
-def _told_words(state: pa.Table, words: pa.Table) -> pa.Table:
-    """Adds each word's count, whether other blocks hold it, whether it is owned."""
+def _told_words(state: pa.Table, replies: pa.Table) -> pa.Table:
+    """Adds each word's count, and whether other blocks hold it."""
     x = unpack(state.column("data")[0].as_py())
-    i = words.column("i").to_numpy()
-    total, many, own = np.zeros(len(x["vocab"]), np.int64), np.zeros(len(x["vocab"]), bool), np.zeros(len(x["vocab"]), bool)
-    total[i] = words.column("total").to_numpy()
-    many[i] = words.column("blocks").to_numpy() > 1
-    own[i] = words.column("first").to_numpy() == words.column("block").to_numpy()
+    told = _returned(x["vocab"], replies)["told"]
+    total, many, own = told >> 2, (told & 2) > 0, (told & 1) > 0
     del x["train"]
     c = total[own & (np.arange(len(own)) != START)]
     c = c[c > 0]
     n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
-    return pa.table({"block": state.column("block"), "data": pa.array([pack(x | {"total": total.astype(np.int64), "many": many})], pa.binary()), "n": pa.array([n[1 : K + 2].tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(c.sum())], pa.int64()), "types": pa.array([len(c)], pa.int64())})
+    return pa.table({"block": state.column("block"), "data": pa.array([pack(x | {"total": total, "many": many})], pa.binary()), "n": pa.array([n[1 : K + 2].tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(c.sum())], pa.int64()), "types": pa.array([len(c)], pa.int64())})
 
 
 def _bigrams(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (history, word) codes of a block, each token's place among
     them, training counts, and which bigrams other blocks may hold."""
     lens = x["lens"]
-    ends = np.cumsum(lens)
-    history = np.concatenate([[START], x["tokens"][:-1]])
-    history[ends[:-1]] = START
-    code = history.astype(np.int64) * len(x["vocab"]) + x["tokens"]
+    code = _histories(x).astype(np.int64) * len(x["vocab"]) + x["tokens"]
     order = np.argsort(code, kind="stable")
     first = np.concatenate([[True], code[order][1:] != code[order][:-1]])
     place = np.empty(len(code), np.int64)
@@ -185,35 +281,38 @@ def _bigrams(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _keys(x: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
     h, w = x["vocab"][codes // len(x["vocab"])], x["vocab"][codes % len(x["vocab"])]
-    return mix(h * np.uint64(0x9E3779B97F4A7C15) + mix(w)).view(np.int64)
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + mix(w))
 
 
-def _ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask_bigrams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
             x = unpack(data.as_py())
             codes, _, train, many = _bigrams(x)
-            key = _keys(x, codes[many])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), block)), pa.array(train[many].astype(np.int32))], ["key", "block", "n"])
+            yield _pieces(block, _keys(x, codes[many]), buckets, n=train[many].astype(np.int32))
 
 
-def _told_bigrams(state: pa.Table, shared: pa.Table) -> pa.Table:
-    """Replaces tokens' bigrams by their counts; adds the owned bigrams."""
+def _told_bigrams(state: pa.Table, replies: pa.Table, unigrams: Unigrams) -> pa.Table:
+    """Adds the count of each token's bigram, and of the owned bigrams of each
+    history: how many have each count, the sum of larger counts, of P(w)."""
     x = unpack(state.column("data")[0].as_py())
     codes, place, total, many = _bigrams(x)
     own = np.ones(len(codes), bool)
-    if shared.num_rows:
-        at = np.flatnonzero(many)
-        key = _keys(x, codes[at])
-        order = np.argsort(key)
-        i = at[order[np.searchsorted(key[order], shared.column("key").to_numpy())]]
-        total[i] = shared.column("total").to_numpy()
-        own[i] = shared.column("own").to_numpy()
+    told = _returned(_keys(x, codes[many]), replies)["told"]
+    total[many], own[many] = told >> 2, (told & 1) > 0
     use = own & (total > 0)
     c = total[use]
     n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
     x["pair"] = total[place].astype(np.int32)
-    x["own_h"], x["own_w"], x["own_c"] = (codes[use] // len(x["vocab"])).astype(np.int32), (codes[use] % len(x["vocab"])).astype(np.int32), c.astype(np.int32)
+    h, w, size = codes[use] // len(x["vocab"]), codes[use] % len(x["vocab"]), len(x["vocab"])
+    for r in range(1, K + 1):
+        x[f"n{r}"] = np.bincount(h[c == r], minlength=size).astype(np.int32)
+    x["larger"] = np.bincount(h[c > K], c[c > K], size).astype(np.int64)
+    x["below"] = np.bincount(h, unigrams.p(x["total"][w]), size)
+    # Only words that other blocks hold are asked about again.
+    x["known"] = np.flatnonzero(x["many"] & (x["total"] > 0)).astype(np.int32)
+    x["vocab"] = x["vocab"][x["known"]]
+    del x["many"]
     return pa.table({"block": state.column("block"), "data": pa.array([pack(x)], pa.binary()), "n": pa.array([n[1 : K + 2].tolist()], pa.list_(pa.int64()))})
 
 
@@ -232,20 +331,20 @@ def score(docs: DataFrame) -> DataFrame:
     training rows every token is unknown and has probability 1.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "katz")
-    state = scratch.write(map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _blocks, _STATE), "blocks")
-    by_word = Window.partitionBy("word")
-    words = map_arrow(state, _ask_words, "word long, block long, i int, n long")
-    words = words.select("block", "i", F.sum("n").over(by_word).alias("total"), F.count("*").over(by_word).alias("blocks"), F.min("block").over(by_word).alias("first"))
-    told = scratch.write(state.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_told_words, "block long, data binary, n array<long>, tokens long, types long"), "words")
-    scratch.drop("blocks")
+    buckets = max(1, shuffle_partitions(spark))
+
+    def exchanged(asked: DataFrame, answer, name: str) -> DataFrame:
+        return scratch.write(asked.groupBy("bucket").applyInArrow(answer, _PIECE), name, "none")
+
+    state = scratch.write(map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _blocks, _STATE), "blocks", "none")
+    words = exchanged(map_arrow(state, lambda it: _ask_words(it, buckets), _PIECE), _count, "counts")
+    told = scratch.write(state.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_told_words, "block long, data binary, n array<long>, tokens long, types long"), "words", "none")
+    scratch.drop("blocks", "counts")
     sums = told.agg(F.sum("tokens"), F.sum("types")).head()
     tokens, types = int(sums[0] or 0), int(sums[1] or 0)
     unigrams = Unigrams(_gathered(told), tokens, types, float(tokens))
-    by_key = Window.partitionBy("key")
-    asked = map_arrow(told.select("block", "data"), _ask_bigrams, "key long, block long, n int")
-    shared = asked.select("key", "block", F.sum("n").over(by_key).alias("total"), F.count("*").over(by_key).alias("blocks"), F.min("block").over(by_key).alias("first"))
-    shared = scratch.write(shared.where("blocks > 1").select("key", "block", "total", (F.col("first") == F.col("block")).alias("own")), "bigrams")
-    full = scratch.write(told.select("block", "data").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_told_bigrams, "block long, data binary, n array<long>"), "pairs")
+    shared = exchanged(map_arrow(told.select("block", "data"), lambda it: _ask_bigrams(it, buckets), _PIECE), _count, "bigrams")
+    full = scratch.write(told.select("block", "data").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda x, y: _told_bigrams(x, y, unigrams), "block long, data binary, n array<long>"), "pairs", "none")
     scratch.drop("words", "bigrams")
     d2 = discounts(_gathered(full))
 
@@ -254,30 +353,23 @@ def score(docs: DataFrame) -> DataFrame:
             for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
                 x = unpack(data.as_py())
                 seen, below = sums_of(x)
-                i = np.flatnonzero(x["many"] & (x["total"] > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(x["vocab"][i].view(np.int64)), pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(seen[i]), pa.array(below[i])], ["word", "block", "i", "seen", "below"])
+                want = np.zeros(len(seen), np.uint8)
+                want[_histories(x)[x["pair"] == 0]] = 1
+                i = x["known"]
+                yield _pieces(block, x["vocab"], buckets, seen=seen[i], below=below[i], total=x["total"][i], want=want[i])
 
     def sums_of(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of the owned bigrams by history: discounted counts, and P(w)."""
-        c, n = x["own_c"].astype(np.int64), len(x["vocab"])
-        return np.bincount(x["own_h"], d2[np.minimum(c, K + 1)] * c, n), np.bincount(x["own_h"], unigrams.p(x["total"][x["own_w"]]), n)
+        return sum((d2[r] * r * x[f"n{r}"] for r in range(1, K + 1)), x["larger"].astype(float)), x["below"].copy()
 
-    def evaluate(state: pa.Table, histories: pa.Table) -> pa.Table:
+    def evaluate(state: pa.Table, replies: pa.Table) -> pa.Table:
         x = unpack(state.column("data")[0].as_py())
-        seen, below = sums_of(x)
-        if histories.num_rows:
-            i = histories.column("i").to_numpy()
-            seen[i], below[i] = histories.column("seen").to_numpy(), histories.column("below").to_numpy()
-        total = x["total"].astype(np.int64)
-        whole = np.where(total - seen > 1e-9 * np.maximum(total, 1), total, total + 1).astype(float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = np.where(total > 0, (whole - seen) / whole / np.maximum(1 - below, 1e-300), 1.0)
-        lens = x["lens"]
-        ends = np.cumsum(lens)
-        starts = ends - lens
-        t = x["tokens"]
-        history = np.concatenate([[START], t[:-1]])
-        history[ends[:-1]] = START
+        total, i = x["total"], x["known"]
+        whole, alpha = backoff(total, *sums_of(x))
+        told = _returned(x["vocab"], replies)
+        whole[i], alpha[i] = total[i] + told["more"], told["alpha"]
+        lens, t, history = x["lens"], x["tokens"], _histories(x)
+        starts = np.cumsum(lens) - lens
         c = x["pair"].astype(np.int64)
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(c > 0, d2[np.minimum(c, K + 1)] * c / whole[history], alpha[history] * unigrams.p(total)[t])
@@ -286,8 +378,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": pa.array(x["docs"], pa.int64(), mask=x["null"]), "held_out": pa.array(x["held"]), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(np.add.reduceat((total > 0)[t].astype(np.int64), starts)), "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(bases), "score": pa.array(scores)})
 
     full = full.select("block", "data")
-    histories = map_arrow(full, ask_histories, "word long, block long, i int, seen double, below double")
-    histories = histories.select("block", "i", F.sum("seen").over(by_word).alias("seen"), F.sum("below").over(by_word).alias("below"))
+    histories = exchanged(map_arrow(full, ask_histories, _PIECE), _weigh, "histories")
     return full.groupBy("block").cogroup(histories.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
