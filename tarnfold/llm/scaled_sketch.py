@@ -101,12 +101,15 @@ def with_follower(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part.alias("_part"))
     if not heads:
         return rows.withColumn("_copy", F.lit(0))
-    before = {p: heads[i - 1][0] for i, (p, _) in enumerate(heads)}
-    lead = F.create_map(*[x for _, k in heads for x in (F.lit(k).cast("long"), F.lit(0))])
-    to = F.create_map(*[x for p, q in before.items() for x in (F.lit(p), F.lit(q))])
+    # By part: its first id, and the part before it. Both are looked up by position.
+    lead: list[int | None] = [None] * (len(cuts) + 1)
+    before = [0] * (len(cuts) + 1)
+    for i, (p, k) in enumerate(heads):
+        lead[p], before[p] = k, heads[i - 1][0]
     own = F.struct(F.col("_part").alias("p"), F.lit(0).alias("c"))
-    other = F.struct(F.element_at(to, F.col("_part")).alias("p"), F.lit(1).alias("c"))
-    places = F.when(F.map_contains_key(lead, key), F.array(own, other)).otherwise(F.array(own))
+    other = F.struct(F.get(F.array(*map(F.lit, before)), F.col("_part")).alias("p"), F.lit(1).alias("c"))
+    is_head = key == F.get(F.array(*[F.lit(k).cast("long") for k in lead]), F.col("_part"))
+    places = F.when(is_head, F.array(own, other)).otherwise(F.array(own))
     return rows.select("doc_id", "text", F.explode(places).alias("x")).select("doc_id", "text", F.col("x.p").alias("_part"), F.col("x.c").alias("_copy"))
 
 
