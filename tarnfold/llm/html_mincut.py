@@ -32,6 +32,8 @@ _TOKENS = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+#: Names that say what a container has or lacks, not what it is.
+_ABOUT = re.compile(r"\b(?:has|with|without|no|is|js)[-_][\w-]+", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -43,6 +45,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Weights of the classifier, in the unit of one paragraph of prose.
 TAG_WEIGHTS = {"nav": -9.0, "menu": -9.0, "footer": -9.0, "aside": -8.0, "form": -8.0, "fieldset": -8.0, "button": -9.0, "dialog": -8.0, "search": -9.0, "header": -6.0, "address": -2.0, "article": 3.0, "main": 3.0}
 BAD_NAMES = set("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail aside widget widgets footer foot masthead topbar toolbar header comment comments disqus respond reply replies discussion feedback share sharing social related recommended recommendations more trending popular pager pagination tags tagcloud meta byline copyright legal disclaimer skip search form contentinfo complementary".split())
+#: Those that tell of an article element itself, whose names often speak of the page around it.
+ARTICLE_BAD_NAMES = set("ad ads advert advertisement sponsored promo promoted comment comments reply replies related recommended teaser".split())
 GOOD_NAMES = set("article content main body post entry story text page".split())
 BAD_WEIGHT, GOOD_WEIGHT = -8.0, 1.0
 LINK_WEIGHT, LONG_WEIGHT, SHORT_WEIGHT, HEADING_WEIGHT, ITEM_WEIGHT, BARE_WEIGHT = -4.0, 1.5, -0.5, 0.5, -0.5, 0.3
@@ -80,8 +84,8 @@ def _enter(tag: str, attrs: str, top: _Open, number: int) -> _Open:
     else:
         weight += TAG_WEIGHTS.get(tag, 0.0)
     if attrs:
-        words = {w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if words & BAD_NAMES and tag not in ("html", "body", "article", "main"):
+        words = {w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(_ABOUT.sub(" ", m[1] or m[2] or m[3] or ""))}
+        if words & (ARTICLE_BAD_NAMES if tag == "article" else BAD_NAMES) and tag not in ("html", "body", "main"):
             weight += BAD_WEIGHT
         elif words & GOOD_NAMES and not inside:
             weight += GOOD_WEIGHT

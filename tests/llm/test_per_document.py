@@ -33,6 +33,11 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(html_mincut.main_text(page), str)
 
 
+def test_names_about_the_page_around():
+    page = '<div class="wrap has-sidebar no-ads"><article class="post sidebar-right"><p>The body of the article is here and it is long enough.</p></article><article class="comment"><p>A reader writes something of about the same length here.</p></article><div class="sidebar"><p>Some other words that stand beside the article, in a column.</p></div></div>'
+    assert html_mincut.main_text(page) == "The body of the article is here and it is long enough."
+
+
 def test_plain_text_and_long_pages():
     assert html_mincut.main_text("<p>Only one paragraph of text without any structure around it at all.") == "Only one paragraph of text without any structure around it at all."
     many = "<article>" + "<p>A paragraph that is long enough to be prose.</p>" * 5000 + "</article>"
