@@ -7,12 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Mdp
 from ..operators import kernels
-from .cost import CostModel, estimate, weighted
+from .cost import CostModel
 from .planners import PLANNERS, Plan, PlannerConfig
 
 CANDIDATE = "candidate_id int, planner string, blk int, colors int, K int, threads int"
@@ -54,16 +54,40 @@ def _plan(spark: SparkSession, n: int, row: tuple, residuals: DataFrame | None)
     return PLANNERS[planner](spark, n, PlannerConfig(threads=threads, blk=blk, colors=colors, K=k), residuals)
 
 
+def _blocks_of(m: Mdp, n: int, residuals: DataFrame, blks: list[int]) -> DataFrame:
+    """(blk, b, size, score, nnz) of every block of every block size."""
+    sizes = F.array(*[F.lit(x) for x in blks])
+
+    def sums(rows: DataFrame, column: str, name: str) -> DataFrame:
+        each = rows.select("state", F.explode(sizes).alias("blk"), column)
+        return each.groupBy("blk", F.floor(F.col("state") / F.col("blk")).alias("b")).agg(F.sum(column).alias(name))
+
+    all_blocks = m.spark.range(1).select(F.explode(sizes).alias("blk")).select("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.col("blk")))).alias("b"))
+    all_blocks = all_blocks.select("blk", "b", F.least("blk", n - F.col("b") * F.col("blk")).alias("size"))
+    out = all_blocks.join(sums(residuals, "residual", "score"), ["blk", "b"], "left").join(sums(m.degrees(), "nnz", "nnz"), ["blk", "b"], "left")
+    return out.na.fill({"score": 0.0, "nnz": 0})
+
+
 def ranking(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig, model: CostModel = CostModel()) -> DataFrame:
-    """The candidates with est_cost, cheapest first: all plans side by side,
-    costed in one aggregation."""
-    spark, degrees = m.spark, m.degrees()
-    rows = candidate_list(n, c)
-    plans = [(r[0], weighted(_plan(spark, n, r, residuals), degrees)) for r in rows]
-    tasks = reduce(DataFrame.union, [p.tasks.withColumn("candidate_id", F.lit(i)) for i, p in plans])
-    phases = reduce(DataFrame.union, [p.phases.withColumn("candidate_id", F.lit(i)) for i, p in plans])
-    costs = estimate(tasks, phases, model, ["candidate_id"])
-    return spark.createDataFrame(rows, CANDIDATE).join(costs.select("candidate_id", F.col("total_cost").alias("est_cost")), "candidate_id").orderBy(F.round("est_cost", 6), "candidate_id")
+    """The candidates with est_cost, cheapest first: the tasks of all their
+    plans are one table, costed in one aggregation."""
+    spark, rows = m.spark, candidate_list(n, c)
+    grid = spark.createDataFrame(rows, CANDIDATE)
+    tasks = F.broadcast(grid).join(_blocks_of(m, n, residuals, sorted({r[2] for r in rows})), "blk")  # a few hundred candidates
+    cost = model.measured_update_ns * F.col("size") if model.measured_update_ns > 0 else F.when(F.col("nnz") > 0, F.col("nnz")).otherwise(F.col("size"))
+    tasks = tasks.withColumn("cost", cost.cast("double")).withColumn("color", F.when(F.col("planner") == "static", 0).otherwise(F.col("b") % F.greatest("colors", F.lit(1))))
+    deal = F.when(F.col("planner") == "static", F.col("b")).otherwise(F.floor(F.col("b") / F.greatest("colors", F.lit(1))))
+    cover = tasks.select("candidate_id", F.lit(1).alias("part"), "color", (deal % F.col("threads")).alias("tid"), "cost")
+    by_score = Window.partitionBy("candidate_id").orderBy(F.round("score", 9).desc(), "b")
+    hot = tasks.where("planner = 'priority'").withColumn("covered", F.coalesce(F.sum("size").over(by_score.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("covered") < F.col("K"))
+    rank = F.row_number().over(Window.partitionBy("candidate_id", "color").orderBy(F.round("score", 9).desc(), "b")) - 1
+    hot = hot.select("candidate_id", F.lit(0).alias("part"), "color", (rank % F.col("threads")).alias("tid"), "cost")
+    threads = cover.union(hot).groupBy("candidate_id", "part", "color", "tid").agg(F.sum("cost").alias("cost"))
+    busiest = threads.groupBy("candidate_id", "part", "color").agg(F.max("cost").alias("cost"))
+    total = busiest.groupBy("candidate_id").agg(F.sum("cost").alias("cost"), F.count("*").alias("phases"))
+    phases = F.when(F.col("planner") == "colored", F.col("colors")).otherwise(F.col("phases"))  # colored plans keep empty phases
+    costed = grid.join(total, "candidate_id").select(*grid.columns, (F.col("cost") + model.lam * phases).alias("est_cost"))
+    return costed.orderBy(F.round("est_cost", 6), "candidate_id")
 
 
 def pilots(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig, model: CostModel = CostModel()) -> DataFrame:
