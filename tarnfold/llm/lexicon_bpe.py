@@ -14,13 +14,9 @@ to one space, lower case, and a split that keeps the matches of a pattern.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import heapq
 import json
-import os
-import shutil
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table
+from .common import Scratch, map_arrow, slices, table
 
 #: Words in the lexicon at most: the most frequent.
 LEXICON_WORDS = 50_000
@@ -244,15 +240,18 @@ class Lexicon:
         ids, lens = merger.merge(words)
         return cls({"keys": np.array(keys, np.int64), "targets": np.array(targets, np.int32), "skips": np.array(skips, np.int32), "final": np.array([final[s] for s in order], bool), "offsets": np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), "ids": ids.astype(np.int32)})
 
-    def save(self, path: str) -> None:
+    def dump(self) -> bytes:
         """One file: a line of JSON with each array's type and length, then the arrays."""
-        head = json.dumps([[n, self.arrays[n].dtype.str, len(self.arrays[n])] for n in self.FIELDS]).encode() + b"\n"
-        head = head.rstrip(b"\n") + b" " * (-len(head) % 64) + b"\n"
+        head = json.dumps([[n, self.arrays[n].dtype.str, len(self.arrays[n])] for n in self.FIELDS]).encode()
+        parts = [head + b" " * (-(len(head) + 1) % 64) + b"\n"]
+        for n in self.FIELDS:
+            data = self.arrays[n].tobytes()
+            parts.append(data + b"\0" * (-len(data) % 64))
+        return b"".join(parts)
+
+    def save(self, path: str) -> None:
         with open(path, "wb") as f:
-            f.write(head)
-            for n in self.FIELDS:
-                data = self.arrays[n].tobytes()
-                f.write(data + b"\0" * (-len(data) % 64))
+            f.write(self.dump())
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -429,12 +428,14 @@ def _codec(tokenizer_file: str, lexicon_file: str | None) -> Codec:
 
 
 def publish(spark: SparkSession, lexicon: Lexicon) -> str:
-    """Hands the lexicon's file to all executors, also those that join later."""
-    folder = tempfile.mkdtemp()
+    """Hands the lexicon's file, written in the shared folder, to all
+    executors, also those that join later. Returns its name there."""
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    lexicon.save(os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
-    atexit.register(shutil.rmtree, folder, True)  # executors fetch it from the driver until then
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(Scratch(spark, "lexicon").path(name))
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(lexicon.dump()))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
     return name
 
 
