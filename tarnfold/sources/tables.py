@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..model import Mdp
 
 #: Discount of the models made from tables.
@@ -15,11 +16,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_pairs(names: DataFrame, pairs: DataFrame, beta: float = BETA) -> Mdp:
+def numbered(names: DataFrame) -> DataFrame:
+    """(name, r, state): states numbered in the order of their names, without
+    all passing through one task: ranges of names are sorted by themselves, and
+    the sizes of the ranges (one row each) give the offsets."""
+    ranges = names.repartitionByRange("name").sortWithinPartitions("name")
+    ranges = cut(ranges.select("name", "r", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
+    sizes = ranges.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("c"))
+    offsets = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c") - F.col("first")).alias("shift"))
+    return ranges.join(F.broadcast(offsets), "part").select("name", "r", (F.col("id") + F.col("shift")).cast("long").alias("state"))  # one row a partition
+
+
+def from_pairs(names: DataFrame, pairs: DataFrame, beta: float = BETA, many: bool = False) -> Mdp:
     """``names`` (name, r): states, numbered in the order of their names;
     ``pairs`` (a, b): observed steps between names. A state that is never left
-    stays where it is."""
-    states = names.select("name", "r", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("state"))
+    stays where it is. ``many``: the states grow with the data."""
+    states = numbered(names) if many else names.select("name", "r", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("state"))
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
     a, b = states.select(F.col("name").alias("a"), F.col("state").alias("src")), states.select(F.col("name").alias("b"), F.col("state").alias("dst"))
     edges = counts.join(a, "a").join(b, "b").select("src", "dst", "c")
@@ -41,7 +53,7 @@ def user_events_mdp(spark: SparkSession, sf_dir: str) -> Mdp:
     """Pairs of user and event type; steps: consecutive events of a user."""
     e = read(spark, sf_dir, "events").withColumn("name", F.format_string("%012d/%s", "user_id", "event_type"))
     steps = e.select(F.col("name").alias("a"), F.lead("name").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).where("b is not null")
-    return from_pairs(e.groupBy("name").agg(F.avg("value").alias("r")), steps)
+    return from_pairs(e.groupBy("name").agg(F.avg("value").alias("r")), steps, many=True)
 
 
 def nation_mdp(spark: SparkSession, sf_dir: str) -> Mdp:
