@@ -511,7 +511,7 @@ def records(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_RECORDS, report.SUMMARY)
 
 
-@query("rep_converged", f"{_REC} SELECT mdp, solver, n FROM rec WHERE lower(converged) = 'true'")
+@query("rep_converged", f"{_REC} SELECT mdp, solver, CAST(n AS BIGINT) AS n FROM rec WHERE lower(converged) = 'true'")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.converged(records(spark)).select("mdp", "solver", "n")
 
