@@ -13,7 +13,8 @@ such that two that link meet in one at least, by exact conditions only:
 1. Documents with equal sets are one class and go on once.
 2. If A and B link, at most a fifth of A's grams are missing in B. So of the
    grams in a fixed part of the hash space, A shares all but so many with other
-   classes. Most documents fail this.
+   classes. Most documents fail this. The part that A is judged on is one that
+   all of its possible partners show.
 3. Of the rest, the grams are ordered by rarity. Two that link share one of
    their first ``n // 5 + 1`` grams: each of those is a tile. A class in which
    that many grams are its own links with nothing.
@@ -43,8 +44,10 @@ WORDS = 5
 PERCENT = 80
 #: Groups of the count vector.
 GROUPS = 64
-#: Part of the hash space looked at first; sets of at most ``SMALL`` grams are looked at whole.
+#: Part of the hash space looked at first; sets of at most ``SMALL`` grams are judged whole, so
+#: their partners, of at most ``SHOWN`` grams, show all of theirs.
 PART, SMALL = 0.3, 64
+SHOWN = SMALL * 100 // PERCENT
 #: Members of a tile compared at once; larger tiles are split into parts, and parts paired.
 TILE_ROWS = 20_000
 #: Points in a leaf, and children of a node.
@@ -224,23 +227,26 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
 
 def gram_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), name (64-bit hash of the set, null if
-    empty), part (the set's hashes in the part looked at first)."""
+    empty), part (the hashes that the set shows to others), judged (the number
+    of those, from the first on, that it is judged on itself)."""
     limit = np.uint64(int(PART * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in slices(batches, "text"):
-            n, names, parts = [], [], []
+            n, names, parts, judged = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, hashes, WORDS)
                 n.append(len(s))
                 names.append(_name(s) if len(s) else None)
-                parts.append((s if len(s) <= SMALL else s[: int(np.searchsorted(s, limit))]).view(np.int64))
+                low = int(np.searchsorted(s, limit))
+                parts.append((s if len(s) <= SHOWN else s[:low]).view(np.int64))
+                judged.append(len(s) if len(s) <= SMALL else low)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(names, pa.int64()), lists], ["doc_id", "n", "name", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(names, pa.int64()), lists, pa.array(judged, pa.int32())], ["doc_id", "n", "name", "part", "judged"])
 
-    return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n int, name long, part array<long>")
+    return map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, n int, name long, part array<long>, judged int")
 
 
 def _name(grams: np.ndarray) -> int:
@@ -292,11 +298,11 @@ def join(docs: DataFrame) -> DataFrame:
     n = max(1, shuffle_partitions(spark))
     rows = scratch.write(gram_sets(docs), "sets")
     # 1, 2: classes of equal sets; those whose part of the hash space is shared enough.
-    classes = rows.where("name is not null").select("name", "n", "part").dropDuplicates(["name"])
-    grams = classes.select("name", F.explode("part").alias("g"))
-    shared = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1").groupBy("name").agg(F.count("*").alias("shared"))
+    classes = rows.where("name is not null").select("name", "n", "part", "judged").dropDuplicates(["name"])
+    grams = classes.select("name", "judged", F.posexplode("part").alias("at", "g")).select("name", "g", (F.col("at") < F.col("judged")).alias("own"))
+    shared = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("own and df > 1").groupBy("name").agg(F.count("*").alias("shared"))
     spare = F.floor(F.col("n") / 5)
-    kept = classes.select("name", "n", F.size("part").alias("r")).join(shared, "name", "left")
+    kept = classes.select("name", "n", F.col("judged").alias("r")).join(shared, "name", "left")
     kept = scratch.write(kept.where(F.coalesce("shared", F.lit(0)) >= F.col("r") - spare).select("name"), "kept")
     heads = rows.join(kept, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
     # 3: whole sets of the rest, rarity, tiles.

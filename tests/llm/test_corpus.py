@@ -70,6 +70,19 @@ def test_components_of_near_copies(spark, monkeypatch, seed):
     assert sorted((r["doc_id"], r["name"]) for r in kept.collect()) == sorted({(c, "x") for _, _, c in want})
 
 
+def test_components_across_the_switch_of_sizes(spark):
+    """Sets of up to SMALL grams whose only partners have more."""
+    rng = random.Random(11)
+    rows = []
+    for n in (*range(52, 65), 65, 72, 80, 81):
+        for m in sorted({65, 68, 70, 76, 80, n + 1}):
+            words = [f"x{rng.randrange(10**9)}" for _ in range(m + 4)]
+            rows += [(2 * len(rows) + 1, " ".join(words[: n + 4])), (2 * len(rows) + 2, " ".join(words))]
+    want = brute_components(rows)
+    assert sum(i != c for i, _, c in want) > 50
+    assert records(jaccard_join.join(docs(spark, rows)), "doc_id", "n_shingles", "component_id") == want
+
+
 def test_join_of_odd_rows(spark):
     found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs(spark, odd_rows())).collect()}
     by = collections.defaultdict(set)
