@@ -8,8 +8,10 @@ rules indexed under them, and only those run their regular expression.
 
 Pattern syntax: ``*`` stands for any characters, ``^`` for one character that
 is none of letters, digits, ``.``, ``-``, ``_``, ``%`` (or the end); a leading
-``||`` ties the pattern to the start of a host's label, ``@@`` makes the rule
-an exception, which beats all blocking rules. Letters match in either case.
+``||`` ties the pattern to the start of a host's label, a leading ``~`` says
+that the host holds the rest as whole tokens (runs of letters and digits),
+``@@`` makes the rule an exception, which beats all blocking rules. Letters
+match in either case.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from .common import lower_ascii, map_arrow, table
 #: Host and path rules of the contract: (verdict, rule).
 HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Pattern rules used by the registered query: advertising, tracking, session
-#: and machine pages; exceptions for pages about such things.
+#: and machine pages, whole families of bad hosts; exceptions for pages about such things.
 PATTERN_RULES = [
+    "~casino", "~casinos", "~bet", "~bets", "~betting", "~spam", "~pills", "~adult", "~porn", "~xxx", "~ad", "~ads", "~adserver",
     "||ads-track.", "||adserver.", "||ads.*.com^", "||tracker.", "||doubleclick.", "||banner.", "||popup.", "||casino.", "||xxx.",
     "/adclick^", "/ads/banner^", "/pagead/", "/track/click^", "/pixel.gif^", "/beacon.js^", "^sessionid=", "^phpsessid=", "/wp-admin/", "/wp-login.php",
     "/cgi-bin/*.pl^", "/cart/checkout^", "/user/login^", "/captcha^", "/porn/", "/casino-bonus^", "/free-download-crack^",
-    "@@/about/ads^", "@@/policy/tracking^",
+    "@@/about/ads^", "@@/policy/tracking^", "@@~anti-spam", "@@~adult-education",
 ]
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -49,17 +52,21 @@ def parse_pattern(text: str) -> PatternRule:
     """Its literal tokens are whole tokens of any URL that matches: runs of
     letters and digits that no ``*`` and no open end of the pattern touches."""
     body = text.removeprefix("@@").lower()
-    tied = body.startswith("||")
-    body = body.removeprefix("||")
+    tied, held = body.startswith("||"), body.startswith("~")
+    body = body.removeprefix("||").removeprefix("~")
+    if held and not re.fullmatch(r"[a-z0-9]+(?:[.\-_][a-z0-9]+)*", body):
+        raise ValueError(f"the rule {text!r} must name whole tokens of a host")
     tokens = []
     for m in _TOKEN.finditer(body):
-        left = tied if m.start() == 0 else body[m.start() - 1] != "*"
-        right = m.end() < len(body) and body[m.end()] != "*"
+        left = tied or held if m.start() == 0 else body[m.start() - 1] != "*"
+        right = body[m.end()] != "*" if m.end() < len(body) else held
         if left and right:
             tokens.append(m[0])
     if not tokens:
         raise ValueError(f"the rule {text!r} has no literal token to index it by")
     parts = "".join(".*" if c == "*" else r"(?:[^a-z0-9.\-_%]|$)" if c == "^" else re.escape(c) for c in body)
+    if held:  # after the user's name, between any other characters of the host
+        return PatternRule(text, text.startswith("@@"), tuple(tokens), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(?:[^/?#@]*[^a-z0-9/?#@])?" + parts + r"(?:[^a-z0-9/?#@][^/?#@]*)?(?:[/?#]|$)")
     return PatternRule(text, text.startswith("@@"), tuple(tokens), (r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*[.@])?" if tied else "") + parts)
 
 

@@ -93,6 +93,16 @@ def test_urls_against_brute_force(spark):
     assert url_rules.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_families_of_bad_hosts(spark):
+    """Labels by hand, not by the rules."""
+    block = ["m.casino-win.example.com", "free-bets.example.com", "m.ads-track.example.com", "www.spam-farm.example.com", "www.cheap-pills.example.com", "blog.adult-x.example.org", "best-casino.example.org:8080", "user@Casino.example.com", "my-ads.example.org", "x_bets"]
+    allow = ["casinova.example.com", "alphabets.example.org", "loads.example.com", "spammers.example.org", "anti-spam.example.org", "adulthood.example.com", "casino@example.com", "www.example.com", "adult-education.example.org"]
+    rows = [(i, f"http://{h}/es/1", "h") for i, h in enumerate(block + allow)] + [(100, "http://news.example.com/best-casino/ads?bets=spam", "h")]
+    found = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [h for i, h in enumerate(block) if found[i] != "block"] == []
+    assert [h for i, h in enumerate(allow) if found[len(block) + i] != "allow"] == [] and found[100] == "allow"
+
+
 def test_patterns_are_indexed_by_their_rarest_token():
     rules = [url_rules.parse_pattern(p) for p in ("/ads/banner^", "||tracker.", "/cgi-bin/*.pl^")]
     assert rules[0].tokens == ("ads", "banner") and rules[2].tokens == ("cgi", "bin", "pl")
