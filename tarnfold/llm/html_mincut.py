@@ -25,19 +25,25 @@ from .common import map_arrow, slices, table
 
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|select|svg|math|canvas|object|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+#: A last slash that belongs to a value without quotes.
+_IN_VALUE = re.compile(r"=\s*[^\s\"'=]+\Z")
 #: Names that say what a container has or lacks, not what it is.
 _ABOUT = re.compile(r"\b(?:has|with|without|no|is|js)[-_][\w-]+", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = {"hr"}
+#: Elements that are left out with all they hold; without an end tag, those of
+#: ``TO_BLOCK`` up to the next block-level tag, of the others the tag only.
+DROPPED = {"noscript", "template", "iframe", "textarea", "select", "svg", "math", "canvas", "object", "title"}
+TO_BLOCK = {"textarea", "select", "svg", "math", "title"}
 #: An open element of the left kind ends where one of the right begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -95,6 +101,31 @@ def _enter(tag: str, attrs: str, top: _Open, number: int) -> _Open:
     return _Open(tag, (*top.path, number), weight, inside or tag in ("article", "main"), names)
 
 
+def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags and comments, and where each ends; an element that is left out is one."""
+    found = list(_TOKENS.finditer(page))
+    names = [(m["name"] or "").lower() for m in found]
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        if name in DROPPED:
+            if found[i]["end"]:
+                if opened.get(name):
+                    ends[opened[name].pop()] = i
+            elif not (name in ("svg", "math") and found[i]["attrs"].endswith("/") and not _IN_VALUE.search(found[i]["attrs"])):
+                opened.setdefault(name, []).append(i)
+    to_block = {i for name in TO_BLOCK for i in opened.get(name, ())}
+    i = 0
+    while i < len(found):
+        m, last, end = found[i], ends.get(i, i), None
+        if i in to_block:
+            while last + 1 < len(found) and (names[last + 1] not in BLOCKS or names[last + 1] == "option"):
+                last += 1
+            end = found[last + 1].start() if last + 1 < len(found) else len(page)
+        yield m, found[last].end() if end is None else end
+        i = last + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
@@ -119,10 +150,10 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(text)
 
-    for m in _TOKENS.finditer(page):
+    for m, end in _tokens(page):
         if m.start() > at:
             take(page[at : m.start()])
-        at = m.end()
+        at = end
         name = m["name"]
         if name is None:
             continue

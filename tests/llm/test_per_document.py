@@ -38,6 +38,21 @@ def test_names_about_the_page_around():
     assert html_mincut.main_text(page) == "The body of the article is here and it is long enough."
 
 
+LONG = "An article that is long enough to be read as prose by all."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<head><title>t</title><body><article><p>{LONG}</article>", [LONG]), (f"<head><title>t<meta x><article><p>{LONG}", [LONG]), ("<p>One <svg width='1' /> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One <math/> two.<p>Three.<svg></svg>", ["One two.", "Three."]), ("<p>One <object data=x> two.</p><p>Three.</p>", ["One two.", "Three."]), ("<p>One <svg><g>x</g><svg>y</svg> z</svg> two.", ["One two."]),
+        ("<p>One <svg width=1/><text>x<p>Two.<p>Three <svg>y</svg>.", ["One", "Two.", "Three ."]), ("<p>One <select><option>x<option>y<p>Two.", ["One", "Two."]), ("<p>One<script>x <p>Two.", ["One"]),
+    ],
+)
+def test_elements_left_out(page, want):
+    assert [b.text for b in html_mincut.blocks(page)] == want
+
+
 def test_plain_text_and_long_pages():
     assert html_mincut.main_text("<p>Only one paragraph of text without any structure around it at all.") == "Only one paragraph of text without any structure around it at all."
     many = "<article>" + "<p>A paragraph that is long enough to be prose.</p>" * 5000 + "</article>"
