@@ -31,7 +31,9 @@ _TOKENS = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: A last slash that belongs to a value without quotes.
 _IN_VALUE = re.compile(r"=\s*[^\s\"'=]+\Z")
 #: Names that say what a container has or lacks, not what it is.
@@ -79,6 +81,17 @@ class _Open:
     names: tuple[str, ...] = field(default=())
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an element is hidden by its attributes; words inside other values don't count."""
+    if not _HIDDEN.search(attrs):
+        return False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDING.search(value):
+            return True
+    return False
+
+
 def _enter(tag: str, attrs: str, top: _Open, number: int) -> _Open:
     """An element's weight: that of its containers and what it adds itself."""
     weight, inside = top.weight, top.in_article
@@ -95,7 +108,7 @@ def _enter(tag: str, attrs: str, top: _Open, number: int) -> _Open:
             weight += BAD_WEIGHT
         elif words & GOOD_NAMES and not inside:
             weight += GOOD_WEIGHT
-        if _HIDDEN.search(attrs):
+        if _hidden(attrs):
             weight += BAD_WEIGHT
     names = (*top.names, tag) if tag == "article" else top.names
     return _Open(tag, (*top.path, number), weight, inside or tag in ("article", "main"), names)

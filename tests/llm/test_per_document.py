@@ -53,6 +53,12 @@ def test_elements_left_out(page, want):
     assert [b.text for b in html_mincut.blocks(page)] == want
 
 
+@pytest.mark.parametrize("attrs, shown", [('class="overflow-hidden"', True), ('style="overflow:hidden"', True), ('aria-hidden="false"', True), ('data-x="hidden"', True), ("hidden", False), ('aria-hidden="true"', False), ("style='color:red; display : none'", False), ('style="visibility:hidden"', False)])
+def test_hidden_elements(attrs, shown):
+    for tag in ("div", "body", "main"):
+        assert html_mincut.main_text(f"<{tag} {attrs}><article><p>{LONG}</p></article></{tag}>") == (LONG if shown else "")
+
+
 def test_plain_text_and_long_pages():
     assert html_mincut.main_text("<p>Only one paragraph of text without any structure around it at all.") == "Only one paragraph of text without any structure around it at all."
     many = "<article>" + "<p>A paragraph that is long enough to be prose.</p>" * 5000 + "</article>"
