@@ -304,9 +304,12 @@ def join(docs: DataFrame) -> DataFrame:
     spare = F.floor(F.col("n") / 5)
     kept = classes.select("name", "n", F.col("judged").alias("r")).join(shared, "name", "left")
     kept = scratch.write(kept.where(F.coalesce("shared", F.lit(0)) >= F.col("r") - spare).select("name"), "kept")
+    # Texts are found again by doc_id; those without one all are, and their classes told by name.
     heads = rows.join(kept, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(heads, "doc_id", "left_semi").union(texts.where("doc_id is null"))
     # 3: whole sets of the rest, rarity, tiles.
-    sets = scratch.write(_whole_sets(docs.select("doc_id", "text").join(heads, "doc_id", "left_semi")).join(kept, "name", "left_semi").dropDuplicates(["name"]), "whole")
+    sets = scratch.write(_whole_sets(texts).join(kept, "name", "left_semi").dropDuplicates(["name"]), "whole")
     grams = sets.select("name", F.explode("grams").alias("g"))
     ranked = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
     by_class = ranked.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs")).join(sets.select("name", "n", "point"), "name")

@@ -96,6 +96,17 @@ def test_join_of_odd_rows(spark):
     assert jaccard_join.join(docs(spark, [])).count() == 0
 
 
+def test_null_ids_link_and_bridge(spark):
+    rng = random.Random(12)
+    words = [f"x{rng.randrange(10**9)}" for _ in range(230)]
+    near, chain = words[:104], words[110:]
+    rows = [(5, " ".join(near)), (None, " ".join(near[1:])), (8, " ".join(chain[:100])), (None, " ".join(chain[10:110])), (9, " ".join(chain[20:]))]
+    assert brute_components([(i, t) for i, (_, t) in enumerate(rows)]) == [(0, 100, 0), (1, 99, 0), (2, 96, 2), (3, 96, 2), (4, 96, 2)]
+    assert not 180 * len(shingles(rows[2][1]) & shingles(rows[4][1])) >= 80 * 192
+    found = records(jaccard_join.join(docs(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert found == sorted([(5, 100, 5), (None, 99, 5), (8, 96, 8), (None, 96, 8), (9, 96, 8)], key=repr)
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)) for _ in range(150)]
