@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides, as sums differ in order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from . import report
 from .functions import draw_sql
-from .lineage import cut
+from .lineage import cut, folder
 from .model import Mdp, violations
 from .operators import bellman, solvers
-from .operators.solvers import SolverConfig
+from .operators.solvers import Run, SolverConfig
 from .plans import autotune, cost, planners, schedulers
 from .plans.planners import PlannerConfig
+from .plans.schedulers import Scheduler
 from .profiling import COUNTERS, SCANS, profile
 from .sources import generators as gen
 from .sources import tables
@@ -266,6 +268,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solvers.run_plan(m, plan.tasks, 2, 400))
 
 
+for _name, _scheduler in {"shuffled": Scheduler("shuffled"), "topk": Scheduler("topk", K=2), "ca_topk": Scheduler("ca_topk", K=3, groups=2, block_size=1), "buckets": Scheduler("buckets")}.items():
+
+    def _scheduled(spark: SparkSession, sf_dir: str, s: Scheduler = _scheduler) -> DataFrame:
+        run = Run(tables.events_mdp(spark, sf_dir), SolverConfig(mode="async", eps=1e-11, threads=2, stale=1), s)
+        return rounded(solvers.solve_many({"run": run}).select("state", "v"))
+
+    query(f"async_{_name}_fixed_point", _fixed_sql(EVENTS_SQL))(_scheduled)
+
+
+@query("plan_priority_fixed_point", _fixed_sql(EVENTS_SQL))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = kept(tables.events_mdp(spark, sf_dir))
+    plan = planners.priority_plan(spark, m.size(), PlannerConfig(threads=2, blk=1, colors=2, K=2), cut(bellman.residuals(m, m.zeros())))
+    return rounded(solvers.solve_plan(m, plan, SolverConfig(eps=1e-11)).values)
+
+
+#: The first sweep whose residual is at most 0.001, and what a report says then.
+_REPORT_SQL = _fixed_sql(EVENTS_SQL).replace("SELECT state, round(v, 6) AS v FROM it WHERE k = 400", """, rk AS (SELECT a.k, max(abs(b.v - a.v)) AS r, count(*) AS n FROM it a JOIN it b ON b.state = a.state AND b.k = a.k + 1 GROUP BY a.k)
+    SELECT TRUE AS converged, CAST(k AS BIGINT) AS sweeps, k * n AS total_updates, round(r, 6) AS final_residual_inf FROM rk WHERE r <= 0.001 ORDER BY k LIMIT 1""")
+
+
+@query("solver_report", _REPORT_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = solvers.solve_many({"run": (tables.events_mdp(spark, sf_dir), SolverConfig(eps=1e-3))}, with_values=False)
+    return rounded(done.select("converged", "sweeps", "total_updates", "final_residual_inf"))
+
+
+@query("solver_counters", f"WITH {EVENTS_SQL} SELECT state % 2 AS tid, count(*) * 6 AS updates_completed, CAST(8 AS BIGINT) AS scans FROM rr GROUP BY 1")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six epochs of a static plan of two threads, with a scan at the start, after each and at the end."""
+    m = kept(tables.events_mdp(spark, sf_dir))
+    done = solvers.solve_plan(m, planners.static_plan(spark, m.size(), PlannerConfig(threads=2, blk=1)), SolverConfig(eps=0.0, max_sweeps=6))
+    return rounded(done.counters_frame("run").join(done.scans_frame("run"), "run_id").select("tid", "updates_completed", "scans"))
+
+
 @query("nation_fixed_point", _fixed_sql(NATION_SQL))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solvers.solve_many({"run": (tables.nation_mdp(spark, sf_dir), SolverConfig(eps=1e-11))}).select("state", "v"))
@@ -280,6 +317,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solvers.solve_many({"run": (tables.events_mdp(spark, sf_dir), SolverConfig(mode="gauss_seidel", eps=0.0, max_sweeps=1))}).select("state", "v"))
 
 
+@query("gauss_seidel_tables", _values_sql(EVENTS_SQL, _IN_PLACE, "x5"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = kept(tables.events_mdp(spark, sf_dir))
+    return rounded(solvers.gauss_seidel_sweep(m, m.zeros(), m.size(), 2))
+
+
 @query("plan_static_t1", _values_sql(EVENTS_SQL, _IN_PLACE, "x5"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.events_mdp(spark, sf_dir)
@@ -443,33 +486,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(autotune.candidates(spark, tables.user_events_mdp(spark, sf_dir).size(), _TUNE))
 
 
-@query(
-    "autotune_ranking",
-    f"""{_RS}, {_CS}, bs AS (SELECT cid, planner, colors, k, b, least(blk, {_N} - b * blk) AS size, blk FROM cs CROSS JOIN (SELECT range AS b FROM range(10000)) WHERE b * blk < {_N}),
+_RANKED = f"""{_RS}, {_CS}, bs AS (SELECT cid, planner, colors, k, b, least(blk, {_N} - b * blk) AS size, blk FROM cs CROSS JOIN (SELECT range AS b FROM range(10000)) WHERE b * blk < {_N}),
     nz AS (SELECT cid, src // blk AS b, count(*) AS nnz FROM cs CROSS JOIN tt GROUP BY 1, 2), sc AS (SELECT cid, state // blk AS b, sum(residual) AS score FROM cs CROSS JOIN rs GROUP BY 1, 2),
     w AS (SELECT bs.*, CASE WHEN coalesce(nnz, 0) > 0 THEN nnz ELSE size END AS c, coalesce(score, 0) AS score FROM bs LEFT JOIN nz USING (cid, b) LEFT JOIN sc USING (cid, b)),
     h AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY cid ORDER BY round(score, 9) DESC, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM w WHERE planner = 'priority'),
-    t AS (SELECT cid, 0 AS part, 0 AS color, b % 2 AS tid, c FROM w WHERE planner = 'static' UNION ALL SELECT cid, 1, b % colors, (b // colors) % 2, c FROM w WHERE planner <> 'static'
-    UNION ALL SELECT cid, 0, b % colors, (row_number() OVER (PARTITION BY cid, b % colors ORDER BY round(score, 9) DESC, b) - 1) % 2, c FROM h WHERE covered < k),
+    t AS (SELECT cid, 0 AS part, 0 AS color, b, b % 2 AS tid, c FROM w WHERE planner = 'static' UNION ALL SELECT cid, 1, b % colors, b, (b // colors) % 2, c FROM w WHERE planner <> 'static'
+    UNION ALL SELECT cid, 0, b % colors, b, (row_number() OVER (PARTITION BY cid, b % colors ORDER BY round(score, 9) DESC, b) - 1) % 2, c FROM h WHERE covered < k),
     s AS (SELECT cid, part, color, tid, sum(c) AS c FROM t GROUP BY ALL), f AS (SELECT cid, part, color, max(c) AS c FROM s GROUP BY ALL),
-    g AS (SELECT cid, sum(c) AS c, count(*) AS phases FROM f GROUP BY cid)
-    SELECT cs.cid AS candidate_id, planner, blk, colors, CAST(k AS BIGINT) AS "K", CAST(2 AS BIGINT) AS threads, round(CAST(g.c + 100 * CASE WHEN planner = 'colored' THEN colors ELSE phases END AS DOUBLE), 6) AS est_cost FROM cs JOIN g USING (cid)""",
-)
+    g AS (SELECT cid, sum(c) AS c, count(*) AS phases FROM f GROUP BY cid),
+    rk AS (SELECT cs.cid, planner, blk, colors, CAST(k AS BIGINT) AS k, round(CAST(g.c + 100 * CASE WHEN planner = 'colored' THEN colors ELSE phases END AS DOUBLE), 6) AS est_cost FROM cs JOIN g USING (cid))"""
+
+
+@query("autotune_ranking", f"{_RANKED} SELECT cid AS candidate_id, planner, blk, colors, k AS \"K\", CAST(2 AS BIGINT) AS threads, est_cost FROM rk")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, n, rs = _scored(spark, sf_dir)
     return rounded(autotune.ranking(m, n, rs, _TUNE))
 
 
-@query("autotune_pilots")
+#: Five epochs of the three cheapest plans: step by step, the phase's states of all three.
+_PILOTED = _RANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """, top AS MATERIALIZED (SELECT * FROM rk ORDER BY round(est_cost, 6), cid LIMIT 3),
+    ph AS MATERIALIZED (SELECT cid, blk, b, dense_rank() OVER (PARTITION BY cid ORDER BY part, color) - 1 AS phase FROM t JOIN top USING (cid)), np AS MATERIALIZED (SELECT cid, any_value(blk) AS blk, max(phase) + 1 AS phases FROM ph GROUP BY cid),
+    e AS MATERIALIZED (SELECT src, dst, p, 0.0 AS own, r FROM tt JOIN rr ON rr.state = src UNION ALL SELECT state, state, 0.0, 1.0, r FROM rr),
+    it(step, cid, state, v) AS (SELECT 0, cid, state, CAST(0 AS DOUBLE) FROM top CROSS JOIN rr UNION ALL
+    SELECT it.step + 1, it.cid, e.src, CASE WHEN max(ph.b) IS NOT NULL THEN max(e.r) + 0.9 * sum(e.p * it.v) ELSE sum(e.own * it.v) END FROM it JOIN np ON np.cid = it.cid JOIN e ON e.dst = it.state
+    LEFT JOIN ph ON ph.cid = it.cid AND ph.phase = it.step % np.phases AND ph.b = e.src // np.blk WHERE it.step < 5 * np.phases GROUP BY it.step, it.cid, e.src),
+    fin AS (SELECT it.* FROM it JOIN np ON np.cid = it.cid AND it.step = 5 * np.phases), ba AS (SELECT cid, e.src, max(e.r) + 0.9 * sum(e.p * fin.v) - sum(e.own * fin.v) AS d FROM fin JOIN e ON e.dst = fin.state GROUP BY cid, e.src),
+    res AS (SELECT cid, max(abs(d)) AS final FROM ba GROUP BY cid),
+    pil AS (SELECT cid AS candidate_id, planner, blk, colors, k AS "K", est_cost, round((SELECT max(abs(r)) FROM rr), 6) AS initial_residual, round(final, 6) AS final_residual, round((SELECT max(abs(r)) FROM rr) / final, 6) AS rdrop FROM top JOIN res USING (cid))"""
+_PILOT_COLUMNS = ["candidate_id", "planner", "blk", "colors", "K", "est_cost", "initial_residual", "final_residual", "rdrop"]
+
+
+@query("autotune_pilots", f"{_PILOTED} SELECT * FROM pil")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, n, rs = _scored(spark, sf_dir)
+    return rounded(autotune.pilots(m, n, rs, _TUNE).select(*_PILOT_COLUMNS))
+
+
+@query("autotune_best", f"{_PILOTED} SELECT * FROM pil ORDER BY rdrop DESC, candidate_id LIMIT 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, n, rs = _scored(spark, sf_dir)
-    return rounded(autotune.pilots(m, n, rs, _TUNE))
+    return rounded(autotune.best(autotune.pilots(m, n, rs, _TUNE)).select(*_PILOT_COLUMNS))
 
 
-@query("autotune_best")
+@query("autotune_plan", f"{_PILOTED}, best AS (SELECT candidate_id FROM pil ORDER BY rdrop DESC, candidate_id LIMIT 1) SELECT phase, ph.b AS conflict_key, ph.b * blk AS \"begin\" FROM ph JOIN best ON cid = candidate_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, n, rs = _scored(spark, sf_dir)
-    return rounded(autotune.best(autotune.pilots(m, n, rs, _TUNE)))
+    return rounded(autotune.tune(m, n, rs, _TUNE).plan.tasks.select("phase", "conflict_key", "begin"))
 
 
 # ---- profiling and reports ------------------------------------------------
@@ -504,7 +566,8 @@ _RECORDS = [
 _COLUMNS = "mdp, solver, n, beta, threads, converged, wall_sec, total_updates, updates_per_sec, final_residual"
 _REC = f"WITH rec AS (SELECT * FROM {_values(_RECORDS, _COLUMNS)})"
 _PICK = "rec WHERE lower(converged) = 'true' AND NOT regexp_matches(mdp, '_p?b\\d')"
-_PREFIX = f"(VALUES {', '.join(f"({i}, '{p}', '{x}')" for i, (p, x) in enumerate(report.SOLVERS))}) p(place, prefix, label)"
+_PLACE_SQL = "CASE WHEN starts_with(solver, 'Jacobi') THEN 0 WHEN starts_with(solver, 'GaussSeidel') THEN 1 WHEN starts_with(solver, 'Plan_Static') THEN 2 WHEN starts_with(solver, 'Async_TopKGS') THEN 7 WHEN starts_with(solver, 'Async_CATopKGS') THEN 8 ELSE 99 END"
+_LABEL_SQL = "CASE solver WHEN 'GaussSeidel' THEN 'Gauss-Seidel' WHEN 'Plan_Static' THEN 'Plan (Static)' WHEN 'Async_TopKGS_x' THEN 'Async (TopK-GS)' WHEN 'Async_CATopKGS' THEN 'Async (CA-TopK)' ELSE solver END"
 
 
 def records(spark: SparkSession) -> DataFrame:
@@ -518,8 +581,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rep_labels",
-    f"""{_REC}, d AS (SELECT DISTINCT solver, n FROM rec), m AS (SELECT solver, n, place, label, row_number() OVER (PARTITION BY solver, n ORDER BY length(prefix) DESC NULLS LAST) AS i FROM d LEFT JOIN {_PREFIX} ON starts_with(solver, prefix))
-    SELECT solver, coalesce(label, solver) AS label, CAST(coalesce(place, 99) AS BIGINT) AS place, CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1e6), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', n / 1e3), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS size FROM m WHERE i = 1""",
+    f"""{_REC} SELECT DISTINCT solver, {_LABEL_SQL} AS label, CAST({_PLACE_SQL} AS BIGINT) AS place,
+    CASE WHEN n >= 1000000 THEN regexp_replace(printf('%.1f', n / 1e6), '\\.0$', '') || 'M' WHEN n >= 1000 THEN regexp_replace(printf('%.1f', n / 1e3), '\\.0$', '') || 'K' ELSE CAST(n AS VARCHAR) END AS size FROM rec""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.labels(records(spark)))
@@ -530,9 +593,9 @@ for _name, _col, _largest in (("rep_solver_ranking", "wall_sec", False), ("rep_t
     query(_name, f"{_REC}, b AS (SELECT *, row_number() OVER (PARTITION BY mdp, solver ORDER BY {_col} {_way}, threads, n) AS i FROM {_PICK}) SELECT mdp, solver, {_col}, row_number() OVER (PARTITION BY mdp ORDER BY {_col} {_way}, solver) AS rank FROM b WHERE i = 1")(lambda spark, sf_dir, c=_col, up=_largest: rounded(report.best_by(records(spark), c, up)))
 
 
-@query("rep_thread_scaling", f"{_REC} SELECT a.mdp, a.solver, CAST(a.threads AS BIGINT) AS threads, round(a.updates_per_sec / o.updates_per_sec, 6) AS speedup, round(a.updates_per_sec / 1e6, 6) AS mups FROM rec a JOIN rec o ON a.mdp = o.mdp AND a.solver = o.solver AND o.threads = 1 WHERE a.mdp = 'Alpha'")
+@query("rep_thread_scaling", f"{_REC} SELECT a.mdp, a.solver, CAST(a.n AS BIGINT) AS n, CAST(a.threads AS BIGINT) AS threads, round(a.updates_per_sec / o.updates_per_sec, 6) AS speedup, round(a.updates_per_sec / 1e6, 6) AS mups FROM rec a JOIN rec o ON a.mdp = o.mdp AND a.solver = o.solver AND a.n = o.n AND o.threads = 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report.thread_scaling(records(spark).where("mdp = 'Alpha'")))
+    return rounded(report.thread_scaling(records(spark)))
 
 
 @query("rep_size_scaling", f"{_REC}, j AS (SELECT n, min(wall_sec) AS w FROM rec WHERE solver = 'Jacobi' GROUP BY n ORDER BY n LIMIT 1) SELECT solver, CAST(rec.n AS BIGINT) AS n, wall_sec, round(w * rec.n / j.n, 6) AS linear_sec FROM rec CROSS JOIN j")
@@ -550,9 +613,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.difficulty(records(spark)))
 
 
-@query("rep_heatmap", f"{_REC} SELECT mdp, " + ", ".join(f"round(log10(greatest(min(wall_sec) FILTER (solver = '{s}'), 1e-6)), 6) AS \"{s}\"" for s in ("Jacobi", "GaussSeidel", "Plan_Static")) + " FROM rec WHERE NOT regexp_matches(mdp, '_p?b\\d') GROUP BY mdp")
+@query("rep_heatmap", f"{_REC} SELECT mdp, " + ", ".join(f"round(log10(greatest(min(wall_sec) FILTER (solver = '{s}'), 1e-6)), 6) AS \"{s}\"" for s in ("Plan_Static", "GaussSeidel", "Mystery", "Jacobi", "Async_CATopKGS")) + " FROM rec WHERE mdp IN ('Alpha', 'Gamma') AND lower(converged) = 'true' GROUP BY mdp")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(report.heatmap(records(spark)))
+
+
+@query("rep_csv", f"{_REC} SELECT mdp, solver, CAST(n AS BIGINT) AS n, CAST(beta AS DOUBLE) AS beta, CAST(threads AS BIGINT) AS threads, lower(converged) = 'true' AS converged, CAST(wall_sec AS DOUBLE) AS wall_sec, CAST(total_updates AS BIGINT) AS total_updates, CAST(updates_per_sec AS DOUBLE) AS updates_per_sec, round(CAST(final_residual AS DOUBLE), 6) AS final_residual FROM rec")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report.heatmap(records(spark), ["Jacobi", "GaussSeidel", "Plan_Static"]))
+    """The records through CSV files in the shared folder."""
+    path = f"{folder(spark)}/records-{uuid.uuid4().hex[:12]}"
+    report.write_csv(records(spark), path)
+    return rounded(report.read_csv(spark, path, report.SUMMARY).withColumn("converged", F.lower("converged") == "true"))
 
 
 _CURVE = [("Alpha", "Jacobi", 1000, 0.9, 1, t / 10, 2.0**-t) for t in (3, 1, 2, 1)]
@@ -566,6 +637,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TUNED = [("Alpha", "static", 32, 0, 0, 3200.5, 1e8, 1500.25, 0.3, "True", 0.1, 2e8)]
 
 
-@query("rep_autotune", f"SELECT mdp, planner, CAST(blk AS BIGINT) AS blk, CAST(colors AS BIGINT) AS colors, CAST(k AS BIGINT) AS \"K\", est_cost, rdrop, at_sec FROM {_values(_TUNED, 'mdp, planner, blk, colors, k, est_cost, pilot_ups, rdrop, at_sec, converged, wall_sec, ups')}")
+@query("rep_autotune", f"SELECT mdp, planner, CAST(blk AS BIGINT) AS blk, CAST(colors AS BIGINT) AS colors, CAST(k AS BIGINT) AS \"K\", est_cost, pilot_ups, rdrop, at_sec, converged, wall_sec, ups, 'static (blk=32)' AS label FROM {_values(_TUNED, 'mdp, planner, blk, colors, k, est_cost, pilot_ups, rdrop, at_sec, converged, wall_sec, ups')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.autotune_report(spark.createDataFrame(_TUNED, report.AUTOTUNE)))

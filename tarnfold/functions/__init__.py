@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ def draw_sql(i: str, k: str, seed: int) -> str:
     return f"((({x} * 48271) % {_M}) * 16807 + 12345) % {_M}"
 
 
+def draw_numbers(i: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The same on an array of numbers."""
+    x = (i.astype(np.int64) * 1_000_003 + k * 7_919 + seed * 104_729 + 1) % _M
+    return (x * 48_271 % _M * 16_807 + 12_345) % _M
+
+
 def residual_bucket(residual: Column, base: float, buckets: int) -> Column:
     """Logarithmic bucket of a residual: 0 up to ``base`` and for NaN, then one
     for each doubling, the last for all above. The ratio is rounded so that

@@ -6,19 +6,26 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as files in the session's checkpoint folder, which all executors
-    share. Only a local session without that setting gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's
+    checkpoint folder. Only a local session without that setting gets a
+    temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="tarnfold-")
             atexit.register(shutil.rmtree, root, True)
         sc.setCheckpointDir(root)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -14,7 +14,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Mdp
+from ..model import Mdp, check
 
 
 class FixedPointOperator(Protocol):
@@ -34,6 +34,10 @@ class PolicyEvaluation:
     def __init__(self, mdp: Mdp):
         self.mdp = mdp
 
+    def check(self) -> None:
+        """Raises ValueError if the model is invalid."""
+        check(self.mdp)
+
     def apply(self, x: DataFrame) -> DataFrame:
         return backup(self.mdp, x)
 

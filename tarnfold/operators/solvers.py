@@ -10,7 +10,8 @@ up to ``KERNEL_ENTRIES``.
 from __future__ import annotations
 
 import time
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,20 +20,30 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from ..model import Mdp
+from ..plans.planners import Plan
+from ..plans.schedulers import Scheduler, hot_size
+from ..profiling import COUNTERS, SCANS
 from . import kernels
 from .bellman import FixedPointOperator, PolicyEvaluation, backup, damped, largest, residuals
 
 MODES = ("jacobi", "gauss_seidel", "async")
 #: Entries (16 bytes each, packed) that one task may hold.
 KERNEL_ENTRIES = 20_000_000
-RESULT = "run_id string, converged boolean, final_residual_inf double, wall_time_sec double, total_updates long, updates_per_sec double, trace array<struct<sweep:int,time_sec:double,residual:double>>"
-VALUES = "run_id string, state long, v double"
+REPORT = (
+    "converged boolean, final_residual_inf double, wall_time_sec double, sweeps int, total_updates long, updates_per_sec double, "
+    "trace array<struct<sweep:int,time_sec:double,residual:double>>, counters array<struct<tid:int,updates:long,ns:long>>, scans long, scan_ns long"
+)
+REPORT_TYPE = "struct<" + ",".join(x if "<" in x else x.replace(" ", ":") for x in REPORT.replace(" array", ":array").split(", ")) + ">"
+VALUES = f"run_id string, state long, v double, report {REPORT_TYPE}"
 
 
 @dataclass(frozen=True)
 class SolverConfig:
     """``max_sweeps`` and ``max_seconds`` of 0 mean no limit. ``threads`` is
-    the number of blocks of the async mode."""
+    the number of blocks of the async mode. With a scheduler, ``stale`` states
+    a thread are updated between exchanges, and the order is made anew every
+    ``rebuild_every`` rounds (0: never). ``verify``: ``solve`` checks the model
+    first."""
 
     mode: str = "jacobi"
     alpha: float = 1.0
@@ -43,6 +54,9 @@ class SolverConfig:
     residual_scan_stride: int = 1
     threads: int = 1
     local_sweeps: int = 4
+    stale: int = 64
+    rebuild_every: int = 1
+    verify: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -64,6 +78,8 @@ class Solution:
     total_updates: int
     wall_time_sec: float
     trace: list[tuple[int, float, float]]
+    counters: list[tuple[int, int, int]] = field(default_factory=list)
+    scans: tuple[int, int] = (0, 0)
 
     @property
     def updates_per_sec(self) -> float:
@@ -73,6 +89,12 @@ class Solution:
         rows = [(run_id, i, s, t, r) for i, (s, t, r) in enumerate(self.trace)]
         return self.values.sparkSession.createDataFrame(rows, "run_id string, seq int, sweep int, time_sec double, residual double")
 
+    def counters_frame(self, run_id: str) -> DataFrame:
+        return self.values.sparkSession.createDataFrame([(run_id, *c) for c in self.counters], COUNTERS)
+
+    def scans_frame(self, run_id: str) -> DataFrame:
+        return self.values.sparkSession.createDataFrame([(run_id, *self.scans)], SCANS)
+
 
 def block_of(n: int, blocks: int) -> np.ndarray:
     """Owner of each state: contiguous blocks, the first ``n % blocks`` one larger."""
@@ -80,41 +102,91 @@ def block_of(n: int, blocks: int) -> np.ndarray:
     return np.repeat(np.arange(blocks), sizes)
 
 
-def _step(m: kernels.Csr, c: SolverConfig):
+def _step(m: kernels.Csr, c: SolverConfig, scheduler: Scheduler | None, tasks: list[dict[int, np.ndarray]] | None) -> kernels.Step:
+    threads = max(1, min(c.threads, m.n))
+    if tasks is not None:
+        return kernels.Phases(m, tasks, c.threads, c.alpha)
     if c.mode == "jacobi":
-        return kernels.jacobi(m, c.alpha)
+        return kernels.Jacobi(m, c.alpha)
     if c.mode == "gauss_seidel":
-        return kernels.gauss_seidel(m, c.alpha)
-    return kernels.async_blocks(m, block_of(m.n, max(1, min(c.threads, m.n))), c.local_sweeps, c.alpha)
+        return kernels.GaussSeidel(m, c.alpha)
+    if scheduler is not None:
+        return kernels.Scheduled(m, scheduler, threads, c.stale, c.rebuild_every if scheduler.kind != "static" else 0, c.alpha)
+    return kernels.AsyncBlocks(m, block_of(m.n, threads), c.local_sweeps, c.alpha)
 
 
-def _packed(m: Mdp, run_id: str) -> DataFrame:
-    """One row for each entry and reward of a model: kind 0 reward, 1 entry."""
-    e = m.transitions.select(F.lit(run_id).alias("run_id"), F.lit(1).alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), F.col("p").alias("x"))
-    return e.union(m.rewards.select(F.lit(run_id), F.lit(0), "state", F.lit(0).cast("long"), "r"))
+@dataclass(frozen=True)
+class Run:
+    """One model under one configuration: by its mode, by a scheduler's
+    order, or by the epochs of a plan."""
 
+    mdp: Mdp
+    config: SolverConfig = SolverConfig()
+    scheduler: Scheduler | None = None
+    plan: DataFrame | None = None  # a plan's tasks
 
-def solve_many(runs: dict[str, tuple[Mdp, SolverConfig]], with_values: bool = True) -> DataFrame:
-    """Solves each model under its configuration, in tasks of its own. One row
-    a state (run_id, state, v), or one a run (``RESULT``)."""
-    rows = None
-    for run_id, (m, _) in runs.items():
-        part = _packed(m, run_id)
-        rows = part if rows is None else rows.union(part)
-    configs = {k: (asdict(c), m.beta) for k, (m, c) in runs.items()}
+
+def _packed(run_id: str, run: Run) -> DataFrame:
+    """One row for each reward (kind 0), entry (1) and task of the plan (2)."""
+    none = [F.lit(0).alias("tid"), F.lit(0).alias("seq")]
+    e = run.mdp.transitions.select(F.lit(run_id).alias("run_id"), F.lit(1).alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), F.col("p").alias("x"), *none)
+    rows = e.union(run.mdp.rewards.select(F.lit(run_id), F.lit(0), "state", F.lit(0).cast("long"), "r", *none))
+    if run.plan is None:
+        return rows
+    return rows.union(run.plan.select(F.lit(run_id), F.lit(2), F.col("phase").cast("long"), "begin", F.col("end").cast("double"), "tid", "seq"))
+
+
+def _tasks(rows: pd.DataFrame) -> list[dict[int, np.ndarray]]:
+    """Each phase's states by thread, in the order of the tasks."""
+    out = []
+    for _, phase in rows.sort_values(["i", "tid", "seq"]).groupby("i"):
+        out.append({int(t): np.concatenate([np.arange(a, int(b)) for a, b in zip(g["j"], g["x"], strict=True)]) for t, g in phase.groupby("tid")})
+    return out
+
+
+def _check_sizes(rows: DataFrame) -> None:
+    """Raises if a model is too large for a task: it would be read whole."""
+    large = rows.groupBy("run_id").count().where(F.col("count") > 2 * KERNEL_ENTRIES).head(1)
+    if large:
+        raise ValueError(f"{large[0]['run_id']}: {large[0]['count']} rows are too many for one task; use the frame tier")
+
+
+def _solved(runs: dict[str, Run], checked: bool = False) -> DataFrame:
+    """(run_id, state, v, report): the report is in one row of each run."""
+    rows = reduce(DataFrame.union, [_packed(run_id, run) for run_id, run in runs.items()])
+    if not checked:
+        _check_sizes(rows)
+    configs = {k: (asdict(run.config), run.mdp.beta, run.scheduler, run.plan is not None) for k, run in runs.items()}
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        run_id = key[0]
-        config, beta = SolverConfig(**configs[run_id][0]), configs[run_id][1]
+        config, beta, scheduler, planned = configs[key[0]]
+        c = SolverConfig(**config)
         e, r = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i")
         m = kernels.Csr(e["i"].to_numpy(), e["j"].to_numpy(), e["x"].to_numpy(), r["x"].to_numpy(), beta)
-        out = kernels.solve(m, _step(m, config), config.eps, config.max_sweeps, config.max_seconds, config.check_every, config.residual_scan_stride)
-        if with_values:
-            return pd.DataFrame({"run_id": run_id, "state": np.arange(m.n), "v": out.x})
-        trace = [{"sweep": s, "time_sec": t, "residual": x} for s, t, x in out.trace]
-        return pd.DataFrame({"run_id": [run_id], "converged": [out.converged], "final_residual_inf": [out.residual], "wall_time_sec": [out.seconds], "total_updates": [out.updates], "updates_per_sec": [out.updates / out.seconds if out.seconds else 0.0], "trace": [trace]})
+        step = _step(m, c, scheduler, _tasks(pdf[pdf["kind"] == 2]) if planned else None)
+        out = kernels.solve(m, step, c.eps, c.max_sweeps, c.max_seconds, c.check_every, c.residual_scan_stride, below=not planned and c.mode != "async")
+        report = {"converged": out.converged, "final_residual_inf": out.residual, "wall_time_sec": out.seconds, "sweeps": out.sweeps, "total_updates": out.updates, "updates_per_sec": out.updates / out.seconds if out.seconds else 0.0}
+        report["trace"] = [{"sweep": s, "time_sec": t, "residual": x} for s, t, x in out.trace]
+        report["counters"] = [{"tid": t, "updates": u, "ns": ns} for t, u, ns in out.counters]
+        report |= {"scans": out.scans, "scan_ns": out.scan_ns}
+        return pd.DataFrame({"run_id": key[0], "state": np.arange(m.n), "v": out.x, "report": [report] + [None] * (m.n - 1)})
+
+    return rows.groupBy("run_id").applyInPandas(kernel, VALUES)
 
-    return rows.groupBy("run_id").applyInPandas(kernel, VALUES if with_values else RESULT)
+
+def solve_many(runs: dict[str, Run | tuple[Mdp, SolverConfig]], with_values: bool = True) -> DataFrame:
+    """Solves each model under its configuration, in tasks of its own. One row
+    a state (run_id, state, v), or one a run (``REPORT``)."""
+    rows = _solved({k: r if isinstance(r, Run) else Run(*r) for k, r in runs.items()})
+    return rows.select("run_id", "state", "v") if with_values else rows.where("report is not null").select("run_id", "report.*")
+
+
+def _solution(rows: DataFrame) -> Solution:
+    rows = cut(rows)
+    found = rows.where("report is not null").select("report.*").head()
+    trace = [(t["sweep"], t["time_sec"], t["residual"]) for t in found["trace"]]
+    counters = [(c["tid"], c["updates"], c["ns"]) for c in found["counters"]]
+    return Solution(rows.select("state", "v"), found["converged"], found["final_residual_inf"], found["sweeps"], found["total_updates"], found["wall_time_sec"], trace, counters, (found["scans"], found["scan_ns"]))
 
 
 def sweep(m: Mdp, x: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -159,38 +231,106 @@ def async_round(m: Mdp, x: DataFrame, blocks: int, local_sweeps: int, alpha: flo
     return entries.union(own.select("state", "dst", "p", "y", "kind")).groupBy(owner.alias("owner")).applyInPandas(kernel, "state long, v double")
 
 
-def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig, advance=None) -> Solution:
+def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig, advance=None, a_round: int = 0) -> Solution:
     """The frame tier's loop for any contraction. A sweep's table also gives
-    the residual of the values it started from, so each costs one job."""
+    the residual of the values it started from, so each costs one job.
+    ``advance`` takes that table (state, v, fv, residual) and the number of the
+    round to the next values, with ``a_round`` updates (0: one a state)."""
     began, step = time.perf_counter(), damped(c.alpha)
-    k, trace, n = 0, [], None
+    k, trace, n, scan_ns = 0, [], None, 0
     while True:
+        at = time.perf_counter_ns()
         rows = cut(x.join(op.apply(x), "state").select("state", "v", "fv", F.abs(F.col("fv") - F.col("v")).alias("residual")))
         look = k % max(1, c.check_every) == 0 or bool(c.max_sweeps and k >= c.max_sweeps)
         if look:
             residual = largest(rows, c.residual_scan_stride).head()[0]
             trace.append((k, time.perf_counter() - began, residual))
+        scan_ns += time.perf_counter_ns() - at
         n = rows.count() if n is None else n
         if look and residual <= c.eps or c.max_sweeps and k >= c.max_sweeps or c.max_seconds and time.perf_counter() - began >= c.max_seconds:
             final = largest(rows).head()[0]
-            return Solution(rows.select("state", "v"), final <= c.eps, final, k, k * n, time.perf_counter() - began, trace)
-        x = advance(rows.select("state", "v")) if advance else rows.select("state", step(F.col("v"), F.col("fv")).alias("v"))
+            updates, seconds = k * (a_round or n), time.perf_counter() - began
+            return Solution(rows.select("state", "v"), final <= c.eps, final, k, updates, seconds, trace, [(0, updates, int(1e9 * seconds) - scan_ns)], (k + 1, scan_ns))
+        x = advance(rows, k) if advance else rows.select("state", step(F.col("v"), F.col("fv")).alias("v"))
         k += 1
 
 
-def solve(m: Mdp, c: SolverConfig = SolverConfig(), x: DataFrame | None = None, tier: str = "auto") -> Solution:
-    """Solves one model from ``x`` (zeros by default)."""
+def gauss_seidel_sweep(m: Mdp, x: DataFrame, n: int, block: int, alpha: float = 1.0) -> DataFrame:
+    """One exact ascending sweep over tables: block after block of consecutive
+    states, each in one task against the values so far. As the order asks for,
+    the blocks follow each other; only a block's rows are in memory."""
+    beta = m.beta
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, e = pdf[pdf["kind"] == 0].sort_values("state"), pdf[pdf["kind"] == 1]
+        states, y, p, dst = own["state"].to_numpy(), own["y"].to_numpy().copy(), e["p"].to_numpy(), e["dst"].to_numpy()
+        row, col = np.searchsorted(states, e["state"].to_numpy()), np.minimum(np.searchsorted(states, dst), len(states) - 1)
+        inside = states[col] == dst
+        base = own["p"].to_numpy() + beta * np.bincount(row[~inside], (p * e["y"].to_numpy())[~inside], len(states))
+        kernels.Levels(kernels.Csr(row[inside], col[inside], p[inside], base, beta)).sweep(y, alpha)
+        return pd.DataFrame({"state": states, "v": y})
+
+    for first in range(0, n, block):
+        here = F.col("state").between(first, first + block - 1)
+        entries = m.transitions.where(F.col("src").between(first, first + block - 1)).join(x.select(F.col("state").alias("dst"), F.col("v").alias("y")), "dst").select(F.col("src").alias("state"), "dst", "p", "y", F.lit(1).alias("kind"))
+        own = m.rewards.where(here).join(x, "state").select("state", F.col("state").alias("dst"), F.col("r").alias("p"), F.col("v").alias("y"), F.lit(0).alias("kind"))
+        new = entries.union(own).groupBy(F.lit(0).alias("block")).applyInPandas(kernel, "state long, v double")
+        x = cut(x.where(~here).union(new))
+    return x
+
+
+def _frame(run: Run, x: DataFrame, phases: list[DataFrame] | None, block: int) -> Solution:
+    """The frame tier of each way to run a model."""
+    m, c, s = run.mdp, run.config, run.scheduler
+    advance, a_round = None, 0
+    if phases is not None:
+        advance, a_round = lambda rows, k: run_phases(m, rows.select("state", "v"), phases, c.alpha), sum(p.count() for p in phases)
+    elif c.mode == "gauss_seidel":
+        n = m.size()
+        advance = lambda rows, k: gauss_seidel_sweep(m, rows.select("state", "v"), n, block, c.alpha)
+    elif c.mode == "async" and s is not None and s.needs_residuals:
+        n = m.size()
+
+        def advance(rows: DataFrame, k: int) -> DataFrame:
+            """The hot states first, then all, by the dispatch table of this round."""
+            x = rows.select("state", "v")
+            hot = s.hot(rows, n, c.threads)
+            if hot is None:  # buckets: the upper half of the residuals' buckets, then all
+                hot = s.dispatch(rows, n, c.threads, k).where(F.col("pos") < (n + 1) // 2)
+            return run_phases(m, x, [hot.select("state"), x.select("state")], c.alpha)
+
+        a_round = n + (hot_size(n, c.threads, s.K) if s.kind != "buckets" else (n + 1) // 2)
+    elif c.mode == "async":
+        advance = lambda rows, k: async_round(m, rows.select("state", "v"), max(1, c.threads), c.local_sweeps, c.alpha)
+    return iterate(PolicyEvaluation(m), x, c, advance, a_round)
+
+
+def solve(m: Mdp, c: SolverConfig = SolverConfig(), x: DataFrame | None = None, tier: str = "auto", scheduler: Scheduler | None = None, block: int = 1_000_000) -> Solution:
+    """Solves one model from ``x`` (zeros by default). In the async mode a
+    scheduler gives the order. ``block``: states that a task of an ordered
+    sweep over tables may hold."""
+    if c.verify:
+        PolicyEvaluation(m).check()
+    if tier == "auto":
+        tier = "kernel" if x is None and m.transitions.count() <= KERNEL_ENTRIES else "frame"
+    run = Run(m, c, scheduler if c.mode == "async" else None)
+    if tier == "frame":
+        return _frame(run, m.zeros() if x is None else x, None, block)
+    return _solution(_solved({"run": run}, checked=True))
+
+
+def solve_plan(m: Mdp, plan: Plan, c: SolverConfig = SolverConfig(), x: DataFrame | None = None, tier: str = "auto") -> Solution:
+    """Repeats a plan's epochs until the residual is small enough or a budget
+    ends: with trace, residuals and the counters of each thread. One thread
+    updates in place, task by task; several update a phase's states together.
+    A plan without phases gives the start."""
+    c = replace(c, threads=plan.config.threads)
     if tier == "auto":
         tier = "kernel" if x is None and m.transitions.count() <= KERNEL_ENTRIES else "frame"
     if tier == "frame":
-        x = m.zeros() if x is None else x
-        if c.mode == "gauss_seidel":
-            raise ValueError("the exact order of Gauss-Seidel needs the kernel tier; use a plan of phases on tables")
-        advance = (lambda v: async_round(m, v, max(1, c.threads), c.local_sweeps, c.alpha)) if c.mode == "async" else None
-        return iterate(PolicyEvaluation(m), x, c, advance)
-    values = cut(solve_many({"run": (m, c)}).select("state", "v"))
-    row = solve_many({"run": (m, c)}, with_values=False).head()
-    return Solution(values, row["converged"], row["final_residual_inf"], row["trace"][-1]["sweep"], row["total_updates"], row["wall_time_sec"], [(t["sweep"], t["time_sec"], t["residual"]) for t in row["trace"]])
+        phases = sorted(r["phase"] for r in plan.phases.collect())  # at most two a color
+        return _frame(Run(m, c), m.zeros() if x is None else x, [plan.phase_states(p) for p in phases], 0)
+    return _solution(_solved({"run": Run(m, c, plan=plan.tasks)}, checked=True))
 
 
 def run_phases(m: Mdp, x: DataFrame, phases: list[DataFrame], alpha: float = 1.0) -> DataFrame:
@@ -204,24 +344,11 @@ def run_phases(m: Mdp, x: DataFrame, phases: list[DataFrame], alpha: float = 1.0
 
 
 def run_plan(m: Mdp, tasks: DataFrame, threads: int, epochs: int, alpha: float = 1.0) -> DataFrame:
-    """(state, v) after ``epochs`` of a plan from zeros, for a model that fits
-    a task. One thread updates in place, task by task; several update a phase's
-    states together."""
-    t = tasks.select(F.lit(2).alias("kind"), F.col("phase").cast("long").alias("i"), "begin", F.col("end").cast("double").alias("x"), "tid", "seq")
-    rows = _packed(m, "run").select("kind", "i", F.col("j").alias("begin"), "x", F.lit(0).alias("tid"), F.lit(0).alias("seq")).union(t)
-    beta = m.beta
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, r = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i")
-        csr = kernels.Csr(e["i"].to_numpy(), e["begin"].to_numpy(), e["x"].to_numpy(), r["x"].to_numpy(), beta)
-        t = pdf[pdf["kind"] == 2].sort_values(["i", "tid", "seq"])
-        groups = [np.concatenate([np.arange(a, int(b)) for a, b in zip(g["begin"], g["x"], strict=True)]) for _, g in t.groupby("i")]
-        step, x = kernels.phases(csr, groups, threads == 1, alpha), np.zeros(csr.n)
-        for _ in range(epochs):
-            x = step(x)
-        return pd.DataFrame({"state": np.arange(csr.n), "v": x})
-
-    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(kernel, "state long, v double")
+    """(state, v) after ``epochs`` of a plan from zeros, for a model that fits a task."""
+    if epochs < 1:
+        return m.zeros()
+    config = SolverConfig(alpha=alpha, eps=-1.0, max_sweeps=epochs, check_every=epochs, threads=threads)
+    return _solved({"run": Run(m, config, plan=tasks)}).select("state", "v")
 
 
-__all__ = ["MODES", "Solution", "SolverConfig", "async_round", "block_of", "iterate", "residuals", "run_phases", "run_plan", "solve", "solve_many", "sweep", "sweeps"]
+__all__ = ["MODES", "Run", "Solution", "SolverConfig", "async_round", "block_of", "gauss_seidel_sweep", "iterate", "residuals", "run_phases", "run_plan", "solve", "solve_many", "solve_plan", "sweep", "sweeps"]

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Mdp
-from ..operators import kernels
+from ..operators.solvers import Run, SolverConfig, solve_many
 from .cost import CostModel
 from .planners import PLANNERS, Plan, PlannerConfig
 
@@ -55,17 +53,15 @@ def _plan(spark: SparkSession, n: int, row: tuple, residuals: DataFrame | None)
 
 
 def _blocks_of(m: Mdp, n: int, residuals: DataFrame, blks: list[int]) -> DataFrame:
-    """(blk, b, size, score, nnz) of every block of every block size."""
-    sizes = F.array(*[F.lit(x) for x in blks])
-
-    def sums(rows: DataFrame, column: str, name: str) -> DataFrame:
-        each = rows.select("state", F.explode(sizes).alias("blk"), column)
-        return each.groupBy("blk", F.floor(F.col("state") / F.col("blk")).alias("b")).agg(F.sum(column).alias(name))
-
-    all_blocks = m.spark.range(1).select(F.explode(sizes).alias("blk")).select("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.col("blk")))).alias("b"))
-    all_blocks = all_blocks.select("blk", "b", F.least("blk", n - F.col("b") * F.col("blk")).alias("size"))
-    out = all_blocks.join(sums(residuals, "residual", "score"), ["blk", "b"], "left").join(sums(m.degrees(), "nnz", "nnz"), ["blk", "b"], "left")
-    return out.na.fill({"score": 0.0, "nnz": 0})
+    """(blk, b, size, score, nnz) of every block of every block size. States
+    are summed once, to blocks that divide all others; those are rolled up."""
+    unit = math.gcd(*blks)
+    sizes, place = F.array(*[F.lit(x) for x in blks]), F.floor(F.col("state") / unit).alias("u")
+    units = residuals.groupBy(place).agg(F.sum("residual").alias("score")).join(m.degrees().groupBy(place).agg(F.sum("nnz").alias("nnz")), "u", "full")
+    sums = units.select("u", "score", "nnz", F.explode(sizes).alias("blk")).groupBy("blk", F.floor(F.col("u") * unit / F.col("blk")).alias("b")).agg(F.sum("score").alias("score"), F.sum("nnz").alias("nnz"))
+    blocks = m.spark.range(1).select(F.explode(sizes).alias("blk")).select("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.col("blk")))).alias("b"))
+    blocks = blocks.select("blk", "b", F.least("blk", n - F.col("b") * F.col("blk")).alias("size"))
+    return blocks.join(sums, ["blk", "b"], "left").na.fill({"score": 0.0, "nnz": 0})
 
 
 def ranking(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig, model: CostModel = CostModel()) -> DataFrame:
@@ -91,35 +87,35 @@ def ranking(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig, model: Cost
 
 
 def pilots(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig, model: CostModel = CostModel()) -> DataFrame:
-    """The cheapest ``top_m`` candidates with initial_residual, final_residual
-    and rdrop after a fixed number of epochs from zeros. Pilots run side by
-    side, one task each."""
+    """The cheapest ``top_m`` candidates with initial_residual, final_residual,
+    rdrop and pilot_ups (updates a second) after a fixed number of epochs from
+    zeros. Pilots run side by side, one task each, for models that fit one."""
     spark = m.spark
-    best = ranking(m, n, residuals, c, model).limit(c.top_m).collect()
-    rows = {r["candidate_id"]: tuple(r[x] for x in ("candidate_id", "planner", "blk", "colors", "K", "threads")) for r in best}
-    tasks = reduce(DataFrame.union, [_plan(spark, n, row, residuals).tasks.select(F.lit(i).alias("candidate_id"), F.lit(2).alias("kind"), F.col("phase").cast("long").alias("i"), F.col("begin").alias("j"), F.col("end").cast("double").alias("x")) for i, row in rows.items()])
-    ids = spark.createDataFrame([(i,) for i in rows], "candidate_id int")
-    entries = m.transitions.select(F.lit(1).alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), "p").union(m.rewards.select(F.lit(0), "state", F.lit(0).cast("long"), "r"))
-    data = ids.crossJoin(entries).union(tasks)  # top_m copies of a model that fits a task
-    beta, sweeps = m.beta, c.pilot_sweeps
-
-    def pilot(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        e, r, t = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i"), pdf[pdf["kind"] == 2].sort_values(["i", "j"])
-        csr = kernels.Csr(e["i"].to_numpy(), e["j"].to_numpy(), e["p"].to_numpy(), r["p"].to_numpy(), beta)
-        groups = [np.concatenate([np.arange(a, int(b)) for a, b in zip(g["j"], g["p"], strict=True)]) for _, g in t.groupby("i")]
-        x = np.zeros(csr.n)
-        first = csr.residual(x)
-        step = kernels.phases(csr, groups, in_place=False)
-        for _ in range(sweeps):
-            x = step(x)
-        last = csr.residual(x)
-        return pd.DataFrame({"candidate_id": [key[0]], "initial_residual": [first], "final_residual": [last], "rdrop": [first / last if last else 1e12]})
-
-    drops = data.groupBy("candidate_id").applyInPandas(pilot, "candidate_id int, initial_residual double, final_residual double, rdrop double")
-    costs = spark.createDataFrame([(r["candidate_id"], r["planner"], r["blk"], r["colors"], r["K"], r["est_cost"]) for r in best], "candidate_id int, planner string, blk int, colors int, K int, est_cost double")
+    top = ranking(m, n, residuals, c, model).limit(c.top_m).collect()
+    config = SolverConfig(eps=-1.0, max_sweeps=c.pilot_sweeps, check_every=c.pilot_sweeps, threads=c.threads)
+    runs = {str(r["candidate_id"]): Run(m, config, plan=_plan(spark, n, tuple(r[x] for x in ("candidate_id", "planner", "blk", "colors", "K", "threads")), residuals).tasks) for r in top}
+    done = solve_many(runs, with_values=False)
+    first, last = F.get("trace", F.lit(0))["residual"], F.col("final_residual_inf")
+    drop = F.when(last > 0, first / last).otherwise(1e12)
+    drops = done.select(F.col("run_id").cast("int").alias("candidate_id"), first.alias("initial_residual"), last.alias("final_residual"), drop.alias("rdrop"), F.col("updates_per_sec").alias("pilot_ups"))
+    costs = spark.createDataFrame([(r["candidate_id"], r["planner"], r["blk"], r["colors"], r["K"], r["est_cost"]) for r in top], "candidate_id int, planner string, blk int, colors int, K int, est_cost double")
     return costs.join(drops, "candidate_id")
 
 
 def best(pilot_rows: DataFrame) -> DataFrame:
     """The pilot with the largest drop; ties go to the first candidate."""
     return pilot_rows.orderBy(F.round("rdrop", 6).desc(), "candidate_id").limit(1)
+
+
+@dataclass(frozen=True)
+class Tuned:
+    """The winner, and its plan built anew."""
+
+    winner: Row
+    plan: Plan
+
+
+def tune(m: Mdp, n: int, residuals: DataFrame, c: AutotuneConfig = AutotuneConfig(), model: CostModel = CostModel()) -> Tuned:
+    winner = best(pilots(m, n, residuals, c, model)).head()
+    row = tuple(winner[x] for x in ("candidate_id", "planner", "blk", "colors", "K"))
+    return Tuned(winner, _plan(m.spark, n, (*row, c.threads), residuals))

@@ -47,6 +47,8 @@ class Plan:
 
 
 class Planner(Protocol):
+    """A planner of one's own: any object with this method."""
+
     def build(self, spark: SparkSession, n: int, config: PlannerConfig, residuals: DataFrame | None) -> Plan: ...
 
 
@@ -124,6 +126,11 @@ def priority_plan(spark: SparkSession, n: int, c: PlannerConfig, residuals: Data
 PLANNERS = {"static": static_plan, "colored": colored_plan, "priority": priority_plan}
 
 
+def build(planner: str | Planner, spark: SparkSession, n: int, c: PlannerConfig, residuals: DataFrame | None = None) -> Plan:
+    """The plan of a planner, given by name or as an object."""
+    return PLANNERS[planner](spark, n, c, residuals) if isinstance(planner, str) else planner.build(spark, n, c, residuals)
+
+
 def phase_metrics(p: Plan) -> DataFrame:
     """phase, total_updates, max_thread_updates, max_thread_weight."""
     threads = p.tasks.groupBy("phase", "tid").agg(F.sum(_size()).alias("u"), F.sum("weight").alias("w"))

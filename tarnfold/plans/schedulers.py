@@ -7,10 +7,15 @@ or a bucket, and offsets come from a table of counts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draw, residual_bucket
+from ..functions import draw, draw_numbers, residual_bucket
+
+KINDS = ("static", "shuffled", "topk", "ca_topk", "buckets")
 
 
 def owner(state: Column, n: int, threads: int) -> Column:
@@ -83,3 +88,73 @@ def topk_then_coverage(residuals: DataFrame, n: int, threads: int, k: int = 0) -
     hot = topk(residuals, n, threads, k).select(F.lit(0).alias("pass"), F.lit(None).cast("int").alias("tid"), F.col("pos").cast("int").alias("pos"), "state")
     rest = static_blocks(residuals.select("state"), n, threads).select(F.lit(1).alias("pass"), "tid", "pos", "state")
     return hot.unionByName(rest)
+
+
+@dataclass(frozen=True)
+class Scheduler:
+    """The order of an asynchronous solver, as a table (``dispatch``) for
+    models of any size or as arrays (``order``) inside a task; both give the
+    same order. ``K``, ``groups`` of 0: chosen from the sizes."""
+
+    kind: str = "static"
+    K: int = 0
+    groups: int = 0
+    block_size: int = 256
+    base: float = 1e-12
+    buckets: int = 32
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        if self.kind not in KINDS:
+            raise ValueError(f"kind must be one of {KINDS}")
+
+    @property
+    def needs_residuals(self) -> bool:
+        return self.kind in ("topk", "ca_topk", "buckets")
+
+    def hot(self, residuals: DataFrame, n: int, threads: int) -> DataFrame | None:
+        """(pos, state) that go before the coverage of all, None without."""
+        if self.kind == "topk":
+            return topk(residuals, n, threads, self.K)
+        if self.kind == "ca_topk":
+            return conflict_aware_topk(residuals, n, threads, self.K, self.groups, self.block_size).select("pos", "state")
+        return None
+
+    def dispatch(self, residuals: DataFrame, n: int, threads: int, epoch: int = 0) -> DataFrame:
+        """(pass, tid, pos, state) of one epoch; a null tid marks a queue that
+        all threads take from in turn."""
+        names = ["pass", "tid", "pos", "state"]
+        shared = [F.lit(0).alias("pass"), F.lit(None).cast("int").alias("tid"), F.col("pos").cast("int").alias("pos"), "state"]
+        if self.kind == "buckets":
+            return residual_buckets(residuals, self.base, self.buckets).select(*shared)
+        states = residuals.select("state")
+        rest = static_blocks(states, n, threads) if self.kind == "static" else shuffled_blocks(states, n, threads, epoch, self.seed)
+        rest = rest.select(F.lit(1).alias("pass"), "tid", "pos", "state").select(*names)
+        hot = self.hot(residuals, n, threads)
+        return rest if hot is None else hot.select(*shared).unionByName(rest)
+
+    def order(self, residuals: np.ndarray, threads: int, epoch: int = 0) -> list[list[np.ndarray]]:
+        """Each pass's queue of each thread; a shared queue is dealt in turn."""
+        n = len(residuals)
+        deal = lambda q: [q[t::threads] for t in range(threads)]
+        r = np.round(residuals, 9)
+        if self.kind == "buckets":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                b = np.floor(np.log2(np.round(residuals / self.base, 9)))
+            b = np.where((residuals > self.base) & np.isfinite(b), np.clip(b, 0, max(1, self.buckets) - 1), 0)
+            return [deal(np.argsort(-b, kind="stable"))]
+        size, extra = divmod(n, threads)
+        ends = np.cumsum([size + (t < extra) for t in range(threads)])
+        blocks = [np.arange(e - size - (t < extra), e) for t, e in enumerate(ends.tolist())]
+        if self.kind != "static":
+            blocks = [b[np.argsort(draw_numbers(b, epoch, self.seed), kind="stable")] for b in blocks]
+        if self.kind not in ("topk", "ca_topk"):
+            return [blocks]
+        hot = np.argsort(-r, kind="stable")[: hot_size(n, threads, self.K)]
+        if self.kind == "ca_topk":
+            group = hot // self.block_size % (self.groups or 4 * threads)
+            by = np.argsort(group, kind="stable")
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(group[by])) + 1])
+            turn = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+            hot = hot[by][np.lexsort((group[by], turn))]
+        return [deal(hot), blocks]

@@ -16,12 +16,8 @@ def test_against_sql(spark, con, sf_dir, name):
     assert differences(spark, con, catalog.QUERIES[name], catalog.ORACLE_SQL[name], sf_dir) == ""
 
 
-def test_pilots_prefer_the_larger_drop(spark, sf_dir):
-    pilots = {r["candidate_id"]: r for r in catalog.QUERIES["autotune_pilots"](spark, sf_dir).collect()}
-    best = catalog.QUERIES["autotune_best"](spark, sf_dir).collect()
-    assert len(pilots) == 3 and len(best) == 1
-    assert best[0]["rdrop"] == max(r["rdrop"] for r in pilots.values())
-    assert all(r["final_residual"] < r["initial_residual"] for r in pilots.values())
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):

@@ -20,3 +20,15 @@ def test_following_a_trace(spark, tmp_path):
     q.awaitTermination(60)
     found = {r["run_id"]: (r["sweep"], r["residual"], r["converged"]) for r in spark.table("progress").collect()}
     assert found == {"a": (4, 0.0625, True), "b": (0, 1.0, False)}
+
+
+def test_heatmap_has_the_fastest_first(spark):
+    assert report.heatmap(catalog.records(spark)).columns == ["mdp", "Plan_Static", "GaussSeidel", "Mystery", "Jacobi", "Async_CATopKGS"]
+    assert report.heatmap(catalog.records(spark).where("mdp = 'Grid_b0.950'")).columns == ["mdp"]
+
+
+def test_places_and_labels(spark):
+    names = ["Jacobi", "Plan_Static_4T", "Plan_Priority", "Async_Static", "Async_ResBuck_x", "AT_Static", "Other"]
+    df = spark.createDataFrame([(s, 1) for s in names], "solver string, n long")
+    found = {r["solver"]: (r["label"], r["place"]) for r in report.labels(df).collect()}
+    assert found == {"Jacobi": ("Jacobi", 0), "Plan_Static_4T": ("Plan (Static)", 2), "Plan_Priority": ("Plan (Priority)", 4), "Async_Static": ("Async (Static)", 5), "Async_ResBuck_x": ("Async (ResBucket)", 9), "AT_Static": ("AutoTune", 99), "Other": ("Other", 99)}
