@@ -8,11 +8,9 @@ running tasks.
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,11 +57,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Writes ``df`` and returns a reader of it, whose lineage is the files."""
-        schema, began = df.schema, time.monotonic()
+        schema = df.schema
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        del df  # its shuffle files are garbage from here on
-        if time.monotonic() - began > 2:  # a shorter query leaves little behind
-            free(self.spark)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -74,17 +69,6 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that have ended: it does
-    so when the driver's garbage is collected, which else may take long. The
-    listeners keep the last query that they were told of, so a tiny one follows."""
-    spark.range(1).collect()
-    for _ in range(2):  # what the first round unlinks, the second finds
-        time.sleep(0.6)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -160,12 +144,13 @@ def shingle_set(text: str | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
     return distinct(ngram_hashes(hashes.of(words_of(text)), n))
 
 
-def lower_bound(key: Column, cuts: list[int]) -> Column:
-    """How many of the ascending ``cuts`` are at most ``key``: a binary search
-    as a plain expression, so that rows need no Python to find their range."""
+def lower_bound(key: Column, cuts: list[Column]) -> Column:
+    """How many of the ascending ``cuts`` (literals) are at most ``key``: a
+    binary search as a plain expression, so that rows need no Python to find
+    their range."""
     if not cuts:
         return F.lit(0)
-    arr, m = F.array(*[F.lit(int(c)).cast("long") for c in cuts]), len(cuts)
+    arr, m = F.array(*cuts), len(cuts)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(m.bit_length()))])
     return F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= m) & (F.get(arr, acc + s - 1) <= key), acc + s).otherwise(acc))
 

@@ -1,16 +1,18 @@
 """Pages, URLs, fingerprints and quality rules."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnfold.llm import html_mincut, robust_quality, scaled_sketch, url_rules
-from tarnfold.llm.common import WordHashes, shingle_set
+from tarnfold.llm.common import Scratch, WordHashes, shingle_set
 from tests.llm.helpers import PAGES, docs, odd_rows, prose, records
 
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style></head><body class="page"><header><a href=/>Home</a><h2>Site name</h2></header>
@@ -137,40 +139,70 @@ def test_sketches():
     rng, h = random.Random(2), WordHashes()
     a, b = prose(rng, 4000, 10**6), prose(rng, 4000, 10**6)
     x, y = (scaled_sketch.sketch(shingle_set(t, h)) for t in (a, a + " " + b))
-    assert x[0] == 8 and abs(len(x[1]) - 500) < 90
-    assert scaled_sketch.containment(x, y) > 0.97 and abs(scaled_sketch.containment(y, x) - 0.5) < 0.08
-    assert abs(scaled_sketch.likeness(x, y) - 0.5) < 0.08
-    short = scaled_sketch.sketch(shingle_set(" ".join(a.split()[:100]), h))
-    assert short[0] == 1 and scaled_sketch.likeness(short, short) == 1
+    assert x.fraction == 4 and abs(len(x.hashes) - 1000) < 130
+    assert scaled_sketch.containment(x, y) > 0.97 and abs(scaled_sketch.containment(y, x) - 0.5) < 0.06
+    assert abs(scaled_sketch.likeness(x, y) - 0.5) < 0.06 and 0.005 < scaled_sketch.error(x, y) < 0.03
     z = scaled_sketch.sketch(shingle_set(b, h))
     both = scaled_sketch.merge(x, z)
     assert scaled_sketch.containment(x, both) == 1 and scaled_sketch.containment(z, both) == 1
-    for s in (x, short, scaled_sketch.sketch(np.zeros(0, np.uint64))):
+    # The same fraction for short texts; equal sets are known by name, others that retain nothing aren't alike.
+    tiny = [scaled_sketch.sketch(shingle_set(f"word{i}", h)) for i in range(40)]
+    assert 0 < sum(len(t.hashes) for t in tiny) < 25 and all(t.fraction == 4 for t in tiny)
+    assert all((scaled_sketch.likeness(s, t) == 1) == (i == j) for i, s in enumerate(tiny) for j, t in enumerate(tiny))
+    bare = [t for t in tiny if not len(t.hashes)]
+    assert scaled_sketch.error(bare[0], bare[1]) == 0.5 and scaled_sketch.error(bare[0], bare[0]) == 0
+    for s in (x, both, tiny[0], scaled_sketch.sketch(np.zeros(0, np.uint64))):
         t = scaled_sketch.parse(scaled_sketch.write(s))
-        assert t[0] == s[0] and (t[1] == s[1]).all()
+        assert t[:2] == s[:2] and (t.hashes == s.hashes).all()
 
 
-def sequence(rows):
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def brute_shingles(text):
+    """Hashes of 5-word shingles, one after the other, in plain integers."""
+    consts = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+    words = [xxhash.xxh3_64_intdigest(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())]
+    n, out = min(5, len(words)), set()
+    for i in range(len(words) - n + 1 if words else 0):
+        v = n
+        for k in range(n):
+            v = (v + ((words[i + k] * consts[k] & 2**64 - 1) ^ (k + 1))) & 2**64 - 1
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            v = (v ^ (v >> 33)) * m & 2**64 - 1
+        out.add(v ^ (v >> 33))
+    return out
+
+
+def brute_likeness(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    x, y = ({h for h in s if h < 2**64 // 4} for s in (a, b))
+    return 1.0 if a == b else len(x & y) / len(x | y) if x | y else 0.0
 
 
 def test_followers(spark, tmp_path):
-    rows = [(i * 3 % 101, f"text {i} " * (i % 7)) for i in range(101)] + [(None, "first of all"), (50, "a tie"), (50, "a tie"), (77, None)]
+    rng = random.Random(5)
+    rows = [(i * 3 % 101, prose(rng, 17 * (i % 9), 900)) for i in range(101)] + [(None, "first of all"), (50, "a tie"), (50, "a tie"), (77, None)] + [(60, prose(rng, 40)) for _ in range(30)]
     path = str(tmp_path)
-    docs(spark, rows).repartition(5).write.parquet(f"{path}/documents.parquet")
+    frame = docs(spark, rows).repartition(5)
+    frame.write.parquet(f"{path}/documents.parquet")
+    hashes = {r["t"]: r["h"] for r in frame.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]))
     found = scaled_sketch.op9_scaled_sketch(spark, path)
-    texts = [r[1] or "" for r in sequence(rows)]
+    texts = [r[1] or "" for r in rows]
     want = []
-    for k, r in enumerate(sequence(rows)):
-        changed = scaled_sketch.edited(texts[k], texts[(k + 1) % len(texts)])
-        want.append((r[0], len(texts[k]), hashlib.sha256(changed.encode()).hexdigest()))
-    assert records(found, "doc_id", "n_chars", "edited_sha256") == sorted(want, key=repr)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found.collect())
+    for k, r in enumerate(rows):
+        after = texts[(k + 1) % len(texts)]
+        changed = scaled_sketch.edited(texts[k], after)
+        prints = [f"4:{h[0]:016x}:" + "".join(f"{x:016x}" for x in sorted(h[1])) for h in ((xxhash.xxh3_64_intdigest(np.array(sorted(s), np.uint64).tobytes()), [x for x in s if x < 2**62]) for s in map(brute_shingles, (texts[k], changed)))]
+        want.append((r[0], len(texts[k]), hashlib.sha256(changed.encode()).hexdigest(), *prints, brute_likeness(texts[k], changed), brute_likeness(texts[k], after)))
+    assert records(found, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == sorted(want, key=repr)
     for rows in ([(1, "alone")], []):
         docs(spark, rows).write.mode("overwrite").parquet(f"{path}/documents.parquet")
         assert scaled_sketch.op9_scaled_sketch(spark, path).count() == len(rows)
 
 
+def test_a_doc_id_of_many_rows_is_split():
+    assert scaled_sketch.range_cuts([3, 7, 7, 9]) == [(3, -(2**63)), (7, -(2**63)), (7, 0), (9, -(2**63))]
+
+
 def brute_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -211,14 +243,83 @@ def test_quality_verdicts(spark):
     assert robust_quality.score(docs(spark, odd_rows()[:4]), ["doc_id"]).where("kept").count() == 0
 
 
-def test_mcd_finds_the_core(spark):
-    """Against plain NumPy concentration steps from the same start."""
+def brute_mcd(x):
+    """Concentration steps over sorted distances, from three starts, to the least determinant."""
+    floor = np.array([f[1] for f in robust_quality.FEATURES.values()])
+    q = np.array([np.sort(x, axis=0)[max(0, math.ceil(p * len(x)) - 1)] for p in (0.25, 0.5, 0.75)])
+    scale = np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + floor**2)
+    t = np.tanh((x - q[1]) / scale)
+    t = t - t.mean(axis=0)
+    spread = np.sqrt(np.maximum((t**2).mean(axis=0), 1e-12))
+    corr = t.T @ t / len(x) / np.outer(spread, spread)
+    np.fill_diagonal(corr, 1)
+    best = (np.inf, None, None)
+    for centre, scatter in ((q[1], np.diag(scale**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(floor**2)), (q[1], corr * np.outer(scale, scale) + np.diag(floor**2))):
+        last = np.inf
+        while True:
+            d = np.einsum("ni,ij,nj->n", x - centre, np.linalg.inv(scatter), x - centre)
+            core = x[np.argsort(d, kind="stable")[: math.ceil(0.75 * len(x))]]
+            new = np.cov(core.T, bias=True) / robust_quality.CONSISTENCY + np.diag(floor**2)
+            now = np.linalg.slogdet(new)[1]
+            if now >= last - 1e-9:
+                break
+            centre, scatter, last = core.mean(axis=0), new, now
+        if last < best[0]:
+            best = (last, centre, scatter)
+    return best
+
+
+def vectors(spark, groups):
+    rows = [(lang, source, *map(float, r)) for (lang, source), x in groups.items() for r in x]
+    return spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in robust_quality.FEATURES))
+
+
+def test_mcd_against_brute_force(spark):
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 1, (300, 5)), rng.normal(6, 0.1, (60, 5))])
-    df = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, " + ", ".join(f"{c} double" for c in robust_quality.FEATURES))
-    from tarnfold.llm.common import Scratch
-
-    row = robust_quality.fit(df, Scratch(spark, "t")).where("key = 'all'").head()
-    assert row["size"] == 360 and np.abs(np.array(row["centre"])).max() < 0.3
-    cov = np.linalg.inv(np.array(row["inverse"]).reshape(5, 5))
-    assert np.abs(cov - np.eye(5)).max() < 0.4
+    mix = rng.normal(0, 0.4, (5, 5)) + np.eye(5)
+    groups = {("en", "a"): np.concatenate([rng.normal(0, 1, (300, 5)) @ mix, rng.normal(9, 0.1, (60, 5))]), ("en", "b"): rng.normal(3, 1, (40, 5)), ("de", None): rng.normal(-2, 1, (7, 5)), (None, "a"): rng.normal(0, 1, (1, 5))}
+    found = {r["key"]: r for r in robust_quality.fit(vectors(spark, groups), Scratch(spark, "t")).collect()}
+    every = np.concatenate(list(groups.values()))
+    sets = {"all": every, '{"level":1,"lang":"en"}': np.concatenate([groups["en", "a"], groups["en", "b"]]), '{"level":0,"lang":"en","source":"a"}': groups["en", "a"], '{"level":0,"lang":"en","source":"b"}': groups["en", "b"], '{"level":0,"lang":"de"}': groups["de", None]}
+    assert len(found) == 8 and {r["size"] for r in found.values()} == {408, 400, 7, 1, 360, 40}
+    for key, x in sets.items():
+        logdet, centre, scatter = brute_mcd(x)
+        r = found[key]
+        assert r["size"] == len(x) and r["logdet"] < logdet + (0.15 if len(x) > 100 else 0.6), (key, r["logdet"], logdet)
+        if len(x) > 100:
+            assert np.abs(np.array(r["centre"]) - centre).max() < 0.1
+            assert np.abs(np.array(r["scatter"]).reshape(5, 5) - scatter).max() < 0.25
+    core = found['{"level":0,"lang":"en","source":"a"}']  # the far cluster has no part in it
+    assert np.abs(np.array(core["centre"])).max() < 0.4 and 0.6 < np.trace(np.array(core["scatter"]).reshape(5, 5)) / np.trace(mix.T @ mix) < 1.3
+
+
+def test_verdicts_against_brute_force(spark):
+    """kept of every text, but for distances close to the limit."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 60 + i % 150, 60 if i % 3 else 3000), f"s{i % 4}") for i in range(260)]
+    rows += [(1000 + i, " ".join(f"{w}#" if k % (2 + i % 9) == 0 else w for k, w in enumerate(prose(rng, 120).split())), "s0") for i in range(40)]
+    rows += [(2000 + i, prose(rng, 90), f"small{i // 3}") for i in range(12)]
+    found = {r["doc_id"]: r for r in robust_quality.score(docs(spark, rows), ["doc_id"]).collect()}
+    h, x = WordHashes(), {}
+    for i, text, source in rows:
+        n, chars, symbols, dup, repeat, lines, types = robust_quality.text_stats(text, h)
+        if n >= 50 and 100 * repeat <= 50 * n:
+            x[i] = (source, np.array([math.log(chars / n), math.sqrt(symbols / n), math.sqrt(dup / max(lines, 1)), math.sqrt(repeat / n), math.log(types / n**0.85)]))
+    every = brute_mcd(np.array([v for _, v in x.values()]))
+    close = 0
+    for source in {s for s, _ in x.values()}:
+        mine = np.array([v for s, v in x.values() if s == source])
+        centre, scatter = every[1:]
+        for part in (np.array([v for _, v in x.values()]), mine):  # one language: it is the whole corpus
+            w = len(part) / (len(part) + 50)
+            _, c, s = brute_mcd(part)
+            centre, scatter = w * c + (1 - w) * centre, w * s + (1 - w) * scatter
+        for i, (s, v) in x.items():
+            if s == source:
+                d = float((v - centre) @ np.linalg.inv(scatter) @ (v - centre))
+                if 0.6 < d / robust_quality.CUTOFF < 1.6:
+                    close += 1
+                else:
+                    assert found[i]["kept"] == (d <= robust_quality.CUTOFF), (i, d, found[i])
+    assert close < 0.1 * len(x) and 10 < sum(not r["kept"] for r in found.values()) < 60
+    assert not any(found[i]["kept"] for i, _, _ in rows if i not in x)
