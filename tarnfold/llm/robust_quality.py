@@ -2,16 +2,22 @@
 
 Each text becomes a few counts; their transformed ratios form a vector. For
 each language and source the minimum covariance determinant (MCD) finds the
-centre and the scatter of the tightest share of the vectors, by concentration
-steps: keep the ``H`` nearest share under the present estimate, estimate anew
-from those. A text is rejected if its squared Mahalanobis distance from its
-group passes a quantile of the chi-squared distribution.
-
-Every step is an aggregation over all rows: a group with a third of the corpus
-is summed on the map side like any other, and only sums of products reach the
-one row for each group that is inverted. Groups too small for an estimate of
-their own take that of their language, and those of small languages that of
-the whole corpus.
+centre and the scatter of the tightest share ``H`` of the vectors. From several
+starts, concentration steps (keep the ``H`` nearest under the present estimate,
+estimate anew from those) are repeated until the determinant falls no more; the
+start that ends at the least determinant counts. A text is rejected if its
+squared Mahalanobis distance from its group passes a quantile of the
+chi-squared distribution.
+
+A group's estimate is drawn towards that of its language, and a language's
+towards that of the whole corpus, by the weight of ``PRIOR_ROWS`` rows: a
+smooth function of the group's size, so that small groups need no rule of
+their own.
+
+Every step is one aggregation over all rows: sums of products in fine bins of
+the distance, combined on the map side, so that a group with a third of the
+corpus is summed like any other. The nearest share is the bins up to ``H`` of
+the rows, the last in part by weight.
 """
 
 from __future__ import annotations
@@ -20,16 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, WordHashes, distinct, map_arrow, ngram_hashes, slices, table
 
 MIN_WORDS = 50
-#: Share of rows that each concentration step keeps, and number of steps.
-H, STEPS = 0.75, 4
-#: Rows a group needs for an estimate of its own.
-MIN_GROUP = 60
+#: Share of rows that each concentration step keeps.
+H = 0.75
+#: A step counts as progress if it lowers the logarithm of the determinant by so much.
+PROGRESS = 1e-3
+#: Bins for each doubling of the squared distance.
+BINS = 16
+#: Rows that a parent's estimate counts for.
+PRIOR_ROWS = 50.0
 #: The squared distance that a chi-squared variable of as many degrees of
 #: freedom as the vector has dimensions exceeds once in about 10^7 cases.
 CUTOFF = 42.0
@@ -108,11 +118,22 @@ def vector(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in parts.items()})
 
 
+def _own() -> F.Column:
+    return F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source"))
+
+
+def _lang() -> F.Column:
+    return F.to_json(F.struct(F.lit(1).alias("level"), "lang"))
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     """Each row once for its source and language, its language, and all."""
-    own = F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source"))
-    lang = F.to_json(F.struct(F.lit(1).alias("level"), "lang"))
-    return rows.select(*_X, F.explode(F.array(own, lang, F.lit("all"))).alias("key"))
+    return rows.select(*_X, F.explode(F.array(_own(), _lang(), F.lit("all"))).alias("key"))
+
+
+def _sums(xs: list[str], s: str = "s", p: str = "p") -> list[F.Column]:
+    """Sums of some columns and of their products."""
+    return [F.sum(x).alias(f"{s}{i}") for i, x in enumerate(xs)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"{p}{i}{j}") for i, j in _PAIRS]
 
 
 def _distance(centre: str = "centre", inverse: str = "inverse") -> F.Column:
@@ -121,22 +142,52 @@ def _distance(centre: str = "centre", inverse: str = "inverse") -> F.Column:
     return sum((1 if i == j else 2) * d[i] * d[j] * F.get(F.col(inverse), F.lit(i * DIM + j)) for i, j in _PAIRS)
 
 
-def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of one group's core to its centre and inverse scatter."""
-    floor = np.diag([f[1] ** 2 for f in FEATURES.values()])
+_ESTIMATE = "key string, start int, size long, centre array<double>, scatter array<double>, inverse array<double>, logdet double"
+_FLOOR = np.diag([f[1] ** 2 for f in FEATURES.values()])
+
+
+def _moments(b: pa.RecordBatch, s: str = "s", p: str = "p") -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of each row's sums."""
+    n = b.column("n").to_numpy(zero_copy_only=False)
+    mean = np.array([b.column(f"{s}{i}").to_numpy(zero_copy_only=False) for i in range(DIM)]).reshape(DIM, -1).T / n[:, None]
+    cov = np.empty((b.num_rows, DIM, DIM))
+    for i, j in _PAIRS:
+        cov[:, i, j] = cov[:, j, i] = b.column(f"{p}{i}{j}").to_numpy(zero_copy_only=False) / n - mean[:, i] * mean[:, j]
+    return mean, cov
+
+
+def _estimates(key: pa.Array, start: np.ndarray, size: pa.Array, centre: np.ndarray, scatter: np.ndarray, logdet: np.ndarray | None = None) -> pa.RecordBatch:
+    lists = lambda x: pa.array(x.reshape(len(x), -1).tolist(), pa.list_(pa.float64()))
+    logdet = np.linalg.slogdet(scatter)[1] if logdet is None else logdet
+    return pa.RecordBatch.from_arrays([key, pa.array(start, pa.int32()), size, lists(centre), lists(scatter), lists(np.linalg.inv(scatter)), pa.array(logdet, pa.float64())], ["key", "start", "size", "centre", "scatter", "inverse", "logdet"])
+
+
+def _started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three starts of each group: medians with scales from quartiles; means
+    with covariances; medians with the correlations of the hyperbolic tangents
+    of the standardised components."""
     for b in batches:
-        keys, n = b.column("key"), b.column("n").to_numpy(zero_copy_only=False)
-        s = np.array([b.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(DIM)]).reshape(DIM, -1)
-        p = {ij: b.column(f"p{ij[0]}{ij[1]}").to_numpy(zero_copy_only=False) for ij in _PAIRS}
-        centres, inverses = [], []
-        for r in range(b.num_rows):
-            mean = s[:, r] / n[r]
-            cov = np.empty((DIM, DIM))
-            for i, j in _PAIRS:
-                cov[i, j] = cov[j, i] = p[i, j][r] / n[r] - mean[i] * mean[j]
-            centres.append(mean.tolist())
-            inverses.append(np.linalg.inv(cov / CONSISTENCY + floor).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([keys, pa.array(centres, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())), b.column("size")], ["key", "centre", "inverse", "size"])
+        mean, cov = _moments(b)
+        _, tanh = _moments(b, "t", "q")
+        q = np.array([b.column(f"m{i}").to_pylist() for i in range(DIM)], float).reshape(DIM, -1, 3).transpose(1, 0, 2)
+        scale = _scale(q)
+        spread = np.sqrt(np.maximum(np.einsum("nii->ni", tanh), 1e-12))
+        corr = tanh / spread[:, :, None] / spread[:, None, :]
+        corr[:, range(DIM), range(DIM)] = 1.0
+        scatters = [np.einsum("ni,ij->nij", scale**2, np.eye(DIM)), cov + _FLOOR, corr * scale[:, :, None] * scale[:, None, :] + _FLOOR]
+        for k, (centre, scatter) in enumerate(zip((q[:, :, 1], mean, q[:, :, 1]), scatters, strict=True)):
+            yield _estimates(b.column("key"), np.full(b.num_rows, k), b.column("size"), centre, scatter, np.full(b.num_rows, np.inf))
+
+
+def _scale(quartiles: np.ndarray) -> np.ndarray:
+    return np.sqrt(((quartiles[..., 2] - quartiles[..., 0]) / 1.349) ** 2 + np.diag(_FLOOR))
+
+
+def _concentrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each group's nearest share to its next estimate."""
+    for b in batches:
+        mean, cov = _moments(b)
+        yield _estimates(b.column("key"), b.column("start").to_numpy(), b.column("size"), mean, cov / CONSISTENCY + _FLOOR)
 
 
 def _small(estimates: DataFrame, rows: int) -> DataFrame:
@@ -145,39 +196,69 @@ def _small(estimates: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Estimates (key, centre, inverse, size) by concentration steps over all
-    rows with a vector: one row for each group, language, and the whole."""
+    """Estimates (``_ESTIMATE``) over all rows with a vector: one row for each
+    group, language, and the whole, each from its best start."""
     keyed = _keyed(rows)
-    schema = "key string, centre array<double>, inverse array<double>, size long"
-    # The start: medians, and scales from quartiles, of each component.
-    quartiles = keyed.groupBy("key").agg(F.count("*").alias("size"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _X])
-    scale = [1 / (F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + FEATURES[x][1] ** 2) for x in _X]
-    inverse = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
-    found = scratch.write(quartiles.select("key", F.array(*[F.get(x, F.lit(1)) for x in _X]).alias("centre"), inverse.alias("inverse"), "size"), "fit0")
-    n = found.count()
-    for step in range(1, STEPS + 1):
-        # Two passes over the rows, each summed on the map side: a group's rows never meet in one task.
-        far = keyed.join(_small(found, n), "key").select("key", _distance().alias("d2"))
-        bound = scratch.write(far.groupBy("key").agg(F.percentile_approx("d2", H, 10_000).alias("bound")), f"bound{step}")
-        core = keyed.join(_small(found.join(bound, "key"), n), "key").where(_distance() <= F.col("bound"))
-        sums = core.groupBy("key", "size").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"p{i}{j}") for i, j in _PAIRS])
-        found = scratch.write(map_arrow(sums, _inverted, schema), f"fit{step}")
-    return found
-
-
-def judge(rows: DataFrame, found: DataFrame) -> DataFrame:
+    quartiles = keyed.groupBy("key").agg(F.count("*").alias("size"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i, x in enumerate(_X)])
+    quartiles = scratch.write(quartiles, "quartiles")
+    n = quartiles.count()
+    z = [F.tanh((F.col(x) - F.get(f"m{i}", F.lit(1))) / F.sqrt(F.pow((F.get(f"m{i}", F.lit(2)) - F.get(f"m{i}", F.lit(0))) / 1.349, 2) + FEATURES[x][1] ** 2)).alias(f"z{i}") for i, x in enumerate(_X)]
+    seen = keyed.join(_small(quartiles, n), "key").select("key", *_X, *z).groupBy("key").agg(F.count("*").alias("n"), *_sums(_X), *_sums([f"z{i}" for i in range(DIM)], "t", "q"))
+    found = scratch.write(map_arrow(seen.join(_small(quartiles, n), "key"), _started, _ESTIMATE), "fit0").withColumn("moving", F.lit(True))
+    step, moving = 0, 3 * n
+    group = Window.partitionBy("key", "start", "size")
+    while moving:  # each round lowers a determinant that has a floor, so it ends
+        step += 1
+        active = found.where("moving").select("key", "start", "size", "centre", "inverse")
+        near = F.floor(F.log2(F.greatest(_distance(), F.lit(2.0**-20))) * BINS).cast("int")
+        bins = keyed.join(_small(active, moving), "key").groupBy("key", "start", "size", near.alias("bin")).agg(F.count("*").alias("n"), *_sums(_X))
+        before = F.sum("n").over(group.orderBy("bin")) - F.col("n")
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.ceil(H * F.col("size")) - before) / F.col("n")))
+        names = ["n", *[f"s{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in _PAIRS]]
+        core = bins.withColumn("share", share).groupBy("key", "start", "size").agg(*[F.sum(F.col("share") * F.col(c)).alias(c) for c in names])
+        new = map_arrow(core, _concentrated, _ESTIMATE).select("key", "start", F.struct("size", "centre", "scatter", "inverse", "logdet").alias("new"))
+        both = found.join(_small(new, moving), ["key", "start"], "left")
+        better = F.coalesce(F.col("new.logdet") < F.col("logdet") - PROGRESS, F.lit(False))
+        kept = [F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "scatter", "inverse", "logdet")]
+        found = scratch.write(both.select("key", "start", "size", *kept, better.alias("moving")), f"fit{step}")
+        moving = found.where("moving").count()
+        scratch.drop(f"fit{step - 1}")
+    best = Window.partitionBy("key").orderBy("logdet", "start")
+    return found.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "moving")
+
+
+def _blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's estimate with its language's and the whole corpus's."""
+    for b in batches:
+        size = {c: b.column(f"{c}_size").to_numpy().astype(float) for c in ("own", "lang", "all")}
+        arrays = {c: (np.array(b.column(f"{c}_centre").to_pylist()).reshape(-1, DIM), np.array(b.column(f"{c}_scatter").to_pylist()).reshape(-1, DIM, DIM)) for c in size}
+        centre, scatter = arrays["all"]
+        for c in ("lang", "own"):
+            w = size[c] / (size[c] + PRIOR_ROWS)
+            centre = w[:, None] * arrays[c][0] + (1 - w)[:, None] * centre
+            scatter = w[:, None, None] * arrays[c][1] + (1 - w)[:, None, None] * scatter
+        lists = lambda x: pa.array(x.reshape(len(x), -1).tolist(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([b.column("key"), lists(centre), lists(np.linalg.inv(scatter))], ["key", "centre", "inverse"])
+
+
+def blended(found: DataFrame) -> DataFrame:
+    """(key, centre, inverse) of each language and source."""
+
+    def named(c: str) -> DataFrame:
+        return found.select("key", *[F.col(x).alias(f"{c}_{x}") for x in ("size", "centre", "scatter")])
+
+    own = named("own").where(F.get_json_object("key", "$.level") == "0")
+    parent = F.to_json(F.struct(F.lit(1).alias("level"), F.get_json_object("key", "$.lang").alias("lang")))
+    rows = own.withColumn("parent", parent).join(named("lang").withColumnRenamed("key", "parent"), "parent").crossJoin(F.broadcast(named("all").where("key = 'all'").drop("key")))  # one row
+    return map_arrow(rows, _blend, "key string, centre array<double>, inverse array<double>")
+
+
+def judge(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``distance`` (null without an estimate or words) and ``kept``."""
-    best = found.where(F.col("size") >= MIN_GROUP).select("key", "centre", "inverse")
-    n = best.count()
-    keys = [F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")), F.to_json(F.struct(F.lit(1).alias("level"), "lang")), F.lit("all")]
-    out = rows
-    for i, k in enumerate(keys):
-        own = best.select(F.col("key").alias(f"_k{i}"), F.col("centre").alias(f"_c{i}"), F.col("inverse").alias(f"_i{i}"))
-        out = out.withColumn(f"_q{i}", k).join(_small(own, n), F.col(f"_q{i}") == F.col(f"_k{i}"), "left")
-    out = out.withColumn("_c", F.coalesce("_c0", "_c1", "_c2")).withColumn("_i", F.coalesce("_i0", "_i1", "_i2"))
-    out = out.withColumn("distance", _distance("_c", "_i"))
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
-    return out.drop("_c", "_i", *[f"_{a}{i}" for a in "kqci" for i in range(3)])
+    best = scratch.write(blended(found), "best")
+    own = best.select(F.col("key").alias("_k"), F.col("centre").alias("_c"), F.col("inverse").alias("_i"))
+    out = rows.withColumn("_q", _own()).join(_small(own, best.count()), F.col("_q") == F.col("_k"), "left").withColumn("distance", _distance("_c", "_i"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).drop("_q", "_k", "_c", "_i")
 
 
 def score(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -189,7 +270,7 @@ def score(docs: DataFrame, keep: list[str]) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.write(vector(stats(docs, list(dict.fromkeys([*keep, "lang", "source"])))), "vectors")
-    return judge(rows, fit(rows.where(~F.col("base_failed")), scratch))
+    return judge(rows, fit(rows.where(~F.col("base_failed")), scratch), scratch)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
