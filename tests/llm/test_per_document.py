@@ -297,7 +297,7 @@ def test_verdicts_against_brute_force(spark):
     """kept of every text, but for distances close to the limit."""
     rng = random.Random(6)
     rows = [(i, prose(rng, 60 + i % 150, 60 if i % 3 else 3000), f"s{i % 4}") for i in range(260)]
-    rows += [(1000 + i, " ".join(f"{w}#" if k % (2 + i % 9) == 0 else w for k, w in enumerate(prose(rng, 120).split())), "s0") for i in range(40)]
+    rows += [(1000 + i, " ".join(f"{w}#" if k % (2 + i % 9) == 0 else w for k, w in enumerate(prose(rng, 120).split())), f"s{i % 4}") for i in range(40)]
     rows += [(2000 + i, prose(rng, 90), f"small{i // 3}") for i in range(12)]
     found = {r["doc_id"]: r for r in robust_quality.score(docs(spark, rows), ["doc_id"]).collect()}
     h, x = WordHashes(), {}
