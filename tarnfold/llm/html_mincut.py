@@ -1,21 +1,25 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into blocks of text at its block-level tags. A fixed classifier
-gives every block a cost for being called boilerplate and a cost for being
-called content, from its containers, their class and id names, its tag, length
-and share of link text; these are the capacities from the source and to the
-sink. Blocks next to each other are joined by an edge that is the stronger the
-nearer they are in the DOM, so that an odd block among its like goes with them
-at a price. The minimum cut (Dinic's maximum flow) labels all blocks of a page
-together; what stays on the source's side is the main text.
+A page is cut into blocks of text at its block-level tags. A classifier gives
+every block the log-odds of being content, from what the block itself shows
+(length, share of link text, tag) and from the kinds and names of its
+containers; positive odds are its capacity from the source, negative ones that
+to the sink. Neighbouring blocks are joined by edges of the same order of size,
+the stronger the nearer they are in the DOM and the more alike their elements.
+The minimum cut (Dinic's maximum flow) labels all blocks of a page together, so
+a short line between two paragraphs goes with them though it looks like
+boilerplate by itself, and a menu's one long entry goes with the menu; what
+stays on the source's side is the main text.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
 
+#: Quotes count after an equals sign only; elsewhere they are characters like others.
+_ATTRS = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"|<(?P<raw>script|style)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
@@ -48,37 +54,52 @@ DROPPED = {"noscript", "template", "iframe", "textarea", "select", "svg", "math"
 TO_BLOCK = {"textarea", "select", "svg", "math", "title"}
 #: An open element of the left kind ends where one of the right begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Tags that may end an open element of another name, or of their own.
+ENDING = {x for v in ENDS.values() for x in v}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-#: Weights of the classifier, in the unit of one paragraph of prose.
-TAG_WEIGHTS = {"nav": -9.0, "menu": -9.0, "footer": -9.0, "aside": -8.0, "form": -8.0, "fieldset": -8.0, "button": -9.0, "dialog": -8.0, "search": -9.0, "header": -6.0, "address": -2.0, "article": 3.0, "main": 3.0}
+#: Log-odds that a container adds for what it holds.
+TAG_ODDS = {"nav": -4.0, "menu": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "fieldset": -4.0, "button": -4.0, "dialog": -4.0, "search": -4.0, "header": -3.0, "address": -1.0, "article": 0.75, "main": 0.5}
 BAD_NAMES = set("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side rail aside widget widgets footer foot masthead topbar toolbar header comment comments disqus respond reply replies discussion feedback share sharing social related recommended recommendations more trending popular pager pagination tags tagcloud meta byline copyright legal disclaimer skip search form contentinfo complementary".split())
 #: Those that tell of an article element itself, whose names often speak of the page around it.
 ARTICLE_BAD_NAMES = set("ad ads advert advertisement sponsored promo promoted comment comments reply replies related recommended teaser".split())
 GOOD_NAMES = set("article content main body post entry story text page".split())
-BAD_WEIGHT, GOOD_WEIGHT = -8.0, 1.0
-LINK_WEIGHT, LONG_WEIGHT, SHORT_WEIGHT, HEADING_WEIGHT, ITEM_WEIGHT, BARE_WEIGHT = -4.0, 1.5, -0.5, 0.5, -0.5, 0.3
-#: Strength of the edge between neighbours in one container; it halves with each two steps in the DOM.
-SMOOTH = 1.0
-
-
-@dataclass
-class Block:
+NAME_ODDS, GOOD_ODDS, HIDDEN_ODDS, COMMENT_ODDS = -4.0, 0.5, -9.0, -5.0
+#: Bounds of all containers' odds together: more of the same says nothing new.
+LEAST, MOST = -9.0, 1.5
+#: Log-odds of a block by its length: from a word or two to that of prose.
+SHORT, PROSE, PROSE_CHARS = -2.0, 2.0, 160
+LINK_ODDS, HEADING_ODDS, ITEM_ODDS = -3.0, 1.0, -0.25
+#: Log-odds that neighbours in one container have one label; it halves with
+#: each two steps in the DOM, and is only a part of that between elements of
+#: one container that differ in tag but have no names, and between all others.
+SMOOTH, OTHER_TAG, UNLIKE = 1.5, 0.5, 0.1
+#: Steps in the DOM beyond which no edge is made: it would be weaker than a thousandth.
+FAR = 20
+
+
+class Block(NamedTuple):
     text: str
     tag: str
-    weight: float  # of the containers
-    path: tuple[int, ...]  # of the containers, outermost first
-    length: int = 0
-    linked: int = 0
+    odds: float  # of the containers
+    node: int  # the element that holds it
+    kind: str  # tag and names of that element and of the one around it
+    linked: int
 
 
-@dataclass
-class _Open:
+class _Open(NamedTuple):
     tag: str
-    path: tuple[int, ...]
-    weight: float
-    in_article: bool = False
-    names: tuple[str, ...] = field(default=())
+    node: int
+    odds: float
+    kind: str  # as a block's
+    inside: bool  # an article or main
+    article: bool  # an article
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    parents: list[int]  # of each element; the page itself is element 0
+    depths: list[int]
 
 
 def _hidden(attrs: str) -> bool:
@@ -92,26 +113,25 @@ def _hidden(attrs: str) -> bool:
     return False
 
 
-def _enter(tag: str, attrs: str, top: _Open, number: int) -> _Open:
-    """An element's weight: that of its containers and what it adds itself."""
-    weight, inside = top.weight, top.in_article
-    if tag == "header" and inside:
-        weight -= 1.5  # an article's own header holds its title
-    elif tag in ("article", "main") and inside:
-        if "article" in top.names:
-            weight += TAG_WEIGHTS["nav"]  # articles inside an article are reader comments
+def _enter(tag: str, attrs: str, top: _Open, node: int) -> _Open:
+    """An element with the odds of its containers and what it adds itself."""
+    odds, names = top.odds, frozenset()
+    if tag == "header" and top.inside:
+        odds -= 0.5  # an article's own header holds its title
+    elif tag in ("article", "main") and top.inside:
+        if top.article:
+            odds += COMMENT_ODDS  # articles inside an article are reader comments
     else:
-        weight += TAG_WEIGHTS.get(tag, 0.0)
+        odds += TAG_ODDS.get(tag, 0.0)
     if attrs:
-        words = {w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(_ABOUT.sub(" ", m[1] or m[2] or m[3] or ""))}
-        if words & (ARTICLE_BAD_NAMES if tag == "article" else BAD_NAMES) and tag not in ("html", "body", "main"):
-            weight += BAD_WEIGHT
-        elif words & GOOD_NAMES and not inside:
-            weight += GOOD_WEIGHT
+        names = frozenset(w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(_ABOUT.sub(" ", m[1] or m[2] or m[3] or "")))
+        if names & (ARTICLE_BAD_NAMES if tag == "article" else BAD_NAMES) and tag not in ("html", "body", "main"):
+            odds += COMMENT_ODDS if tag == "article" else NAME_ODDS
+        elif names & GOOD_NAMES and not top.inside:
+            odds += GOOD_ODDS
         if _hidden(attrs):
-            weight += BAD_WEIGHT
-    names = (*top.names, tag) if tag == "article" else top.names
-    return _Open(tag, (*top.path, number), weight, inside or tag in ("article", "main"), names)
+            odds += HIDDEN_ODDS
+    return _Open(tag, node, min(MOST, max(LEAST, odds)), f"{top.kind.rpartition('>')[2]}>{' '.join([tag, *sorted(names)])}", top.inside or tag in ("article", "main"), top.article or tag == "article")
 
 
 def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
@@ -139,12 +159,14 @@ def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
         i = last + 1
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+def parse(page: str) -> Page:
+    """The page's blocks with text, in order, and its tree of elements."""
     out: list[Block] = []
-    stack = [_Open("", (), 0.0)]
+    parents, depths = [0], [0]
+    stack = [_Open("", 0, 0.0, "", False, False)]
+    opened: Counter[str] = Counter()
     texts: list[str] = []
-    linked = number = at = 0
+    linked = at = 0
     in_link = False
 
     def close() -> None:
@@ -153,7 +175,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html_lib.unescape("".join(texts)).split())
             if text:
                 top = stack[-1]
-                out.append(Block(text, top.tag, top.weight, top.path, len(text), min(linked, len(text))))
+                out.append(Block(text, top.tag, top.odds, top.node, top.kind, min(linked, len(text))))
             texts.clear()
         linked = 0
 
@@ -163,6 +185,11 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(text)
 
+    def pop_to(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+
     for m, end in _tokens(page):
         if m.start() > at:
             take(page[at : m.start()])
@@ -180,57 +207,81 @@ def blocks(page: str) -> list[Block]:
         close()
         in_link = False
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i].tag != name:
+                    i -= 1
+                pop_to(i)
             continue
         if stack[-1].tag == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if name in ENDS.get(stack[i].tag, ()):
-                del stack[i:]
-                break
-            if stack[i].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
-                break
+            pop_to(len(stack) - 1)
+        if name in ENDING:
+            for i in range(len(stack) - 1, 0, -1):
+                if name in ENDS.get(stack[i].tag, ()):
+                    pop_to(i)
+                    break
+                if stack[i].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
+                    break
         if name not in VOID:
-            number += 1
-            stack.append(_enter(name, m["attrs"], stack[-1], number))
+            top = stack[-1]
+            parents.append(top.node)
+            depths.append(depths[top.node] + 1)
+            stack.append(_enter(name, m["attrs"], top, len(parents) - 1))
+            opened[name] += 1
     if at < len(page):
         take(page[at:])
     close()
-    return out
+    return Page(out, parents, depths)
+
+
+def blocks(page: str) -> list[Block]:
+    return parse(page).blocks
 
 
-def excess(b: Block) -> float:
-    """Cost of calling the block boilerplate, less that of calling it content."""
-    w = b.weight + BARE_WEIGHT
-    w += LONG_WEIGHT * min(1.0, b.length / 120) if b.length > 40 else SHORT_WEIGHT
-    w += LINK_WEIGHT * b.linked / b.length
+def odds(b: Block) -> float:
+    """Log-odds that a block is content, by itself."""
+    w = b.odds + SHORT + (PROSE - SHORT) * min(1.0, math.log1p(len(b.text)) / math.log1p(PROSE_CHARS))
+    w += LINK_ODDS * b.linked / len(b.text)
     if b.tag in HEADINGS:
-        w += HEADING_WEIGHT
+        w += HEADING_ODDS
     elif b.tag in ("li", "td", "th", "dt"):
-        w += ITEM_WEIGHT
+        w += ITEM_ODDS
     return w
 
 
-def edges(bs: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next, and with the next that
-    follows in its own container."""
-    out, last = [], {}
-    for i, b in enumerate(bs):
-        if i:
-            p, q = bs[i - 1].path, b.path
-            k = 0
-            for x, y in zip(p, q):
-                if x != y:
-                    break
-                k += 1
-            out.append((i - 1, i, SMOOTH * 0.5 ** ((len(p) + len(q) - 2 * k) / 2 - 1)))
-        up = b.path[:-1]
-        if up in last and last[up] != i - 1:
-            out.append((last[up], i, SMOOTH / 2))
-        last[up] = i
+def _steps(page: Page, u: int, v: int) -> int:
+    """Steps between two elements in the tree, ``FAR`` or more beyond that."""
+    n = 0
+    while u != v and n < FAR:
+        if page.depths[u] >= page.depths[v]:
+            u = page.parents[u]
+        else:
+            v = page.parents[v]
+        n += 1
+    return n
+
+
+def _alike(page: Page, a: Block, b: Block) -> float:
+    if a.kind == b.kind:
+        return 1.0
+    plain = all(" " not in x.kind.rpartition(">")[2] for x in (a, b))
+    return OTHER_TAG if plain and page.parents[a.node] == page.parents[b.node] else UNLIKE
+
+
+def edges(page: Page) -> list[tuple[int, int, float]]:
+    """Smoothness edges: each block with the one before, and with the one
+    before of its kind in its container, if others lie between."""
+    out: list[tuple[int, int, float]] = []
+    last: dict[tuple[int, str], int] = {}
+    for j, b in enumerate(page.blocks):
+        up = page.parents[b.node], b.kind
+        for i in {j - 1, last.get(up, j - 1)} - {-1}:
+            a = page.blocks[i]
+            n = _steps(page, a.node, b.node)
+            if n < FAR:
+                strength = SMOOTH * 0.5 ** (max(0, n - 2) / 2) * _alike(page, a, b)
+                out.append((i, j, strength if i == j - 1 else strength / 2))
+        last[up] = j
     return out
 
 
@@ -298,15 +349,17 @@ def min_cut(weights: list[float], links: list[tuple[int, int, float]]) -> list[b
                     break
 
 
+def labels(page: Page) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
+    return min_cut([odds(b) for b in page.blocks], edges(page))
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; empty without any."""
     if not page:
         return ""
-    bs = blocks(page)
-    if not bs:
-        return ""
-    labels = min_cut([excess(b) for b in bs], edges(bs))
-    return "\n".join(b.text for b, good in zip(bs, labels, strict=True) if good)
+    parsed = parse(page)
+    return "\n".join(b.text for b, good in zip(parsed.blocks, labels(parsed), strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

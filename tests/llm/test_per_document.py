@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -80,6 +81,77 @@ def test_min_cut_is_minimal(n, data):
     assert price(html_mincut.min_cut([float(x) for x in w], links)) == pytest.approx(best)
 
 
+BITS = st.lists(
+    st.sampled_from(
+        ["<article>", "</article>", "<div>", "</div>", "<div class=ad>", "<p>", "</p>", "<nav>", "</nav>", "<ul>", "<li>", "</ul>", "<h2>", "<aside>", "</aside>", "<table><tr><td>", "</table>", "<a href=x>", "</a>", "Ok.", "More here", "A sentence of some length that reads like prose, to be kept."]
+    ),
+    max_size=24,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(BITS)
+def test_extraction_is_the_cheapest_labelling(bits):
+    """All labellings of a page tried: the text is that of the cheapest (ties: fewest blocks)."""
+    page = html_mincut.parse("".join(bits))
+    n = len(page.blocks)
+    if n > 11:
+        return
+    own, links = [html_mincut.odds(b) for b in page.blocks], html_mincut.edges(page)
+
+    def price(k):
+        on = [k >> i & 1 for i in range(n)]
+        return sum(abs(w) for w, x in zip(own, on, strict=True) if (w > 0) != x and w) + sum(c for i, j, c in links if on[i] != on[j])
+
+    best = min(range(1 << n), key=lambda k: (round(price(k), 9), bin(k).count("1")))
+    assert html_mincut.main_text("".join(bits)) == "\n".join(b.text for i, b in enumerate(page.blocks) if best >> i & 1)
+
+
+def test_the_cut_decides():
+    """Blocks that look like the other kind by themselves go with their neighbours."""
+    prose_block = "<p>A paragraph of quite some length that surely is prose, and reads on for a while longer.</p>"
+    soup = f"<div>{prose_block}<p>So.</p>{prose_block}<p>No.</p>{prose_block}</div>"
+    page = html_mincut.parse(soup)
+    assert [html_mincut.odds(b) > 0 for b in page.blocks] == [True, False, True, False, True]
+    assert html_mincut.labels(page) == [True] * 5
+    entry = "<li>Home and garden news of the week</li>"
+    menu = f"<div><ul>{'<li><a href=/x>Item of the menu</a></li>' * 3}{entry}{'<li><a href=/x>Item of the menu</a></li>' * 3}</ul></div><div>{prose_block * 2}</div>"
+    page = html_mincut.parse(menu)
+    assert [html_mincut.odds(b) > 0 for b in page.blocks] == [False] * 3 + [True] + [False] * 3 + [True] * 2
+    assert html_mincut.labels(page) == [False] * 7 + [True] * 2
+
+
+def test_planted_articles():
+    """Pages put together from known parts: exactly the article comes back."""
+    rng = random.Random(9)
+    for _ in range(200):
+        parts = [prose(rng, rng.choice([1, 2, 6, 30, 80])) for _ in range(rng.randrange(2, 9))]
+        parts = [" ".join(x.split()) for x in parts]
+        junk = [f"<nav><ul>{''.join(f'<li><a href=/{i}>{prose(rng, 2)}</a>' for i in range(5))}</ul></nav>", f'<div class="ad">{prose(rng, 12)}</div>', f"<aside><p>{prose(rng, 25)}</p></aside>", f"<form><label>{prose(rng, 3)}</label><input></form>", f'<div class="cookie-banner">{prose(rng, 20)}</div>']
+        inner = []
+        for x in parts:
+            inner.append(f"<p>{x}</p>" if rng.random() < 0.7 else f"<p><b>{x}")
+            if rng.random() < 0.2:
+                inner.append(rng.choice(junk[1:]))
+        page = f"<html><head><title>t</title></head><body>{rng.choice(junk)}<article><h1>A title of it</h1>{''.join(inner)}</article>{rng.choice(junk)}<footer>&copy; {prose(rng, 8)}</footer>"
+        assert html_mincut.main_text(page) == "\n".join(["A title of it", *parts])
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 50_000, "<div>" * 50_000 + "</section>" * 50_000 + "x", "<center><li>" * 25_000 + "x"])
+def test_deep_nesting_takes_little_memory(page):
+    tracemalloc.start()
+    try:
+        html_mincut.main_text(page)
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("attrs", ["class=it's", "title='open", 'title="open', "it's", 'x="a>b"', "x = 'a>b' y=\"'\""])
+def test_stray_quotes_stay_in_the_tag(attrs):
+    assert html_mincut.main_text(f"<article><p>{LONG}</p><p {attrs}>{LONG}</p></article>").split("\n") == [LONG, LONG]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     found = html_mincut.extract(spark.createDataFrame(rows, PAGES).selectExpr("*", "'t' as text", "1 as n_chars"))
