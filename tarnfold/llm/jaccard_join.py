@@ -16,14 +16,19 @@ such that two that link meet in one at least, by exact conditions only:
    classes. Most documents fail this. The part that A is judged on is one that
    all of its possible partners show.
 3. Of the rest, the grams are ordered by rarity. Two that link share one of
-   their first ``n // 5 + 1`` grams: each of those is a tile. A class in which
-   that many grams are its own links with nothing.
-
-In a tile a tree of its members' points first gives each member a near partner,
-so that large groups of near copies join by as many links as members. Then all
-pairs of a tile that are not yet in one component and pass the bounds, also
-that of vectors with more groups, are verified: no link between different components is missed, and pairs inside a
-component, which can't change the result, are not made.
+   their first ``n // 5 + 1`` grams. Those grams are dealt by hash to tiles of
+   some hundred documents, in each of which a document is once, with whatever
+   of its grams lie there. A class in which that many grams are its own links
+   with nothing.
+
+In a tile only the tree decides who is compared: all members search it at once,
+level by level. The first search gives each member its nearest partner, so that
+large groups of near copies join by as many links as members. Then all pairs of
+a tile that are not yet in one component and pass the bounds, also that of
+vectors with more groups, are verified: no link between different components is
+missed, and pairs inside a component, which can't change the result, are not
+made. A tile of very many members is dealt to parts: those of its commonest
+component to one part each, the others to all, as they are to meet.
 """
 
 from __future__ import annotations
@@ -33,10 +38,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, map_arrow, shingle_set, shuffle_partitions, slices, table
+from .common import Scratch, WordHashes, columns, map_arrow, shingle_set, shuffle_partitions, slices, table
 from .components import components
 
 WORDS = 5
@@ -48,10 +53,12 @@ GROUPS = 64
 #: their partners, of at most ``SHOWN`` grams, show all of theirs.
 PART, SMALL = 0.3, 64
 SHOWN = SMALL * 100 // PERCENT
-#: Members of a tile compared at once; larger tiles are split into parts, and parts paired.
-TILE_ROWS = 20_000
+#: Grams of a tile, about (a document may have several of them); a tile of more than ``TILE_ROWS`` members is searched in parts.
+TILE_POINTS, TILE_ROWS = 1024, 20_000
 #: Points in a leaf, and children of a node.
 FAN = 16
+#: Pairs of point and node bounded at once.
+AT_ONCE = 1 << 16
 _FULL = np.uint16(65535)
 
 
@@ -94,78 +101,109 @@ def needed(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
 
 
 class CountTree:
-    """An R-tree over count vectors, loaded at once: points are split at the
-    median of the coordinate that varies most until they fit a leaf."""
+    """An R-tree over count vectors and sizes, loaded at once: points are split
+    at the median of the coordinate that varies most (the sizes' logarithm
+    counts like the whole vector) until they fit a leaf. A node knows the
+    largest numbers, and the least and largest size, of what it holds."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         order: list[np.ndarray] = []
         todo = [np.arange(len(points))]
+        logs = np.log(np.maximum(sizes, 1))
         while todo:
             ids = todo.pop()
             if len(ids) <= FAN:
                 order.append(ids)
                 continue
-            axis = int(np.argmax(points[ids].var(axis=0)))
-            half = np.argpartition(points[ids, axis], len(ids) // 2)
+            spread = points[ids].std(axis=0) / max(1.0, float(points[ids].mean()))
+            axis = int(np.argmax(spread))
+            key = logs[ids] if logs[ids].std() * 4 > spread[axis] else points[ids, axis]
+            half = np.argpartition(key, len(ids) // 2)
             todo += [ids[half[len(ids) // 2 :]], ids[half[: len(ids) // 2]]]
         self.ids = np.concatenate(order)
         self.points, self.sizes = points[self.ids], sizes[self.ids]
         ends = np.cumsum([len(x) for x in order])
         self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends
         self.tops = [np.maximum.reduceat(self.points, self.starts)]
-        self.least = [np.minimum.reduceat(self.sizes, self.starts)]
+        self.least, self.most = [np.minimum.reduceat(self.sizes, self.starts)], [np.maximum.reduceat(self.sizes, self.starts)]
         while len(self.tops[-1]) > FAN:
             at = np.arange(0, len(self.tops[-1]), FAN)
             self.tops.append(np.maximum.reduceat(self.tops[-1], at))
             self.least.append(np.minimum.reduceat(self.least[-1], at))
+            self.most.append(np.maximum.reduceat(self.most[-1], at))
 
-    def leaves(self, point: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves that may hold a partner, and their bounds less what is needed."""
-        node = np.arange(len(self.tops[-1]))
+    def leaves(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, leaf, slack) of the leaves that may hold a query's partner;
+        slack is the bound on the overlap less what a link needs at least."""
+        q = np.repeat(np.arange(len(points)), len(self.tops[-1]))
+        node = np.tile(np.arange(len(self.tops[-1])), len(points))
         for level in range(len(self.tops) - 1, -1, -1):
-            slack = np.minimum(self.tops[level][node], point).sum(axis=1) - needed(size, self.least[level][node])
-            node, slack = node[slack >= 0], slack[slack >= 0]
-            if level and len(node):
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                node = node[node < len(self.tops[level - 1])]
-        return node, slack
-
-    def within(self, point: np.ndarray, size: int, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the leaves' points: those that pass the bound, and their slack."""
-        if not len(leaves):
-            return leaves, leaves
-        at = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in leaves])
-        slack = np.minimum(self.points[at], point).sum(axis=1) - needed(size, self.sizes[at])
-        ok = slack >= 0
-        return self.ids[at[ok]], slack[ok]
-
-
-def tile_pairs(sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None) -> list[tuple[int, int]]:
+            ok = 100 * self.most[level][node] >= PERCENT * sizes[q]
+            q, node = q[ok], node[ok]
+            slack = _overlaps(self.tops[level], node, points, q) - needed(sizes[q], self.least[level][node])
+            q, node, slack = q[slack >= 0], node[slack >= 0], slack[slack >= 0]
+            if level:
+                q, node = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
+                q, node = q[node < len(self.tops[level - 1])], node[node < len(self.tops[level - 1])]
+        return q, node, slack
+
+    def within(self, points: np.ndarray, sizes: np.ndarray, q: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, slack) of those leaves' points that pass the bound."""
+        lengths = self.ends[leaf] - self.starts[leaf]
+        at = np.arange(int(lengths.sum())) + np.repeat(self.starts[leaf] - np.cumsum(lengths) + lengths, lengths)
+        q = np.repeat(q, lengths)
+        slack = _overlaps(self.points, at, points, q) - needed(sizes[q], self.sizes[at])
+        return q[slack >= 0], self.ids[at[slack >= 0]], slack[slack >= 0]
+
+
+def _overlaps(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums of the smaller numbers of rows i of a and j of b."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), AT_ONCE):
+        out[k : k + AT_ONCE] = np.minimum(a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]]).sum(axis=1)
+    return out
+
+
+def tile_pairs(sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile's rows to verify: without labels, a near partner for each
     member; with labels, all that pass the bound and have different labels."""
-    tree = CountTree(points, sizes)
-    out = []
-    common = None
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    search = np.arange(len(sizes))
     if labels is not None:  # a pair of different labels has one member outside the commonest
         values, counts = np.unique(labels, return_counts=True)
         if len(values) < 2:
-            return out
-        common = values[np.argmax(counts)]
-    for i in range(len(sizes)):
-        if common is not None and labels[i] == common:
-            continue
-        leaves, slack = tree.leaves(points[i], int(sizes[i]))
-        if labels is None:
-            leaves = leaves[np.argsort(-slack, kind="stable")[:3]]
-        ids, slack = tree.within(points[i], int(sizes[i]), leaves)
+            return none
+        search = np.flatnonzero(labels != values[np.argmax(counts)])
+    if len(sizes) < 2:
+        return none
+    tree, firsts, seconds = CountTree(points, sizes), [none[0]], [none[0]]
+    step = max(1, 4 * AT_ONCE // max(1, len(tree.starts)))
+    for k in range(0, len(search), step):
+        mine = search[k : k + step]
+        q, leaf, slack = tree.leaves(points[mine], sizes[mine])
+        if labels is None:  # the three most promising leaves
+            order = np.lexsort((-slack, q))
+            q, leaf = q[order], leaf[order]
+            q, leaf = (x[_rank(q) < 3] for x in (q, leaf))
+        q, j, slack = tree.within(points[mine], sizes[mine], q, leaf)
+        i = mine[q]
+        ok = i != j if labels is None else labels[i] != labels[j]
+        i, j, slack = i[ok], j[ok], slack[ok]
         if labels is None:
-            other = ids != i
-            if other.any():
-                ids, slack = ids[other], slack[other]
-                out.append((i, int(ids[np.argmax(slack)])))
-        else:
-            out += [(i, j) for j in ids.tolist() if labels[j] != labels[i]]
-    return out
+            order = np.lexsort((-slack, i))
+            i, j = i[order], j[order]
+            i, j = (x[_rank(i) < 1] for x in (i, j))
+        firsts.append(i)
+        seconds.append(j)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+def _rank(sorted_keys: np.ndarray) -> np.ndarray:
+    """Place of each element among its equals."""
+    if not len(sorted_keys):
+        return sorted_keys
+    starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return np.arange(len(sorted_keys)) - np.repeat(starts, np.diff(np.append(starts, len(sorted_keys))))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.RecordBatch]:
@@ -174,33 +212,16 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
 
     def made(tile: np.ndarray, names: np.ndarray, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None, fine: np.ndarray | None) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        length = np.diff(np.append(cut, len(tile)))
-        small = np.repeat(length <= FAN, length)
         firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, FAN):  # all small tiles together: pairs so many rows apart
-            i = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:])) if step < len(tile) else firsts[0]
-            if labels is not None:
-                i = i[labels[i] != labels[i + step]]
-            for at in range(0, len(i), 1 << 16):
-                k = i[at : at + (1 << 16)]
-                k = k[np.minimum(points[k], points[k + step]).sum(axis=1) >= needed(sizes[k], sizes[k + step])]
-                firsts.append(k)
-                seconds.append(k + step)
+        for c, d in zip(cut.tolist(), [*cut[1:].tolist(), len(tile)], strict=True):
+            x, y = tile_pairs(sizes[c:d], points[c:d], labels[c:d] if labels is not None else None)
+            firsts.append(x + c)
+            seconds.append(y + c)
         i, j = np.concatenate(firsts), np.concatenate(seconds)
-        if labels is None and len(i):  # for each row the nearest earlier one
-            slack = np.minimum(points[i], points[j]).sum(axis=1) - needed(sizes[i], sizes[j])
-            order = np.lexsort((-slack, j))
-            keep = order[np.concatenate([[True], j[order][1:] != j[order][:-1]])]
-            i, j = i[keep], j[keep]
-        more = [np.stack([i, j], axis=1)]
-        for c, n in zip(cut[length > FAN].tolist(), length[length > FAN].tolist(), strict=True):
-            s = slice(c, c + n)
-            more.append(np.array(tile_pairs(sizes[s], points[s], labels[s] if labels is not None else None), np.int64).reshape(-1, 2) + c)
-        i, j = np.concatenate(more).T
         if fine is not None and len(i):
             ok = fine_bounds(fine.tolist(), i, j) >= needed(sizes[i].astype(np.int64), sizes[j].astype(np.int64))
             i, j = i[ok], j[ok]
-        pairs = np.array(sorted({(min(a, b), max(a, b)) for a, b in zip(names[i].tolist(), names[j].tolist(), strict=True)}), np.int64).reshape(-1, 2)
+        pairs = np.unique(np.stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     held: list[np.ndarray] | None = None
@@ -210,7 +231,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
         raw = b"".join(b.column("point").to_pylist())
         points = np.frombuffer(raw, "<u2").reshape(-1, GROUPS).astype(np.int32)
         points[points == int(_FULL)] = 1 << 24
-        now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy(), points]
+        now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy().astype(np.int64), points]
         if labelled:
             now.append(b.column("label").to_numpy())
             now.append(np.array(b.column("fine").to_pylist() + [None], object)[:-1])
@@ -284,23 +305,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb"), run, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row.
-
-    Texts without words (null, empty) have no shingles and link with nothing;
-    their component is their own doc_id. Rows with a null doc_id are no source
-    of a component_id: they get the smallest doc_id that they link with, else
-    null. Rows that repeat, or share a doc_id, each count. An empty table gives
-    no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    n = max(1, shuffle_partitions(spark))
-    rows = scratch.write(gram_sets(docs), "sets")
+def tiled(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The whole sets (name, n, point, fine, grams) of classes that may link,
+    and their tiles (tile, name, n, point, members), from the documents and
+    their ``gram_sets``. A gram's frequency is counted on the map side and
+    joined to its rows, so one that very many classes share is no single task."""
     # 1, 2: classes of equal sets; those whose part of the hash space is shared enough.
     classes = rows.where("name is not null").select("name", "n", "part", "judged").dropDuplicates(["name"])
     grams = classes.select("name", "judged", F.posexplode("part").alias("at", "g")).select("name", "g", (F.col("at") < F.col("judged")).alias("own"))
-    shared = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("own and df > 1").groupBy("name").agg(F.count("*").alias("shared"))
+    twice = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1").select("g")
+    shared = grams.where("own").select("name", "g").join(twice, "g", "left_semi").groupBy("name").agg(F.count("*").alias("shared"))
     spare = F.floor(F.col("n") / 5)
     kept = classes.select("name", "n", F.col("judged").alias("r")).join(shared, "name", "left")
     kept = scratch.write(kept.where(F.coalesce("shared", F.lit(0)) >= F.col("r") - spare).select("name"), "kept")
@@ -311,38 +325,59 @@ def join(docs: DataFrame) -> DataFrame:
     # 3: whole sets of the rest, rarity, tiles.
     sets = scratch.write(_whole_sets(texts).join(kept, "name", "left_semi").dropDuplicates(["name"]), "whole")
     grams = sets.select("name", F.explode("grams").alias("g"))
-    ranked = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
-    by_class = ranked.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs")).join(sets.select("name", "n", "point"), "name")
+    ranked = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
+    by_class = ranked.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs")).join(sets.select("name", "n"), "name")
     take = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("gs"))
-    tiles = by_class.where(take > 0).select("name", "n", "point", F.explode(F.slice("gs", F.lit(1), take.cast("int"))).alias("x")).select(F.col("x.g").alias("gram"), F.col("x.df").alias("df"), "name", "n", "point")
-    tiles = scratch.write(tiles.withColumn("members", F.count("*").over(Window.partitionBy("gram"))).where("members > 1").drop("df"), "tiles")
-    most = tiles.agg(F.max("members")).head()[0] or 0
+    prefix = scratch.write(by_class.where(take > 0).select("name", F.explode(F.slice("gs.g", F.lit(1), take.cast("int"))).alias("gram")), "prefix")
+    prefix = prefix.join(prefix.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "gram", "left_semi")
+    bundles = max(1, prefix.count() // TILE_POINTS)
+    members = prefix.select(F.pmod(F.xxhash64("gram"), F.lit(bundles)).alias("tile"), "name").distinct()
+    sized = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
+    return sets, scratch.write(members.join(sized, "tile").join(sets.select("name", "n", "point"), "name"), "tiles")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row.
+
+    Texts without words (null, empty) have no shingles and link with nothing;
+    their component is their own doc_id. Rows with a null doc_id are no source
+    of a component_id: they get the smallest doc_id that they link with, else
+    null. Rows that repeat, or share a doc_id, each count. An empty table gives
+    no rows.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    n = max(1, shuffle_partitions(spark))
+    rows = scratch.write(gram_sets(docs), "sets")
+    sets, tiles = tiled(docs, rows, scratch)
+    large = tiles.where(F.col("members") > TILE_ROWS).head(1)
 
     def candidates(labels: DataFrame | None, salt: int) -> DataFrame:
         parts = F.ceil(F.col("members") / TILE_ROWS)
-        own = F.pmod(F.xxhash64("name", F.lit(salt)), parts)
-        t = tiles.withColumn("own", own)
-        if labels is None:
-            t = t.withColumn("tile", F.xxhash64("gram", "own"))
-        else:
+        t = tiles.withColumn("part", F.pmod(F.xxhash64("name", F.lit(salt)), parts))
+        if labels is not None:
             t = t.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-            mixed = Window.partitionBy("gram")
-            t = t.withColumn("lo", F.min("label").over(mixed)).withColumn("hi", F.max("label").over(mixed)).where("lo != hi")
-            t = t.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("tile", F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")))
+            mixed = t.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tile")
+            t = t.join(mixed, "tile", "left_semi")
+            if large:  # members outside a large tile's commonest component go to all of its parts
+                common = t.where(F.col("members") > TILE_ROWS).groupBy("tile", "label").agg(F.count("*").alias("c")).groupBy("tile").agg(F.max_by("label", F.struct("c", "label")).alias("common"))
+                t = t.join(common, "tile", "left")
+                apart = F.col("common").isNotNull() & (F.col("label") != F.col("common"))
+                t = t.withColumn("part", F.explode(F.when(apart, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.col("part").cast("long")))))
             t = t.join(sets.select("name", "fine"), "name")
-        cols = ["tile", "name", "n", "point"] + (["label", "fine"] if labels is not None else [])
+        cols = [F.xxhash64("tile", "part").alias("tile"), "name", "n", "point"] + (["label", "fine"] if labels is not None else [])
         t = t.select(*cols).repartition(n, "tile").sortWithinPartitions("tile", "n", "name")
         return map_arrow(t, (lambda it: _pairs(it, True)) if labels is not None else (lambda it: _pairs(it, False)), "a long, b long").distinct()
 
     edges = scratch.write(_verified(candidates(None, 0), sets), "edges0")
     labels = components(edges, scratch, "near")
-    if most > TILE_ROWS:  # parts of large tiles meet others when dealt anew
+    if large:  # parts of large tiles meet others when dealt anew
         edges = scratch.write(edges.union(_verified(candidates(None, 1), sets)), "edges1")
         labels = components(edges, scratch, "again")
     more = scratch.write(_verified(candidates(labels, 2), sets), "edges2")
     if more.head(1):
         labels = components(edges.union(more), scratch, "all")
-    scratch.drop("whole", "tiles")
+    scratch.drop("whole", "prefix", "tiles")
     # Names to components, and those to their smallest doc_id.
     found = rows.select("doc_id", "n", "name").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
@@ -355,7 +390,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     (rows with a null doc_id stay; of rows with one doc_id all that repeat)."""
     parts = join(docs)
     first = parts.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").union(docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns))
+    return docs.where("doc_id is null").union(docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*columns(docs)))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,15 +115,44 @@ def test_tree_bounds_hold():
     points = np.array([jaccard_join.count_vector(s) for s in sets]).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
     tree = jaccard_join.CountTree(points, sizes)
+    q, leaf, _ = tree.leaves(points, sizes)
+    near = set(zip(*(x.tolist() for x in tree.within(points, sizes, q, leaf)[:2]), strict=True))
     for i in range(150):
-        leaves, _ = tree.leaves(points[i], int(sizes[i]))
-        near, _ = tree.within(points[i], int(sizes[i]), leaves)
         for j in range(150):
             overlap = len(np.intersect1d(sets[i], sets[j]))
             fine = jaccard_join.fine_bounds([jaccard_join.fine_vector(sets[i]).tobytes(), jaccard_join.fine_vector(sets[j]).tobytes()], np.array([0]), np.array([1]))[0]
             assert fine >= overlap
             if 180 * overlap >= 80 * (sizes[i] + sizes[j]):
-                assert j in near
+                assert (i, j) in near
+
+
+def test_the_tree_decides_candidates(spark):
+    """Tiles of given documents are large enough for inner searches, and the
+    search leaves most leaves and points of them out, but no pair that links."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "t")
+    sets, tiles = jaccard_join.tiled(frame, scratch.write(jaccard_join.gram_sets(frame), "sets"), scratch)
+    grams = {r["name"]: np.array(r["grams"]) for r in sets.collect()}
+    by_tile = collections.defaultdict(list)
+    for r in tiles.collect():
+        by_tile[r["tile"]].append(r)
+    assert max(map(len, by_tile.values())) > 3 * jaccard_join.FAN
+    leaves = searched = compared = pairs = 0
+    for rows in by_tile.values():
+        points = np.array([np.frombuffer(r["point"], "<u2") for r in rows]).astype(np.int32)
+        sizes = np.array([r["n"] for r in rows])
+        tree = jaccard_join.CountTree(points, sizes)
+        q, leaf, _ = tree.leaves(points, sizes)
+        leaves, searched = leaves + len(rows) * len(tree.starts), searched + len(q)
+        i, j, _ = tree.within(points, sizes, q, leaf)
+        found = set(zip(i.tolist(), j.tolist(), strict=True))
+        compared, pairs = compared + len(found), pairs + len(rows) ** 2
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(np.intersect1d(grams[rows[a]["name"]], grams[rows[b]["name"]]))
+                if 180 * both >= 80 * (sizes[a] + sizes[b]):
+                    assert (a, b) in found and (b, a) in found
+    assert searched < 0.7 * leaves and compared < 0.3 * pairs, (leaves, searched, pairs, compared)
 
 
 def test_connected_components(spark):
