@@ -210,7 +210,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
     """Rows sorted by tile to distinct pairs (a < b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def made(tile: np.ndarray, names: np.ndarray, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None, fine: np.ndarray | None) -> pa.RecordBatch:
+    def made(tile: np.ndarray, names: np.ndarray, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None = None) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for c, d in zip(cut.tolist(), [*cut[1:].tolist(), len(tile)], strict=True):
@@ -218,9 +218,6 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
             firsts.append(x + c)
             seconds.append(y + c)
         i, j = np.concatenate(firsts), np.concatenate(seconds)
-        if fine is not None and len(i):
-            ok = fine_bounds(fine.tolist(), i, j) >= needed(sizes[i].astype(np.int64), sizes[j].astype(np.int64))
-            i, j = i[ok], j[ok]
         pairs = np.unique(np.stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
@@ -234,16 +231,15 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
         now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy().astype(np.int64), points]
         if labelled:
             now.append(b.column("label").to_numpy())
-            now.append(np.array(b.column("fine").to_pylist() + [None], object)[:-1])
         if held is not None:
             now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
         whole = int(np.searchsorted(now[0], now[0][-1])) if now[0][0] != now[0][-1] else 0
         if whole:
             part = [x[:whole] for x in now]
-            yield made(*part, *([] if labelled else [None, None]))
+            yield made(*part)
         held = [x[whole:] for x in now]
     if held is not None:
-        yield made(*held, *([] if labelled else [None, None]))
+        yield made(*held)
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
@@ -289,6 +285,20 @@ def _whole_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "name long, n int, point binary, fine binary, grams array<long>")
 
 
+def _finely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that pass the bound of vectors with more groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = b.column("fa").to_pylist() + b.column("fb").to_pylist()
+            i = np.arange(b.num_rows)
+            ok = fine_bounds(fine, i, i + b.num_rows) >= needed(b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy().astype(np.int64))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    fa, fb = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
+    return map_arrow(pairs.join(fa, "a").join(fb, "b").select("a", "b", "na", "nb", "fa", "fb"), run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets."""
 
@@ -309,14 +319,20 @@ def tiled(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame
     """The whole sets (name, n, point, fine, grams) of classes that may link,
     and their tiles (tile, name, n, point, members), from the documents and
     their ``gram_sets``. A gram's frequency is counted on the map side and
-    joined to its rows, so one that very many classes share is no single task."""
+    its rows are then found by a join, so one that very many classes share is no
+    single task."""
     # 1, 2: classes of equal sets; those whose part of the hash space is shared enough.
     classes = rows.where("name is not null").select("name", "n", "part", "judged").dropDuplicates(["name"])
     grams = classes.select("name", "judged", F.posexplode("part").alias("at", "g")).select("name", "g", (F.col("at") < F.col("judged")).alias("own"))
-    twice = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1").select("g")
-    shared = grams.where("own").select("name", "g").join(twice, "g", "left_semi").groupBy("name").agg(F.count("*").alias("shared"))
+    # A gram of two classes tells them by its least and largest; a class is known here by 63 bits, and the lowest bit says ``own``.
+    known = F.shiftleft("name", 1)
+    grams = grams.select("g", known.bitwiseOR(F.col("own").cast("long")).alias("x"))
+    told = scratch.write(grams.groupBy("g").agg(F.count("*").alias("df"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("df > 1"), "grams")
+    many = grams.join(told.where("df > 2").select("g"), "g", "left_semi").select("x")
+    marks = told.where("df = 2").select(F.explode(F.array("lo", "hi")).alias("x")).union(many).where(F.col("x").bitwiseAND(F.lit(1)) == 1)
+    shared = marks.groupBy((F.col("x") - 1).alias("known")).agg(F.count("*").alias("shared"))
     spare = F.floor(F.col("n") / 5)
-    kept = classes.select("name", "n", F.col("judged").alias("r")).join(shared, "name", "left")
+    kept = classes.select("name", "n", F.col("judged").alias("r"), known.alias("known")).join(shared, "known", "left")
     kept = scratch.write(kept.where(F.coalesce("shared", F.lit(0)) >= F.col("r") - spare).select("name"), "kept")
     # Texts are found again by doc_id; those without one all are, and their classes told by name.
     heads = rows.join(kept, "name", "left_semi").groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null").distinct()
@@ -364,8 +380,7 @@ def join(docs: DataFrame) -> DataFrame:
                 t = t.join(common, "tile", "left")
                 apart = F.col("common").isNotNull() & (F.col("label") != F.col("common"))
                 t = t.withColumn("part", F.explode(F.when(apart, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.col("part").cast("long")))))
-            t = t.join(sets.select("name", "fine"), "name")
-        cols = [F.xxhash64("tile", "part").alias("tile"), "name", "n", "point"] + (["label", "fine"] if labels is not None else [])
+        cols = [F.xxhash64("tile", "part").alias("tile"), "name", "n", "point"] + (["label"] if labels is not None else [])
         t = t.select(*cols).repartition(n, "tile").sortWithinPartitions("tile", "n", "name")
         return map_arrow(t, (lambda it: _pairs(it, True)) if labels is not None else (lambda it: _pairs(it, False)), "a long, b long").distinct()
 
@@ -374,10 +389,10 @@ def join(docs: DataFrame) -> DataFrame:
     if large:  # parts of large tiles meet others when dealt anew
         edges = scratch.write(edges.union(_verified(candidates(None, 1), sets)), "edges1")
         labels = components(edges, scratch, "again")
-    more = scratch.write(_verified(candidates(labels, 2), sets), "edges2")
+    more = scratch.write(_verified(_finely(candidates(labels, 2), sets), sets), "edges2")
     if more.head(1):
         labels = components(edges.union(more), scratch, "all")
-    scratch.drop("whole", "prefix", "tiles")
+    scratch.drop("kept", "grams", "whole", "prefix", "tiles")
     # Names to components, and those to their smallest doc_id.
     found = rows.select("doc_id", "n", "name").join(labels.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component"))
