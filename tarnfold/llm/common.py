@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]"
 WORD_RE = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words held in a worker's cache of word hashes; beyond it the cache starts anew.
 WORD_CACHE = 300_000
 
@@ -56,9 +58,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Writes ``df`` and returns a reader of it, whose lineage is the files."""
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        """Writes ``df`` and returns a reader of it, whose lineage is the files.
+        Spark drops the write's shuffle files at its end, as nothing reads them again."""
+        schema, conf = df.schema, self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -22,7 +22,8 @@ such that two that link meet in one at least, by exact conditions only:
    with nothing.
 
 In a tile only the tree decides who is compared: all members search it at once,
-level by level. The first search gives each member its nearest partner, so that
+level by level. Beside its numbers a node keeps a signature of the grams for
+which its points are in the tile, as two that link have one in common. The first search gives each member its nearest partner, so that
 large groups of near copies join by as many links as members. Then all pairs of
 a tile that are not yet in one component and pass the bounds, also that of
 vectors with more groups, are verified: no link between different components is
@@ -54,9 +55,11 @@ GROUPS = 64
 PART, SMALL = 0.3, 64
 SHOWN = SMALL * 100 // PERCENT
 #: Grams of a tile, about (a document may have several of them); a tile of more than ``TILE_ROWS`` members is searched in parts.
-TILE_POINTS, TILE_ROWS = 1024, 20_000
+TILE_POINTS, TILE_ROWS = 512, 20_000
 #: Points in a leaf, and children of a node.
 FAN = 16
+#: Words of the signature of the grams for which a document is in a tile.
+SIGNS = 4
 #: Pairs of point and node bounded at once.
 AT_ONCE = 1 << 16
 _FULL = np.uint16(65535)
@@ -104,9 +107,9 @@ class CountTree:
     """An R-tree over count vectors and sizes, loaded at once: points are split
     at the median of the coordinate that varies most (the sizes' logarithm
     counts like the whole vector) until they fit a leaf. A node knows the
-    largest numbers, and the least and largest size, of what it holds."""
+    largest numbers, the least and largest size, and all signs of what it holds."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, signs: np.ndarray):
         order: list[np.ndarray] = []
         todo = [np.arange(len(points))]
         logs = np.log(np.maximum(sizes, 1))
@@ -121,24 +124,26 @@ class CountTree:
             half = np.argpartition(key, len(ids) // 2)
             todo += [ids[half[len(ids) // 2 :]], ids[half[: len(ids) // 2]]]
         self.ids = np.concatenate(order)
-        self.points, self.sizes = points[self.ids], sizes[self.ids]
+        self.points, self.sizes, self.signs = points[self.ids], sizes[self.ids], signs[self.ids]
         ends = np.cumsum([len(x) for x in order])
         self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends
         self.tops = [np.maximum.reduceat(self.points, self.starts)]
         self.least, self.most = [np.minimum.reduceat(self.sizes, self.starts)], [np.maximum.reduceat(self.sizes, self.starts)]
+        self.all_signs = [np.bitwise_or.reduceat(self.signs, self.starts)]
         while len(self.tops[-1]) > FAN:
             at = np.arange(0, len(self.tops[-1]), FAN)
             self.tops.append(np.maximum.reduceat(self.tops[-1], at))
             self.least.append(np.minimum.reduceat(self.least[-1], at))
             self.most.append(np.maximum.reduceat(self.most[-1], at))
+            self.all_signs.append(np.bitwise_or.reduceat(self.all_signs[-1], at))
 
-    def leaves(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def leaves(self, points: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, leaf, slack) of the leaves that may hold a query's partner;
         slack is the bound on the overlap less what a link needs at least."""
         q = np.repeat(np.arange(len(points)), len(self.tops[-1]))
         node = np.tile(np.arange(len(self.tops[-1])), len(points))
         for level in range(len(self.tops) - 1, -1, -1):
-            ok = 100 * self.most[level][node] >= PERCENT * sizes[q]
+            ok = (100 * self.most[level][node] >= PERCENT * sizes[q]) & (self.all_signs[level][node] & signs[q]).any(axis=1)
             q, node = q[ok], node[ok]
             slack = _overlaps(self.tops[level], node, points, q) - needed(sizes[q], self.least[level][node])
             q, node, slack = q[slack >= 0], node[slack >= 0], slack[slack >= 0]
@@ -147,11 +152,13 @@ class CountTree:
                 q, node = q[node < len(self.tops[level - 1])], node[node < len(self.tops[level - 1])]
         return q, node, slack
 
-    def within(self, points: np.ndarray, sizes: np.ndarray, q: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(self, points: np.ndarray, sizes: np.ndarray, signs: np.ndarray, q: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, slack) of those leaves' points that pass the bound."""
         lengths = self.ends[leaf] - self.starts[leaf]
         at = np.arange(int(lengths.sum())) + np.repeat(self.starts[leaf] - np.cumsum(lengths) + lengths, lengths)
         q = np.repeat(q, lengths)
+        ok = (self.signs[at] & signs[q]).any(axis=1)
+        q, at = q[ok], at[ok]
         slack = _overlaps(self.points, at, points, q) - needed(sizes[q], self.sizes[at])
         return q[slack >= 0], self.ids[at[slack >= 0]], slack[slack >= 0]
 
@@ -164,7 +171,7 @@ def _overlaps(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.
     return out
 
 
-def tile_pairs(sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(sizes: np.ndarray, points: np.ndarray, signs: np.ndarray, labels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one tile's rows to verify: without labels, a near partner for each
     member; with labels, all that pass the bound and have different labels."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -176,16 +183,16 @@ def tile_pairs(sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None)
         search = np.flatnonzero(labels != values[np.argmax(counts)])
     if len(sizes) < 2:
         return none
-    tree, firsts, seconds = CountTree(points, sizes), [none[0]], [none[0]]
+    tree, firsts, seconds = CountTree(points, sizes, signs), [none[0]], [none[0]]
     step = max(1, 4 * AT_ONCE // max(1, len(tree.starts)))
     for k in range(0, len(search), step):
         mine = search[k : k + step]
-        q, leaf, slack = tree.leaves(points[mine], sizes[mine])
+        q, leaf, slack = tree.leaves(points[mine], sizes[mine], signs[mine])
         if labels is None:  # the three most promising leaves
             order = np.lexsort((-slack, q))
             q, leaf = q[order], leaf[order]
             q, leaf = (x[_rank(q) < 3] for x in (q, leaf))
-        q, j, slack = tree.within(points[mine], sizes[mine], q, leaf)
+        q, j, slack = tree.within(points[mine], sizes[mine], signs[mine], q, leaf)
         i = mine[q]
         ok = i != j if labels is None else labels[i] != labels[j]
         i, j, slack = i[ok], j[ok], slack[ok]
@@ -210,11 +217,11 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
     """Rows sorted by tile to distinct pairs (a < b)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def made(tile: np.ndarray, names: np.ndarray, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray | None = None) -> pa.RecordBatch:
+    def made(tile: np.ndarray, names: np.ndarray, sizes: np.ndarray, points: np.ndarray, signs: np.ndarray, labels: np.ndarray | None = None) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
         firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for c, d in zip(cut.tolist(), [*cut[1:].tolist(), len(tile)], strict=True):
-            x, y = tile_pairs(sizes[c:d], points[c:d], labels[c:d] if labels is not None else None)
+            x, y = tile_pairs(sizes[c:d], points[c:d], signs[c:d], labels[c:d] if labels is not None else None)
             firsts.append(x + c)
             seconds.append(y + c)
         i, j = np.concatenate(firsts), np.concatenate(seconds)
@@ -228,7 +235,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
         raw = b"".join(b.column("point").to_pylist())
         points = np.frombuffer(raw, "<u2").reshape(-1, GROUPS).astype(np.int32)
         points[points == int(_FULL)] = 1 << 24
-        now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy().astype(np.int64), points]
+        now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy().astype(np.int64), points, np.stack([b.column(f"sign{k}").to_numpy() for k in range(SIGNS)], axis=1)]
         if labelled:
             now.append(b.column("label").to_numpy())
         if held is not None:
@@ -317,7 +324,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def tiled(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The whole sets (name, n, point, fine, grams) of classes that may link,
-    and their tiles (tile, name, n, point, members), from the documents and
+    and their tiles (tile, name, n, point, signs, members), from the documents and
     their ``gram_sets``. A gram's frequency is counted on the map side and
     its rows are then found by a join, so one that very many classes share is no
     single task."""
@@ -347,7 +354,10 @@ def tiled(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame
     prefix = scratch.write(by_class.where(take > 0).select("name", F.explode(F.slice("gs.g", F.lit(1), take.cast("int"))).alias("gram")), "prefix")
     prefix = prefix.join(prefix.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "gram", "left_semi")
     bundles = max(1, prefix.count() // TILE_POINTS)
-    members = prefix.select(F.pmod(F.xxhash64("gram"), F.lit(bundles)).alias("tile"), "name").distinct()
+    sign = F.expr("shiftleft(1L, cast(gram & 63L AS int))")
+    word = F.pmod(F.shiftright("gram", 6), F.lit(SIGNS))
+    signs = [F.bit_or(F.when(word == k, sign).otherwise(F.lit(0).cast("long"))).alias(f"sign{k}") for k in range(SIGNS)]
+    members = prefix.groupBy(F.pmod(F.xxhash64("gram"), F.lit(bundles)).alias("tile"), "name").agg(*signs)
     sized = members.groupBy("tile").agg(F.count("*").alias("members")).where("members > 1")
     return sets, scratch.write(members.join(sized, "tile").join(sets.select("name", "n", "point"), "name"), "tiles")
 
@@ -380,7 +390,7 @@ def join(docs: DataFrame) -> DataFrame:
                 t = t.join(common, "tile", "left")
                 apart = F.col("common").isNotNull() & (F.col("label") != F.col("common"))
                 t = t.withColumn("part", F.explode(F.when(apart, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.col("part").cast("long")))))
-        cols = [F.xxhash64("tile", "part").alias("tile"), "name", "n", "point"] + (["label"] if labels is not None else [])
+        cols = [F.xxhash64("tile", "part").alias("tile"), "name", "n", "point", *[f"sign{k}" for k in range(SIGNS)]] + (["label"] if labels is not None else [])
         t = t.select(*cols).repartition(n, "tile").sortWithinPartitions("tile", "n", "name")
         return map_arrow(t, (lambda it: _pairs(it, True)) if labels is not None else (lambda it: _pairs(it, False)), "a long, b long").distinct()
 
