@@ -48,8 +48,8 @@ from .components import components
 WORDS = 5
 #: Two sets link from this many hundredths of their union on.
 PERCENT = 80
-#: Groups of the count vector.
-GROUPS = 64
+#: Groups of a point, and of the tree's nodes, whose groups are several of a point's.
+GROUPS, NODE_GROUPS = 256, 64
 #: Part of the hash space looked at first; sets of at most ``SMALL`` grams are judged whole, so
 #: their partners, of at most ``SHOWN`` grams, show all of theirs.
 PART, SMALL = 0.3, 64
@@ -62,12 +62,18 @@ FAN = 16
 SIGNS = 4
 #: Pairs of point and node bounded at once.
 AT_ONCE = 1 << 16
-_FULL = np.uint16(65535)
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    """Grams in each group; the largest number stands for itself or more."""
-    return np.minimum(np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), int(_FULL)).astype("<u2")
+    """Grams in each group; 255 stands for itself or more."""
+    return np.minimum(np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+
+
+def opened(points: bytes) -> np.ndarray:
+    """Count vectors as numbers that bound, one row each."""
+    out = np.frombuffer(points, np.uint8).reshape(-1, GROUPS).astype(np.uint16)
+    out[out == 255] = 60_000
+    return out
 
 
 def fine_vector(grams: np.ndarray) -> np.ndarray:
@@ -109,7 +115,8 @@ class CountTree:
     counts like the whole vector) until they fit a leaf. A node knows the
     largest numbers, the least and largest size, and all signs of what it holds."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, signs: np.ndarray):
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray, signs: np.ndarray):
+        points = folded(fine)
         order: list[np.ndarray] = []
         todo = [np.arange(len(points))]
         logs = np.log(np.maximum(sizes, 1))
@@ -124,10 +131,11 @@ class CountTree:
             half = np.argpartition(key, len(ids) // 2)
             todo += [ids[half[len(ids) // 2 :]], ids[half[: len(ids) // 2]]]
         self.ids = np.concatenate(order)
-        self.points, self.sizes, self.signs = points[self.ids], sizes[self.ids], signs[self.ids]
+        self.points, self.sizes, self.signs = fine[self.ids], sizes[self.ids], signs[self.ids]
+        points = points[self.ids]
         ends = np.cumsum([len(x) for x in order])
         self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends
-        self.tops = [np.maximum.reduceat(self.points, self.starts)]
+        self.tops = [np.maximum.reduceat(points, self.starts)]
         self.least, self.most = [np.minimum.reduceat(self.sizes, self.starts)], [np.maximum.reduceat(self.sizes, self.starts)]
         self.all_signs = [np.bitwise_or.reduceat(self.signs, self.starts)]
         while len(self.tops[-1]) > FAN:
@@ -142,6 +150,7 @@ class CountTree:
         slack is the bound on the overlap less what a link needs at least."""
         q = np.repeat(np.arange(len(points)), len(self.tops[-1]))
         node = np.tile(np.arange(len(self.tops[-1])), len(points))
+        points = folded(points)
         for level in range(len(self.tops) - 1, -1, -1):
             ok = (100 * self.most[level][node] >= PERCENT * sizes[q]) & (self.all_signs[level][node] & signs[q]).any(axis=1)
             q, node = q[ok], node[ok]
@@ -163,11 +172,16 @@ class CountTree:
         return q[slack >= 0], self.ids[at[slack >= 0]], slack[slack >= 0]
 
 
+def folded(points: np.ndarray) -> np.ndarray:
+    """Points in the groups of the tree's nodes."""
+    return points.reshape(len(points), -1, NODE_GROUPS).sum(axis=1, dtype=np.int32)
+
+
 def _overlaps(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sums of the smaller numbers of rows i of a and j of b."""
     out = np.empty(len(i), np.int64)
     for k in range(0, len(i), AT_ONCE):
-        out[k : k + AT_ONCE] = np.minimum(a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]]).sum(axis=1)
+        out[k : k + AT_ONCE] = np.minimum(a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -232,9 +246,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], labelled: bool) -> Iterator[pa.Rec
     for b in batches:
         if not b.num_rows:
             continue
-        raw = b"".join(b.column("point").to_pylist())
-        points = np.frombuffer(raw, "<u2").reshape(-1, GROUPS).astype(np.int32)
-        points[points == int(_FULL)] = 1 << 24
+        points = opened(b"".join(b.column("point").to_pylist()))
         now = [b.column("tile").to_numpy(), b.column("name").to_numpy(), b.column("n").to_numpy().astype(np.int64), points, np.stack([b.column(f"sign{k}").to_numpy() for k in range(SIGNS)], axis=1)]
         if labelled:
             now.append(b.column("label").to_numpy())

@@ -112,7 +112,7 @@ def test_tree_bounds_hold():
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)) for _ in range(150)]
     for k in range(0, 150, 3):
         sets[k + 1] = np.union1d(sets[k][: int(len(sets[k]) * 0.95)], sets[k + 1][:2])
-    points = np.array([jaccard_join.count_vector(s) for s in sets]).astype(np.int32)
+    points = jaccard_join.opened(b"".join(jaccard_join.count_vector(s).tobytes() for s in sets))
     sizes = np.array([len(s) for s in sets])
     signs = np.ones((150, jaccard_join.SIGNS), np.int64)
     tree = jaccard_join.CountTree(points, sizes, signs)
@@ -141,7 +141,7 @@ def test_the_tree_decides_candidates(spark):
     leaves = searched = compared = pairs = 0
     links, met = set(), set()
     for rows in by_tile.values():
-        points = np.array([np.frombuffer(r["point"], "<u2") for r in rows]).astype(np.int32)
+        points = jaccard_join.opened(b"".join(r["point"] for r in rows))
         sizes = np.array([r["n"] for r in rows])
         signs = np.array([[r[f"sign{k}"] for k in range(jaccard_join.SIGNS)] for r in rows])
         tree = jaccard_join.CountTree(points, sizes, signs)
@@ -279,54 +279,95 @@ def test_mixed_documents(spark):
     assert where == sorted(where)
 
 
-def brute_katz(rows):
-    words, pairs, starts, seen_docs = collections.Counter(), collections.Counter(), collections.Counter(), []
-    for i, t, *_ in rows:
-        w = [x.decode() for x in words_of(t)] + ["\0end"]
-        held = zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-        seen_docs.append((i, w, held))
-        if not held:
-            words.update(w)
-            for h, x in zip(["\0start", *w], w, strict=False):
-                pairs[h, x] += 1
-                starts[h] += 1
-    total, k = sum(words.values()), katz.K
-    counts = lambda c: [sum(v == r for v in c.values()) for r in range(1, k + 2)]
-    d1, d2 = katz.discounts(counts(words)), katz.discounts(counts(pairs))
-    mass = sum(d1[min(c, k + 1)] * c for c in words.values())
-    whole = total if total - mass > 1e-9 * max(total, 1) else total + 1
-    p1 = lambda x: d1[min(words[x], k + 1)] * words[x] / whole if x in words else (whole - mass) / whole
-    seen, below, by_h = collections.Counter(), collections.Counter(), collections.defaultdict(list)
-    for (h, x), c in pairs.items():
-        seen[h] += d2[min(c, k + 1)] * c
-        below[h] += p1(x)
-        by_h[h].append((x, c))
-
-    def p2(h, x):
-        if not starts[h]:
-            return p1(x)
-        n = starts[h] if starts[h] - seen[h] > 1e-9 * starts[h] else starts[h] + 1
-        c = pairs[h, x] if (h, x) in pairs else 0
-        return d2[min(c, k + 1)] * c / n if c else (n - seen[h]) / n / (1 - below[h]) * p1(x)
-
-    out = []
-    for i, w, held in seen_docs:
-        base = sum(math.log10((words[x] + 0.5) / (total + 0.5 * (len(words) + 1))) for x in w)
-        out.append((i, held, len(w), sum(x in words for x in w), total, round(base, 6), round(sum(math.log10(p2(h, x)) for h, x in zip(["\0start", *w], w, strict=False)), 6)))
-    return out, p1, p2, words, by_h
+def good_turing(counts, k=5):
+    """Katz's factors by count: adjusted counts, scaled so that those above k stay."""
+    n = collections.Counter(counts)
+    out = {}
+    for r in range(1, k + 1):
+        factor = 0.0
+        if n[1] and n[r]:
+            common = (k + 1) * n[k + 1] / n[1]
+            if common < 1:
+                factor = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common)
+        if not 0 < factor < 1:  # absolute discounting instead
+            factor = 1 - (n[1] / (n[1] + 2 * n[2]) if n[2] else 0.5) / r if n[1] else 1.0
+        out[r] = factor
+    return out
 
 
-@pytest.mark.parametrize("tokens", [katz.BLOCK_TOKENS, 300])
-def test_katz_scores(spark, monkeypatch, tokens):
+class BruteKatz:
+    def __init__(self, rows, order):
+        self.order, self.docs = order, []
+        self.c = [collections.Counter() for _ in range(order + 1)]  # n-grams of events by order
+        self.h = [collections.Counter() for _ in range(order + 1)]  # histories followed by an event
+        for i, t, *_ in rows:
+            w = ["<s>"] * (order - 1) + [x.decode() for x in words_of(t)] + ["</s>"]
+            held = zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+            self.docs.append((i, w, held))
+            if not held:
+                for at in range(order - 1, len(w)):
+                    for k in range(1, order + 1):
+                        self.c[k][tuple(w[at - k + 1 : at + 1])] += 1
+                        self.h[k][tuple(w[at - k + 1 : at])] += 1
+        self.d = [None] + [good_turing(self.c[k].values()) for k in range(1, order + 1)]
+        self.n = sum(self.c[1].values())
+        self.after = [collections.defaultdict(list) for _ in range(order + 1)]
+        for k in range(1, order + 1):
+            for g in self.c[k]:
+                self.after[k][g[:-1]].append(g[-1])
+        self.cache = {}
+
+    def weight(self, k, g):
+        c = self.c[k][g]
+        return self.d[k].get(c, 1.0) * c
+
+    def rest(self, h):
+        """What divides the counts after a history, what is left for others, and the back-off weight."""
+        if h not in self.cache:
+            k = len(h) + 1
+            total, seen = self.h[k][h], sum(self.weight(k, (*h, w)) for w in self.after[k][h])
+            whole = total if total - seen > 1e-9 * max(total, 1) else total + 1
+            left = (whole - seen) / whole
+            self.cache[h] = whole, left, left / (1 - sum(self.p(h[1:], w) for w in self.after[k][h])) if h else None
+        return self.cache[h]
+
+    def p(self, h, w):
+        k = len(h) + 1
+        if h and not self.h[k][h]:
+            return self.p(h[1:], w)
+        whole, left, alpha = self.rest(h)
+        if self.c[k][(*h, w)] if (*h, w) in self.c[k] else 0:
+            return self.weight(k, (*h, w)) / whole
+        return alpha * self.p(h[1:], w) if h else left
+
+    def scores(self):
+        v = len(self.c[1])
+        for i, w, held in self.docs:
+            events = w[self.order - 1 :]
+            base = sum(math.log10((self.c[1][(x,)] + 0.5) / (self.n + 0.5 * (v + 1))) for x in events)
+            score = sum(math.log10(self.p(tuple(w[at - self.order + 1 : at]), w[at])) for at in range(self.order - 1, len(w)))
+            yield i, held, len(events), sum((x,) in self.c[1] for x in events), self.n, round(base, 6), round(score, 6)
+
+
+@pytest.mark.parametrize("tokens, order", [(katz.BLOCK_TOKENS, 3), (300, 3), (700, 2), (400, 4)])
+def test_katz_scores(spark, monkeypatch, tokens, order):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)  # many blocks exchange counts
-    rows = corpus(5) + odd_rows()
-    want, p1, p2, words, by_h = brute_katz(rows)
-    found = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs(spark, rows)).collect()]
-    for a, b in zip(sorted(found, key=repr), sorted(want, key=repr), strict=True):
+    rng = random.Random(8)
+    rows = corpus(5) + odd_rows() + [(900 + i, prose(rng, 60, 25), "s") for i in range(40)]
+    brute = BruteKatz(rows, order)
+    found = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in katz.score(docs(spark, rows), order).collect()]
+    for a, b in zip(sorted(found, key=repr), sorted(brute.scores(), key=repr), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
     # Every history's probabilities and the unknown word's add up to 1.
-    for h in [*list(by_h)[:20], "never seen"]:
-        assert sum(p2(h, x) for x in words) + p2(h, "\0unknown") == pytest.approx(1)
+    words = [g[0] for g in brute.c[1]]
+    for h in [*list(brute.after[order])[:8], *list(brute.after[2])[:8], ("never seen",)]:
+        assert sum(brute.p(h, x) for x in words) + brute.p(h, "an unknown word") == pytest.approx(1)
+
+
+def test_katz_factors():
+    counts = [1] * 60 + [2] * 22 + [3] * 11 + [4] * 7 + [5] * 4 + [6] * 3 + [9, 40]
+    n = collections.Counter(counts)
+    assert katz.discounts([n[r] for r in range(1, katz.K + 2)])[1:6].tolist() == pytest.approx(list(good_turing(counts).values()))
 
 
 def test_katz_edges(spark):
