@@ -69,6 +69,15 @@ class Scratch:
             conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def read(self, df: DataFrame, name: str) -> DataFrame:
+        """A reader of a table with the columns of ``df``."""
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def rename(self, old: str, new: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        a, b = (jvm.org.apache.hadoop.fs.Path(self.path(x)) for x in (old, new))
+        a.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b)
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -1,34 +1,40 @@
-"""Katz back-off language model over word bigrams, fitted and evaluated where
-the text lies.
+"""Katz back-off language model over word n-grams of any order, fitted and
+evaluated where the text lies.
 
 Documents are gathered in blocks of up to a few million tokens. A block keeps
 its tokens as numbers of its own vocabulary, so only distinct words and distinct
-bigrams of a block, each with its count, are exchanged: every frequent n-gram
-costs a row for each block, not for each occurrence. The exchanges are
-
-* words: each block learns the training count of each of its words in all;
-* bigrams: the same, for bigrams that other blocks may hold too (a word found
-  in one block only makes its bigrams local);
-* histories: each bigram is owned by the first block that holds it; the owners'
+n-grams of a block, each with its count, are exchanged: every frequent n-gram
+costs a row for each block, not for each occurrence. Orders are taken from the
+lowest to the highest, and for each the exchanges are
+
+* n-grams: each block learns the training count of each of its n-grams in all.
+  An n-gram whose first or last words without the other end are found in one
+  block only is that block's alone and stays there;
+* histories: each n-gram is owned by the first block that holds it; the owners'
   sums over a history's continuations, added up, give its back-off weight.
 
-Counts ``r <= K`` are discounted by Good-Turing, the others are kept:
+Counts ``r <= K`` are discounted by Good-Turing at each order, the others kept:
 
     P(w)   = d1(c(w)) c(w) / N, what is left going to the unknown word
-    P(w|h) = d2(c(hw)) c(hw) / c(h)  if c(hw) > 0,  else  alpha(h) P(w)
-    alpha(h) = (1 - sum of the seen P(w|h)) / (1 - sum of the P(w) of seen w)
+    P(w|h) = dk(c(hw)) c(hw) / c(h)  if c(hw) > 0,  else  alpha(h) P(w|h')
+    alpha(h) = (1 - sum of the seen P(w|h)) / (1 - sum of the P(w|h') of seen w)
 
-so that for each history the probabilities of all words and the unknown word
-add up to 1. A history without discounted counts counts one more for what is
-unseen. A document's first word follows a mark of its start.
+with h' the history without its first word, evaluated by the same rule: every
+token's probability is that of the next lower order until its own order's is
+known. For each history the probabilities of all words and the unknown word add
+up to 1. A history without discounted counts counts one more for what is
+unseen. A document's first words follow marks of its start.
 
 In an exchange a block's keys are sorted and cut into ranges of the hash space;
 each range travels as one compressed piece and meets those of the other blocks
-in one task, whose answer returns in the same order. A task holds its range of
-all blocks, which the number of shuffle partitions bounds.
-
-Words and bigrams are known by 64-bit hashes. Tables of
-blocks and answers lie in the shared folder.
+in one task, whose answer returns in the same order. The number of ranges grows
+with the tokens, so that a range's pieces fit a task.
+
+The model's tables lie in the shared folder, by order: ``ngrams`` holds the
+counts of exchanged n-grams and ``weights`` the back-off weights of histories,
+one row (``MODEL``) for each range of the hash space beside the answers to the
+blocks; what one block alone holds is in its row of the last state. Words and
+n-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -47,23 +53,26 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, mix, shuffle_partitions, slices, table, words_of
 
-#: Largest discounted count.
-K = 5
-#: Tokens in a block, unless one document has more.
-BLOCK_TOKENS = 1_000_000
-#: Numbers and hashes of the marks of a document's start and end in every block's vocabulary.
-START, END = 0, 1
-_MARKS = np.array([1, 2], np.uint64)
+#: The model's order, and the largest discounted count.
+ORDER, K = 3, 5
+#: Tokens in a block, unless one document has more; tokens to a range of the hash space.
+BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 8_000_000
+#: Number and hash of the mark of a document's end, and hash of that of its start.
+END, _END, _START = 0, np.uint64(2), np.uint64(1)
 FOLDS, HELD_OUT = 5, 1
 
+#: In place of a block's number: a range's part of the model.
+MODEL = -1
+
 _STATE = "block long, data binary"
+_PIECE = "bucket int, block long, data binary"
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays in one compressed piece, byte plane by byte plane."""
     head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values()]
-    return zstandard.ZstdCompressor(3).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
+    return zstandard.ZstdCompressor(1).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
@@ -96,9 +105,9 @@ def discounts(n: list[int]) -> np.ndarray:
 class Unigrams:
     """P(w) by count; ``unknown`` is the unknown word's."""
 
-    def __init__(self, n: list[int], tokens: int, types: int, mass: float):
+    def __init__(self, n: list[int], tokens: int, types: int):
         self.d, self.tokens, self.types = discounts(n), tokens, types
-        seen = mass + sum((self.d[r] - 1) * r * n[r - 1] for r in range(1, K + 1))
+        seen = tokens + sum((self.d[r] - 1) * r * n[r - 1] for r in range(1, K + 1))
         self.whole = tokens if tokens - seen > 1e-9 * max(tokens, 1) else tokens + 1
         self.unknown = (self.whole - seen) / self.whole
 
@@ -111,7 +120,7 @@ class Unigrams:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks: docs, held, lens, tokens, vocab (hashes), train (counts)."""
+    """Texts to blocks: docs, null, held, lens, tokens, vocab (hashes)."""
     part, seq = TaskContext.get().partitionId(), 0
     number: dict[bytes, int] = {}
     docs: list = []
@@ -122,19 +131,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         lens = np.array([len(t) for t in tokens], np.int32)
         flat = np.concatenate(tokens)
-        out = np.array(held, bool)
         # Frequent words get small numbers, which pack well.
-        order = np.argsort(-np.bincount(flat, minlength=len(number) + len(_MARKS))[len(_MARKS) :], kind="stable")
-        rank = np.empty(len(number) + len(_MARKS), np.int32)
-        rank[: len(_MARKS)] = np.arange(len(_MARKS))
-        rank[order + len(_MARKS)] = np.arange(len(order)) + len(_MARKS)
-        flat = rank[flat]
+        order = np.argsort(-np.bincount(flat, minlength=len(number) + 1)[1:], kind="stable")
+        rank = np.zeros(len(number) + 1, np.int32)
+        rank[order + 1] = np.arange(len(order)) + 1
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-        vocab = np.concatenate([_MARKS, hashes[order]])
-        train = np.bincount(flat[np.repeat(~out, lens)], minlength=len(vocab)).astype(np.int64)
-        train[START] = int((~out).sum())
-        data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": out, "lens": lens, "tokens": flat.astype(np.int32), "vocab": vocab, "train": train.astype(np.int32)})
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) | seq], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+        data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": np.array(held, bool), "lens": lens, "tokens": rank[flat], "vocab": np.concatenate([[_END], hashes[order]])})
+        return pa.RecordBatch.from_arrays([pa.array([(part << 24) | seq], pa.int64()), pa.array([data], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([int((~np.array(held, bool)).sum())], pa.int64())], ["block", "data", "tokens", "trained"])
 
     for b in slices(batches, "text"):
         for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -149,7 +152,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     new += 1
             t = np.empty(len(words) + 1, np.int32)
             t[:-1] = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-            t[:-1] += len(_MARKS)
+            t[:-1] += 1
             t[-1] = END
             docs.append(name)
             held.append(zlib.crc32(b"" if name is None else str(name).encode()) % FOLDS == HELD_OUT)
@@ -159,7 +162,84 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-_PIECE = "bucket int, block long, data binary"
+class Block:
+    """A block's distinct n-grams, order by order, found again from its tokens.
+
+    Of order k: ``place`` is each token's n-gram, ``keys`` the n-grams' hashes,
+    ``hist`` each n-gram's history among the n-grams of order k - 1, one more
+    than their number, as 0 is the start's; ``example`` is a token of each.
+    """
+
+    def __init__(self, x: dict[str, np.ndarray], order: int):
+        self.x = x
+        self.first = np.cumsum(x["lens"]) - x["lens"]
+        self.train = np.repeat(~x["held"], x["lens"])
+        self.place, self.keys, self.hist, self.example = [x["tokens"]], [x["vocab"]], [None], [None]
+        for _ in range(1, order):
+            self._next()
+
+    def _next(self) -> None:
+        below, tokens = self.place[-1], self.place[0]
+        hist = np.empty(len(tokens), np.int64)
+        hist[1:] = below[:-1]
+        hist += 1
+        hist[self.first] = 0
+        code = hist * len(self.keys[0]) + tokens
+        order = np.argsort(code)
+        ordered = code[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        place = np.empty(len(code), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        code = ordered[new]
+        h, w = code // len(self.keys[0]), code % len(self.keys[0])
+        start = mix(np.array([_START * np.uint64(len(self.place))], np.uint64))
+        names = np.concatenate([start, self.keys[-1]])[h]
+        self.place.append(place)
+        self.keys.append(mix(names * np.uint64(0x9E3779B97F4A7C15) + mix(self.keys[0][w])))
+        self.hist.append(h)
+        self.example.append(order[new])
+
+    def counts(self) -> np.ndarray:
+        """Training counts of the n-grams of the highest order."""
+        return np.bincount(self.place[-1][self.train], minlength=len(self.keys[-1]))
+
+    def asked(self) -> np.ndarray:
+        """Which n-grams of the highest order (above 1) other blocks may hold."""
+        many = self.x[f"many{len(self.place) - 1}"]
+        return np.concatenate([[True], many])[self.hist[-1]] & many[self.place[-2][self.example[-1]]]
+
+    def totals(self, k: int, trained: int) -> np.ndarray:
+        """Training counts of the histories of order k, the start's first."""
+        return np.concatenate([[trained], self.x[f"total{k - 1}"]]).astype(np.int64)
+
+    def sums(self, k: int, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By history of order k, of the seen n-grams that this block owns: the
+        discounted counts, and the probabilities of the order below, ``p``."""
+        c = self.x[f"total{k}"]
+        use = self.x[f"own{k}"] & (c > 0)
+        h, c, n = self.hist[k - 1][use], c[use], len(self.keys[k - 2]) + 1
+        return np.bincount(h, d[np.minimum(c, K + 1)] * c, n), np.bincount(h, p[self.example[k - 1][use]], n)
+
+    def raised(self, k: int, d: np.ndarray, whole: np.ndarray, alpha: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The tokens' probabilities of order k from those of the order below."""
+        c = self.x[f"total{k}"].astype(np.int64)
+        h, place = self.hist[k - 1], self.place[k - 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = d[np.minimum(c, K + 1)] * c / whole[h]
+        return np.where((c > 0)[place], seen[place], alpha[h][place] * p)
+
+    def probabilities(self, order: int, unigrams: Unigrams, ds: dict[int, np.ndarray]) -> np.ndarray:
+        p = unigrams.p(self.x["total1"])[self.place[0]]
+        for k in range(2, order + 1):
+            p = self.raised(k, ds[k], self.x[f"whole{k}"], self.x[f"alpha{k}"], p)
+        return p
+
+
+def backoff(total: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each history's counts are divided by, and its back-off weight."""
+    whole = np.where(total - seen > 1e-9 * np.maximum(total, 1), total, total + 1).astype(float)
+    alpha = np.where(total > 0, (whole - seen) / whole / np.maximum(1 - below, 1e-300), 1.0)
+    return whole, alpha
 
 
 def _pieces(block: int, keys: np.ndarray, buckets: int, **values: np.ndarray) -> pa.RecordBatch:
@@ -167,219 +247,190 @@ def _pieces(block: int, keys: np.ndarray, buckets: int, **values: np.ndarray) ->
     order = np.argsort(keys)
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
     cut = np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
-    data = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        k = keys[order[a:b]]
-        data.append(pack({"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}))
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])
+    data, at = [], []
+    for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if a < b:
+            k = keys[order[a:b]]
+            data.append(pack({"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}))
+            at.append(i)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])
 
 
-def _met(pieces: pa.Table) -> tuple[list[int], np.ndarray, list[dict], np.ndarray, np.ndarray, np.ndarray]:
+def _met(pieces: pa.Table) -> tuple[list[int], np.ndarray, list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of one range: their blocks and ends, what they hold, an order
-    of all keys, where equal keys start, and the number of each key in order."""
+    of all keys, where equal keys start, the number of each key in order, and
+    the distinct keys by their differences."""
     blocks = pieces.column("block").to_pylist()
     held = [unpack(x.as_py()) for x in pieces.column("data")]
     keys = np.concatenate([np.cumsum(x["step"], dtype=np.uint64) for x in held])
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
-    return blocks, np.cumsum([len(x["step"]) for x in held]), held, order, np.flatnonzero(new), np.cumsum(new) - 1
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    return blocks, np.cumsum([len(x["step"]) for x in held]), held, order, np.flatnonzero(new), np.cumsum(new) - 1, np.diff(keys[new], prepend=np.uint64(0))
 
 
-def _replies(pieces: pa.Table, ends: np.ndarray, **values: np.ndarray) -> pa.Table:
+def _replies(pieces: pa.Table, ends: np.ndarray, model: dict[str, np.ndarray], **values: np.ndarray) -> pa.Table:
+    """The answer to each block, and the range's part of the model."""
     parts = {n: np.split(v, ends[:-1]) for n, v in values.items()}
     data = [pack({n: p[i] for n, p in parts.items()}) for i in range(len(ends))]
-    return pa.table({"bucket": pieces.column("bucket"), "block": pieces.column("block"), "data": pa.array(data, pa.binary())})
+    bucket, block = pieces.column("bucket").to_pylist(), pieces.column("block").to_pylist()
+    return pa.table({"bucket": pa.array([*bucket, bucket[0]], pa.int32()), "block": pa.array([*block, MODEL], pa.int64()), "data": pa.array([*data, pack(model)], pa.binary())})
 
 
 def _count(pieces: pa.Table) -> pa.Table:
     """For each key: 4 * its count in all, + 2 if other blocks hold it, + 1 if
     this block is the first that does."""
-    blocks, ends, held, order, starts, number = _met(pieces)
-    if not len(order):
-        return _replies(pieces, ends, told=np.zeros(0, np.int64))
+    blocks, ends, held, order, starts, number, step = _met(pieces)
     n = np.concatenate([x["n"] for x in held]).astype(np.int64)[order]
     block = np.repeat(np.array(blocks, np.int64), np.diff(ends, prepend=0))[order]
     total, first = np.add.reduceat(n, starts), np.minimum.reduceat(block, starts)
     many = np.diff(np.append(starts, len(order))) > 1
     told = np.empty(len(order), np.int64)
     told[order] = 4 * total[number] + 2 * many[number] + (first[number] == block)
-    return _replies(pieces, ends, told=told)
+    return _replies(pieces, ends, {"step": step, "total": total.astype(np.int32)}, told=told)
 
 
-def backoff(total: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each history's counts are divided by, and its back-off weight."""
-    whole = np.where(total - seen > 1e-9 * np.maximum(total, 1), total, total + 1).astype(float)
-    alpha = np.where(total > 0, (whole - seen) / whole / np.maximum(1 - below, 1e-300), 1.0)
-    return whole, alpha
+def _weigh(pieces: pa.Table) -> pa.Table:
+    """For each history: what its counts are divided by, and its back-off
+    weight, from the sums over all blocks."""
+    _, ends, held, order, starts, number, step = _met(pieces)
+    total, seen, below = (np.concatenate([h[n] for h in held])[order] for n in ("total", "seen", "below"))
+    whole, alpha = backoff(total[starts], np.add.reduceat(seen, starts), np.add.reduceat(below, starts))
+    more, weight = np.empty(len(order), np.uint8), np.empty(len(order))
+    more[order], weight[order] = (whole > total[starts])[number], alpha[number]
+    return _replies(pieces, ends, {"step": step, "alpha": alpha.astype(np.float32)}, more=more, alpha=weight)
 
 
-def _weigh(pieces: pa.Table) -> pa.Table:
-    """For each history: 1 if it counts one more, and where the block wants it
-    the back-off weight, from the sums over all blocks."""
-    _, ends, held, order, starts, number = _met(pieces)
-    more, alpha = np.zeros(len(order), np.uint8), np.zeros(len(order))
-    if len(order):
-        total, want = (np.concatenate([h[n] for h in held])[order] for n in ("total", "want"))
-        seen, below = (np.add.reduceat(np.concatenate([h[n] for h in held])[order], starts) for n in ("seen", "below"))
-        whole, a = backoff(total[starts], seen, below)
-        more[order], alpha[order] = (whole > total[starts])[number], np.where(want > 0, a[number], 0.0)
-    return _replies(pieces, ends, more=more, alpha=alpha)
-
-
-def _histories(x: dict[str, np.ndarray]) -> np.ndarray:
-    """The number of the word before each token."""
-    history = np.concatenate([[START], x["tokens"][:-1]])
-    history[np.cumsum(x["lens"])[:-1]] = START
-    return history
-
-
-def _returned(keys: np.ndarray, replies: pa.Table) -> dict[str, np.ndarray]:
+def _returned(keys: np.ndarray, replies: pa.Table, **empty: type) -> dict[str, np.ndarray]:
     """Replies to a block, in the order of the keys that it asked about."""
     order = np.argsort(keys)
     parts = [unpack(replies.column("data")[i].as_py()) for i in np.argsort(replies.column("bucket").to_numpy()).tolist()]
     out = {}
-    for name in parts[0] if parts else ():
-        x = np.concatenate([p[name] for p in parts])
+    for name, kind in empty.items():
+        x = np.concatenate([np.zeros(0, kind), *[p[name] for p in parts]])
         out[name] = np.empty_like(x)
         out[name][order] = x
     return out
 
 
-def _ask_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     for b in batches:
         for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-            x = unpack(data.as_py())
-            yield _pieces(block, x["vocab"], buckets, n=x["train"])
-
-
-def _told_words(state: pa.Table, replies: pa.Table) -> pa.Table:
-    """Adds each word's count, and whether other blocks hold it."""
-    x = unpack(state.column("data")[0].as_py())
-    told = _returned(x["vocab"], replies)["told"]
-    total, many, own = told >> 2, (told & 2) > 0, (told & 1) > 0
-    del x["train"]
-    c = total[own & (np.arange(len(own)) != START)]
-    c = c[c > 0]
-    n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
-    return pa.table({"block": state.column("block"), "data": pa.array([pack(x | {"total": total, "many": many})], pa.binary()), "n": pa.array([n[1 : K + 2].tolist()], pa.list_(pa.int64())), "tokens": pa.array([int(c.sum())], pa.int64()), "types": pa.array([len(c)], pa.int64())})
-
-
-def _bigrams(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (history, word) codes of a block, each token's place among
-    them, training counts, and which bigrams other blocks may hold."""
-    lens = x["lens"]
-    code = _histories(x).astype(np.int64) * len(x["vocab"]) + x["tokens"]
-    order = np.argsort(code, kind="stable")
-    first = np.concatenate([[True], code[order][1:] != code[order][:-1]])
-    place = np.empty(len(code), np.int64)
-    place[order] = np.cumsum(first) - 1
-    distinct = code[order][first]
-    train = np.bincount(place[np.repeat(~x["held"], lens)], minlength=len(distinct))
-    h, w = distinct // len(x["vocab"]), distinct % len(x["vocab"])
-    return distinct, place, train, x["many"][h] & x["many"][w]
-
-
-def _keys(x: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    h, w = x["vocab"][codes // len(x["vocab"])], x["vocab"][codes % len(x["vocab"])]
-    return mix(h * np.uint64(0x9E3779B97F4A7C15) + mix(w))
-
-
-def _ask_bigrams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-            x = unpack(data.as_py())
-            codes, _, train, many = _bigrams(x)
-            yield _pieces(block, _keys(x, codes[many]), buckets, n=train[many].astype(np.int32))
-
-
-def _told_bigrams(state: pa.Table, replies: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """Adds the count of each token's bigram, and of the owned bigrams of each
-    history: how many have each count, the sum of larger counts, of P(w)."""
-    x = unpack(state.column("data")[0].as_py())
-    codes, place, total, many = _bigrams(x)
-    own = np.ones(len(codes), bool)
-    told = _returned(_keys(x, codes[many]), replies)["told"]
-    total[many], own[many] = told >> 2, (told & 1) > 0
-    use = own & (total > 0)
-    c = total[use]
-    n = np.bincount(np.minimum(c, K + 2), minlength=K + 3)
-    x["pair"] = total[place].astype(np.int32)
-    h, w, size = codes[use] // len(x["vocab"]), codes[use] % len(x["vocab"]), len(x["vocab"])
-    for r in range(1, K + 1):
-        x[f"n{r}"] = np.bincount(h[c == r], minlength=size).astype(np.int32)
-    x["larger"] = np.bincount(h[c > K], c[c > K], size).astype(np.int64)
-    x["below"] = np.bincount(h, unigrams.p(x["total"][w]), size)
-    # Only words that other blocks hold are asked about again.
-    x["known"] = np.flatnonzero(x["many"] & (x["total"] > 0)).astype(np.int32)
-    x["vocab"] = x["vocab"][x["known"]]
-    del x["many"]
-    return pa.table({"block": state.column("block"), "data": pa.array([pack(x)], pa.binary()), "n": pa.array([n[1 : K + 2].tolist()], pa.list_(pa.int64()))})
+            yield block, unpack(data.as_py())
 
 
-def _gathered(df: DataFrame, n: int = K + 1) -> list[int]:
-    """Counts of counts, summed over blocks."""
-    row = df.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(n)]).head()
-    return [int(v or 0) for v in row]
+def _counted(n: np.ndarray) -> pa.Array:
+    """How many types have each count from 1 to K + 1."""
+    return pa.array([np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2].tolist()], pa.list_(pa.int64()))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     each row. Fitted on the rows whose crc32(doc_id as text) modulo 5 isn't 1.
 
     A null or empty text is its end mark alone. A null doc_id counts as an
     empty name and trains. Repeated rows count and are scored each. Without
-    training rows every token is unknown and has probability 1.
+    training rows every token is unknown and has probability 1. An empty table
+    gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "katz")
-    buckets = max(1, shuffle_partitions(spark))
+    state = scratch.write(map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _blocks, _STATE + ", tokens long, trained long"), "state0", "none")
+    size = state.agg(F.sum("tokens"), F.sum("trained")).head()
+    buckets = max(shuffle_partitions(spark), int(size[0] or 0) // RANGE_TOKENS + 1)
+    trained = int(size[1] or 0)
+    state = state.select("block", "data")
 
     def exchanged(asked: DataFrame, answer, name: str) -> DataFrame:
-        return scratch.write(asked.groupBy("bucket").applyInArrow(answer, _PIECE), name, "none")
-
-    state = scratch.write(map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _blocks, _STATE), "blocks", "none")
-    words = exchanged(map_arrow(state, lambda it: _ask_words(it, buckets), _PIECE), _count, "counts")
-    told = scratch.write(state.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_told_words, "block long, data binary, n array<long>, tokens long, types long"), "words", "none")
-    scratch.drop("blocks", "counts")
-    sums = told.agg(F.sum("tokens"), F.sum("types")).head()
-    tokens, types = int(sums[0] or 0), int(sums[1] or 0)
-    unigrams = Unigrams(_gathered(told), tokens, types, float(tokens))
-    shared = exchanged(map_arrow(told.select("block", "data"), lambda it: _ask_bigrams(it, buckets), _PIECE), _count, "bigrams")
-    full = scratch.write(told.select("block", "data").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda x, y: _told_bigrams(x, y, unigrams), "block long, data binary, n array<long>"), "pairs", "none")
-    scratch.drop("words", "bigrams")
-    d2 = discounts(_gathered(full))
-
-    def ask_histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                x = unpack(data.as_py())
-                seen, below = sums_of(x)
-                want = np.zeros(len(seen), np.uint8)
-                want[_histories(x)[x["pair"] == 0]] = 1
-                i = x["known"]
-                yield _pieces(block, x["vocab"], buckets, seen=seen[i], below=below[i], total=x["total"][i], want=want[i])
-
-    def sums_of(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the owned bigrams by history: discounted counts, and P(w)."""
-        return sum((d2[r] * r * x[f"n{r}"] for r in range(1, K + 1)), x["larger"].astype(float)), x["below"].copy()
-
-    def evaluate(state: pa.Table, replies: pa.Table) -> pa.Table:
-        x = unpack(state.column("data")[0].as_py())
-        total, i = x["total"], x["known"]
-        whole, alpha = backoff(total, *sums_of(x))
-        told = _returned(x["vocab"], replies)
-        whole[i], alpha[i] = total[i] + told["more"], told["alpha"]
-        lens, t, history = x["lens"], x["tokens"], _histories(x)
-        starts = np.cumsum(lens) - lens
-        c = x["pair"].astype(np.int64)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(c > 0, d2[np.minimum(c, K + 1)] * c / whole[history], alpha[history] * unigrams.p(total)[t])
-            scores, bases = np.add.reduceat(np.log10(p), starts), np.add.reduceat(unigrams.base(total)[t], starts)
-        n = len(lens)
-        return pa.table({"doc_id": pa.array(x["docs"], pa.int64(), mask=x["null"]), "held_out": pa.array(x["held"]), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(np.add.reduceat((total > 0)[t].astype(np.int64), starts)), "train_tokens": pa.array(np.full(n, tokens, np.int64)), "base_score": pa.array(bases), "score": pa.array(scores)})
-
-    full = full.select("block", "data")
-    histories = exchanged(map_arrow(full, ask_histories, _PIECE), _weigh, "histories")
-    return full.groupBy("block").cogroup(histories.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        """The answers to the blocks' pieces, by range of the hash space."""
+        met = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _PIECE)
+        return scratch.write(met, name, "none").where(F.col("block") != MODEL).select("block", "bucket", "data")
+
+    def advanced(state: DataFrame, replies: DataFrame, step, more: str, name: str) -> DataFrame:
+        return scratch.write(state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda x, y: step(x, y), _STATE + more), name, "none")
+
+    def row(block: pa.ChunkedArray, x: dict[str, np.ndarray], **more: pa.Array) -> pa.Table:
+        return pa.table({"block": block, "data": pa.array([pack(x)], pa.binary()), **more})
+
+    ds: dict[int, np.ndarray] = {}
+    unigrams: Unigrams | None = None
+    for k in range(1, order + 1):
+
+        def ask(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for block, x in _opened(batches):
+                b = Block(x, k)
+                some = b.asked() if k > 1 else np.ones(len(b.keys[0]), bool)
+                yield _pieces(block, b.keys[-1][some], buckets, n=b.counts()[some].astype(np.int32))
+
+        def told(state: pa.Table, replies: pa.Table, k: int = k) -> pa.Table:
+            """Adds the n-grams' counts, and which are shared, and owned."""
+            x = unpack(state.column("data")[0].as_py())
+            b = Block(x, k)
+            some = b.asked() if k > 1 else np.ones(len(b.keys[0]), bool)
+            reply = _returned(b.keys[-1][some], replies, told=np.int64)["told"]
+            total, many, own = b.counts(), np.zeros(len(some), bool), np.ones(len(some), bool)
+            total[some], many[some], own[some] = reply >> 2, (reply & 2) > 0, (reply & 1) > 0
+            seen = total[own & (total > 0)]
+            x = x | {f"total{k}": total.astype(np.int32), f"own{k}": own} | ({f"many{k}": many} if k < order else {})
+            return row(state.column("block"), x, n=_counted(seen), tokens=pa.array([int(seen.sum())], pa.int64()), types=pa.array([len(seen)], pa.int64()))
+
+        counts = exchanged(map_arrow(state, ask, _PIECE), _count, f"ngrams{k}")
+        full = advanced(state, counts, told, ", n array<long>, tokens long, types long", f"counted{k}")
+        found = full.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(K + 1)], F.sum("tokens"), F.sum("types")).head()
+        scratch.drop(f"state{k - 1}")
+        state, n = full.select("block", "data"), [int(v or 0) for v in found]
+        if k == 1:
+            unigrams = Unigrams(n[: K + 1], n[K + 1], n[K + 2])
+            scratch.rename("counted1", "state1")
+            state = scratch.read(state, "state1")
+            continue
+        ds[k] = discounts(n[: K + 1])
+
+        def shared(x: dict[str, np.ndarray], b: Block, k: int = k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Histories that other blocks may hold and that have been seen, their keys and counts."""
+            totals = b.totals(k, trained)
+            some = np.flatnonzero(np.concatenate([[True], x[f"many{k - 1}"]]) & (totals > 0))
+            return some, np.concatenate([mix(np.array([_START * np.uint64(k + 1)], np.uint64)), b.keys[k - 2]])[some], totals
+
+        def ask_weights(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for block, x in _opened(batches):
+                b = Block(x, k)
+                seen, below = b.sums(k, ds[k], b.probabilities(k - 1, unigrams, ds))
+                some, keys, totals = shared(x, b)
+                yield _pieces(block, keys, buckets, total=totals[some], seen=seen[some], below=below[some])
+
+        def weighed(x: dict[str, np.ndarray], replies: pa.Table, k: int = k) -> tuple[Block, np.ndarray]:
+            """The block with the histories' weights, and the probabilities of order k."""
+            b = Block(x, k)
+            p = b.probabilities(k - 1, unigrams, ds)
+            some, keys, totals = shared(x, b)
+            whole, alpha = backoff(totals, *b.sums(k, ds[k], p))
+            reply = _returned(keys, replies, more=np.uint8, alpha=np.float64)
+            whole[some], alpha[some] = totals[some] + reply["more"], reply["alpha"]
+            x[f"whole{k}"], x[f"alpha{k}"] = whole, alpha
+            return b, b.raised(k, ds[k], whole, alpha, p)
+
+        def keep(state: pa.Table, replies: pa.Table, k: int = k) -> pa.Table:
+            x = unpack(state.column("data")[0].as_py())
+            weighed(x, replies)
+            x[f"whole{k}"] = x[f"whole{k}"].astype(np.int32)
+            del x[f"own{k}"]
+            return row(state.column("block"), x)
+
+        def evaluate(state: pa.Table, replies: pa.Table) -> pa.Table:
+            x = unpack(state.column("data")[0].as_py())
+            b, p = weighed(x, replies)
+            lens, total = x["lens"], x["total1"]
+            with np.errstate(divide="ignore"):
+                scores = np.add.reduceat(np.log10(p), b.first)
+            bases = np.add.reduceat(unigrams.base(total)[x["tokens"]], b.first)
+            known = np.add.reduceat((total > 0)[x["tokens"]].astype(np.int64), b.first)
+            return pa.table({"doc_id": pa.array(x["docs"], pa.int64(), mask=x["null"]), "held_out": pa.array(x["held"]), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(lens), unigrams.tokens, np.int64)), "base_score": pa.array(bases), "score": pa.array(scores)})
+
+        weights = exchanged(map_arrow(state, ask_weights, _PIECE), _weigh, f"weights{k}")
+        if k < order:
+            state = advanced(state, weights, keep, "", f"state{k}")
+            scratch.drop(f"counted{k}")
+    return state.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
