@@ -2,25 +2,28 @@
 
 A byte goes if it lies in a string of ``DEPTH`` bytes that also starts in a
 document with a smaller doc_id. To find such strings, suffixes are sorted to
-that depth, never all at once:
-
-* A cover of the text is chosen by content: in each window of ``DEPTH`` bytes
-  the ``GRAM``-byte string with the least hash, the leftmost of equals. Equal
-  windows choose the same string at the same distance from their start, as a
-  difference cover gives any two suffixes a common shift to sample positions;
-  but as it depends on content alone, it also holds across documents.
-* Only cover strings that occur in two different texts can lie in a repeated
-  window; the rest of the corpus goes no further.
-* The occurrences of one cover string, each with the bytes around it, meet in
-  one task: a block. The contexts to the right and to the left of the
-  occurrences are sorted once and give the cover-sample ranks. The suffixes
-  that start t bytes before an occurrence are one bucket; they are ordered by
-  the rank of the t bytes to the left, ties by that of the bytes to the right.
-  One bucket is held at a time. Neighbours equal to the full depth form groups,
+that depth, one bucket at a time, with the help of a difference cover:
+
+* The cover sample holds the positions of each text that are in ``COVER``
+  modulo ``PERIOD``. Every difference modulo the period is one of two members
+  of the cover, so any two suffixes reach sample positions at one common shift
+  below the period.
+* Equal strings of ``DEPTH`` bytes therefore share the ``GRAM`` bytes at their
+  common sample position. Sample positions whose ``GRAM`` bytes occur in one
+  text only go no further.
+* The other sample positions, each with the bytes around it, meet by their
+  ``GRAM`` bytes. Sorting the bytes from each position on gives the ranks of
+  the cover sample, with the common length of neighbours, once.
+* The suffixes that start t bytes before a sample position are one bucket; one
+  is sorted at a time, by the rank of the t bytes up to the sample position,
+  ties by the sample's rank. Neighbours equal to the full depth form groups,
   and all but the smallest document's members of a group are marked.
 
-Copies of one whole text are one text with the smallest doc_id; in a task,
-occurrences with equal contexts are settled before the shuffle.
+Copies of one whole text are one text with the smallest doc_id. Occurrences
+with equal surroundings are settled within a slice of text before the shuffle,
+and again before the buckets are sorted. Where more than ``BLOCK`` occurrences
+of one string have different surroundings, their strings of ``DEPTH`` bytes are
+written out and aggregated by Spark, so that no task holds them.
 """
 
 from __future__ import annotations
@@ -34,108 +37,152 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, mix, shuffle_partitions, slices, table
+from .common import Scratch, columns, map_arrow, mix, shuffle_partitions, slices, table
 
 DEPTH = 50
-GRAM = 24
-#: Strings in a window; bytes left of a cover string that a window may need.
-SPAN = DEPTH - GRAM + 1
-LEFT = DEPTH - GRAM
+#: A perfect difference set: each difference modulo the period but zero occurs once.
+PERIOD = 31
+COVER = np.array([0, 1, 3, 8, 12, 18])
+#: Bytes that equal strings share from their sample position on, and bytes before it that a string may have.
+GRAM = DEPTH - PERIOD + 1
+LEFT = PERIOD - 1
 CONTEXT = LEFT + DEPTH
-#: Contexts ranked together, unless one cover string has more.
+#: Occurrences ranked together, and the most of one cover string that a task holds.
 BLOCK = 150_000
-_B = np.uint64(0x9E3779B97F4A7C55)
-
-
-def _powers(n: int) -> np.uint64:
-    return np.uint64(pow(int(_B), n, 1 << 64))
-
-
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all ``GRAM``-byte strings: polynomials, joined by doubling."""
-    h = {1: data.astype(np.uint64) + np.uint64(1)}
-    for n in (1, 2, 4, 8):
-        h[2 * n] = h[n][: len(h[n]) - n] * _powers(n) + h[n][n:]
-    return mix(h[16][: len(data) - GRAM + 1] * _powers(8) + h[8][16 : 16 + len(data) - GRAM + 1])
-
-
-def cover(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a text of at least ``DEPTH`` bytes: hashes of its strings, and each
-    window's chosen position."""
-    h = gram_hashes(data)
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    m, n = key, 1
-    while 2 * n <= SPAN:
-        m, n = np.minimum(m[: len(m) - n], m[n:]), 2 * n
-    m = np.minimum(m[: len(key) - SPAN + 1], m[SPAN - n : SPAN - n + len(key) - SPAN + 1])
-    return h, (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
+_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def cover(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sample positions of texts that stand one after the other in ``data``
+    (with 8 bytes more behind them): index of the text, position in ``data``,
+    hash of the ``GRAM`` bytes there. Texts below ``DEPTH`` bytes have none."""
+    ends = np.cumsum(lengths)
+    periods = np.where(lengths >= DEPTH, -(-lengths // PERIOD), 0)
+    text = np.repeat(np.arange(len(lengths)), periods)
+    turn = np.arange(len(text)) - np.repeat(np.cumsum(periods) - periods, periods)
+    p = ((ends - lengths)[text] + PERIOD * turn)[:, None] + COVER
+    text = np.repeat(text, len(COVER))
+    ok = p.ravel() + GRAM <= ends[text]
+    text, p = text[ok], p.ravel()[ok]
+    words = np.ndarray((max(0, len(data) - 7),), np.uint64, data, 0, (1,))
+    h = mix(words[p] * _C[0] ^ mix(words[p + 8] * _C[1] ^ mix(words[p + GRAM - 8] * _C[2])))
+    return text, p, h
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def occurrences(texts: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sample positions with one of the sorted ``wanted`` hashes: hash, index
+    of the text, position in it, the least and the largest distance back to the
+    start of a string of ``DEPTH`` bytes in the text, and the ``LEFT`` bytes
+    before and ``DEPTH`` from the position (zeros outside the text)."""
+    data, lengths = _joined(texts)
+    text, p, h = cover(data, lengths)
+    ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+    text, p, h = text[ok], p[ok], h[ok]
+    at = p - (np.cumsum(lengths) - lengths)[text]
+    room = lengths[text] - at
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(DEPTH, np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p]
+    offset = np.arange(-LEFT, DEPTH)
+    near = (at < LEFT) | (room < DEPTH)
+    around[near] *= ((offset >= -at[near, None]) & (offset < room[near, None])).astype(np.uint8)
+    return h, text, at, np.maximum(DEPTH - room, 0), np.minimum(at, LEFT), around
 
 
-def occurrences(data: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cover strings among the sorted ``wanted`` hashes: hash, position, and
-    the least and largest distance to the start of a window that chose it."""
-    h, at = cover(data)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(first[1:], len(at)) - 1
-    p = at[first]
-    k = np.searchsorted(wanted, h[p])
-    ok = wanted[np.minimum(k, len(wanted) - 1)] == h[p] if len(wanted) else np.zeros(len(p), bool)
-    return h[p[ok]], p[ok], (p - last)[ok], (p - first)[ok]
+def _strings(*parts: np.ndarray) -> np.ndarray:
+    """Rows of bytes as strings that sort by them."""
+    wide = np.ascontiguousarray(np.concatenate([x.astype(np.uint8, copy=False) for x in parts], axis=1))
+    return wide.view(f"S{wide.shape[1]}").ravel()
 
 
-def contexts(data: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """``LEFT`` bytes before and ``DEPTH`` from each position; zeros outside."""
-    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(DEPTH, np.uint8)])
-    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p]
+def _heads(a: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
 
 
-def _ranked(anchor: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by anchor and bytes, and the common length of each with
-    the one before (-1 at a new anchor)."""
-    wide = np.concatenate([anchor.astype(">u8").view(np.uint8).reshape(-1, 8), rows], axis=1)
-    order = np.argsort(np.ascontiguousarray(wide).view(f"S{wide.shape[1]}").ravel(), kind="stable")
-    a, b = rows[order[1:]], rows[order[:-1]]
-    differ = a != b
+def _common(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of sorted rows: the common length of each with the one before (-1 at a
+    new anchor)."""
+    differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    common[anchor[order[1:]] != anchor[order[:-1]]] = -1
-    return order, np.concatenate([[-1], common])
+    common[anchor[1:] != anchor[:-1]] = -1
+    return np.concatenate([[-1], common])
 
 
-def marked(anchor: np.ndarray, doc: np.ndarray, ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """For each occurrence and distance t: whether the window that starts t
-    bytes before it also starts in a smaller document of the block. Whole
-    anchors only."""
+def _bucket_marks(anchor: np.ndarray, doc: np.ndarray, ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """``marked`` of occurrences sorted by anchor and the bytes from their
+    position on, which gives the cover sample's ranks."""
     n = len(anchor)
     out = np.zeros((n, LEFT + 1), bool)
-    right, common_right = _ranked(anchor, ctx[:, LEFT:])
-    left, common_left = _ranked(anchor, ctx[:, :LEFT][:, ::-1])
-    name_r, name_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    by_doc = np.argsort(doc, kind="stable")
+    right = _common(anchor, ctx[:, LEFT:])
+    back = ctx[:, :LEFT][:, ::-1]
+    left = np.argsort(_strings(anchor.astype(">u8").view(np.uint8).reshape(-1, 8), back), kind="stable")
+    common_left = _common(anchor[left], back[left])
+    name_l, by_doc = np.empty(n, np.int64), np.argsort(doc, kind="stable")
     for t in range(LEFT + 1):
         use = by_doc[((low <= t) & (t <= high))[by_doc]]
         if len(use) < 2:
             continue
-        name_r[right] = np.cumsum(common_right < DEPTH - t)
         name_l[left] = np.cumsum(common_left < t)
-        key = name_r[use] * (n + 1) + name_l[use]
+        key = np.cumsum(right < DEPTH - t)[use] * (n + 1) + name_l[use]
         order = np.argsort(key, kind="stable")
-        key, rows = key[order], use[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        least = doc[rows[first]][np.cumsum(first) - 1]
-        out[rows, t] = doc[rows] > least
+        rows, first = use[order], _heads(key[order])
+        out[rows, t] = doc[rows] > doc[rows[first]][np.cumsum(first) - 1]
     return out
 
 
-def _spans(marks: np.ndarray, doc: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-    """Runs of marked windows as byte ranges."""
+def marked(anchor: np.ndarray, doc: np.ndarray, ctx: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each occurrence and distance t: whether the string that starts t
+    bytes before it also starts in a smaller document of the block. Whole
+    anchors only."""
+    if not len(anchor):
+        return np.zeros((0, LEFT + 1), bool)
+    keys = _strings(anchor.astype(">u8").view(np.uint8).reshape(-1, 8), ctx[:, LEFT:], ctx[:, :LEFT], low[:, None], high[:, None])
+    order = np.argsort(keys, kind="stable")
+    new = _heads(keys[order])
+    group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], heads)
+    t = np.arange(LEFT + 1)
+    out = np.empty((len(anchor), LEFT + 1), bool)
+    out[order] = (doc[order] > least[group])[:, None] & (low[order][:, None] <= t) & (t <= high[order][:, None])
+    one = order[heads]  # one of each surrounding, as its smallest document's
+    a = anchor[one]
+    several = np.concatenate([[False], a[1:] == a[:-1]])
+    several |= np.concatenate([a[1:] == a[:-1], [False]])
+    if several.any():
+        use = np.flatnonzero(several)
+        rows = one[use]
+        marks = np.zeros((len(heads), LEFT + 1), bool)
+        marks[use] = _bucket_marks(a[use], least[use], ctx[rows], low[rows], high[rows])
+        out[order] |= marks[group]
+    return out
+
+
+def _spans(marks: np.ndarray, doc: np.ndarray, p: np.ndarray) -> list[pa.Array]:
+    """Runs of marked strings as byte ranges."""
     edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     r, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(p[r] - hi + 1), pa.array(p[r] - lo + DEPTH)], ["doc_id", "start", "end"])
+    return [pa.array(doc[r]), pa.array(p[r] - hi + 1), pa.array(p[r] - lo + DEPTH)]
+
 
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Overlapping ranges of equal length order (sorted by document and start) as one."""
+    order = np.lexsort((end, start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = _heads(doc)
+    reach = end.copy()
+    base = np.cumsum(new) * (int(end.max(initial=0)) + 1)  # documents apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(reach + base) - base
+    new[1:] |= start[1:] > reach[:-1]
+    heads = np.flatnonzero(new)
+    return [doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1] if len(doc) else end]
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _named(docs: DataFrame, *more: str) -> DataFrame:
@@ -144,82 +191,127 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("name"), F.xxhash64(F.lit("2"), text).alias("name2"), *more)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, name, name2, spans) of texts that repeat others in part, with
-    spans an array of (start, end) that may overlap; and (name, name2, first):
-    the smallest doc_id of each text."""
-    n = max(1, shuffle_partitions(docs.sparkSession))
+def _wanted(named: DataFrame) -> DataFrame:
+    """(name, anchors): by text, the hashes of its sample strings that other
+    texts have too. Of one string only a row a slice of text meets the others;
+    what repeats within the slice is known there."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in slices(batches, "text", 2 << 20):
-            hs, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            names, texts = [], []
             for t, name in zip(b.column("text").to_pylist(), b.column("name").to_pylist(), strict=True):
-                if len(t) * 4 < DEPTH or name in seen or len(data := _bytes(t)) < DEPTH:
-                    continue
-                if len(seen) < 1_000_000:  # copies in a task tell nothing new
-                    seen.add(name)
-                h, at = cover(data)
-                own = np.sort(h[at[np.concatenate([[True], at[1:] != at[:-1]])]])
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-                hs.append(own)
-                names.append(np.full(len(own), name, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(names))], ["anchor", "name"])
-
+                if name not in seen:  # copies in a task tell nothing new
+                    names.append(name)
+                    texts.append(_bytes(t))
+                    if len(seen) < 1_000_000:
+                        seen.add(name)
+            text, _, h = cover(*_joined(texts))
+            order = np.argsort(h, kind="stable")
+            h, text = h[order], text[order]
+            new = _heads(h)
+            keep = new | _heads(text)
+            run = np.cumsum(new) - 1
+            heads = np.flatnonzero(new)
+            name = np.array(names, np.int64)[text]
+            first, last = name[heads][run], name[np.append(heads[1:], len(h)) - 1][run] if len(h) else name
+            # A run's first row stands for its string; the others' strings are shared already.
+            key = np.where(new, h, mix(h ^ mix(name.view(np.uint64)))).view(np.int64)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(h.view(np.int64)[keep], mask=new[keep]), pa.array(name[keep]), pa.array(np.where(new, last, first)[keep])],
+                ["key", "anchor", "name", "other"],
+            )
+
+    rows = map_arrow(named.select("text", "name"), anchors, "key long, anchor long, name long, other long")
+    by_key = Window.partitionBy("key")
+    least, largest = F.min(F.least("name", "other")).over(by_key), F.max(F.greatest("name", "other")).over(by_key)
+    shared = rows.withColumn("lo", least).withColumn("hi", largest).where("lo != hi or anchor is not null")
+    return shared.groupBy("name").agg(F.collect_set(F.coalesce("anchor", "key")).alias("anchors"))
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, name, name2, spans) of texts that repeat others in part, with
+    spans an array of (start, end) that may overlap; and (name, name2, first):
+    the smallest doc_id of each text."""
+    n = max(1, shuffle_partitions(docs.sparkSession))
     named = _named(docs.where("doc_id is not null"))
     firsts = scratch.write(named.groupBy("name", "name2").agg(F.min("doc_id").alias("first")), "firsts")
-    rows = map_arrow(named.select("text", "name"), anchors, "anchor long, name long")
-    by_anchor = Window.partitionBy("anchor")
-    shared = rows.withColumn("lo", F.min("name").over(by_anchor)).withColumn("hi", F.max("name").over(by_anchor)).where("lo != hi")
-    wanted = scratch.write(shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")), "shared")
-    wanted = wanted.join(firsts, "name").select(F.col("first").alias("doc_id"), "name", "name2", "anchors")
+    wanted = scratch.write(_wanted(named), "shared").join(firsts, "name")
+    wanted = wanted.select(F.col("first").alias("doc_id"), "name", "name2", "anchors")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences for their block; of equal ones in a slice only the smallest document's."""
+        names = ["anchor", "doc_id", "p", "low", "high", "context"]
         for b in slices(batches, "text", 4 << 20):
-            docs_, parts = b.column("doc_id").to_numpy(), []
-            for i, (t, w) in enumerate(zip(b.column("text").to_pylist(), b.column("anchors"), strict=True)):
-                data = _bytes(t)
-                h, p, low, high = occurrences(data, np.sort(w.values.to_numpy().view(np.uint64)))
-                parts.append((h, np.full(len(p), docs_[i]), p, low, high, contexts(data, p)))
-            h, doc, p, low, high, ctx = (np.concatenate([x[k] for x in parts]) for k in range(6))
-            wide = np.concatenate([h.view(np.uint8).reshape(-1, 8), low.astype(np.uint8)[:, None], high.astype(np.uint8)[:, None], ctx], axis=1)
-            order = np.lexsort((doc, np.ascontiguousarray(wide).view(f"V{wide.shape[1]}").ravel().view(f"S{wide.shape[1]}")))
-            same = np.concatenate([[False], (wide[order[1:]] == wide[order[:-1]]).all(axis=1)]) if len(order) else np.zeros(0, bool)
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-            settled = same & (doc[order] > doc[order][head])
-            rest = order[~settled]
-            yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(doc[rest]), pa.array(p[rest]), pa.array(low[rest].astype(np.int32)), pa.array(high[rest].astype(np.int32)), pa.array([c.tobytes() for c in ctx[rest]], pa.binary())], ["anchor", "doc_id", "p", "low", "high", "context"])
-            done = order[settled]
-            yield pa.RecordBatch.from_arrays([pa.array(done), pa.array(doc[done]), pa.array(p[done]), pa.array(low[done].astype(np.int32)), pa.array(high[done].astype(np.int32)), pa.array([None] * len(done), pa.binary())], ["anchor", "doc_id", "p", "low", "high", "context"])
+            anchors = np.unique(b.column("anchors").flatten().to_numpy().view(np.uint64))
+            h, text, p, low, high, ctx = occurrences([_bytes(t) for t in b.column("text").to_pylist()], anchors)
+            doc = b.column("doc_id").to_numpy()[text]
+            keys = _strings(h.view(np.uint8).reshape(-1, 8), low[:, None], high[:, None], ctx)
+            by_doc = np.argsort(doc, kind="stable")
+            order = by_doc[np.argsort(keys[by_doc], kind="stable")]
+            new = _heads(keys[order])
+            least = doc[order][new][np.cumsum(new) - 1]
+            new |= doc[order] == least
+            rest, done = order[new], order[~new]
+            flat = pa.py_buffer(np.ascontiguousarray(ctx[rest]))
+            offsets = pa.py_buffer(np.arange(0, (len(rest) + 1) * CONTEXT, CONTEXT, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), *(pa.array(x[rest]) for x in (doc, p, low, high)), pa.Array.from_buffers(pa.binary(), len(rest), [None, offsets, flat])], names)
+            d, start, end = _merged(doc[done], p[done] - high[done], p[done] - low[done] + DEPTH)
+            zero = np.zeros(len(d), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(start), pa.array(end), pa.array(zero), pa.nulls(len(d), pa.binary())], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(x: list[np.ndarray]) -> pa.RecordBatch:
-            anchor, doc, p, low, high, ctx = x
-            return _spans(marked(anchor.view(np.uint64), doc, ctx, low, high), doc, p)
+        names = ["doc_id", "start", "end", "string"]
 
-        held = None
+        def whole(x: list[np.ndarray]) -> pa.RecordBatch:
+            anchor, doc, p, low, high, ctx = x
+            spans = _spans(marked(anchor.view(np.uint64), doc, ctx, low, high), doc, p)
+            return pa.RecordBatch.from_arrays([*spans, pa.nulls(len(spans[0]), pa.binary())], names)
+
+        def written_out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(x[0]), 10_000):
+                _, doc, p, low, high, ctx = (y[at : at + 10_000] for y in x)
+                t = LEFT - np.arange(LEFT + 1)
+                row, k = np.nonzero((low[:, None] <= t) & (t <= high[:, None]))
+                strings = np.lib.stride_tricks.sliding_window_view(ctx, DEPTH, axis=1)[row, k]
+                start = p[row] - t[k]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start), pa.array(start + DEPTH), pa.array([s.tobytes() for s in strings], pa.binary())], names)
+
+        held, large = None, None
         for b in batches:
             done = b.filter(pc.is_null(b.column("context")))
             if done.num_rows:
-                p = done.column("p").to_numpy()
-                yield pa.RecordBatch.from_arrays([done.column("doc_id"), pa.array(p - done.column("high").to_numpy()), pa.array(p - done.column("low").to_numpy() + DEPTH)], ["doc_id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("p"), done.column("low"), pa.nulls(done.num_rows, pa.binary())], names)
             b = b.filter(pc.is_valid(b.column("context")))
             if not b.num_rows:
                 continue
-            now = [b.column(c).to_numpy() for c in ("anchor", "doc_id", "p", "low", "high")] + [np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)]
+            now = [b.column(c).to_numpy() for c in ("anchor", "doc_id", "p", "low", "high")]
+            now.append(np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT))
+            if large is not None and (more := int(np.searchsorted(now[0], large, side="right"))):
+                yield from written_out([x[:more] for x in now])
+                now = [x[more:] for x in now]
             held = now if held is None else [np.concatenate(xy) for xy in zip(held, now, strict=True)]
-            if len(held[0]) >= BLOCK and (whole := int(np.searchsorted(held[0], held[0][-1]))):
-                yield block([x[:whole] for x in held])
-                held = [x[whole:] for x in held]
+            if len(held[0]) < block:
+                continue
+            if last := int(np.searchsorted(held[0], held[0][-1])):
+                yield whole([x[:last] for x in held])
+                held = [x[last:] for x in held]
+            if len(held[0]) >= block:
+                large = held[0][-1]
+                yield from written_out(held)
+                held = None
         if held is not None:
-            yield block(held)
+            yield whole(held)
 
     texts = named.join(wanted, ["doc_id", "name", "name2"]).select("doc_id", "text", "anchors")
-    rows = map_arrow(texts, spread, "anchor long, doc_id long, p long, low int, high int, context binary")
+    rows = map_arrow(texts, spread, "anchor long, doc_id long, p long, low long, high long, context binary")
     rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
-    spans = map_arrow(rows, settle, "doc_id long, start long, end long").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = scratch.write(spans, "spans")
+    found = scratch.write(map_arrow(rows, settle, "doc_id long, start long, end long, string binary"), "found")
+    large = found.where("string is not null")
+    least = large.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
+    spans = found.where("string is null").drop("string").union(large.join(least, "string").where("doc_id > least").select("doc_id", "start", "end"))
+    spans = scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop("found")
     return spans.join(wanted.select("doc_id", "name", "name2"), "doc_id"), firsts
 
 
@@ -234,9 +326,9 @@ def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~covered].tobytes(), int(covered.sum()), runs
 
 
-def _with_spans(docs: DataFrame, more: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, more: list[str], block: int = BLOCK) -> DataFrame:
     """The rows with text, ``copy`` (their whole text has a smaller doc_id) and spans."""
-    spans, firsts = repeated_spans(docs, Scratch(docs.sparkSession, "suffixes"))
+    spans, firsts = repeated_spans(docs, Scratch(docs.sparkSession, "suffixes"), block)
     facts = firsts.join(spans.withColumnRenamed("doc_id", "first"), ["first", "name", "name2"], "left")
     rows = _named(docs, *more)
     copies = facts.select("name", "name2", "first", "spans")
@@ -255,7 +347,7 @@ def _cut(text: str, copy: bool | None, spans: list | None) -> tuple[bytes, bytes
     return data, data, 0, 0
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
     Null text is empty. Rows with a null doc_id lose nothing and take nothing
@@ -267,7 +359,7 @@ def digest(docs: DataFrame) -> DataFrame:
             made = [_cut(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([m[3] for m in made], pa.int64()), pa.array([hashlib.sha256(m[1]).hexdigest() for m in made], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_arrow(_with_spans(docs, []).select("doc_id", "text", "copy", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(_with_spans(docs, [], block).select("doc_id", "text", "copy", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
@@ -276,7 +368,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     dropped whole. Texts without repeats stay as they are, null included."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     held = [f"_c{i}_" for i in range(len(others))]  # the documents' other columns may have any names
-    source = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(h) for c, h in zip(others, held, strict=True)], F.col("text").isNull().alias("_null_"))
+    source = docs.select("doc_id", "text", *[c.alias(h) for c, h in zip(columns(docs.drop("doc_id", "text")), held, strict=True)], F.col("text").isNull().alias("_null_"))
     rows = _with_spans(source, [*held, "_null_"]).select("doc_id", "text", *held, "_null_", "copy", "spans")
     names = ["doc_id", "text", *held]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
@@ -292,7 +384,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     out = map_arrow(rows, run, ddl).select("doc_id", "text", *[F.col(h).alias(c) for c, h in zip(others, held, strict=True)])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

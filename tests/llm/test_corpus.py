@@ -193,11 +193,43 @@ def brute_passages(rows):
     return sorted(out, key=repr)
 
 
+def aligned(seed):
+    """One passage of 49 to 130 bytes at every shift, zero bytes beside it, and short texts."""
+    rng = random.Random(seed)
+
+    def noise(n):
+        return "".join(chr(rng.choice([0, 97, 98])) for _ in range(n))
+
+    passage = noise(200)
+    rows = [(i, noise(i) + passage[i % 20 :][: 49 + i] + "\0" * (i % 7) + noise(rng.randrange(60))) for i in range(82)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_every_shift_meets_the_cover():
+    c, v = suffix_dedup.COVER.tolist(), suffix_dedup.PERIOD
+    for i in range(v):
+        for j in range(v):
+            assert any((i + t) % v in c and (j + t) % v in c for t in range(v))
+    assert suffix_dedup.GRAM + v - 1 == suffix_dedup.DEPTH
+
+
+def test_sample_positions():
+    texts = [b"", b"a" * 49, bytes(range(50)), b"", bytes(range(200))]
+    text, p, h = suffix_dedup.cover(*suffix_dedup._joined(texts))
+    wanted = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 19) if len(t) >= 50 and i % 31 in (0, 1, 3, 8, 12, 18)]
+    starts = [sum(map(len, texts[:k])) for k in range(len(texts))]
+    assert list(zip(text.tolist(), p.tolist(), strict=True)) == [(k, starts[k] + i) for k, i in wanted]
+    same = {}
+    for (k, i), x in zip(wanted, h.tolist(), strict=True):
+        assert same.setdefault(texts[k][i : i + 20], x) == x
+    assert len(set(same.values())) == len(same)
+
+
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 10])
-def test_repeated_passages(spark, monkeypatch, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    for rows in (corpus(3), odd_rows(), [(1, "ab" * 400), (2, "ba" * 300), (3, "ab" * 20 + "c" + "ab" * 30), (4, "é" * 60), (5, "xé" + "é" * 40)]):
-        found = suffix_dedup.digest(docs(spark, rows))
+def test_repeated_passages(spark, block):
+    for rows in (corpus(3), odd_rows(), aligned(5), [(1, "ab" * 400), (2, "ba" * 300), (3, "ab" * 20 + "c" + "ab" * 30), (4, "é" * 60), (5, "xé" + "é" * 40)]):
+        found = suffix_dedup.digest(docs(spark, rows), block)
         assert records(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_passages(rows)
 
 
@@ -215,6 +247,8 @@ def test_stripping(spark):
         else:
             assert texts[r["doc_id"]] is None
     assert suffix_dedup.digest(docs(spark, [])).count() == 0
+    dotted = docs(spark, rows).withColumnRenamed("key", "a.b")
+    assert records(suffix_dedup.strip_repeats(dotted), "doc_id", "text", "a.b") == sorted([(r["doc_id"], r["text"], "k") for r in found], key=repr)
 
 
 def water_level(sizes):
