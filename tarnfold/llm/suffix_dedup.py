@@ -12,7 +12,7 @@ that depth, one bucket at a time, with the help of a difference cover:
   common sample position. Sample positions whose ``GRAM`` bytes occur in one
   text only go no further.
 * The other sample positions, each with the bytes around it, meet by their
-  ``GRAM`` bytes. Sorting the bytes from each position on gives the ranks of
+  ``GRAM`` bytes, one part of all such strings after the other. Sorting the bytes from each position on gives the ranks of
   the cover sample, with the common length of neighbours, once.
 * The suffixes that start t bytes before a sample position are one bucket; one
   is sorted at a time, by the rank of the t bytes up to the sample position,
@@ -30,11 +30,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, columns, map_arrow, mix, shuffle_partitions, slices, table
@@ -49,6 +50,8 @@ LEFT = PERIOD - 1
 CONTEXT = LEFT + DEPTH
 #: Occurrences ranked together, and the most of one cover string that a task holds.
 BLOCK = 150_000
+#: Sample strings and their buckets are taken in so many parts, one after the other, to bound what is on disk.
+PARTS = 2
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -69,17 +72,23 @@ def cover(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, p, h
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes, with 8 more behind them, and its lengths."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    data = np.zeros(int(offsets[-1] - offsets[0]) + 8, np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(texts.buffers()[2], np.uint8, len(data) - 8, int(offsets[0]))
+    return data, np.diff(offsets).astype(np.int64)
 
 
-def occurrences(texts: list[bytes], wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+def occurrences(texts: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sample positions with one of the sorted ``wanted`` hashes: hash, index
     of the text, position in it, the least and the largest distance back to the
     start of a string of ``DEPTH`` bytes in the text, and the ``LEFT`` bytes
     before and ``DEPTH`` from the position (zeros outside the text)."""
     data, lengths = _joined(texts)
     text, p, h = cover(data, lengths)
+    data = data[:-8]
     ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
     text, p, h = text[ok], p[ok], h[ok]
     at = p - (np.cumsum(lengths) - lengths)[text]
@@ -160,92 +169,105 @@ def marked(anchor: np.ndarray, doc: np.ndarray, ctx: np.ndarray, low: np.ndarray
     return out
 
 
-def _spans(marks: np.ndarray, doc: np.ndarray, p: np.ndarray) -> list[pa.Array]:
-    """Runs of marked strings as byte ranges."""
+def _spans(marks: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of marked strings: their occurrence and byte range."""
     edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     r, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
-    return [pa.array(doc[r]), pa.array(p[r] - hi + 1), pa.array(p[r] - lo + DEPTH)]
+    return r, p[r] - hi + 1, p[r] - lo + DEPTH
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Overlapping ranges of equal length order (sorted by document and start) as one."""
-    order = np.lexsort((end, start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    new = _heads(doc)
-    reach = end.copy()
-    base = np.cumsum(new) * (int(end.max(initial=0)) + 1)  # documents apart, so that one running maximum serves all
-    reach = np.maximum.accumulate(reach + base) - base
+def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """A row's overlapping ranges as one."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    new = _heads(row)
+    base = np.cumsum(new) * (int(end.max(initial=0)) + 1)  # rows apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(end + base) - base
     new[1:] |= start[1:] > reach[:-1]
     heads = np.flatnonzero(new)
-    return [doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1] if len(doc) else end]
-
-
-def _bytes(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
+    return [row[heads], start[heads], reach[np.append(heads[1:], len(row)) - 1] if len(row) else end]
 
 
 def _named(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty) with two hashes of the text."""
+    """doc_id and bytes of text (null: empty) with two hashes of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("name"), F.xxhash64(F.lit("2"), text).alias("name2"), *more)
-
-
-def _wanted(named: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text.cast("binary").alias("text"), F.xxhash64(text).alias("name"), F.xxhash64(F.lit("2"), text).alias("name2"), *more)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key has several names. Only the last
+    key's name is held between batches."""
+    key, name, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for b in batches:
+        done = b.filter(pc.is_valid(b.column("anchor")))
+        yield pa.RecordBatch.from_arrays([done.column("name"), done.column("anchor")], ["name", "anchor"])
+        b = b.filter(pc.is_null(b.column("anchor")))
+        if not b.num_rows:
+            continue
+        key, name = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([name, b.column("name").to_numpy()])
+        new = _heads(key)
+        heads = np.flatnonzero(new)
+        several = np.minimum.reduceat(name, heads) != np.maximum.reduceat(name, heads)
+        several[0] |= known
+        told = several[np.cumsum(new) - 1]
+        told[0] &= not known  # it went with the batch before
+        yield pa.RecordBatch.from_arrays([pa.array(name[told]), pa.array(key[told])], ["name", "anchor"])
+        key, name, known = key[-1:], name[-1:], bool(several[-1])
+
+
+def _wanted(named: DataFrame, part: int) -> DataFrame:
     """(name, anchors): by text, the hashes of its sample strings that other
-    texts have too. Of one string only a row a slice of text meets the others;
-    what repeats within the slice is known there."""
+    texts have too, of one of ``PARTS`` of all hashes. Of one string only two
+    rows a slice of text meet the others; what repeats in the slice is known."""
+    n = max(1, shuffle_partitions(named.sparkSession))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in slices(batches, "text", 2 << 20):
-            names, texts = [], []
-            for t, name in zip(b.column("text").to_pylist(), b.column("name").to_pylist(), strict=True):
-                if name not in seen:  # copies in a task tell nothing new
-                    names.append(name)
-                    texts.append(_bytes(t))
-                    if len(seen) < 1_000_000:
-                        seen.add(name)
-            text, _, h = cover(*_joined(texts))
-            order = np.argsort(h, kind="stable")
-            h, text = h[order], text[order]
-            new = _heads(h)
-            keep = new | _heads(text)
-            run = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            name = np.array(names, np.int64)[text]
-            first, last = name[heads][run], name[np.append(heads[1:], len(h)) - 1][run] if len(h) else name
-            # A run's first row stands for its string; the others' strings are shared already.
-            key = np.where(new, h, mix(h ^ mix(name.view(np.uint64)))).view(np.int64)[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(h.view(np.int64)[keep], mask=new[keep]), pa.array(name[keep]), pa.array(np.where(new, last, first)[keep])],
-                ["key", "anchor", "name", "other"],
-            )
-
-    rows = map_arrow(named.select("text", "name"), anchors, "key long, anchor long, name long, other long")
-    by_key = Window.partitionBy("key")
-    least, largest = F.min(F.least("name", "other")).over(by_key), F.max(F.greatest("name", "other")).over(by_key)
-    shared = rows.withColumn("lo", least).withColumn("hi", largest).where("lo != hi or anchor is not null")
-    return shared.groupBy("name").agg(F.collect_set(F.coalesce("anchor", "key")).alias("anchors"))
+            fresh = []
+            for name in b.column("name").to_pylist():  # copies in a task tell nothing new
+                fresh.append(name not in seen)
+                if len(seen) < 1_000_000:
+                    seen.add(name)
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            text, _, h = cover(*_joined(b.column("text")))
+            ok = h % np.uint64(PARTS) == part
+            text, h = text[ok], h[ok]
+            order = np.argsort(h)
+            new = _heads(h[order])
+            run = ~(new & np.append(new[1:], True)[: len(h)])
+            order[run] = order[run][np.lexsort((order[run], h[order[run]]))]
+            order = order[new | _heads(text[order])]
+            new = _heads(h[order])
+            inner = order[~new & ~np.append(new[1:], True)[: len(order)]]
+            kept = np.sort(order)  # in order of the texts, which packs well
+            decided = np.zeros(len(h), bool)
+            decided[inner] = True
+            name, h, decided = b.column("name").to_numpy()[text[kept]], h[kept], decided[kept]
+            key = np.where(decided, mix(h ^ mix(name.view(np.uint64))), h).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(h.view(np.int64), mask=~decided)], ["key", "name", "anchor"])
+
+    rows = map_arrow(named.select("text", "name"), anchors, "key long, name long, anchor long")
+    shared = map_arrow(rows.repartition(n, "key").sortWithinPartitions("key"), _shared, "name long, anchor long")
+    return shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, name, name2, spans) of texts that repeat others in part, with
+    """(doc_id, name, spans) of texts that repeat others in part, with
     spans an array of (start, end) that may overlap; and (name, name2, first):
     the smallest doc_id of each text."""
     n = max(1, shuffle_partitions(docs.sparkSession))
     named = _named(docs.where("doc_id is not null"))
     firsts = scratch.write(named.groupBy("name", "name2").agg(F.min("doc_id").alias("first")), "firsts")
-    wanted = scratch.write(_wanted(named), "shared").join(firsts, "name")
-    wanted = wanted.select(F.col("first").alias("doc_id"), "name", "name2", "anchors")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Occurrences for their block; of equal ones in a slice only the smallest document's."""
-        names = ["anchor", "doc_id", "p", "low", "high", "context"]
+        names = ["anchor", "doc_id", "name", "p", "low", "high", "context"]
         for b in slices(batches, "text", 4 << 20):
             anchors = np.unique(b.column("anchors").flatten().to_numpy().view(np.uint64))
-            h, text, p, low, high, ctx = occurrences([_bytes(t) for t in b.column("text").to_pylist()], anchors)
-            doc = b.column("doc_id").to_numpy()[text]
+            h, text, p, low, high, ctx = occurrences(b.column("text"), anchors)
+            doc, name = b.column("doc_id").to_numpy()[text], b.column("name").to_numpy()[text]
             keys = _strings(h.view(np.uint8).reshape(-1, 8), low[:, None], high[:, None], ctx)
             by_doc = np.argsort(doc, kind="stable")
             order = by_doc[np.argsort(keys[by_doc], kind="stable")]
@@ -255,38 +277,38 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tup
             rest, done = order[new], order[~new]
             flat = pa.py_buffer(np.ascontiguousarray(ctx[rest]))
             offsets = pa.py_buffer(np.arange(0, (len(rest) + 1) * CONTEXT, CONTEXT, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), *(pa.array(x[rest]) for x in (doc, p, low, high)), pa.Array.from_buffers(pa.binary(), len(rest), [None, offsets, flat])], names)
-            d, start, end = _merged(doc[done], p[done] - high[done], p[done] - low[done] + DEPTH)
-            zero = np.zeros(len(d), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(start), pa.array(end), pa.array(zero), pa.nulls(len(d), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), *(pa.array(x[rest]) for x in (doc, name, p, low, high)), pa.Array.from_buffers(pa.binary(), len(rest), [None, offsets, flat])], names)
+            row, start, end = _merged(text[done], p[done] - high[done], p[done] - low[done] + DEPTH)
+            d, name = b.column("doc_id").to_numpy()[row], b.column("name").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(d), pa.array(name), pa.array(start), pa.array(end), pa.array(np.zeros(len(d), np.int64)), pa.nulls(len(d), pa.binary())], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "string"]
+        names = ["doc_id", "name", "start", "end", "string"]
 
         def whole(x: list[np.ndarray]) -> pa.RecordBatch:
-            anchor, doc, p, low, high, ctx = x
-            spans = _spans(marked(anchor.view(np.uint64), doc, ctx, low, high), doc, p)
-            return pa.RecordBatch.from_arrays([*spans, pa.nulls(len(spans[0]), pa.binary())], names)
+            anchor, doc, name, p, low, high, ctx = x
+            row, start, end = _spans(marked(anchor.view(np.uint64), doc, ctx, low, high), p)
+            return pa.RecordBatch.from_arrays([*map(pa.array, (doc[row], name[row], start, end)), pa.nulls(len(row), pa.binary())], names)
 
         def written_out(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(x[0]), 10_000):
-                _, doc, p, low, high, ctx = (y[at : at + 10_000] for y in x)
+                _, doc, name, p, low, high, ctx = (y[at : at + 10_000] for y in x)
                 t = LEFT - np.arange(LEFT + 1)
                 row, k = np.nonzero((low[:, None] <= t) & (t <= high[:, None]))
                 strings = np.lib.stride_tricks.sliding_window_view(ctx, DEPTH, axis=1)[row, k]
                 start = p[row] - t[k]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start), pa.array(start + DEPTH), pa.array([s.tobytes() for s in strings], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (doc[row], name[row], start, start + DEPTH)), pa.array([s.tobytes() for s in strings], pa.binary())], names)
 
         held, large = None, None
         for b in batches:
             done = b.filter(pc.is_null(b.column("context")))
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column("doc_id"), done.column("p"), done.column("low"), pa.nulls(done.num_rows, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(done.column(c) for c in ("doc_id", "name", "p", "low")), pa.nulls(done.num_rows, pa.binary())], names)
             b = b.filter(pc.is_valid(b.column("context")))
             if not b.num_rows:
                 continue
-            now = [b.column(c).to_numpy() for c in ("anchor", "doc_id", "p", "low", "high")]
-            now.append(np.frombuffer(b"".join(b.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT))
+            now = [b.column(c).to_numpy() for c in ("anchor", "doc_id", "name", "p", "low", "high")]
+            now.append(_joined(b.column("context"))[0][:-8].reshape(-1, CONTEXT))
             if large is not None and (more := int(np.searchsorted(now[0], large, side="right"))):
                 yield from written_out([x[:more] for x in now])
                 now = [x[more:] for x in now]
@@ -303,33 +325,34 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tup
         if held is not None:
             yield whole(held)
 
-    texts = named.join(wanted, ["doc_id", "name", "name2"]).select("doc_id", "text", "anchors")
-    rows = map_arrow(texts, spread, "anchor long, doc_id long, p long, low long, high long, context binary")
-    rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = scratch.write(map_arrow(rows, settle, "doc_id long, start long, end long, string binary"), "found")
+    parts = []
+    for k in range(PARTS):
+        wanted = scratch.write(_wanted(named, k), f"shared{k}").join(firsts, "name").select(F.col("first").alias("doc_id"), "name", "name2", "anchors")
+        texts = named.join(wanted, ["doc_id", "name", "name2"]).select("doc_id", "name", "text", "anchors")
+        rows = map_arrow(texts, spread, "anchor long, doc_id long, name long, p long, low long, high long, context binary")
+        rows = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
+        parts.append(scratch.write(map_arrow(rows, settle, "doc_id long, name long, start long, end long, string binary"), f"found{k}"))
+        scratch.drop(f"shared{k}")
+    found = reduce(DataFrame.union, parts)
     large = found.where("string is not null")
     least = large.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("largest")).where("least < largest")
-    spans = found.where("string is null").drop("string").union(large.join(least, "string").where("doc_id > least").select("doc_id", "start", "end"))
-    spans = scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    scratch.drop("found")
-    return spans.join(wanted.select("doc_id", "name", "name2"), "doc_id"), firsts
+    spans = found.where("string is null").drop("string").union(large.join(least, "string").where("doc_id > least").select("doc_id", "name", "start", "end"))
+    spans = scratch.write(spans.groupBy("doc_id", "name").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop(*(f"found{k}" for k in range(PARTS)))
+    return spans, firsts
 
 
-def remove(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+def remove(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
     """What is left, bytes removed, and maximal removed runs."""
-    gone = np.zeros(len(data) + 1, np.int64)
-    s = np.array(spans, np.int64).reshape(-1, 2)
-    np.add.at(gone, s[:, 0], 1)
-    np.add.at(gone, s[:, 1], -1)
-    covered = np.cumsum(gone)[:-1] > 0
-    runs = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
-    return np.frombuffer(data, np.uint8)[~covered].tobytes(), int(covered.sum()), runs
+    _, lo, hi = _merged(np.zeros(len(start), np.int64), start, end)
+    at = np.append(0, hi)
+    return b"".join([data[x:y] for x, y in zip(at.tolist(), [*lo.tolist(), len(data)], strict=True)]), int((hi - lo).sum()), len(lo)
 
 
 def _with_spans(docs: DataFrame, more: list[str], block: int = BLOCK) -> DataFrame:
     """The rows with text, ``copy`` (their whole text has a smaller doc_id) and spans."""
     spans, firsts = repeated_spans(docs, Scratch(docs.sparkSession, "suffixes"), block)
-    facts = firsts.join(spans.withColumnRenamed("doc_id", "first"), ["first", "name", "name2"], "left")
+    facts = firsts.join(spans.withColumnRenamed("doc_id", "first"), ["first", "name"], "left")
     rows = _named(docs, *more)
     copies = facts.select("name", "name2", "first", "spans")
     # Copies need no more than their text's first doc_id, which rides on a narrow table keyed by doc_id.
@@ -338,13 +361,21 @@ def _with_spans(docs: DataFrame, more: list[str], block: int = BLOCK) -> DataFra
     return rows.join(narrow, ["doc_id", "name", "name2"], "left")
 
 
-def _cut(text: str, copy: bool | None, spans: list | None) -> tuple[bytes, bytes, int, int]:
-    data = text.encode("utf-8", "surrogatepass")
-    if copy and len(data) >= DEPTH:
-        return data, b"", len(data), 1
-    if spans:
-        return data, *remove(data, [(x["start"], x["end"]) for x in spans])
-    return data, data, 0, 0
+def _cut(b: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
+    """Of each row: what is left of its bytes, their number, bytes and runs removed."""
+    spans = b.column("spans")
+    counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    last = np.cumsum(counts)
+    for data, copy, x, y in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), (last - counts).tolist(), last.tolist(), strict=True):
+        if copy and len(data) >= DEPTH:
+            yield b"", len(data), len(data), 1
+        elif x < y and not copy:
+            left, removed, runs = remove(data, start[x:y], end[x:y])
+            yield left, len(data), removed, runs
+        else:
+            yield data, len(data), 0, 0
 
 
 def digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -356,8 +387,9 @@ def digest(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            made = [_cut(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "copy", "spans")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([m[3] for m in made], pa.int64()), pa.array([hashlib.sha256(m[1]).hexdigest() for m in made], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left, size, removed, runs = zip(*_cut(b), strict=True)
+            digests = [hashlib.sha256(x).hexdigest() for x in left]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return map_arrow(_with_spans(docs, [], block).select("doc_id", "text", "copy", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -371,14 +403,12 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", "text", *[c.alias(h) for c, h in zip(columns(docs.drop("doc_id", "text")), held, strict=True)], F.col("text").isNull().alias("_null_"))
     rows = _with_spans(source, [*held, "_null_"]).select("doc_id", "text", *held, "_null_", "copy", "spans")
     names = ["doc_id", "text", *held]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    ddl = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = []
-            for null, *x in zip(*(b.column(c).to_pylist() for c in ("_null_", "text", "copy", "spans")), strict=True):
-                m = _cut(*x)
-                texts.append(None if null else m[1].decode("utf-8", "ignore") if m[2] else x[0])
+            nulls = b.column("_null_").to_pylist()
+            texts = [None if null else left.decode("utf-8", "ignore" if removed else "surrogatepass") for null, (left, _, removed, _) in zip(nulls, _cut(b), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
     out = map_arrow(rows, run, ddl).select("doc_id", "text", *[F.col(h).alias(c) for c, h in zip(others, held, strict=True)])

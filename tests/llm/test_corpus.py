@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnfold.llm import jaccard_join, katz, mixing, suffix_dedup
@@ -203,7 +204,7 @@ def aligned(seed):
     passage = noise(200)
     rows = [(i, noise(i) + passage[i % 20 :][: 49 + i] + "\0" * (i % 7) + noise(rng.randrange(60))) for i in range(82)]
     rng.shuffle(rows)
-    return rows
+    return rows + [(7, passage[20:90]), (7, noise(80)), (90, passage[:60]), (90, "z" * 40 + passage[60:120])]
 
 
 def test_every_shift_meets_the_cover():
@@ -216,7 +217,7 @@ def test_every_shift_meets_the_cover():
 
 def test_sample_positions():
     texts = [b"", b"a" * 49, bytes(range(50)), b"", bytes(range(200))]
-    text, p, h = suffix_dedup.cover(*suffix_dedup._joined(texts))
+    text, p, h = suffix_dedup.cover(*suffix_dedup._joined(pa.array(texts, pa.binary())))
     wanted = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 19) if len(t) >= 50 and i % 31 in (0, 1, 3, 8, 12, 18)]
     starts = [sum(map(len, texts[:k])) for k in range(len(texts))]
     assert list(zip(text.tolist(), p.tolist(), strict=True)) == [(k, starts[k] + i) for k, i in wanted]
