@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, shuffle_partitions, slices, table
+from .common import Scratch, columns, map_arrow, shuffle_partitions, slices, table
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -122,10 +122,13 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = plan(docs, ["doc_id"]).where("size > 0").groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("first").alias("first"), F.min("second").alias("second"))
     times = F.array_compact(F.slice(F.array("first", F.coalesce("second", "first")), F.lit(1), F.round(F.try_divide("taken", "size")).cast("int")))
     some = rows.where((F.col("size") > 0) & (2 * F.col("taken") >= F.col("size"))).select(*[F.col(c).alias(f"_{c}_") for c in key], times.alias("_times_"))
-    on = docs["doc_id"].eqNullSafe(some["_doc_id_"]) & docs["source"].eqNullSafe(some["_source_"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == some["_name_"])
-    out = docs.join(some, on).select(*docs.columns, F.explode("_times_").alias("_position_"))
+    held = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns(docs))])  # the documents' columns may have any names
+    name, source, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "source", "text"))
+    on = F.col(name).eqNullSafe(F.col("_doc_id_")) & F.col(source).eqNullSafe(F.col("_source_")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_name_"))
+    out = held.join(some, on).select(*held.columns, F.explode("_times_").alias("_position_"))
     n = max(1, shuffle_partitions(docs.sparkSession))
-    return out.repartitionByRange(n, "_position_", "doc_id").sortWithinPartitions("_position_", "doc_id").select(*docs.columns)
+    out = out.repartitionByRange(n, "_position_", name).sortWithinPartitions("_position_", name)
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held.columns, docs.columns, strict=True)])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,6 +302,15 @@ def test_positions_follow_the_schedules(spark):
             assert a * t + (1 - a) * t * t == pytest.approx(share)
 
 
+def test_columns_of_any_name(spark):
+    rows = docs(spark, [(i, f"one two three {i}", "s") for i in range(9)])
+    odd = rows.withColumnRenamed("key", "a.b").withColumnRenamed("word", "_position_").withColumnRenamed("copy", "_times_")
+    for f in (mixing.mix, jaccard_join.keep_first, suffix_dedup.strip_repeats):
+        found = f(odd)
+        assert found.columns == odd.columns and found.count() > 0
+        assert {(r["a.b"], r["_position_"], r["_times_"]) for r in found.collect()} == {("k", "t", True)}
+
+
 def test_mixed_documents(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, 50), "ab"[i % 2]) for i in range(60)] + [(100, None, "a")]
