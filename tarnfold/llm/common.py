@@ -57,14 +57,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Writes ``df`` and returns a reader of it, whose lineage is the files.
+    def write(self, df: DataFrame, name: str, compression: str = "zstd", *folders: str) -> DataFrame:
+        """Writes ``df``, in a folder for each value of the columns ``folders``,
+        and returns a reader of it, whose lineage is the files.
         Spark drops the write's shuffle files at its end, as nothing reads them again."""
         schema, conf = df.schema, self.spark.conf
         before = conf.get(CLEANUP, "false")
         conf.set(CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+            df.write.mode("overwrite").partitionBy(*folders).option("compression", compression).parquet(self.path(name))
         finally:
             conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
@@ -73,11 +74,6 @@ class Scratch:
         """A reader of a table with the columns of ``df``."""
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def rename(self, old: str, new: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        a, b = (jvm.org.apache.hadoop.fs.Path(self.path(x)) for x in (old, new))
-        a.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(a, b)
-
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

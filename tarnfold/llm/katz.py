@@ -30,11 +30,16 @@ each range travels as one compressed piece and meets those of the other blocks
 in one task, whose answer returns in the same order. The number of ranges grows
 with the tokens, so that a range's pieces fit a task.
 
+A block asks about a history's weight only where one of its tokens backs off
+from it, and adds to its sums only where it owns a continuation.
+
 The model's tables lie in the shared folder, by order: ``ngrams`` holds the
 counts of exchanged n-grams and ``weights`` the back-off weights of histories,
-one row (``MODEL``) for each range of the hash space beside the answers to the
-blocks; what one block alone holds is in its row of the last state. Words and
-n-grams are known by 64-bit hashes.
+one row for each range of the hash space (``part=-1``); what one block alone
+holds is in its row of the last state. The answers to the blocks lie beside
+them until they are read. Blocks meet their answers in ``PARTS`` parts, one
+after the other, and what a part has read is removed, so that one part's
+exchange is on disk at a time. Words and n-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -61,11 +66,19 @@ BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 8_000_000
 END, _END, _START = 0, np.uint64(2), np.uint64(1)
 FOLDS, HELD_OUT = 5, 1
 
-#: In place of a block's number: a range's part of the model.
+#: Parts of the blocks that meet their answers one after the other.
+PARTS = 4
+#: In place of a block's part: a range's row of the model.
 MODEL = -1
 
 _STATE = "block long, data binary"
 _PIECE = "bucket int, block long, data binary"
+_REPLY = _PIECE + ", part int"
+
+
+def part_of(block: int) -> int:
+    """The part of a block, whose number is made of its task's and its place there."""
+    return ((block >> 24) + (block & 0xFFFFFF)) % PARTS
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -137,7 +150,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank[order + 1] = np.arange(len(order)) + 1
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
         data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": np.array(held, bool), "lens": lens, "tokens": rank[flat], "vocab": np.concatenate([[_END], hashes[order]])})
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) | seq], pa.int64()), pa.array([data], pa.binary()), pa.array([len(flat)], pa.int64()), pa.array([int((~np.array(held, bool)).sum())], pa.int64())], ["block", "data", "tokens", "trained"])
+        name, trained = (part << 24) | seq, int((~np.array(held, bool)).sum())
+        return pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "data": pa.array([data], pa.binary()), "tokens": pa.array([len(flat)], pa.int64()), "trained": pa.array([trained], pa.int64()), "part": pa.array([part_of(name)], pa.int32())})
 
     for b in slices(batches, "text"):
         for name, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -168,10 +182,11 @@ class Block:
     Of order k: ``place`` is each token's n-gram, ``keys`` the n-grams' hashes,
     ``hist`` each n-gram's history among the n-grams of order k - 1, one more
     than their number, as 0 is the start's; ``example`` is a token of each.
+    ``trained`` is the number of training texts, which is the start's count.
     """
 
-    def __init__(self, x: dict[str, np.ndarray], order: int):
-        self.x = x
+    def __init__(self, x: dict[str, np.ndarray], order: int, trained: int):
+        self.x, self.trained = x, trained
         self.first = np.cumsum(x["lens"]) - x["lens"]
         self.train = np.repeat(~x["held"], x["lens"])
         self.place, self.keys, self.hist, self.example = [x["tokens"]], [x["vocab"]], [None], [None]
@@ -208,9 +223,27 @@ class Block:
         many = self.x[f"many{len(self.place) - 1}"]
         return np.concatenate([[True], many])[self.hist[-1]] & many[self.place[-2][self.example[-1]]]
 
-    def totals(self, k: int, trained: int) -> np.ndarray:
+    def totals(self, k: int) -> np.ndarray:
         """Training counts of the histories of order k, the start's first."""
-        return np.concatenate([[trained], self.x[f"total{k - 1}"]]).astype(np.int64)
+        return np.concatenate([[self.trained], self.x[f"total{k - 1}"]]).astype(np.int64)
+
+    def shared(self, k: int) -> np.ndarray:
+        """Which histories of order k have been seen and other blocks may hold."""
+        return np.concatenate([[True], self.x[f"many{k - 1}"]]) & (self.totals(k) > 0)
+
+    def backs_off(self, k: int) -> np.ndarray:
+        """Histories of order k from which a token of this block backs off."""
+        return np.bincount(self.hist[k - 1], self.x[f"total{k}"] == 0, len(self.keys[k - 2]) + 1) > 0
+
+    def asks(self, k: int, d: np.ndarray) -> np.ndarray:
+        """Shared histories whose weight this block needs, or whose counts may
+        need one more: those of which no discounted continuation is here."""
+        c = self.x[f"total{k}"].astype(np.int64)
+        left = np.bincount(self.hist[k - 1], (1 - d[np.minimum(c, K + 1)]) * c, len(self.keys[k - 2]) + 1)
+        return self.shared(k) & (self.backs_off(k) | (left <= 2e-9 * self.totals(k)))
+
+    def history_keys(self, k: int) -> np.ndarray:
+        return np.concatenate([mix(np.array([_START * np.uint64(k + 1)], np.uint64)), self.keys[k - 2]])
 
     def sums(self, k: int, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By history of order k, of the seen n-grams that this block owns: the
@@ -231,7 +264,7 @@ class Block:
     def probabilities(self, order: int, unigrams: Unigrams, ds: dict[int, np.ndarray]) -> np.ndarray:
         p = unigrams.p(self.x["total1"])[self.place[0]]
         for k in range(2, order + 1):
-            p = self.raised(k, ds[k], self.x[f"whole{k}"], self.x[f"alpha{k}"], p)
+            p = self.raised(k, ds[k], self.totals(k) + self.x[f"more{k}"], self.x[f"alpha{k}"], p)
         return p
 
 
@@ -242,8 +275,10 @@ def backoff(total: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.
     return whole, alpha
 
 
-def _pieces(block: int, keys: np.ndarray, buckets: int, **values: np.ndarray) -> pa.RecordBatch:
-    """A block's distinct keys with values, one piece a range of the keys."""
+def _pieces(block: int, keys: np.ndarray, buckets: int, coded: dict[str, np.ndarray] | None = None, **values: np.ndarray) -> pa.RecordBatch:
+    """A block's distinct keys with values, one piece a range of the keys.
+    ``coded`` values, of which few are distinct, are stored as their numbers in
+    a piece's list of them."""
     order = np.argsort(keys)
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
     cut = np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
@@ -251,7 +286,11 @@ def _pieces(block: int, keys: np.ndarray, buckets: int, **values: np.ndarray) ->
     for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         if a < b:
             k = keys[order[a:b]]
-            data.append(pack({"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}))
+            piece = {"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}
+            for n, v in (coded or {}).items():
+                piece[n], code = np.unique(v[order[a:b]], return_inverse=True)
+                piece[f"{n} at"] = code.astype(np.int32)
+            data.append(pack(piece))
             at.append(i)
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])
 
@@ -270,11 +309,12 @@ def _met(pieces: pa.Table) -> tuple[list[int], np.ndarray, list[dict], np.ndarra
 
 
 def _replies(pieces: pa.Table, ends: np.ndarray, model: dict[str, np.ndarray], **values: np.ndarray) -> pa.Table:
-    """The answer to each block, and the range's part of the model."""
+    """The answer to each block, and the range's row of the model."""
     parts = {n: np.split(v, ends[:-1]) for n, v in values.items()}
     data = [pack({n: p[i] for n, p in parts.items()}) for i in range(len(ends))]
     bucket, block = pieces.column("bucket").to_pylist(), pieces.column("block").to_pylist()
-    return pa.table({"bucket": pa.array([*bucket, bucket[0]], pa.int32()), "block": pa.array([*block, MODEL], pa.int64()), "data": pa.array([*data, pack(model)], pa.binary())})
+    part = [*map(part_of, block), MODEL]
+    return pa.table({"bucket": pa.array([*bucket, bucket[0]], pa.int32()), "block": pa.array([*block, MODEL], pa.int64()), "data": pa.array([*data, pack(model)], pa.binary()), "part": pa.array(part, pa.int32())})
 
 
 def _count(pieces: pa.Table) -> pa.Table:
@@ -291,14 +331,17 @@ def _count(pieces: pa.Table) -> pa.Table:
 
 
 def _weigh(pieces: pa.Table) -> pa.Table:
-    """For each history: what its counts are divided by, and its back-off
-    weight, from the sums over all blocks."""
+    """For each history that a block asks about: whether its counts are divided
+    by one more, and its back-off weight, from the sums over all blocks."""
     _, ends, held, order, starts, number, step = _met(pieces)
-    total, seen, below = (np.concatenate([h[n] for h in held])[order] for n in ("total", "seen", "below"))
+    seen = np.concatenate([h["seen"][h["seen at"]] for h in held])[order]
+    total, below = (np.concatenate([h[n] for h in held])[order] for n in ("total", "below"))
     whole, alpha = backoff(total[starts], np.add.reduceat(seen, starts), np.add.reduceat(below, starts))
     more, weight = np.empty(len(order), np.uint8), np.empty(len(order))
     more[order], weight[order] = (whole > total[starts])[number], alpha[number]
-    return _replies(pieces, ends, {"step": step, "alpha": alpha.astype(np.float32)}, more=more, alpha=weight)
+    asks = np.concatenate([h["asks"] for h in held])
+    ends = np.concatenate([[0], np.cumsum(asks)])[ends]
+    return _replies(pieces, ends, {"step": step, "alpha": alpha.astype(np.float32)}, more=more[asks], alpha=weight[asks])
 
 
 def _returned(keys: np.ndarray, replies: pa.Table, **empty: type) -> dict[str, np.ndarray]:
@@ -331,40 +374,51 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     A null or empty text is its end mark alone. A null doc_id counts as an
     empty name and trains. Repeated rows count and are scored each. Without
     training rows every token is unknown and has probability 1. An empty table
-    gives no rows.
+    gives no rows. The order is two at least.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "katz")
-    state = scratch.write(map_arrow(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _blocks, _STATE + ", tokens long, trained long"), "state0", "none")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    state = scratch.write(map_arrow(texts, _blocks, _STATE + ", tokens long, trained long, part int"), "state0", "none", "part")
     size = state.agg(F.sum("tokens"), F.sum("trained")).head()
     buckets = max(shuffle_partitions(spark), int(size[0] or 0) // RANGE_TOKENS + 1)
     trained = int(size[1] or 0)
-    state = state.select("block", "data")
 
     def exchanged(asked: DataFrame, answer, name: str) -> DataFrame:
         """The answers to the blocks' pieces, by range of the hash space."""
-        met = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _PIECE)
-        return scratch.write(met, name, "none").where(F.col("block") != MODEL).select("block", "bucket", "data")
-
-    def advanced(state: DataFrame, replies: DataFrame, step, more: str, name: str) -> DataFrame:
-        return scratch.write(state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda x, y: step(x, y), _STATE + more), name, "none")
+        met = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _REPLY)
+        return scratch.write(met, name, "none", "part")
+
+    def advanced(state: DataFrame, old: str, replies: DataFrame, asked: str, step, schema: str, name: str) -> DataFrame:
+        """Each block with its answers, part by part; what is read for the last
+        time is removed (``old`` is None where the state stays)."""
+        for i in range(PARTS):
+            here = F.col("part") == i
+            x = state.where(here).select("block", "data").groupBy("block")
+            y = replies.where(here).select("block", "bucket", "data").groupBy("block")
+            new = scratch.write(x.cogroup(y).applyInArrow(lambda x, y: step(x, y), schema), f"{name}/part={i}", "none")
+            scratch.drop(f"{asked}/part={i}", *([f"{old}/part={i}"] if old else []))
+        return scratch.read(new.withColumn("part", F.lit(0)), name)
 
     def row(block: pa.ChunkedArray, x: dict[str, np.ndarray], **more: pa.Array) -> pa.Table:
         return pa.table({"block": block, "data": pa.array([pack(x)], pa.binary()), **more})
 
     ds: dict[int, np.ndarray] = {}
     unigrams: Unigrams | None = None
+    name = "state0"
     for k in range(1, order + 1):
 
         def ask(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for block, x in _opened(batches):
-                b = Block(x, k)
+                b = Block(x, k, trained)
                 some = b.asked() if k > 1 else np.ones(len(b.keys[0]), bool)
                 yield _pieces(block, b.keys[-1][some], buckets, n=b.counts()[some].astype(np.int32))
 
         def told(state: pa.Table, replies: pa.Table, k: int = k) -> pa.Table:
             """Adds the n-grams' counts, and which are shared, and owned."""
             x = unpack(state.column("data")[0].as_py())
-            b = Block(x, k)
+            b = Block(x, k, trained)
             some = b.asked() if k > 1 else np.ones(len(b.keys[0]), bool)
             reply = _returned(b.keys[-1][some], replies, told=np.int64)["told"]
             total, many, own = b.counts(), np.zeros(len(some), bool), np.ones(len(some), bool)
@@ -373,46 +427,38 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             x = x | {f"total{k}": total.astype(np.int32), f"own{k}": own} | ({f"many{k}": many} if k < order else {})
             return row(state.column("block"), x, n=_counted(seen), tokens=pa.array([int(seen.sum())], pa.int64()), types=pa.array([len(seen)], pa.int64()))
 
-        counts = exchanged(map_arrow(state, ask, _PIECE), _count, f"ngrams{k}")
-        full = advanced(state, counts, told, ", n array<long>, tokens long, types long", f"counted{k}")
-        found = full.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(K + 1)], F.sum("tokens"), F.sum("types")).head()
-        scratch.drop(f"state{k - 1}")
-        state, n = full.select("block", "data"), [int(v or 0) for v in found]
+        counts = exchanged(map_arrow(state.select("block", "data"), ask, _PIECE), _count, f"ngrams{k}")
+        state = advanced(state, name, counts, f"ngrams{k}", told, _STATE + ", n array<long>, tokens long, types long", f"counted{k}")
+        found = state.agg(*[F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(K + 1)], F.sum("tokens"), F.sum("types")).head()
+        name, n = f"counted{k}", [int(v or 0) for v in found]
         if k == 1:
             unigrams = Unigrams(n[: K + 1], n[K + 1], n[K + 2])
-            scratch.rename("counted1", "state1")
-            state = scratch.read(state, "state1")
             continue
         ds[k] = discounts(n[: K + 1])
 
-        def shared(x: dict[str, np.ndarray], b: Block, k: int = k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Histories that other blocks may hold and that have been seen, their keys and counts."""
-            totals = b.totals(k, trained)
-            some = np.flatnonzero(np.concatenate([[True], x[f"many{k - 1}"]]) & (totals > 0))
-            return some, np.concatenate([mix(np.array([_START * np.uint64(k + 1)], np.uint64)), b.keys[k - 2]])[some], totals
-
         def ask_weights(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for block, x in _opened(batches):
-                b = Block(x, k)
+                b = Block(x, k, trained)
                 seen, below = b.sums(k, ds[k], b.probabilities(k - 1, unigrams, ds))
-                some, keys, totals = shared(x, b)
-                yield _pieces(block, keys, buckets, total=totals[some], seen=seen[some], below=below[some])
+                asks = b.asks(k, ds[k])
+                some = np.flatnonzero(asks | (b.shared(k) & (seen > 0)))
+                yield _pieces(block, b.history_keys(k)[some], buckets, {"seen": seen[some]}, total=b.totals(k)[some], below=below[some], asks=asks[some])
 
         def weighed(x: dict[str, np.ndarray], replies: pa.Table, k: int = k) -> tuple[Block, np.ndarray]:
             """The block with the histories' weights, and the probabilities of order k."""
-            b = Block(x, k)
-            p = b.probabilities(k - 1, unigrams, ds)
-            some, keys, totals = shared(x, b)
+            b = Block(x, k, trained)
+            p, totals, asks, shared = b.probabilities(k - 1, unigrams, ds), b.totals(k), b.asks(k, ds[k]), b.shared(k)
             whole, alpha = backoff(totals, *b.sums(k, ds[k], p))
-            reply = _returned(keys, replies, more=np.uint8, alpha=np.float64)
-            whole[some], alpha[some] = totals[some] + reply["more"], reply["alpha"]
-            x[f"whole{k}"], x[f"alpha{k}"] = whole, alpha
-            return b, b.raised(k, ds[k], whole, alpha, p)
+            # Of a shared history that isn't asked about no weight is needed here.
+            more, alpha = np.where(shared, 0, whole > totals).astype(np.uint8), np.where(shared, 0, alpha)
+            reply = _returned(b.history_keys(k)[asks], replies, more=np.uint8, alpha=np.float64)
+            more[asks], alpha[asks] = reply["more"], reply["alpha"]
+            x[f"more{k}"], x[f"alpha{k}"] = more, alpha
+            return b, b.raised(k, ds[k], totals + more, alpha, p)
 
         def keep(state: pa.Table, replies: pa.Table, k: int = k) -> pa.Table:
             x = unpack(state.column("data")[0].as_py())
             weighed(x, replies)
-            x[f"whole{k}"] = x[f"whole{k}"].astype(np.int32)
             del x[f"own{k}"]
             return row(state.column("block"), x)
 
@@ -426,11 +472,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             known = np.add.reduceat((total > 0)[x["tokens"]].astype(np.int64), b.first)
             return pa.table({"doc_id": pa.array(x["docs"], pa.int64(), mask=x["null"]), "held_out": pa.array(x["held"]), "n_tokens": pa.array(lens.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(lens), unigrams.tokens, np.int64)), "base_score": pa.array(bases), "score": pa.array(scores)})
 
-        weights = exchanged(map_arrow(state, ask_weights, _PIECE), _weigh, f"weights{k}")
+        weights = exchanged(map_arrow(state.select("block", "data"), ask_weights, _PIECE), _weigh, f"weights{k}")
         if k < order:
-            state = advanced(state, weights, keep, "", f"state{k}")
-            scratch.drop(f"counted{k}")
-    return state.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            state = advanced(state, name, weights, f"weights{k}", keep, _STATE, f"state{k}")
+            name = f"state{k}"
+    scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return advanced(state, None, weights, f"weights{order}", evaluate, scores, "scores").drop("part")
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
