@@ -34,7 +34,7 @@ A block asks about a history's weight only where one of its tokens backs off
 from it, and adds to its sums only where it owns a continuation.
 
 The model's tables lie in the shared folder, by order: ``ngrams`` holds the
-counts of exchanged n-grams and ``weights`` the back-off weights of histories,
+counts of n-grams that several blocks hold and ``weights`` the back-off weights of histories,
 one row for each range of the hash space (``part=-1``); what one block alone
 holds is in its row of the last state. The answers to the blocks lie beside
 them until they are read. Blocks meet their answers in ``PARTS`` parts, one
@@ -133,7 +133,7 @@ class Unigrams:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks: docs, null, held, lens, tokens, vocab (hashes)."""
+    """Texts to blocks: docs, null, held, lens, tokens, vocab (steps of hashes)."""
     part, seq = TaskContext.get().partitionId(), 0
     number: dict[bytes, int] = {}
     docs: list = []
@@ -144,12 +144,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block() -> pa.RecordBatch:
         lens = np.array([len(t) for t in tokens], np.int32)
         flat = np.concatenate(tokens)
-        # Frequent words get small numbers, which pack well.
-        order = np.argsort(-np.bincount(flat, minlength=len(number) + 1)[1:], kind="stable")
+        # Frequent words get small numbers, which pack well; so do the
+        # differences of the hashes of words that are equally frequent.
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
+        order = np.lexsort((hashes, -np.bincount(flat, minlength=len(number) + 1)[1:]))
         rank = np.zeros(len(number) + 1, np.int32)
         rank[order + 1] = np.arange(len(order)) + 1
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
-        data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": np.array(held, bool), "lens": lens, "tokens": rank[flat], "vocab": np.concatenate([[_END], hashes[order]])})
+        data = pack({"docs": np.array([d or 0 for d in docs], np.int64), "null": np.array([d is None for d in docs], bool), "held": np.array(held, bool), "lens": lens, "tokens": rank[flat], "vocab": _steps(np.concatenate([np.array([_END], np.uint64), hashes[order]]))})
         name, trained = (part << 24) | seq, int((~np.array(held, bool)).sum())
         return pa.RecordBatch.from_pydict({"block": pa.array([name], pa.int64()), "data": pa.array([data], pa.binary()), "tokens": pa.array([len(flat)], pa.int64()), "trained": pa.array([trained], pa.int64()), "part": pa.array([part_of(name)], pa.int32())})
 
@@ -189,7 +190,8 @@ class Block:
         self.x, self.trained = x, trained
         self.first = np.cumsum(x["lens"]) - x["lens"]
         self.train = np.repeat(~x["held"], x["lens"])
-        self.place, self.keys, self.hist, self.example = [x["tokens"]], [x["vocab"]], [None], [None]
+        vocab = np.cumsum(x["vocab"], dtype=np.uint64)
+        self.place, self.keys, self.hist, self.example = [x["tokens"]], [vocab], [None], [None]
         for _ in range(1, order):
             self._next()
 
@@ -275,6 +277,11 @@ def backoff(total: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.
     return whole, alpha
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Keys as differences; those of keys in order are small and pack well."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _pieces(block: int, keys: np.ndarray, buckets: int, coded: dict[str, np.ndarray] | None = None, **values: np.ndarray) -> pa.RecordBatch:
     """A block's distinct keys with values, one piece a range of the keys.
     ``coded`` values, of which few are distinct, are stored as their numbers in
@@ -286,7 +293,7 @@ def _pieces(block: int, keys: np.ndarray, buckets: int, coded: dict[str, np.ndar
     for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         if a < b:
             k = keys[order[a:b]]
-            piece = {"step": np.diff(k, prepend=np.uint64(0)), **{n: v[order[a:b]] for n, v in values.items()}}
+            piece = {"step": _steps(k), **{n: v[order[a:b]] for n, v in values.items()}}
             for n, v in (coded or {}).items():
                 piece[n], code = np.unique(v[order[a:b]], return_inverse=True)
                 piece[f"{n} at"] = code.astype(np.int32)
@@ -298,14 +305,14 @@ def _pieces(block: int, keys: np.ndarray, buckets: int, coded: dict[str, np.ndar
 def _met(pieces: pa.Table) -> tuple[list[int], np.ndarray, list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pieces of one range: their blocks and ends, what they hold, an order
     of all keys, where equal keys start, the number of each key in order, and
-    the distinct keys by their differences."""
+    the distinct keys."""
     blocks = pieces.column("block").to_pylist()
     held = [unpack(x.as_py()) for x in pieces.column("data")]
     keys = np.concatenate([np.cumsum(x["step"], dtype=np.uint64) for x in held])
     order = np.argsort(keys)
     keys = keys[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return blocks, np.cumsum([len(x["step"]) for x in held]), held, order, np.flatnonzero(new), np.cumsum(new) - 1, np.diff(keys[new], prepend=np.uint64(0))
+    return blocks, np.cumsum([len(x["step"]) for x in held]), held, order, np.flatnonzero(new), np.cumsum(new) - 1, keys[new]
 
 
 def _replies(pieces: pa.Table, ends: np.ndarray, model: dict[str, np.ndarray], **values: np.ndarray) -> pa.Table:
@@ -320,20 +327,21 @@ def _replies(pieces: pa.Table, ends: np.ndarray, model: dict[str, np.ndarray], *
 def _count(pieces: pa.Table) -> pa.Table:
     """For each key: 4 * its count in all, + 2 if other blocks hold it, + 1 if
     this block is the first that does."""
-    blocks, ends, held, order, starts, number, step = _met(pieces)
+    blocks, ends, held, order, starts, number, keys = _met(pieces)
     n = np.concatenate([x["n"] for x in held]).astype(np.int64)[order]
     block = np.repeat(np.array(blocks, np.int64), np.diff(ends, prepend=0))[order]
     total, first = np.add.reduceat(n, starts), np.minimum.reduceat(block, starts)
     many = np.diff(np.append(starts, len(order))) > 1
     told = np.empty(len(order), np.int64)
     told[order] = 4 * total[number] + 2 * many[number] + (first[number] == block)
-    return _replies(pieces, ends, {"step": step, "total": total.astype(np.int32)}, told=told)
+    kept = many & (total > 0)
+    return _replies(pieces, ends, {"step": _steps(keys[kept]), "total": total[kept].astype(np.int32)}, told=told)
 
 
 def _weigh(pieces: pa.Table) -> pa.Table:
     """For each history that a block asks about: whether its counts are divided
     by one more, and its back-off weight, from the sums over all blocks."""
-    _, ends, held, order, starts, number, step = _met(pieces)
+    _, ends, held, order, starts, number, keys = _met(pieces)
     seen = np.concatenate([h["seen"][h["seen at"]] for h in held])[order]
     total, below = (np.concatenate([h[n] for h in held])[order] for n in ("total", "below"))
     whole, alpha = backoff(total[starts], np.add.reduceat(seen, starts), np.add.reduceat(below, starts))
@@ -341,7 +349,7 @@ def _weigh(pieces: pa.Table) -> pa.Table:
     more[order], weight[order] = (whole > total[starts])[number], alpha[number]
     asks = np.concatenate([h["asks"] for h in held])
     ends = np.concatenate([[0], np.cumsum(asks)])[ends]
-    return _replies(pieces, ends, {"step": step, "alpha": alpha.astype(np.float32)}, more=more[asks], alpha=weight[asks])
+    return _replies(pieces, ends, {"step": _steps(keys), "alpha": alpha.astype(np.float32)}, more=more[asks], alpha=weight[asks])
 
 
 def _returned(keys: np.ndarray, replies: pa.Table, **empty: type) -> dict[str, np.ndarray]:
