@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import url_rules
 from .html_mincut import op2_html_mincut
+from .importance import op12_importance
 from .jaccard_join import op3_jaccard_join
 from .katz import op6_katz
 from .lexicon_bpe import op5_lexicon_bpe
+from .line_dedup import op11_line_dedup
 from .mixing import op4_mixing
 from .packed_tokens import op1_packed_tokens
 from .robust_quality import op10_robust_quality
@@ -18,7 +20,7 @@ from .scaled_sketch import op9_scaled_sketch
 from .suffix_dedup import op8_suffix_dedup
 from .url_rules import op7_url_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op3_jaccard_join, op4_mixing, op5_lexicon_bpe, op6_katz, op7_url_rules, op8_suffix_dedup, op9_scaled_sketch, op10_robust_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packed_tokens, op2_html_mincut, op3_jaccard_join, op4_mixing, op5_lexicon_bpe, op6_katz, op7_url_rules, op8_suffix_dedup, op9_scaled_sketch, op10_robust_quality, op11_line_dedup, op12_importance)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = "[^\\x20\\x09-\\x0D]+"
