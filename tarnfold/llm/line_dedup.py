@@ -180,8 +180,10 @@ def frequent_lines(lines: DataFrame, scratch: Scratch, min_documents: int = MIN_
 
 
 def pack(keep: np.ndarray) -> bytes:
-    """A bitmap of the lines that stay, first line in the lowest bit, compressed."""
-    return zlib.compress(np.packbits(keep, bitorder="little").tobytes(), 6)
+    """A bitmap of the lines that stay, first line in the lowest bit, compressed;
+    the last byte is filled up with lines that stay."""
+    full = np.concatenate([keep, np.ones(-len(keep) % 8, bool)])
+    return zlib.compress(np.packbits(full, bitorder="little").tobytes(), 6)
 
 
 def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:

@@ -75,4 +75,26 @@ k AS (SELECT doc_id, x, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY
 o AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(x, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS tail FROM k GROUP BY doc_id)
 SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE head || substr(x, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op4_mixing": _MIX_SQL, "op7_url_rules": _url_sql(), "op8_suffix_dedup": _PASSAGE_SQL}
+_LINE_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, i, lines[i] AS line, translate(regexp_replace(lines[i], '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UP}', '{_LOW}') AS k FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+f AS (SELECT k FROM l WHERE k != '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+o AS (SELECT r, count(*) FILTER (f.k IS NOT NULL) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL) AS kept FROM l LEFT JOIN f ON l.k = f.k GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN o USING (r)"""
+
+#: The checksum of a feature is a fold over its bytes with a table that a fold of eight steps makes.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"
+_RESAMPLE_SQL = f"""WITH x AS (SELECT row_number() OVER () AS r, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+w AS (SELECT r, own, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM x),
+g AS (SELECT r, own, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+c AS (SELECT r, own, g, count(*) AS c FROM g GROUP BY ALL), t AS (SELECT {_CRC_TABLE} AS t),
+h AS (SELECT g, list_transform(range(1, CAST(len(hex(encode(g))) / 2 AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i - 1, 2) AS BIGINT)) AS bytes FROM (SELECT DISTINCT g FROM c)),
+b AS (SELECT g, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS b FROM h, t),
+n AS (SELECT range AS b, CAST(coalesce(sum(c) FILTER (own), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (NOT own), 0) AS DOUBLE) AS t FROM range(10000) LEFT JOIN (c JOIN b USING (g)) ON b = range GROUP BY range),
+k AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS k FROM n),
+v AS (SELECT r, sum(c) AS n_features, sum(c * k) AS weight FROM c JOIN b USING (g) JOIN k USING (b) GROUP BY r),
+o AS (SELECT x.r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h FROM x JOIN w USING (r) LEFT JOIN v USING (r) WHERE x.own),
+p AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM o),
+q AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM p)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CAST(CASE WHEN place <= 5 * n // 100 THEN place END AS BIGINT) AS rank, CAST(n_words AS BIGINT) AS n_words FROM q"""
+
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": _LINE_SQL, "op12_importance": _RESAMPLE_SQL, "op3_jaccard_join": _JACCARD_SQL, "op4_mixing": _MIX_SQL, "op7_url_rules": _url_sql(), "op8_suffix_dedup": _PASSAGE_SQL}
