@@ -28,10 +28,11 @@ def numbered(names: DataFrame) -> DataFrame:
 
 
 def from_pairs(names: DataFrame, pairs: DataFrame, beta: float = BETA, many: bool = False) -> Mdp:
-    """``names`` (name, r): states, numbered in the order of their names;
+    """``names`` (name, r): states, numbered in the order of their names, or as
+    their column ``state`` says;
     ``pairs`` (a, b): observed steps between names. A state that is never left
     stays where it is. ``many``: the states grow with the data."""
-    states = numbered(names) if many else names.select("name", "r", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("state"))
+    states = names if "state" in names.columns else numbered(names) if many else names.select("name", "r", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("state"))
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
     a, b = states.select(F.col("name").alias("a"), F.col("state").alias("src")), states.select(F.col("name").alias("b"), F.col("state").alias("dst"))
     edges = counts.join(a, "a").join(b, "b").select("src", "dst", "c")
