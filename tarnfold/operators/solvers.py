@@ -4,7 +4,13 @@ Two tiers. ``kernel`` solves whole models inside tasks, many models and
 configurations in one job; it is for models whose packed rows fit a task.
 ``frame`` does each sweep as joins and aggregates over tables of any size and
 cuts the lineage as it goes. ``auto`` counts the entries and takes ``kernel``
-up to ``KERNEL_ENTRIES``.
+up to ``KERNEL_ENTRIES``. Both give the same values after the same rounds;
+where the tables can't follow an order, ``frame`` raises.
+
+Modes: ``jacobi``; ``gauss_seidel``, ascending; ``colored``, Gauss-Seidel in
+the order of a colouring, which tables follow in a few jobs a sweep; ``async``,
+blocks or a scheduler's order; ``frontier``, changes pushed from the states
+that have them.
 """
 
 from __future__ import annotations
@@ -18,15 +24,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draw_numbers
 from ..lineage import cut
 from ..model import Mdp
 from ..plans.planners import Plan
-from ..plans.schedulers import Scheduler, hot_size
+from ..plans.schedulers import Scheduler
 from ..profiling import COUNTERS, SCANS
 from . import kernels
-from .bellman import FixedPointOperator, PolicyEvaluation, backup, damped, largest, residuals
+from .bellman import FixedPointOperator, PolicyEvaluation, backup, damped, residuals
+from .coloring import colors
+from .frontier import Frontier
+from .halo import Halo
+from .rounds import Colors, Phased, Rounds, Scheduled, Synchronous
 
-MODES = ("jacobi", "gauss_seidel", "async")
+MODES = ("jacobi", "gauss_seidel", "colored", "async", "frontier")
 #: Entries (16 bytes each, packed) that one task may hold.
 KERNEL_ENTRIES = 20_000_000
 REPORT = (
@@ -110,6 +121,11 @@ def _step(m: kernels.Csr, c: SolverConfig, scheduler: Scheduler | None, tasks: l
         return kernels.Jacobi(m, c.alpha)
     if c.mode == "gauss_seidel":
         return kernels.GaussSeidel(m, c.alpha)
+    if c.mode == "colored":
+        color = kernels.colors(m, draw_numbers(np.arange(m.n), 0, 42))
+        return kernels.GaussSeidel(m, c.alpha, np.argsort(color, kind="stable"))
+    if c.mode == "frontier":
+        return kernels.Frontier(m, c.eps, c.alpha)
     if scheduler is not None:
         return kernels.Scheduled(m, scheduler, threads, c.stale, c.rebuild_every if scheduler.kind != "static" else 0, c.alpha)
     return kernels.AsyncBlocks(m, block_of(m.n, threads), c.local_sweeps, c.alpha)
@@ -124,13 +140,16 @@ class Run:
     config: SolverConfig = SolverConfig()
     scheduler: Scheduler | None = None
     plan: DataFrame | None = None  # a plan's tasks
+    start: DataFrame | None = None  # (state, v); zeros by default
 
 
 def _packed(run_id: str, run: Run) -> DataFrame:
-    """One row for each reward (kind 0), entry (1) and task of the plan (2)."""
+    """One row for each reward (kind 0), entry (1), task of the plan (2) and start (3)."""
     none = [F.lit(0).alias("tid"), F.lit(0).alias("seq")]
     e = run.mdp.transitions.select(F.lit(run_id).alias("run_id"), F.lit(1).alias("kind"), F.col("src").alias("i"), F.col("dst").alias("j"), F.col("p").alias("x"), *none)
     rows = e.union(run.mdp.rewards.select(F.lit(run_id), F.lit(0), "state", F.lit(0).cast("long"), "r", *none))
+    if run.start is not None:
+        rows = rows.union(run.start.select(F.lit(run_id), F.lit(3), "state", F.lit(0).cast("long"), "v", *none))
     if run.plan is None:
         return rows
     return rows.union(run.plan.select(F.lit(run_id), F.lit(2), F.col("phase").cast("long"), "begin", F.col("end").cast("double"), "tid", "seq"))
@@ -144,27 +163,25 @@ def _tasks(rows: pd.DataFrame) -> list[dict[int, np.ndarray]]:
     return out
 
 
-def _check_sizes(rows: DataFrame) -> None:
-    """Raises if a model is too large for a task: it would be read whole."""
-    large = rows.groupBy("run_id").count().where(F.col("count") > 2 * KERNEL_ENTRIES).head(1)
-    if large:
-        raise ValueError(f"{large[0]['run_id']}: {large[0]['count']} rows are too many for one task; use the frame tier")
+def _below(c: SolverConfig, planned: bool) -> bool:
+    """Whether a start that lies exactly at ``eps`` must be improved."""
+    return not planned and c.mode in ("jacobi", "gauss_seidel", "colored")
 
 
-def _solved(runs: dict[str, Run], checked: bool = False) -> DataFrame:
+def _solved(runs: dict[str, Run]) -> DataFrame:
     """(run_id, state, v, report): the report is in one row of each run."""
     rows = reduce(DataFrame.union, [_packed(run_id, run) for run_id, run in runs.items()])
-    if not checked:
-        _check_sizes(rows)
     configs = {k: (asdict(run.config), run.mdp.beta, run.scheduler, run.plan is not None) for k, run in runs.items()}
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         config, beta, scheduler, planned = configs[key[0]]
         c = SolverConfig(**config)
-        e, r = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i")
+        e, r, x = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i"), pdf[pdf["kind"] == 3].sort_values("i")
+        if len(e) > KERNEL_ENTRIES:
+            raise ValueError(f"{key[0]}: {len(e)} entries are too many for one task; use the frame tier")
         m = kernels.Csr(e["i"].to_numpy(), e["j"].to_numpy(), e["x"].to_numpy(), r["x"].to_numpy(), beta)
         step = _step(m, c, scheduler, _tasks(pdf[pdf["kind"] == 2]) if planned else None)
-        out = kernels.solve(m, step, c.eps, c.max_sweeps, c.max_seconds, c.check_every, c.residual_scan_stride, below=not planned and c.mode != "async")
+        out = kernels.solve(m, step, c.eps, c.max_sweeps, c.max_seconds, c.check_every, c.residual_scan_stride, x["x"].to_numpy() if len(x) else None, below=_below(c, planned))
         report = {"converged": out.converged, "final_residual_inf": out.residual, "wall_time_sec": out.seconds, "sweeps": out.sweeps, "total_updates": out.updates, "updates_per_sec": out.updates / out.seconds if out.seconds else 0.0}
         report["trace"] = [{"sweep": s, "time_sec": t, "residual": x} for s, t, x in out.trace]
         report["counters"] = [{"tid": t, "updates": u, "ns": ns} for t, u, ns in out.counters]
@@ -202,59 +219,53 @@ def sweeps(m: Mdp, x: DataFrame, k: int, alpha: float = 1.0) -> DataFrame:
     return x
 
 
-def async_round(m: Mdp, x: DataFrame, blocks: int, local_sweeps: int, alpha: float = 1.0) -> DataFrame:
-    """One round of block iterations over tables: each block of contiguous
-    states, with the values its rows read, is one group of a few sweeps."""
-    n = m.size()
-    size, extra = divmod(n, blocks)
-    i = F.col("state")
-    big = extra * (size + 1)
-    owner = F.when(i < big, F.floor(i / (size + 1))).otherwise(extra + F.floor((i - big) / max(size, 1))).cast("int")
-    old = x.select(F.col("state").alias("dst"), F.col("v").alias("y"))
-    entries = m.transitions.join(old, "dst").select(F.col("src").alias("state"), "dst", "p", "y").withColumn("kind", F.lit(1))
-    own = m.rewards.join(x, "state").select("state", F.col("state").alias("dst"), F.col("r").alias("p"), F.col("v").alias("y")).withColumn("kind", F.lit(0))
-    beta = m.beta
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, e = pdf[pdf["kind"] == 0].sort_values("state"), pdf[pdf["kind"] == 1]
-        states, y = own["state"].to_numpy(), own["y"].to_numpy().copy()
-        row = np.searchsorted(states, e["state"].to_numpy())
-        col = np.minimum(np.searchsorted(states, e["dst"].to_numpy()), len(states) - 1)
-        inside = states[col] == e["dst"].to_numpy()
-        p = e["p"].to_numpy()
-        base = own["p"].to_numpy() + beta * np.bincount(row[~inside], (p * e["y"].to_numpy())[~inside], len(states))
-        for _ in range(local_sweeps):
-            fy = base + beta * np.bincount(row[inside], p[inside] * y[col[inside]], len(states))
-            y = (1 - alpha) * y + alpha * fy
-        return pd.DataFrame({"state": states, "v": y})
-
-    return entries.union(own.select("state", "dst", "p", "y", "kind")).groupBy(owner.alias("owner")).applyInPandas(kernel, "state long, v double")
-
-
-def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig, advance=None, a_round: int = 0) -> Solution:
-    """The frame tier's loop for any contraction. A sweep's table also gives
-    the residual of the values it started from, so each costs one job.
-    ``advance`` takes that table (state, v, fv, residual) and the number of the
-    round to the next values, with ``a_round`` updates (0: one a state)."""
-    began, step = time.perf_counter(), damped(c.alpha)
-    k, trace, n, scan_ns = 0, [], None, 0
+def follow(s: Rounds, c: SolverConfig, below: bool = False) -> Solution:
+    """The frame tier's loop: rounds until the residual is small enough or a
+    budget ends. Residuals are looked at, as in the kernels, at the start, after
+    each ``check_every`` rounds and at the end."""
+    began, updates, trace, scan_ns, k = time.perf_counter(), 0, [], 0, 0
+    spent = lambda: time.perf_counter() - began
     while True:
         at = time.perf_counter_ns()
-        rows = cut(x.join(op.apply(x), "state").select("state", "v", "fv", F.abs(F.col("fv") - F.col("v")).alias("residual")))
-        look = k % max(1, c.check_every) == 0 or bool(c.max_sweeps and k >= c.max_sweeps)
-        if look:
-            residual = largest(rows, c.residual_scan_stride).head()[0]
-            trace.append((k, time.perf_counter() - began, residual))
+        over = bool(c.max_sweeps and k >= c.max_sweeps or c.max_seconds and spent() >= c.max_seconds)
+        looking = over or k % max(1, c.check_every) == 0
+        found = s.look() if looking or s.always else None
         scan_ns += time.perf_counter_ns() - at
-        n = rows.count() if n is None else n
-        if look and residual <= c.eps or c.max_sweeps and k >= c.max_sweeps or c.max_seconds and time.perf_counter() - began >= c.max_seconds:
-            final = largest(rows).head()[0]
-            updates, seconds = k * (a_round or n), time.perf_counter() - began
-            return Solution(rows.select("state", "v"), final <= c.eps, final, k, updates, seconds, trace, [(0, updates, int(1e9 * seconds) - scan_ns)], (k + 1, scan_ns))
-        x = advance(rows, k) if advance else rows.select("state", step(F.col("v"), F.col("fv")).alias("v"))
+        if looking:
+            trace.append((k, spent(), found.strided))
+            if over or found.strided <= c.eps and not (below and k == 0 and found.strided == c.eps):
+                values = s.values()
+                s.end()
+                if trace[-1][2] != found.residual:
+                    trace[-1] = (k, trace[-1][1], found.residual)
+                seconds = spent()
+                return Solution(values, found.residual <= c.eps, found.residual, k, updates, seconds, trace, [(0, updates, int(1e9 * seconds) - scan_ns)], (k + 1, scan_ns))
+        updates += s.advance(k)
         k += 1
 
 
+def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig = SolverConfig()) -> Solution:
+    """Any contraction over tables: all states at once, one job a sweep, or, in
+    the ``frontier`` mode and for linear ones, only those that change."""
+    if c.mode == "frontier":
+        return follow(Frontier(op, x, c.eps, c.alpha, c.residual_scan_stride), c)
+    if c.mode != "jacobi":
+        raise ValueError("any contraction can be solved in the modes jacobi and frontier")
+    return follow(Synchronous(op, x, c.alpha, c.residual_scan_stride), c, True)
+
+
+def async_round(m: Mdp, x: DataFrame, blocks: int, local_sweeps: int, alpha: float = 1.0) -> DataFrame:
+    """(state, v) after one round of block iterations over tables."""
+    s = Halo(m, PolicyEvaluation(m), x, blocks, local_sweeps, alpha)
+    for k in range(2):
+        s.look()
+        if k == 0:
+            s.advance(k)
+    values = s.values()
+    s.end()
+    return values
+
+
 def gauss_seidel_sweep(m: Mdp, x: DataFrame, n: int, block: int, alpha: float = 1.0) -> DataFrame:
     """One exact ascending sweep over tables: block after block of consecutive
     states, each in one task against the values so far. As the order asks for,
@@ -279,58 +290,68 @@ def gauss_seidel_sweep(m: Mdp, x: DataFrame, n: int, block: int, alpha: float =
     return x
 
 
+class _Ascending(Rounds):
+    """Exact ascending sweeps over tables, block after block."""
+
+    def __init__(self, m: Mdp, op: FixedPointOperator, x: DataFrame, block: int, alpha: float, stride: int):
+        super().__init__(op, x, alpha, stride)
+        self.m, self.n, self.block = m, m.size(), block
+
+    def advance(self, k: int) -> int:
+        self.x = gauss_seidel_sweep(self.m, self.x, self.n, self.block, self.alpha)
+        return self.n
+
+
 def _frame(run: Run, x: DataFrame, phases: list[DataFrame] | None, block: int) -> Solution:
     """The frame tier of each way to run a model."""
-    m, c, s = run.mdp, run.config, run.scheduler
-    advance, a_round = None, 0
+    m, c, op = run.mdp, run.config, PolicyEvaluation(run.mdp)
+    rest = (c.alpha, c.residual_scan_stride)
     if phases is not None:
-        advance, a_round = lambda rows, k: run_phases(m, rows.select("state", "v"), phases, c.alpha), sum(p.count() for p in phases)
+        s = Phased(m, op, x, *rest)
+        s.phases = phases
+    elif c.mode == "jacobi" or c.mode == "frontier":
+        return iterate(op, x, c)
+    elif c.mode == "colored":
+        s = Colors(m, op, x, colors(m), *rest)
     elif c.mode == "gauss_seidel":
-        n = m.size()
-        advance = lambda rows, k: gauss_seidel_sweep(m, rows.select("state", "v"), n, block, c.alpha)
-    elif c.mode == "async" and s is not None and s.needs_residuals:
-        n = m.size()
+        s = _Ascending(m, op, x, block, *rest)
+    elif run.scheduler is not None:
+        s = Scheduled(m, op, x, run.scheduler, max(1, min(c.threads, m.size())), c.stale, c.rebuild_every, *rest)
+    else:
+        s = Halo(m, op, x, c.threads, c.local_sweeps, *rest)
+    return follow(s, c, _below(c, phases is not None))
 
-        def advance(rows: DataFrame, k: int) -> DataFrame:
-            """The hot states first, then all, by the dispatch table of this round."""
-            x = rows.select("state", "v")
-            hot = s.hot(rows, n, c.threads)
-            if hot is None:  # buckets: the upper half of the residuals' buckets, then all
-                hot = s.dispatch(rows, n, c.threads, k).where(F.col("pos") < (n + 1) // 2)
-            return run_phases(m, x, [hot.select("state"), x.select("state")], c.alpha)
 
-        a_round = n + (hot_size(n, c.threads, s.K) if s.kind != "buckets" else (n + 1) // 2)
-    elif c.mode == "async":
-        advance = lambda rows, k: async_round(m, rows.select("state", "v"), max(1, c.threads), c.local_sweeps, c.alpha)
-    return iterate(PolicyEvaluation(m), x, c, advance, a_round)
+def _tier(m: Mdp, tier: str) -> str:
+    return tier if tier != "auto" else "kernel" if m.transitions.count() <= KERNEL_ENTRIES else "frame"
 
 
 def solve(m: Mdp, c: SolverConfig = SolverConfig(), x: DataFrame | None = None, tier: str = "auto", scheduler: Scheduler | None = None, block: int = 1_000_000) -> Solution:
     """Solves one model from ``x`` (zeros by default). In the async mode a
-    scheduler gives the order. ``block``: states that a task of an ordered
-    sweep over tables may hold."""
+    scheduler gives the order. ``block``: states that a task of an ascending
+    sweep over tables may hold; such sweeps are as many jobs as blocks, where
+    the ``colored`` mode needs as many as colours."""
     if c.verify:
         PolicyEvaluation(m).check()
-    if tier == "auto":
-        tier = "kernel" if x is None and m.transitions.count() <= KERNEL_ENTRIES else "frame"
-    run = Run(m, c, scheduler if c.mode == "async" else None)
-    if tier == "frame":
+    run = Run(m, c, scheduler if c.mode == "async" else None, start=x)
+    if _tier(m, tier) == "frame":
         return _frame(run, m.zeros() if x is None else x, None, block)
-    return _solution(_solved({"run": run}, checked=True))
+    return _solution(_solved({"run": run}))
 
 
 def solve_plan(m: Mdp, plan: Plan, c: SolverConfig = SolverConfig(), x: DataFrame | None = None, tier: str = "auto") -> Solution:
     """Repeats a plan's epochs until the residual is small enough or a budget
     ends: with trace, residuals and the counters of each thread. One thread
-    updates in place, task by task; several update a phase's states together.
-    A plan without phases gives the start."""
+    updates in place, state by state, which tables can't follow: the frame tier
+    raises ValueError. Several update a phase's states together. A plan without
+    phases gives the start."""
     c = replace(c, threads=plan.config.threads)
-    if tier == "auto":
-        tier = "kernel" if x is None and m.transitions.count() <= KERNEL_ENTRIES else "frame"
-    if tier == "frame":
+    if _tier(m, tier) == "frame":
+        if c.threads <= 1:
+            raise ValueError("a plan of one thread updates state by state; over tables, use more threads or the colored mode")
         phases = sorted(r["phase"] for r in plan.phases.collect())  # at most two a color
         return _frame(Run(m, c), m.zeros() if x is None else x, [plan.phase_states(p) for p in phases], 0)
-    return _solution(_solved({"run": Run(m, c, plan=plan.tasks)}, checked=True))
+    return _solution(_solved({"run": Run(m, c, plan=plan.tasks, start=x)}))
 
 
 def run_phases(m: Mdp, x: DataFrame, phases: list[DataFrame], alpha: float = 1.0) -> DataFrame:
