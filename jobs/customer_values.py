@@ -66,7 +66,7 @@ def run(spark: SparkSession, s: Settings) -> DataFrame:
     log.info("read %s from %s", ", ".join(f"{t}: {df.count()} rows" for t, df in tables.items()), s.tables)
     found = solve(m, SolverConfig(eps=s.eps))
     log.info("%s after %d sweeps, residual %.3g", "converged" if found.converged else "not converged", found.sweeps, found.final_residual_inf)
-    place = F.row_number().over(Window.partitionBy("nation").orderBy(F.desc(F.round("v", 2)), "segment", "priority"))
+    place = F.row_number().over(Window.partitionBy("nation").orderBy(F.desc(F.round("v", 3)), "segment", "priority"))
     values = names.join(found.values, "state")
     values = values.select("segment", "priority", "orders", "cents", F.col("v").alias("value"), place.alias("place"), "nation")
     replace_partitions(values.repartition("nation"), f"{s.out}/values", "nation")
@@ -79,7 +79,7 @@ def job2_customer_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job, twice over the whole tables into a new folder."""
     s = Settings(sf_dir, new_folder(spark, "job2"))
     run(spark, s)
-    return run(spark, s).select("nation", "segment", "priority", "orders", "cents", F.round("value", 1).alias("value"), F.col("place").cast("long").alias("place"))
+    return run(spark, s).select("nation", "segment", "priority", "orders", "cents", F.round("value", 3).alias("value"), F.col("place").cast("long").alias("place"))
 
 
 SQL = """WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, n_name, c_mktsegment, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
@@ -88,7 +88,7 @@ j AS (SELECT o.*, i FROM o JOIN n ON nation = n_name AND segment IS NOT DISTINCT
 s AS (SELECT i, lead(i) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS j FROM j), c AS (SELECT i, j, count(*) AS c FROM s WHERE j IS NOT NULL GROUP BY ALL),
 e AS (SELECT i, j, c / sum(c) OVER (PARTITION BY i) AS p FROM c UNION ALL SELECT i, i, 1.0 FROM n WHERE i NOT IN (SELECT i FROM c)),
 x(k, i, v) AS (SELECT 0, i, CAST(0 AS DOUBLE) FROM n UNION ALL SELECT k + 1, e.i, any_value(price) + 0.9 * sum(p * v) FROM x JOIN e ON x.i = e.j JOIN n ON n.i = e.i WHERE k < 400 GROUP BY k, e.i)
-SELECT nation, segment, priority, orders, cents, round(CAST(v AS DOUBLE), 1) AS value, row_number() OVER (PARTITION BY nation ORDER BY round(CAST(v AS DOUBLE), 2) DESC, segment, priority) AS place FROM n JOIN x USING (i) WHERE k = 400"""
+SELECT nation, segment, priority, orders, cents, round(CAST(v AS DOUBLE), 3) AS value, row_number() OVER (PARTITION BY nation ORDER BY round(CAST(v AS DOUBLE), 3) DESC, segment, priority) AS place FROM n JOIN x USING (i) WHERE k = 400"""
 
 
 def main() -> None:

@@ -9,7 +9,8 @@ Counts of neighbours add up over documents. A file stream takes only the files
 that are new since its checkpoint and adds a partition of counts for each
 batch; a batch that is taken again after a failure replaces its own partition.
 Where counts have been added since the ranks were made, the ranks are solved
-anew, starting from the former ones, in which only new words lie far off.
+anew, starting from the former ones: changes are pushed from the words whose
+neighbours have changed, and the others are not touched.
 
     python -m jobs.word_ranks --documents PATH --out PATH
 
@@ -46,7 +47,7 @@ class Settings:
     documents: str
     out: str
     damping: float = 0.6
-    eps: float = 1e-10
+    eps: float = 1e-12
     max_sweeps: int = 500
     max_files: int = 1000
 
@@ -101,7 +102,7 @@ def solve_ranks(spark: SparkSession, s: Settings, counts: DataFrame, last: int)
     if former is not None:
         old = former.select(F.concat("lang", F.lit(" "), "word").alias("state"), F.col("rank").alias("old"))
         x = x.join(old, "state", "left").select("state", F.coalesce("old", "v").alias("v"))
-    found = iterate(Affine(entries, start), cut(x), SolverConfig(eps=s.eps, max_sweeps=s.max_sweeps, check_every=5))
+    found = iterate(Affine(entries, start), cut(x), SolverConfig(mode="frontier", eps=s.eps, max_sweeps=s.max_sweeps))
     lang, word = F.substring_index("state", " ", 1), F.expr("substring(state, locate(' ', state) + 1)")
     ranks = found.values.join(start, "state").select(word.alias("word"), F.col("v").alias("rank"), "steps", lang.alias("lang"))
     replace_partitions(ranks.repartition("lang", F.pmod(F.xxhash64("word"), F.lit(32))), f"{s.out}/ranks", "lang")
@@ -131,7 +132,7 @@ def job1_word_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     finds nothing new."""
     s = Settings(f"{sf_dir}/documents.parque[t]", new_folder(spark, "job1"))  # a pattern, as the table may be one file
     run(spark, s)
-    return run(spark, s).select("lang", "word", "steps", (F.round("rank", 3) + F.lit(0.0)).alias("rank"))
+    return run(spark, s).select("lang", "word", "steps", (F.round("rank", 6) + F.lit(0.0)).alias("rank"))
 
 
 #: The same from the whole table at once, by a fixed number of sweeps.
@@ -143,7 +144,7 @@ s AS (SELECT lang, a, b, sum(c) AS c FROM (SELECT * FROM n UNION ALL SELECT lang
 d AS (SELECT row_number() OVER () AS i, lang, b AS word, sum(c) AS steps FROM s GROUP BY lang, b),
 e AS (SELECT r.i AS r, q.i AS q, 0.6 * s.c / q.steps AS a FROM s JOIN d r ON r.lang = s.lang AND r.word = s.a JOIN d q ON q.lang = s.lang AND q.word = s.b),
 x(k, i, v) AS (SELECT 0, i, CAST(1 AS DOUBLE) FROM d UNION ALL SELECT k + 1, r, 0.4 + sum(a * v) FROM x JOIN e ON x.i = e.q WHERE k < 60 GROUP BY k, r)
-SELECT lang, word, CAST(steps AS BIGINT) AS steps, round(CAST(v AS DOUBLE), 3) AS rank FROM d JOIN x USING (i) WHERE k = 60"""
+SELECT lang, word, CAST(steps AS BIGINT) AS steps, round(CAST(v AS DOUBLE), 6) AS rank FROM d JOIN x USING (i) WHERE k = 60"""
 
 
 def main() -> None:

@@ -15,7 +15,7 @@ from . import report
 from .functions import draw_sql
 from .lineage import cut, folder
 from .model import Mdp, violations
-from .operators import bellman, solvers
+from .operators import bellman, coloring, frontier, halo, solvers
 from .operators.solvers import Run, SolverConfig
 from .plans import autotune, cost, planners, schedulers
 from .plans.planners import PlannerConfig
@@ -323,6 +323,94 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(solvers.gauss_seidel_sweep(m, m.zeros(), m.size(), 2))
 
 
+# ---- solvers over tables --------------------------------------------------
+
+#: (k, state, pri, color): the rounds of the colouring, color -1 for none yet.
+_COLORS_SQL = f"""nb AS (SELECT DISTINCT s, o FROM (SELECT src AS s, dst AS o FROM tt UNION ALL SELECT dst, src FROM tt) WHERE s != o),
+    co(k, state, pri, color) AS (SELECT 0, state, {draw_sql('state', '0', 42)}, CAST(-1 AS BIGINT) FROM rr UNION ALL
+    SELECT a.k + 1, a.state, a.pri, CASE WHEN a.color >= 0 THEN a.color WHEN coalesce(bool_or(b.color < 0 AND (b.pri > a.pri OR b.pri = a.pri AND b.state > a.state)), FALSE) THEN -1
+    ELSE list_min(list_filter(range(64), lambda c: NOT list_contains(list(coalesce(b.color, -1)), c))) END
+    FROM co a LEFT JOIN nb ON nb.s = a.state LEFT JOIN co b ON b.state = nb.o WHERE a.k < 40 GROUP BY a.k, a.state, a.pri, a.color), cs AS (SELECT state, color FROM co WHERE k = 40)"""
+
+
+@query("graph_colors", f"WITH RECURSIVE {USERS_SQL}, {_COLORS_SQL} SELECT state, color FROM cs")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coloring.colors(tables.user_events_mdp(spark, sf_dir)))
+
+
+def _colored_sql(model: str) -> str:
+    """Two sweeps by colours: a step updates one colour."""
+    return f"""WITH RECURSIVE {model}, {_COLORS_SQL}, mc AS (SELECT max(color) + 1 AS c FROM cs),
+    sw(t, state, v) AS (SELECT CAST(0 AS BIGINT), state, CAST(0 AS DOUBLE) FROM rr UNION ALL
+    SELECT a.t + 1, a.state, CASE WHEN cs.color = a.t % mc.c THEN max(rr.r) + 0.9 * coalesce(sum(tt.p * x.v), 0) ELSE max(a.v) END
+    FROM sw a JOIN cs ON cs.state = a.state JOIN rr ON rr.state = a.state CROSS JOIN mc LEFT JOIN tt ON tt.src = a.state LEFT JOIN sw x ON x.state = tt.dst WHERE a.t < 2 * mc.c GROUP BY a.t, a.state, cs.color, mc.c)
+    SELECT state, round(v, 6) AS v FROM sw, mc WHERE t = 2 * mc.c"""
+
+
+def _from_tables(m: Mdp, config: SolverConfig) -> DataFrame:
+    return rounded(solvers.solve(kept(m), config, tier="frame").values)
+
+
+@query("gauss_seidel_colored", _colored_sql(USERS_SQL))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_tables(tables.user_events_mdp(spark, sf_dir), SolverConfig(mode="colored", eps=0.0, max_sweeps=2, check_every=2))
+
+
+def _owner_sql(x: str, blocks: int) -> str:
+    """Contiguous blocks, the first ones a state larger."""
+    size, extra = f"(sz.n // {blocks})", f"(sz.n % {blocks})"
+    return f"CASE WHEN {x} < {extra} * ({size} + 1) THEN {x} // ({size} + 1) ELSE {extra} + ({x} - {extra} * ({size} + 1)) // greatest({size}, 1) END"
+
+
+_SIZE_SQL = "sz AS (SELECT count(*) AS n FROM rr)"
+
+
+def _halo_sql(model: str, blocks: int, rounds: int, local: int) -> str:
+    """A step is one local sweep: against the step before inside a block, against the round before outside."""
+    return f"""WITH RECURSIVE {model}, {_SIZE_SQL}, ow AS (SELECT state, {_owner_sql('state', blocks)} AS o FROM rr, sz), inn AS (SELECT tt.*, a.o = b.o AS own FROM tt JOIN ow a ON a.state = tt.src JOIN ow b ON b.state = tt.dst),
+    hr(k, state, old, v) AS (SELECT 0, state, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM rr UNION ALL
+    SELECT k + 1, state, CASE WHEN (k + 1) % {local} = 0 THEN nv ELSE old END, nv FROM (SELECT a.k, a.state, a.old, max(rr.r) + 0.9 * coalesce(sum(inn.p * CASE WHEN inn.own THEN x.v ELSE x.old END), 0) AS nv
+    FROM hr a JOIN rr ON rr.state = a.state LEFT JOIN inn ON inn.src = a.state LEFT JOIN hr x ON x.state = inn.dst WHERE a.k < {rounds * local} GROUP BY a.k, a.state, a.old)) SELECT state, round(v, 6) AS v FROM hr WHERE k = {rounds * local}"""
+
+
+for _name, _source, _sql in (("async_halo_users", tables.user_events_mdp, USERS_SQL), ("async_halo_nation", tables.nation_mdp, NATION_SQL)):
+    query(_name, _halo_sql(_sql, 6, 3, 2))(lambda spark, sf_dir, source=_source: _from_tables(source(spark, sf_dir), SolverConfig(mode="async", threads=6, local_sweeps=2, eps=0.0, max_sweeps=3)))
+
+
+@query("async_halo_sent", f"WITH {NATION_SQL}, {_SIZE_SQL} SELECT (SELECT count(DISTINCT ({_owner_sql('src', 6)}, dst)) FROM tt, sz WHERE {_owner_sql('src', 6)} != {_owner_sql('dst', 6)}) AS sent, n AS states FROM sz")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values a round's messages carry, of how many states."""
+    m = kept(tables.nation_mdp(spark, sf_dir))
+    s = halo.Halo(m, bellman.PolicyEvaluation(m), m.zeros(), 6, 1, 1.0)
+    found = s.look()
+    s.end()
+    return spark.createDataFrame([(s.sent, found.states)], "sent long, states long")
+
+
+#: (k, state, v, d): a round takes up and passes on what is more than 5.
+_PUSH = "CASE WHEN abs({x}.d) > 5 THEN {x}.d ELSE 0 END"
+_FRONTIER_SQL = f"""fr(k, state, v, d) AS (SELECT 0, state, CAST(0 AS DOUBLE), r FROM rr UNION ALL
+    SELECT a.k + 1, a.state, a.v + {_PUSH.format(x='a')}, a.d - {_PUSH.format(x='a')} + 0.9 * coalesce(sum(tt.p * {_PUSH.format(x='x')}), 0)
+    FROM fr a LEFT JOIN tt ON tt.src = a.state LEFT JOIN fr x ON x.state = tt.dst WHERE a.k < 6 GROUP BY a.k, a.state, a.v, a.d)"""
+
+
+def _pushes(spark: SparkSession, sf_dir: str) -> tuple[frontier.Frontier, solvers.Solution]:
+    m = kept(tables.user_events_mdp(spark, sf_dir))
+    s = frontier.Frontier(bellman.PolicyEvaluation(m), m.zeros(), 5.0, 1.0)
+    return s, solvers.follow(s, SolverConfig(mode="frontier", eps=5.0, max_sweeps=6))
+
+
+@query("frontier_values", f"WITH RECURSIVE {USERS_SQL}, {_FRONTIER_SQL} SELECT state, round(v, 6) AS v FROM fr WHERE k = 6")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_pushes(spark, sf_dir)[1].values)
+
+
+@query("frontier_pushed", f"WITH RECURSIVE {USERS_SQL}, {_FRONTIER_SQL} SELECT CAST(k AS BIGINT) AS round, count(*) FILTER (abs(d) > 5) AS pushed FROM fr WHERE k < 6 GROUP BY k HAVING count(*) FILTER (abs(d) > 5) > 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many states each round updates."""
+    return spark.createDataFrame(list(enumerate(_pushes(spark, sf_dir)[0].pushed)), "round long, pushed long")
+
+
 @query("plan_static_t1", _values_sql(EVENTS_SQL, _IN_PLACE, "x5"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.events_mdp(spark, sf_dir)
