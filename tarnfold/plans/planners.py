@@ -12,6 +12,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .selection import descending, ranked, ranked_within
+
 TASK_COLUMNS = ["phase", "tid", "seq", "kind", "begin", "end", "weight", "conflict_key"]
 
 
@@ -96,15 +98,13 @@ def block_scores(spark: SparkSession, n: int, blk: int, residuals: DataFrame | N
 
 
 def _by_score() -> list[Column]:
-    return [F.round("score", 9).desc(), F.col("b")]
+    return [descending("score").desc(), F.col("b")]
 
 
 def hot_blocks(scores: DataFrame, target: int) -> DataFrame:
-    """Blocks in order of their score until they cover ``target`` states. One
-    row a block is ranked, not one a state."""
-    before = Window.orderBy(*_by_score()).rowsBetween(Window.unboundedPreceding, -1)
-    covered = scores.withColumn("covered", F.coalesce(F.sum(_size()).over(before), F.lit(0)))
-    return covered.where(F.col("covered") < target)
+    """Blocks in order of their score until they cover ``target`` states, with
+    the states ``covered`` before each."""
+    return ranked(scores, _by_score(), _size()).where(F.col("before") < target).withColumnRenamed("before", "covered").drop("pos")
 
 
 def priority_plan(spark: SparkSession, n: int, c: PlannerConfig, residuals: DataFrame | None = None) -> Plan:
@@ -113,8 +113,8 @@ def priority_plan(spark: SparkSession, n: int, c: PlannerConfig, residuals: Data
     k, t, b = c.color_count, c.threads, F.col("b")
     scores = block_scores(spark, n, c.blk, residuals)
     hot = hot_blocks(scores, hot_target(n, c) if c.hot_phase_enabled else 0).withColumn("color", b % k)
-    rank = F.row_number().over(Window.partitionBy("color").orderBy(*_by_score())) - 1
-    parts = hot.select("*", rank.alias("rank"), F.lit(0).alias("part"), F.col("score").alias("w"))
+    ranks = ranked_within(hot, "color", _by_score()).withColumnRenamed("own", "rank")
+    parts = ranks.select("*", F.lit(0).alias("part"), F.col("score").alias("w"))
     cover = scores.withColumn("color", b % k).select("*", F.floor(b / k).alias("rank"), F.lit(1).alias("part"), _size().cast("double").alias("w"))
     rows = parts.select("part", "color", "rank", "b", "begin", "end", "w").unionByName(cover.select("part", "color", "rank", "b", "begin", "end", "w"))
     numbers = rows.select("part", "color").distinct().select("part", "color", (F.row_number().over(Window.orderBy("part", "color")) - 1).alias("phase"))

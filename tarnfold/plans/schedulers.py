@@ -1,8 +1,8 @@
 """Dispatch orders of one epoch: (tid, pos, state) or (pos, state) tables.
 
-Each is a ranking. Ranks over all states use one ordered window only where the
-ranked rows are few (a hot set); else ranks are taken inside a thread's block
-or a bucket, and offsets come from a table of counts.
+Each is a ranking. Hot sets are selected by a threshold, and ranks are prefix
+sums over sorted ranges (``selection``), so that no task sees all states, a
+whole hot set, or a whole bucket.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draw, draw_numbers, residual_bucket
+from .selection import descending, largest, ranked, ranked_within
 
 KINDS = ("static", "shuffled", "topk", "ca_topk", "buckets")
 
@@ -46,35 +47,32 @@ def hot_size(n: int, threads: int, k: int = 0) -> int:
     return min(k, n) if k else min(max(n // 100, 256 * threads, 1), n)
 
 
-def _ranked(c: str = "residual") -> list[Column]:
-    """Largest first, ties by state; rounded so that engines agree on ties."""
-    return [F.round(c, 9).desc(), F.col("state")]
+def _order() -> list[Column]:
+    """Largest first, ties by state."""
+    return [descending("residual").desc(), F.col("state")]
 
 
 def topk(residuals: DataFrame, n: int, threads: int = 1, k: int = 0) -> DataFrame:
-    """(pos, state) of the K largest residuals in descending order."""
-    hot = residuals.orderBy(*_ranked()).limit(hot_size(n, threads, k))
-    return hot.select((F.row_number().over(Window.orderBy(*_ranked())) - 1).alias("pos"), "state")
+    """(pos, state) of the K largest residuals in descending order; NaN counts least."""
+    hot = largest(residuals.select("state", "residual"), "residual", hot_size(n, threads, k))
+    return ranked(hot, _order()).select("pos", "state")
 
 
 def conflict_aware_topk(residuals: DataFrame, n: int, threads: int = 1, k: int = 0, groups: int = 0, block_size: int = 256) -> DataFrame:
     """The hot set split into groups of blocks and drawn from the groups in
     turn, each group's largest first."""
     g = groups or 4 * threads
-    hot = residuals.orderBy(*_ranked()).limit(hot_size(n, threads, k)).withColumn("grp", F.pmod(F.floor(F.col("state") / block_size), F.lit(g)).cast("int"))
-    hot = hot.withColumn("turn", F.row_number().over(Window.partitionBy("grp").orderBy(*_ranked())))
-    return hot.select((F.row_number().over(Window.orderBy("turn", "grp")) - 1).alias("pos"), "grp", "state")
+    hot = largest(residuals.select("state", "residual"), "residual", hot_size(n, threads, k)).withColumn("grp", F.pmod(F.floor(F.col("state") / block_size), F.lit(g)).cast("int"))
+    turns = ranked_within(hot, "grp", _order()).drop("pos").withColumnRenamed("own", "turn")
+    return ranked(turns, [F.col("turn"), F.col("grp")]).select("pos", "grp", "state")
 
 
 def residual_buckets(residuals: DataFrame, base: float = 1e-12, buckets: int = 32) -> DataFrame:
     """(pos, bucket, state): highest bucket first, ascending inside. Without
-    any residual above ``base`` that is the order of the states. A bucket is
-    ranked by itself, behind the counts of the higher ones."""
+    any residual above ``base`` that is the order of the states. A bucket of
+    most states spans as many ranges as its share."""
     rows = residuals.select("state", residual_bucket(F.col("residual"), base, buckets).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("c"))
-    offsets = counts.select("bucket", (F.sum("c").over(Window.orderBy(F.desc("bucket"))) - F.col("c")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("bucket").orderBy("state")) - 1
-    return rows.select("state", "bucket", inner.alias("own")).join(offsets, "bucket").select((F.col("before") + F.col("own")).cast("long").alias("pos"), "bucket", "state")
+    return ranked(rows, [F.col("bucket").desc(), F.col("state")]).select("pos", "bucket", "state")
 
 
 def bucket_histogram(residuals: DataFrame, base: float = 1e-12, buckets: int = 32) -> DataFrame:
