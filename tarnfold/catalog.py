@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -644,6 +645,54 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile(spark.createDataFrame(_COUNTS, COUNTERS), spark.createDataFrame(_SCAN_ROWS, SCANS)))
 
 
+@query("profiling_run", f"WITH {EVENTS_SQL}, {_SIZE_SQL} SELECT run_id, CAST(n * per AS BIGINT) AS updates, TRUE AS measured FROM sz, (VALUES ('async', 40), ('jacobi', 5), ('plan', 5)) r(run_id, per)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of three real runs of five rounds; times are measured, and here only known to be there."""
+    m = kept(tables.events_mdp(spark, sf_dir))
+    plan = planners.static_plan(spark, m.size(), PlannerConfig(threads=2, blk=1))
+    c = SolverConfig(eps=0.0, max_sweeps=5, threads=2, local_sweeps=8)
+    runs = solvers.solve_many({"jacobi": Run(m, c), "async": Run(m, replace(c, mode="async")), "plan": Run(m, c, plan=plan.tasks)}, with_values=False)
+    done = cut(runs.select("run_id", "counters", "scans", "scan_ns"))
+    counters = done.select("run_id", F.explode("counters").alias("c")).select("run_id", "c.tid", F.col("c.updates").alias("updates_completed"), F.col("c.ns").alias("time_in_update_ns"))
+    found = profile(counters, done.select("run_id", "scans", "scan_ns"))
+    measured = (F.col("avg_update_cost_ns") > 0) & (F.col("avg_residual_scan_ns") > 0) & F.col("summary").startswith("updates=")
+    return found.select("run_id", "updates", measured.alias("measured"))
+
+
+def _ranked_sql(name: str, model: str) -> str:
+    return f"SELECT '{name}' AS mdp, total_updates FROM ({_REPORT_SQL.replace(EVENTS_SQL, model)})"
+
+
+@query("rep_run_ranking", f"WITH a AS ({_ranked_sql('events', EVENTS_SQL)} UNION ALL {_ranked_sql('nation', NATION_SQL)}) SELECT mdp, 'Jacobi' AS solver, 'Jacobi' AS label, total_updates, CAST(1 AS BIGINT) AS rank FROM a")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real runs over the tables' models, written as records, read again and ranked."""
+    models = {"events": kept(tables.events_mdp(spark, sf_dir)), "nation": kept(tables.nation_mdp(spark, sf_dir))}
+    runs = solvers.solve_many({k: Run(m, SolverConfig(eps=1e-3)) for k, m in models.items()}, with_values=False)
+    sizes = spark.createDataFrame([(k, m.size()) for k, m in models.items()], "run_id string, n long")
+    records = runs.join(sizes, "run_id").select(F.col("run_id").alias("mdp"), F.lit("Jacobi").alias("solver"), "n", F.lit(0.9).alias("beta"), F.lit(1).alias("threads"), F.col("converged").cast("string").alias("converged"), F.col("wall_time_sec").alias("wall_sec"), "total_updates", "updates_per_sec", F.col("final_residual_inf").alias("final_residual"))
+    path = f"{folder(spark)}/runs-{uuid.uuid4().hex[:12]}"
+    report.write_csv(records, path)
+    best = report.best_by(report.read_csv(spark, path, report.SUMMARY), "total_updates", False)
+    return rounded(best.withColumn("label", report.solver_label(F.col("solver"))))
+
+
+#: Defects of the users' model: some rows too heavy, some that lead nowhere, a state without a reward.
+@query(
+    "mdp_validate_users",
+    f"""WITH {USERS_SQL}, n AS (SELECT max(state) AS last FROM rr), s AS (SELECT state FROM rr WHERE state != 17),
+    t AS (SELECT src, CASE WHEN src % 50 = 4 THEN dst + 1000000000 ELSE dst END AS dst, CASE WHEN src % 50 = 3 THEN p * 1.5 ELSE p END AS p FROM tt),
+    sums AS (SELECT s.state, coalesce(sum(t.p), 0) AS total FROM s LEFT JOIN t ON t.src = s.state GROUP BY s.state),
+    f AS (SELECT 'states not 0 to n - 1' AS "check", NULL AS state, (SELECT count(*) FROM s) AS value UNION ALL SELECT 'src is no state', src, p FROM t WHERE src NOT IN (SELECT state FROM s)
+    UNION ALL SELECT 'dst is no state', dst, p FROM t WHERE dst NOT IN (SELECT state FROM s) UNION ALL SELECT 'p outside 0 to 1', src, p FROM t WHERE p < 0 OR p > 1 UNION ALL SELECT 'row sum', state, total FROM sums WHERE abs(total - 1) > 1e-9)
+    SELECT "check", CAST(state AS BIGINT) AS state, round(CAST(value AS DOUBLE), 6) AS value FROM f""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = kept(tables.user_events_mdp(spark, sf_dir))
+    src = F.col("src") % 50
+    t = m.transitions.withColumn("dst", F.when(src == 4, F.col("dst") + 1_000_000_000).otherwise(F.col("dst"))).withColumn("p", F.when(src == 3, F.col("p") * 1.5).otherwise(F.col("p")))
+    return rounded(violations(Mdp(t, m.rewards.where("state != 17"), m.beta)))
+
+
 #: Invented records in the summary's shape.
 _RECORDS = [
     ("Alpha", "Jacobi", 1000, 0.9, 1, "True", 0.5, 40000, 80000.0, 1e-7), ("Alpha", "GaussSeidel", 1000, 0.9, 1, "true", 0.4, 20000, 50000.0, 2e-7), ("Alpha", "Plan_Static", 1000, 0.9, 1, "TRUE", 0.6, 30000, 50000.0, 3e-7),
