@@ -441,7 +441,8 @@ def publish(spark: SparkSession, lexicon: Lexicon) -> str:
 
 def round_trip(docs: DataFrame, tokenizer_file: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of
-    each text. Null text: empty, no tokens. Repeated rows give equal rows."""
+    each text. Null text: empty, no tokens. Repeated rows give equal rows; an
+    empty table gives no rows."""
     spark = docs.sparkSession
     lexicon = publish(spark, Lexicon.build([w.encode() for w in frequent_words(docs, tokenizer_file)], Merger(tokenizer_file)))
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))

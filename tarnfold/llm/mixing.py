@@ -117,6 +117,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A document comes as often as the words taken of it make it up, to the
     nearest whole number; a text is never cut. Equal rows come equally often.
+    Null and empty texts, and such without words, never come; null sources are
+    a source of their own; an empty table gives no rows.
     """
     key = ["doc_id", "source", "name"]
     rows = plan(docs, ["doc_id"]).where("size > 0").groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("first").alias("first"), F.min("second").alias("second"))

@@ -6,7 +6,7 @@ is self-describing: a header, the doc ids, the offset of each document's first
 id in the block, then the packed ids. Blocks unpack with numpy alone, and one
 id is read by its bit offset without unpacking the rest (``read_at``). A
 block's place in the whole corpus is in the table ``index`` beside the blocks,
-so any range of ids is found by reading a few blocks.
+so any range of ids is found by reading a few blocks (``read_range``).
 
 The files are Parquet containers of blocks, because Spark's committer makes a
 task's output appear once, whatever executors are lost.
@@ -245,6 +245,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(blocks.join(index, ["part", "seq"]), docs, "doc_id long, start long, ids array<int>")
 
 
+def read_range(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
+    """The ids from number ``begin`` of the corpus up to ``end`` (not
+    included): start, ids (array of int), a row for each block that holds some;
+    in order of ``start`` they are the range. Ids beyond the corpus are left
+    out; an empty range has no rows.
+
+    Blocks follow each other by part and seq, so that a range is one interval
+    of both, found in the index: a filter that Parquet's statistics can use.
+    Of the blocks read, only the bits of the range are unpacked.
+    """
+    index = spark.read.parquet(f"{path}/index").where((F.col("start") < end) & (F.col("start") + F.col("n_ids") > begin)).select("part", "seq", "start", "n_ids")
+    place = F.struct("part", "seq")
+    ends = index.agg(F.min(place).alias("a"), F.max(place).alias("z")).head()
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "seq", "data")
+    if begin >= end or ends["a"] is None:
+        blocks = blocks.where("false")
+    else:
+        part, seq, a, z = F.col("part"), F.col("seq"), ends["a"], ends["z"]
+        blocks = blocks.where((part >= a["part"]) & (part <= z["part"]) & ((part > a["part"]) | (seq >= a["seq"])) & ((part < z["part"]) | (seq <= z["seq"])))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, n, data in zip(b.column("start").to_pylist(), b.column("n_ids").to_pylist(), b.column("data"), strict=True):
+                first, last = max(0, begin - start), min(n, end - start)
+                _, _, width, packed = open_block(data.as_py())
+                found = unpack(packed, width, last - first, first).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([start + first], pa.int64()), pa.array([found], pa.list_(pa.int32()))], ["start", "ids"])
+
+    return map_arrow(blocks.join(index, ["part", "seq"]), ids, "start long, ids array<int>")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
     blocks, index = spark.read.parquet(f"{path}/blocks").select("part", "seq", "data"), spark.read.parquet(f"{path}/index").select("part", "seq", "start")

@@ -274,7 +274,10 @@ def score(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns. Null and
+    empty texts have no words and go; null languages and sources are groups of
+    their own; repeated rows stay or go together; an empty table gives no rows.
+    """
     name = F.xxhash64(F.coalesce("text", F.lit("")))
     verdicts = score(docs.withColumn("_text_hash", name), ["doc_id", "_text_hash"])
     good = verdicts.where("kept").select(*[F.col(c).alias(f"_{c}_") for c in ("doc_id", "lang", "source", "_text_hash")]).distinct()

@@ -421,6 +421,23 @@ def test_katz_edges(spark):
     assert [(r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in only] == [(True, 5, 0, 0, 0.0)]
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_bears_odd_rows_and_names(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [] if empty else odd_rows() + [(None, prose(rng, 100, 900), None)] * 2 + [(50 + i, prose(rng, 100, 900)) for i in range(20)]
+    docs_ = docs(spark, rows).selectExpr("*", "1 as `a.b`", "'x' as _text_hash")
+    first = docs_
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs_, str(tmp_path))
+        assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == first.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs_ = spark.read.parquet(f"{tmp_path}/{k}")
+    kept = {r["doc_id"] for r in docs_.collect()}
+    assert kept == set() if empty else {50 + i for i in range(20)} <= kept and not kept & {1, 2, 3, 4}
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 

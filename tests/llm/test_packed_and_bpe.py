@@ -80,8 +80,24 @@ def test_files_round_trip(spark, tmp_path):
     assert records(packed_tokens.read(spark, str(tmp_path)), "doc_id", "start", "ids") == sorted(lists, key=repr)
 
 
+def test_any_range_of_ids_is_read(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 40)) for i in range(60)]
+    packed_tokens.write(docs(spark, rows), str(tmp_path), BYTE, 2, 50257, block_ids=300)
+    tok = library(BYTE)
+    flat = [x for _, t in rows for x in [*tok.encode(t, add_special_tokens=False).ids, 2]]
+    assert spark.read.parquet(f"{tmp_path}/index").count() > 10
+    n = len(flat)
+    for a, b in ((0, n), (0, 1), (n - 1, n + 50), (n // 3, n // 2), (299, 1201), (5, 5), (9, 3), (n, n + 9), (-4, 3)):
+        found = packed_tokens.read_range(spark, str(tmp_path), a, b).orderBy("start").collect()
+        assert [x for r in found for x in r["ids"]] == flat[max(a, 0) : max(b, 0)], (a, b)
+        assert not found or found[0]["start"] == max(a, 0)
+    plan = packed_tokens.read_range(spark, str(tmp_path), 10, 20)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(part" in plan and "LessThanOrEqual(part" in plan
+
+
 def test_empty_tables(spark, tmp_path):
     packed_tokens.write(docs(spark, []), str(tmp_path), BYTE, 2, 50257)
+    assert packed_tokens.read_range(spark, str(tmp_path), 0, 9).count() == 0
     assert packed_tokens.digests(spark, str(tmp_path)).count() == 0
     assert lexicon_bpe.round_trip(docs(spark, []), WORD, ["doc_id"]).count() == 0
 
