@@ -3,6 +3,12 @@ passages, mixing to target weights, tokens.
 
 Each stage takes all documents that the one before it kept. A stage's result is
 written as Parquet and read again as the next stage's documents.
+
+Every stage bears null and empty texts, null and repeated doc_ids, null
+languages and sources, empty tables and further columns of any name, which all
+but the last pass on. Documents without words go in the first stage; repeated
+rows stay or go together there, and are near duplicates of each other in the
+second; an empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ from .lineage import cut, folder
 from .model import Mdp, violations
 from .operators import bellman, coloring, frontier, halo, solvers
 from .operators.solvers import Run, SolverConfig
-from .plans import autotune, cost, planners, schedulers
+from .plans import autotune, cost, permutation, planners, schedulers
 from .plans.planners import PlannerConfig
 from .plans.schedulers import Scheduler
 from .profiling import COUNTERS, SCANS, profile
@@ -456,7 +456,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(schedulers.static_blocks(m.rewards, m.size(), 4))
 
 
-@query("sched_shuffled", f"WITH {USERS_SQL}, o AS (SELECT state, ntile(4) OVER (ORDER BY state) - 1 AS tid FROM rr) SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY {draw_sql('state', '3', 42)}, state) - 1 AS pos, state FROM o")
+#: Threads' blocks of two sizes; a permutation gives each state its place.
+_SHUFFLED_SQL = f"""o AS (SELECT state, ntile(4) OVER (ORDER BY state) - 1 AS tid FROM rr), i AS (SELECT *, state - min(state) OVER (PARTITION BY tid) AS y, count(*) OVER (PARTITION BY tid) AS b FROM o),
+    z AS (SELECT DISTINCT b FROM i), sd AS ({permutation.sides_sql('z')})"""
+
+
+@query("sched_shuffled", f"WITH {USERS_SQL}, {_SHUFFLED_SQL} SELECT tid, {permutation.permuted_sql('y', 'tid * 1009 + 3', 42)} AS pos, state FROM i JOIN sd USING (b)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.user_events_mdp(spark, sf_dir)
     return rounded(schedulers.shuffled_blocks(m.rewards, m.size(), 4, epoch=3))

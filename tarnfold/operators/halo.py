@@ -38,10 +38,12 @@ def layout(m: Mdp, blocks: int, n: int) -> DataFrame:
     e = m.transitions.select(F.col("src").alias("state"), "dst", "p", F.lit(1).alias("kind"))
     own = m.rewards.select("state", F.col("state").alias("dst"), F.col("r").alias("p"), F.lit(0).alias("kind"))
 
+    limit = MOST_ENTRIES
+
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mine, e = pdf[pdf["kind"] == 0].sort_values("state"), pdf[pdf["kind"] == 1].sort_values(["state", "dst"])
-        if len(e) > MOST_ENTRIES:
-            raise ValueError(f"block {key[0]} has {len(e)} entries, {MOST_ENTRIES} at most: raise `threads`, the number of blocks")
+        if len(e) > limit:
+            raise ValueError(f"block {key[0]} has {len(e)} entries, {limit} at most: raise `threads`, the number of blocks")
         states, dst = mine["state"].to_numpy(), e["dst"].to_numpy()
         inside = np.isin(dst, states)
         halo = np.unique(dst[~inside])

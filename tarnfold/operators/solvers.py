@@ -171,13 +171,14 @@ def _below(c: SolverConfig, planned: bool) -> bool:
 def _solved(runs: dict[str, Run]) -> DataFrame:
     """(run_id, state, v, report): the report is in one row of each run."""
     rows = reduce(DataFrame.union, [_packed(run_id, run) for run_id, run in runs.items()])
+    limit = KERNEL_ENTRIES
     configs = {k: (asdict(run.config), run.mdp.beta, run.scheduler, run.plan is not None) for k, run in runs.items()}
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         config, beta, scheduler, planned = configs[key[0]]
         c = SolverConfig(**config)
         e, r, x = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 0].sort_values("i"), pdf[pdf["kind"] == 3].sort_values("i")
-        if len(e) > KERNEL_ENTRIES:
+        if len(e) > limit:
             raise ValueError(f"{key[0]}: {len(e)} entries are too many for one task; use the frame tier")
         m = kernels.Csr(e["i"].to_numpy(), e["j"].to_numpy(), e["x"].to_numpy(), r["x"].to_numpy(), beta)
         step = _step(m, c, scheduler, _tasks(pdf[pdf["kind"] == 2]) if planned else None)

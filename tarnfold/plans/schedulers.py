@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draw, draw_numbers, residual_bucket
+from ..functions import residual_bucket
+from .permutation import permuted, permuted_numbers
 from .selection import descending, largest, ranked, ranked_within
 
 KINDS = ("static", "shuffled", "topk", "ca_topk", "buckets")
@@ -35,11 +36,19 @@ def static_blocks(states: DataFrame, n: int, threads: int) -> DataFrame:
     return states.select(tid.alias("tid"), (F.col("state") - begin).cast("int").alias("pos"), "state")
 
 
+def shuffle_key(tid: Column | int, epoch: int) -> Column | int:
+    """The key of a thread's permutation in an epoch."""
+    return tid * 1009 + epoch
+
+
 def shuffled_blocks(states: DataFrame, n: int, threads: int, epoch: int = 0, seed: int = 42) -> DataFrame:
-    """Each thread's own block in an order that changes with the epoch."""
-    tid = owner(F.col("state"), n, threads)
-    order = Window.partitionBy("tid").orderBy(draw(F.col("state"), epoch, seed), "state")
-    return states.select(tid.alias("tid"), "state").select("tid", (F.row_number().over(order) - 1).alias("pos"), "state")
+    """Each thread's own block in an order that changes with the epoch: a
+    permutation gives each state its place, without a sort."""
+    size, extra = divmod(n, threads)
+    rows = static_blocks(states, n, threads)
+    y, key = F.col("pos").cast("long"), shuffle_key(F.col("tid").cast("long"), epoch)
+    pos = F.when(F.col("tid") < extra, permuted(y, size + 1, key, seed)).otherwise(permuted(y, size, key, seed))
+    return rows.select("tid", pos.cast("int").alias("pos"), "state")
 
 
 def hot_size(n: int, threads: int, k: int = 0) -> int:
@@ -145,7 +154,7 @@ class Scheduler:
         ends = np.cumsum([size + (t < extra) for t in range(threads)])
         blocks = [np.arange(e - size - (t < extra), e) for t, e in enumerate(ends.tolist())]
         if self.kind != "static":
-            blocks = [b[np.argsort(draw_numbers(b, epoch, self.seed), kind="stable")] for b in blocks]
+            blocks = [b[np.argsort(permuted_numbers(len(b), shuffle_key(t, epoch), self.seed))] for t, b in enumerate(blocks)]
         if self.kind not in ("topk", "ca_topk"):
             return [blocks]
         hot = np.argsort(-r, kind="stable")[: hot_size(n, threads, self.K)]
