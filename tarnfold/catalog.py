@@ -16,7 +16,7 @@ from . import report
 from .functions import draw_sql
 from .lineage import cut, folder
 from .model import Mdp, violations
-from .operators import bellman, coloring, frontier, halo, solvers
+from .operators import bellman, clusters, coloring, frontier, halo, solvers
 from .operators.solvers import Run, SolverConfig
 from .plans import autotune, cost, permutation, planners, schedulers
 from .plans.planners import PlannerConfig
@@ -412,6 +412,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_pushes(spark, sf_dir)[0].pushed)), "round long, pushed long")
 
 
+#: Customers of a nation as a cluster: the more segments a nation has among them, the likelier they leave it.
+_CLUSTER_SQL = """rr AS (SELECT c_custkey AS state, c_nationkey AS cluster, coalesce(c_acctbal, 0) AS r FROM customer WHERE c_nationkey IS NOT NULL),
+    sh AS (SELECT c_nationkey AS cluster, 1 - count(DISTINCT c_mktsegment) / 20.0 AS intra FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1)"""
+
+
+def _cluster_sql(sweeps: int) -> str:
+    parts = ["x0 AS (SELECT state, cluster, r, CAST(0 AS DOUBLE) AS v FROM rr)"]
+    for k in range(sweeps):
+        parts.append(f"c{k} AS (SELECT cluster, sum(v) AS s, count(*) AS m FROM x{k} GROUP BY cluster), g{k} AS (SELECT cluster, 0.9 * (intra * s / m + (1 - intra) * coalesce(((SELECT sum(s) FROM c{k}) - s) / nullif((SELECT sum(m) FROM c{k}) - m, 0), 0)) AS g FROM c{k} JOIN sh USING (cluster))")
+        parts.append(f"x{k + 1} AS (SELECT state, cluster, r, r + g AS v FROM x{k} JOIN g{k} USING (cluster))")
+    return ", ".join(parts)
+
+
+@query("clusters_customers", f"WITH {_CLUSTER_SQL}, {_cluster_sql(4)} SELECT state, round(CAST(v AS DOUBLE), 6) AS v FROM x4")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sweeps of a dense model of all customers, whose matrix is never written."""
+    rows = tables.read(spark, sf_dir, "customer")
+    intra = 1 - F.count_distinct("c_mktsegment") / 20
+    op = clusters.from_table(rows, F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal"), intra, 0.9)
+    return rounded(solvers.iterate(op, op.zeros(), SolverConfig(eps=0.0, max_sweeps=4)).values)
+
+
 @query("plan_static_t1", _values_sql(EVENTS_SQL, _IN_PLACE, "x5"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.events_mdp(spark, sf_dir)
