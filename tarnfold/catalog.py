@@ -590,6 +590,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cost.estimate(plan.tasks, plan.phases))
 
 
+@query(
+    "plan_cost_ranges",
+    f"""WITH {USERS_SQL}, {_SIZE_SQL}, d AS (SELECT rr.state, count(tt.dst) AS nnz FROM rr LEFT JOIN tt ON tt.src = rr.state GROUP BY rr.state),
+    t AS (SELECT k, k % 3 AS phase, k % 4 AS tid, 13 * k AS lo, least(24 * k + 5, n) AS hi FROM (SELECT range AS k FROM range(40)), sz WHERE 13 * k < n),
+    w AS (SELECT t.k, phase, tid, hi - lo AS size, coalesce(sum(nnz), 0) AS w FROM t LEFT JOIN d ON d.state >= lo AND d.state < hi GROUP BY ALL), c AS (SELECT phase, tid, sum(CASE WHEN w > 0 THEN w ELSE size END) AS c FROM w GROUP BY phase, tid), f AS (SELECT max(c) AS c, sum(c) AS s FROM c GROUP BY phase)
+    SELECT CAST(sum(c) AS DOUBLE) AS compute_cost, CAST(sum(s) AS DOUBLE) AS work FROM f""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping ranges that no block size divides."""
+    m = kept(tables.user_events_mdp(spark, sf_dir))
+    n, k = m.size(), F.col("id")
+    size = F.least(24 * k + 5, F.lit(n))
+    tasks = spark.range(40).where(13 * k < n).select((k % 3).cast("int").alias("phase"), (k % 4).cast("int").alias("tid"), k.cast("int").alias("seq"), F.lit("BLOCK").alias("kind"), (13 * k).alias("begin"), size.alias("end"), F.lit(0.0).alias("weight"), k.alias("conflict_key"))
+    found = cost.estimate(cost.weighted_ranges(tasks, m.degrees(), n), spark.range(3).select(F.lit(False).alias("barrier_after")))
+    return rounded(found.select("compute_cost", "work"))
+
+
 # ---- autotune -------------------------------------------------------------
 
 _TUNE = autotune.AutotuneConfig(threads=2, blks=(32, 64), color_multipliers=(1, 2), hot_fractions=(0.05, 0.2), pilot_sweeps=5)

@@ -7,7 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .planners import Plan
+from .selection import ranked
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,26 @@ def weighted(p: Plan, degrees: DataFrame) -> Plan:
     return replace(p, tasks=t.select(*[c for c in p.tasks.columns if c != "weight"], F.coalesce("nnz", F.lit(0)).cast("double").alias("weight")).select(*p.tasks.columns))
 
 
+def entries_before(degrees: DataFrame) -> DataFrame:
+    """(state, before): entries of all rows before a state, and of all rows at
+    the number of states. ``degrees`` has each state from 0 on."""
+    rows = ranked(degrees.select("state", "nnz"), [F.col("state")], F.col("nnz")).select("state", F.col("before").cast("long").alias("before"))
+    return rows.union(degrees.agg(F.count("*"), F.coalesce(F.sum("nnz"), F.lit(0)).cast("long")))
+
+
+def weighted_ranges(tasks: DataFrame, degrees: DataFrame, n: int) -> DataFrame:
+    """``tasks`` of any begin and end with their rows' entries as weight: the
+    difference of two prefix sums, read at the range's bounds, so that a range
+    of all states costs no more than one of a single state. Bounds outside 0
+    to ``n`` are cut to it; a range that ends before it begins is empty."""
+    sums = cut(entries_before(degrees))
+    bound = lambda c: F.greatest(F.least(F.col(c), F.lit(n)), F.lit(0)).cast("long")
+    rows = tasks.drop("weight").withColumn("_lo", bound("begin")).withColumn("_hi", F.greatest(bound("end"), bound("begin")))
+    for side in ("_lo", "_hi"):
+        rows = rows.join(sums.select(F.col("state").alias(side), F.col("before").alias(f"{side}_sum")), side)
+    return rows.withColumn("weight", (F.col("_hi_sum") - F.col("_lo_sum")).cast("double")).select(*tasks.columns)
+
+
 def task_cost(model: CostModel) -> F.Column:
     """Measured time if known, else the weight, else the size."""
     size = (F.col("end") - F.col("begin")).cast("double")

@@ -90,3 +90,14 @@ def test_candidates():
     assert {c[2] for c in autotune.candidate_list(100, autotune.AutotuneConfig())} == {64}
     with pytest.raises(ValueError):
         autotune.candidate_list(10, autotune.AutotuneConfig())
+
+
+def test_entries_of_any_range(spark):
+    from tarnfold.plans import cost
+
+    nnz = [3, 0, 5, 1, 0, 0, 7, 2, 4, 1]
+    degrees = spark.createDataFrame(list(enumerate(nnz)), "state long, nnz long").repartition(3)
+    ranges = [(0, 10), (0, 0), (3, 3), (1, 2), (2, 7), (9, 10), (-5, 4), (8, 99), (7, 2), (4, 6), (2, 7)]
+    tasks = spark.createDataFrame([(0, i, a, b, -1.0) for i, (a, b) in enumerate(ranges)], "phase int, seq int, begin long, end long, weight double")
+    found = {r["seq"]: r["weight"] for r in cost.weighted_ranges(tasks, degrees, 10).collect()}
+    assert found == {i: float(sum(nnz[max(a, 0) : max(b, 0)])) for i, (a, b) in enumerate(ranges)}
