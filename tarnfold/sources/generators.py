@@ -84,16 +84,29 @@ def chain(spark: SparkSession, n: int, beta: float, p_left: float = 0.25, p_stay
     return Mdp(_exploded(ids, entries), _rewards(ids, r), beta)
 
 
-def random_sparse(spark: SparkSession, n: int, per_row: int, beta: float, max_reward: float = 1.0, seed: int = 42) -> Mdp:
+def random_sparse(spark: SparkSession, n: int, per_row: int, beta: float, max_reward: float = 1.0, seed: int = 42, free: bool = False) -> Mdp:
     """Rows of ``per_row`` distinct columns in ascending order with random
     weights from .1 to 1, normalised. One column is drawn from each of
-    ``per_row`` equal ranges: distinct and sorted without a set or a shuffle."""
+    ``per_row`` equal ranges: distinct and sorted without a set or a shuffle.
+    ``free``: any set of columns may come. Floyd's sampling takes, for each of
+    the last ``per_row`` columns, one drawn from those up to it, or the column
+    itself where that has been taken, inside the row."""
     m = min(max(1, per_row), n)
     ids, i = spark.range(n), F.col("id")
     places = F.sequence(F.lit(0), F.lit(m - 1))
     weight = lambda k: 0.1 + 0.9 * (draw(i, k + m, seed) % 1_000_000) / 1_000_000
     lo = lambda k: F.floor(k.cast("long") * n / m)
-    drawn = ids.select("id", F.transform(places, lambda k: F.struct((lo(k) + draw(i, k, seed) % (lo(k + 1) - lo(k))).alias("dst"), weight(k).alias("w"))).alias("d"))
+    if free:
+
+        def take(taken: Column, k: Column) -> Column:
+            last = (k + (n - m)).cast("long")
+            t = draw(i, k, seed) % (last + 1)
+            return F.array_append(taken, F.when(F.array_contains(taken, t), last).otherwise(t))
+
+        rows = ids.select("id", F.array_sort(F.aggregate(places, F.array().cast("array<long>"), take)).alias("dsts"))
+        drawn = rows.select("id", F.transform("dsts", lambda dst, k: F.struct(dst.alias("dst"), weight(k).alias("w"))).alias("d"))
+    else:
+        drawn = ids.select("id", F.transform(places, lambda k: F.struct((lo(k) + draw(i, k, seed) % (lo(k + 1) - lo(k))).alias("dst"), weight(k).alias("w"))).alias("d"))
     total = F.aggregate("d", F.lit(0.0), lambda a, d: a + d["w"])
     drawn = drawn.withColumn("t", total)
     entries = F.transform("d", lambda d: _entry(d["dst"], d["w"] / F.col("t")))

@@ -83,3 +83,29 @@ def test_empty_rows_give_their_reward_and_nan_is_ignored(spark):
     assert found == {0: 2.0, 1: 5.0}
     assert bellman.residual_inf(m, x).head()[0] == 3.0
     assert bellman.largest(bellman.residuals(m, x).where("false")).head()[0] == 0.0
+
+
+@pytest.mark.parametrize("n,k", [(5, 2), (40, 6), (3, 9), (1, 1)])
+def test_free_draws_are_distinct_and_repeated_by_sql(spark, n, k):
+    import duckdb
+
+    from tarnfold.functions import draw_sql
+
+    m = gen.random_sparse(spark, n, k, 0.9, free=True)
+    k = min(k, n)
+    found = {}
+    for r in m.transitions.collect():
+        found.setdefault(r["src"], []).append((r["ord"], r["dst"]))
+    found = {i: [c for _, c in sorted(x)] for i, x in found.items()}
+    t = f"({draw_sql('i', 'k', 42)}) % ({n - k} + k + 1)"
+    sql = f"SELECT i, list_sort(list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range({k}), lambda k: [{n - k} + k, {t}])), lambda s, x: list_append(s, CASE WHEN list_contains(s, x[2]) THEN x[1] ELSE x[2] END))) FROM (SELECT range AS i FROM range({n}))"
+    assert found == {i: c for i, c in duckdb.sql(sql).fetchall()}
+    assert all(len(set(c)) == k and c == sorted(c) for c in found.values()) and violations(m).count() == 0
+
+
+def test_free_draws_reach_every_set(spark):
+    sets = set()
+    for seed in range(12):
+        rows = gen.random_sparse(spark, 5, 2, 0.9, seed=seed, free=True).transitions.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("c")).collect()
+        sets |= {tuple(r["c"]) for r in rows}
+    assert len(sets) == 10
