@@ -6,11 +6,13 @@ target, is the number of its words wanted up to a time; inverting it gives each
 document the time at which the words before it have been used up, its position.
 Documents stand in an order by hash within their source, which is walked again
 from the start when a target exceeds the source, up to twice. The mix is
-range-sorted by position.
+range-sorted by position: all sources run on one clock, and the words taken of
+any source before a document's time are its place in the whole mix.
 
 Prefix sums within a source are taken in two steps, over hash buckets and
 inside a bucket, so that a source with a third of all rows is spread over as
-many tasks as it has buckets.
+many tasks as it has buckets; so are those of the whole mix, over ranges of
+the sorted positions.
 """
 
 from __future__ import annotations
@@ -36,22 +38,25 @@ BUCKET_ROWS = 4000
 
 
 def sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``size``, the text's words (null: 0), and
-    ``name``, a hash of the text."""
-    rows = docs.select(*keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    """The columns ``keep`` with ``size``, the text's words (null: 0), ``name``,
+    a hash of the text, and ``h``, the place in the order."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*keep, F.xxhash64(text).alias("name"), order_hash(F.col("doc_id"), text).alias("h"), text.alias("text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             n = np.array([len(t.encode("utf-8", "surrogatepass").split()) for t in b.column("text").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in (*keep, "name")] + [pa.array(n)], [*keep, "name", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in (*keep, "name", "h")] + [pa.array(n)], [*keep, "name", "h", "size"])
 
     return map_arrow(rows, run, f"{ddl}, size long")
 
 
-def order_hash(doc_id: Column) -> Column:
-    """60 bits of a digest: the order of documents in their source."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":mix")).cast("binary")), 1, 15), 16, 10).cast("long")
+def order_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of a digest of name and text: the order of documents in their
+    source. Documents of one repeated or null name are spread by their texts."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(by_source: DataFrame) -> DataFrame:
@@ -94,7 +99,7 @@ def plan(docs: DataFrame, keep: list[str]) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     keep = list(dict.fromkeys([*keep, "source"]))
     skey = F.when(F.col("source").isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col("source")))
-    rows = scratch.write(sizes(docs, keep).withColumn("skey", skey).withColumn("h", order_hash(F.col("doc_id"))), "sizes")
+    rows = scratch.write(sizes(docs, keep).withColumn("skey", skey), "sizes")
     n = rows.count()
     buckets = max(1, n // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.shiftright(F.shiftright("h", 20) * buckets, 40))
@@ -112,6 +117,29 @@ def plan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, "name", "size", "source_size", "target", taken.cast("long").alias("taken"), places[0].alias("first"), places[1].alias("second"))
 
 
+def sequence(rows: DataFrame) -> DataFrame:
+    """``plan``'s rows with ``start``: the words of the whole mix, of all
+    sources, before the document's first pass; null where nothing is taken.
+
+    The passes are range-sorted by position, ties by doc_id, size and text, and
+    written with the range that each lies in; a range's words, one row each, are
+    added up for those behind it. Repeated rows have positions, and so starts,
+    of their own; an empty table gives no rows.
+    """
+    spark = rows.sparkSession
+    scratch, n = Scratch(spark, "sequence"), shuffle_partitions(spark)
+    once = F.least("taken", "size")
+    passes = F.array(F.struct(F.lit(0).alias("turn"), F.coalesce("first", F.lit(2.0)).alias("at"), once.alias("words")), F.struct(F.lit(1).alias("turn"), F.col("second").alias("at"), (F.col("taken") - once).alias("words")))
+    order = ["at", "doc_id", "size", "name", "turn"]
+    dealt = rows.select("*", F.inline(passes)).where("turn = 0 or words > 0").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = scratch.write(dealt.withColumn("range", F.spark_partition_id()), "passes")
+    sums = dealt.groupBy("range").agg(F.sum("words").alias("base"))
+    bases = sums.select("range", (F.sum("base").over(Window.orderBy("range")) - F.col("base")).alias("base"))  # a row a range
+    own = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("own", F.sum("words").over(own) - F.col("words")).join(F.broadcast(bases), "range").where("turn = 0")
+    return placed.select(*rows.columns, F.when(F.col("taken") > 0, F.col("base") + F.col("own")).alias("start"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents with all their columns, range-sorted by position.
 
@@ -134,5 +162,5 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all ``documents``."""
-    return plan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
+    """The mix of all ``documents``, with each one's place in it."""
+    return sequence(plan(table(spark, sf_dir, "documents"), ["doc_id"])).select("doc_id", "size", "source_size", "target", "taken", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), "start")

@@ -57,15 +57,18 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)
 _SHARE = "least(1.0, ({k} * source_size + before + p{k} / 2.0) / greatest(target, 1e-9))"
 _PLACE = "CASE WHEN p{k} > 0 THEN CASE place WHEN 0 THEN {s} WHEN 1 THEN (sqrt(0.25 + 2 * {s}) - 0.5) ELSE (sqrt(2.25 - 2 * {s}) - 1.5) / -1 END END"
 _MIX_SQL = f"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size,
-CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix'), 1, 15) AS BIGINT) AS h FROM documents),
+CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 b AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey), q AS (SELECT *, (row_number() OVER (ORDER BY skey) - 1) % 3 AS place FROM b),
 c AS (SELECT *, CAST([3, 1, 2][place + 1] AS DOUBLE) AS w, CAST(2 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM q),
 o AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER x, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER x, 0) AS rest FROM c WINDOW x AS (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (budget - capped) / rest AS own FROM o), l AS (SELECT first(own ORDER BY ratio, skey) AS level FROM v WHERE own <= ratio),
 t AS (SELECT skey, source_size, place, least(cap, coalesce(level * w, cap)) AS target FROM v CROSS JOIN l),
 f AS (SELECT d.*, source_size, place, target, CAST(round(target) AS BIGINT) AS aim, sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN t USING (skey)),
-p AS (SELECT *, greatest(0, least(size, aim - before)) AS p0, greatest(0, least(size, aim - source_size - before)) AS p1 FROM f)
-SELECT doc_id, size, source_size, target, CAST(p0 + p1 AS BIGINT) AS taken, round(CAST({_PLACE.format(k=0, s=_SHARE.format(k=0))} AS DOUBLE), 6) AS first, round(CAST({_PLACE.format(k=1, s=_SHARE.format(k=1))} AS DOUBLE), 6) AS second FROM p"""
+p AS (SELECT *, greatest(0, least(size, aim - before)) AS p0, greatest(0, least(size, aim - source_size - before)) AS p1 FROM f),
+z AS (SELECT *, row_number() OVER () AS r, CAST({_PLACE.format(k=0, s=_SHARE.format(k=0))} AS DOUBLE) AS first, CAST({_PLACE.format(k=1, s=_SHARE.format(k=1))} AS DOUBLE) AS second FROM p),
+y AS (SELECT r, doc_id, size, 0 AS turn, coalesce(first, 2) AS moment, p0 AS words FROM z UNION ALL SELECT r, doc_id, size, 1, second, p1 FROM z WHERE p1 > 0),
+s AS (SELECT r, turn, sum(words) OVER (ORDER BY moment, doc_id NULLS FIRST, size, turn ROWS UNBOUNDED PRECEDING) - words AS start FROM y)
+SELECT doc_id, size, source_size, target, CAST(p0 + p1 AS BIGINT) AS taken, round(first, 6) AS first, round(second, 6) AS second, CAST(CASE WHEN p0 > 0 THEN start END AS BIGINT) AS start FROM z JOIN s USING (r) WHERE turn = 0"""
 
 _PASSAGE_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
 i AS (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50), w AS (SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 100) AS g FROM i), f AS (SELECT g, min(doc_id) AS f FROM w GROUP BY g),

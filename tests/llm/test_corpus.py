@@ -288,10 +288,28 @@ def test_mixing_targets(spark, monkeypatch):
     assert all(abs(taken[s] - targets[s]) <= 0.5 for s in sizes)
     again = mixing.plan(docs(spark, rows).repartition(3), ["doc_id"])
     assert records(again, "doc_id", "size", "taken", "first") == sorted(((r["doc_id"], r["size"], r["taken"], r["first"]) for r in found), key=repr)
+    # All sources on one clock: passes in order of their positions.
+    placed = mixing.sequence(again).collect()
+    passes = sorted((t, r["doc_id"] if r["doc_id"] is not None else -1, k, r) for r in placed for k, t in enumerate((r["first"], r["second"])) if t is not None)
+    before = 0
+    for _, _, k, r in passes:
+        assert k or r["start"] == before
+        before += r["taken"] - r["size"] if k else min(r["taken"], r["size"])
+    assert before == sum(taken.values()) and len(placed) == len(rows)
+    assert all((r["start"] is None) == (r["taken"] == 0) for r in placed)
+    assert mixing.sequence(mixing.plan(docs(spark, []), ["doc_id"])).count() == 0
     assert mixing.plan(docs(spark, []), ["doc_id"]).count() == 0
     assert mixing.plan(docs(spark, [(1, None), (2, " ")]), ["doc_id"]).where("taken > 0").count() == 0
 
 
+def test_rows_of_one_name_are_spread(spark):
+    """Different texts of a repeated or null name don't share a bucket."""
+    from pyspark.sql import functions as F
+
+    rows = docs(spark, [(None if i % 2 else 7, f"text {i}") for i in range(100)])
+    assert rows.select(mixing.order_hash(F.col("doc_id"), F.col("text")).alias("h")).distinct().count() == 100
+
+
 def test_positions_follow_the_schedules(spark):
     """A source's demand up to a position is the words before it."""
     from pyspark.sql import functions as F
