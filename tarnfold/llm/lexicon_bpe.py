@@ -393,9 +393,11 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def frequent_words(docs: DataFrame, tokenizer_file: str, n: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts. Every slice of text tells the
-    words that it holds at least ``SLICE_COUNT`` times; ``n`` words come to the
-    driver."""
+    """The most frequent words of all texts, at most ``n``. Every slice of text
+    tells the words that it holds at least ``SLICE_COUNT`` times. A histogram of
+    their counts, in steps of an eighth of a doubling, gives the least count of
+    which no more than ``n`` words are: only those come to the driver, from all
+    tasks together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _codec(tokenizer_file, None).merger
@@ -410,9 +412,18 @@ def frequent_words(docs: DataFrame, tokenizer_file: str, n: int = LEXICON_WORDS)
                     found[w] = found.get(w, 0) + c
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
+    scratch = Scratch(docs.sparkSession, "lexicon")
     rows = map_arrow(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
-    return [r["word"] for r in top.collect()]
+    step = F.floor(F.log2("n") * 8).cast("int")
+    counts = scratch.write(rows.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", step), "counts")
+    least, left = None, n
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row a step, at most 8 * 63
+        if r["count"] > left:
+            break
+        least, left = r["step"], left - r["count"]
+    found = [] if least is None else counts.where(F.col("step") >= least).collect()
+    scratch.drop("counts")
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 #: One codec a worker, file and lexicon.

@@ -112,6 +112,14 @@ def test_round_trip_of_odd_texts(spark):
     assert records(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_frequent_words_by_a_histogram_of_counts(spark):
+    """All words above a count, never more than asked for, ties together."""
+    rows = docs(spark, [(1, "aaa " * 64 + "bbb " * 32 + "ccc " * 8 + "ddd " * 8 + "once"), (2, "aaa " * 64 + "ccc " * 2)])
+    found = {n: lexicon_bpe.frequent_words(rows, WORD, n) for n in (0, 1, 2, 3, 4, 9)}
+    assert found == {0: [], 1: ["aaa"], 2: ["aaa", "bbb"], 3: ["aaa", "bbb"], 4: ["aaa", "bbb", "ccc", "ddd"], 9: ["aaa", "bbb", "ccc", "ddd"]}
+    assert lexicon_bpe.frequent_words(docs(spark, [(1, None), (2, "")]), WORD, 5) == []
+
+
 def test_lexicon_is_minimal_and_finds_its_words(tmp_path):
     merger, rng = lexicon_bpe.Merger(WORD), random.Random(1)
     words = sorted({w.encode() for w in prose(rng, 3000).replace(".", " ").split()} | {b"testing", b"resting", b"test", b"rest", "日本".encode()})
