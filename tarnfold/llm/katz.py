@@ -65,6 +65,8 @@ BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 8_000_000
 #: Number and hash of the mark of a document's end, and hash of that of its start.
 END, _END, _START = 0, np.uint64(2), np.uint64(1)
 FOLDS, HELD_OUT = 5, 1
+#: Bits of a number in which history, word and place are sorted together.
+_BITS = 63
 
 #: Parts of the blocks that meet their answers one after the other.
 PARTS = 4
@@ -201,14 +203,22 @@ class Block:
         hist[1:] = below[:-1]
         hist += 1
         hist[self.first] = 0
-        code = hist * len(self.keys[0]) + tokens
-        order = np.argsort(code)
-        ordered = code[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        word, at = (len(self.keys[0]) - 1).bit_length(), (len(tokens) - 1).bit_length()
+        code = hist << word | tokens
+        if len(self.keys[-1]).bit_length() + word + at <= _BITS:
+            # With the place in its last bits a number is sorted by itself, faster than an index of it.
+            code = code << at | np.arange(len(code))
+            code.sort()
+            order = code & ((1 << at) - 1)
+            code >>= at
+        else:  # a document of many millions of tokens
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+        new = np.concatenate([[True], code[1:] != code[:-1]])
         place = np.empty(len(code), np.int32)
         place[order] = np.cumsum(new, dtype=np.int32) - 1
-        code = ordered[new]
-        h, w = code // len(self.keys[0]), code % len(self.keys[0])
+        code = code[new]
+        h, w = code >> word, code & ((1 << word) - 1)
         start = mix(np.array([_START * np.uint64(len(self.place))], np.uint64))
         names = np.concatenate([start, self.keys[-1]])[h]
         self.place.append(place)
@@ -287,16 +297,17 @@ def _pieces(block: int, keys: np.ndarray, buckets: int, coded: dict[str, np.ndar
     ``coded`` values, of which few are distinct, are stored as their numbers in
     a piece's list of them."""
     order = np.argsort(keys)
+    keys, values = keys[order], {n: v[order] for n, v in values.items()}
+    coded = {n: v[order] for n, v in (coded or {}).items()}
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
-    cut = np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]])
+    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
     data, at = [], []
     for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
         if a < b:
-            k = keys[order[a:b]]
-            piece = {"step": _steps(k), **{n: v[order[a:b]] for n, v in values.items()}}
-            for n, v in (coded or {}).items():
-                piece[n], code = np.unique(v[order[a:b]], return_inverse=True)
-                piece[f"{n} at"] = code.astype(np.int32)
+            piece = {"step": _steps(keys[a:b]), **{n: v[a:b] for n, v in values.items()}}
+            for n, v in coded.items():
+                code = pa.array(v[a:b]).dictionary_encode()
+                piece[n], piece[f"{n} at"] = code.dictionary.to_numpy(), code.indices.to_numpy().astype(np.int32)
             data.append(pack(piece))
             at.append(i)
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])

@@ -341,6 +341,28 @@ def test_mixed_documents(spark):
     assert where == sorted(where)
 
 
+@pytest.mark.parametrize(("words", "bits"), [(1, 63), (2, 63), (6, 63), (6, 0)])
+def test_ngrams_of_a_block(monkeypatch, words, bits):
+    """Equal n-grams, with the marks of starts, get one number; also where
+    history, word and place don't fit one number together."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(katz, "_BITS", bits)
+    tokens = rng.integers(0, words, 400)
+    lens = np.array([1, 150, 99, 150], np.int32)
+    x = {"tokens": tokens.astype(np.int32), "lens": lens, "held": np.array([0, 1, 0, 0], bool), "vocab": np.ones(words, np.uint64)}
+    b = katz.Block(x, 3, 3)
+    for k in (2, 3):
+        grams = []
+        for first, n in zip(np.cumsum(lens) - lens, lens, strict=True):
+            text = [None] * (k - 1) + tokens[first : first + n].tolist()
+            grams += [tuple(text[i : i + k]) for i in range(n)]
+        number = {}
+        assert all(number.setdefault(g, p) == p for g, p in zip(grams, b.place[k - 1].tolist(), strict=True))
+        assert len(set(number.values())) == len(number) == len(b.keys[k - 1]) == len(set(b.keys[k - 1].tolist()))
+        assert [grams[i] for i in b.example[k - 1]] == sorted(number, key=number.get)
+        assert all(h == 0 or b.place[k - 2][i - 1] == h - 1 for h, i in zip(b.hist[k - 1], b.example[k - 1], strict=True))
+
+
 def good_turing(counts, k=5):
     """Katz's factors by count: adjusted counts, scaled so that those above k stay."""
     n = collections.Counter(counts)
