@@ -81,30 +81,40 @@ def take_new(spark: SparkSession, s: Settings) -> int:
 
 
 def walk(counts: DataFrame, damping: float) -> tuple[DataFrame, DataFrame]:
-    """Entries (row, col, a) and start (state, b) of the walk over all
-    languages' words, and the number of each word's steps in ``steps``. A word
-    is its language, a space, and itself; neighbours count in both directions."""
-    word = lambda c: F.concat("lang", F.lit(" "), F.col(c))
-    ends = F.explode(F.array(F.struct(word("a").alias("row"), word("b").alias("col")), F.struct(word("b").alias("row"), word("a").alias("col"))))
-    both = counts.select(ends.alias("e"), "c").groupBy("e.row", "e.col").agg(F.sum("c").alias("c"))
-    both = cut(both)
-    steps = cut(both.groupBy("col").agg(F.sum("c").alias("steps")))
-    entries = cut(both.join(steps, "col").select("row", "col", (damping * F.col("c") / F.col("steps")).alias("a")))
-    return entries, steps.select(F.col("col").alias("state"), F.lit(1 - damping).alias("b"), "steps")
+    """Entries (row, col, a) and start (state, b, lang, word, steps) of the walk
+    over all languages' words. A state is a word of a language, under a number
+    of this solve alone; neighbours count in both directions."""
+    pairs = cut(counts.groupBy("lang", "a", "b").agg(F.sum("c").alias("c")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("word"), "c"), F.struct(F.col("b").alias("word"), "c")))
+    words = pairs.select("lang", ends.alias("e")).groupBy("lang", "e.word").agg(F.sum("e.c").alias("steps"))
+    start = cut(words.select(F.monotonically_increasing_id().alias("state"), F.lit(1 - damping).alias("b"), "lang", "word", "steps"))
+    number = lambda c: start.select("lang", F.col("word").alias(c), F.col("state").alias(f"{c}_at"))
+    pairs = pairs.join(number("a"), ["lang", "a"]).join(number("b"), ["lang", "b"])
+    ends = F.explode(F.array(F.struct(F.col("a_at").alias("row"), F.col("b_at").alias("col")), F.struct(F.col("b_at").alias("row"), F.col("a_at").alias("col"))))
+    both = pairs.select(ends.alias("e"), "c").groupBy("e.row", "e.col").agg(F.sum("c").alias("c"))
+    steps = start.select(F.col("state").alias("col"), "steps")
+    return cut(both.join(steps, "col").select("row", "col", (damping * F.col("c") / F.col("steps")).alias("a"))), start
+
+
+def first_ranks(start: DataFrame, damping: float) -> DataFrame:
+    """(state, lang, word, v): a word's share of its language's steps, from which
+    a walk among well-connected words is not far."""
+    whole = start.groupBy("lang").agg(F.count("*").alias("n"), F.sum("steps").alias("total"))
+    v = F.col("b") + damping * F.col("n") * F.col("steps") / F.col("total")
+    return start.join(whole, "lang").select("state", "lang", "word", v.alias("v"))  # a row a language
 
 
 def solve_ranks(spark: SparkSession, s: Settings, counts: DataFrame, last: int) -> None:
     """Ranks of all words from the counts of all batches up to ``last``."""
     began = time.time()
     entries, start = walk(counts, s.damping)
-    x = start.select("state", F.lit(1.0).alias("v"))
+    x = first_ranks(start, s.damping)
     former = existing(spark, f"{s.out}/ranks")
     if former is not None:
-        old = former.select(F.concat("lang", F.lit(" "), "word").alias("state"), F.col("rank").alias("old"))
-        x = x.join(old, "state", "left").select("state", F.coalesce("old", "v").alias("v"))
-    found = iterate(Affine(entries, start), cut(x), SolverConfig(mode="frontier", eps=s.eps, max_sweeps=s.max_sweeps))
-    lang, word = F.substring_index("state", " ", 1), F.expr("substring(state, locate(' ', state) + 1)")
-    ranks = found.values.join(start, "state").select(word.alias("word"), F.col("v").alias("rank"), "steps", lang.alias("lang"))
+        x = x.join(former.select("lang", "word", F.col("rank").alias("old")), ["lang", "word"], "left").withColumn("v", F.coalesce("old", "v"))
+    walked = Affine(entries, start.select("state", "b"), s.damping)  # both ways alike: real eigenvalues
+    found = iterate(walked, cut(x.select("state", "v")), SolverConfig(mode="frontier", eps=s.eps, max_sweeps=s.max_sweeps))
+    ranks = found.values.join(start, "state").select("word", F.col("v").alias("rank"), "steps", "lang")
     replace_partitions(ranks.repartition("lang", F.pmod(F.xxhash64("word"), F.lit(32))), f"{s.out}/ranks", "lang")
     run = [(found.sweeps, found.final_residual_inf, found.converged, last)]
     replace_partitions(spark.createDataFrame(run, "sweeps int, residual double, converged boolean, last_batch long"), f"{s.out}/runs", "last_batch")

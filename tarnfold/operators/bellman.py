@@ -43,12 +43,16 @@ class PolicyEvaluation:
 
 
 class Affine:
-    """Any other linear contraction: rows of ``a`` (row, col, a) and ``b`` (state, b)."""
+    """Any other linear contraction: rows of ``a`` (row, col, a) and ``b`` (state, b).
+    ``spectrum``: the eigenvalues of ``a`` are known to be real, as those of a
+    walk on an undirected graph, and none larger than this; 0: nothing is known."""
 
     name = "affine"
 
-    def __init__(self, a: DataFrame, b: DataFrame):
-        self.a, self.b = a, b
+    def __init__(self, a: DataFrame, b: DataFrame, spectrum: float = 0.0):
+        if not 0 <= spectrum < 1:
+            raise ValueError("spectrum must be in [0, 1)")
+        self.a, self.b, self.spectrum = a, b, spectrum
 
     def apply(self, x: DataFrame) -> DataFrame:
         sums = self.a.join(x, self.a["col"] == x["state"]).groupBy(F.col("row").alias("state")).agg(F.sum(F.col("a") * F.col("v")).alias("s"))

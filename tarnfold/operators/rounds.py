@@ -45,9 +45,10 @@ def told(seen: Observation) -> Look:
 
 
 class Rounds:
-    """``always``: a look costs nothing, as the round's own job has it."""
+    """``always``: a look costs nothing, as the round's own job has it.
+    ``stalled``: more rounds don't help, as what is left is rounding."""
 
-    always = False
+    always = stalled = False
 
     def __init__(self, op: FixedPointOperator, x: DataFrame, alpha: float, stride: int = 1, keep: int = 3):
         self.op, self.x, self.alpha, self.stride = op, x, alpha, stride

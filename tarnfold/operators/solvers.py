@@ -231,8 +231,9 @@ def follow(s: Rounds, c: SolverConfig, below: bool = False) -> Solution:
         over = bool(c.max_sweeps and k >= c.max_sweeps or c.max_seconds and spent() >= c.max_seconds)
         looking = over or k % max(1, c.check_every) == 0
         found = s.look() if looking or s.always else None
+        over = over or s.stalled
         scan_ns += time.perf_counter_ns() - at
-        if looking:
+        if looking or over:
             trace.append((k, spent(), found.strided))
             if over or found.strided <= c.eps and not (below and k == 0 and found.strided == c.eps):
                 values = s.values()
