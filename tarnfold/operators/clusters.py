@@ -5,7 +5,10 @@ each state of all other clusters alike. A row of the matrix has n entries, but
 its product with the values is made of two means: that of the own cluster and
 that of all others. A backup sums the values by cluster, on the map side first,
 and hands each state its cluster's result: it costs a row a state, and n * n
-entries are never written.
+entries are never written. A run's rows carry cluster and reward along with the
+values, so that sweeps join nothing but the clusters' results: a join of all
+states with their values would be broadcast, whole and through the driver, as
+long as their files are small, and files of repeated values are.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..model import Mdp
 
 
@@ -31,15 +35,24 @@ class Clusters:
         return self.states.sparkSession
 
     def zeros(self) -> DataFrame:
-        return self.states.select("state", F.lit(0.0).alias("v"))
-
-    def apply(self, x: DataFrame) -> DataFrame:
-        own = self.states.join(x, "state").groupBy("cluster").agg(F.sum("v").alias("s"), F.count("*").alias("m"))
+        """(state, cluster, r, v): rows that ``backed`` needs no join for."""
+        return self.states.select("state", "cluster", "r", F.lit(0.0).alias("v"))
+
+    def backed(self, x: DataFrame) -> DataFrame:
+        """``x`` (state, v) or rows as those of ``zeros`` with fv, as (state, cluster, r, v, fv)."""
+        if not {"cluster", "r"} <= set(x.columns):
+            x = self.states.hint("merge").join(x, "state")  # neither side is broadcast
+        x = x.select("state", "cluster", "r", "v")
+        own = x.groupBy("cluster").agg(F.sum("v").alias("s"), F.count("*").alias("m"))
         whole = own.agg(F.sum("s").alias("total"), F.sum("m").alias("n"))
         means = own.crossJoin(F.broadcast(whole)).join(self.shares, "cluster")  # one row
         far = F.when(F.col("n") > F.col("m"), F.col("inter") * (F.col("total") - F.col("s")) / (F.col("n") - F.col("m"))).otherwise(0.0)
-        means = means.select("cluster", (self.beta * (F.col("intra") * F.col("s") / F.col("m") + far)).alias("g"))
-        return self.states.join(means, "cluster").select("state", (F.col("r") + F.col("g")).alias("fv"))
+        # written, as Spark then knows that they are the smaller side: it would guess that all states are
+        means = cut(means.select("cluster", (self.beta * (F.col("intra") * F.col("s") / F.col("m") + far)).alias("g")))
+        return x.join(means, "cluster").select("state", "cluster", "r", "v", (F.col("r") + F.col("g")).alias("fv"))
+
+    def apply(self, x: DataFrame) -> DataFrame:
+        return self.backed(x).select("state", "fv")
 
     def explicit(self) -> Mdp:
         """The same model with all entries written out; for small ones."""

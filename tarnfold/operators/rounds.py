@@ -44,6 +44,14 @@ def told(seen: Observation) -> Look:
     return Look(x["all"] or 0.0, x["some"] or 0.0, x["n"])
 
 
+def backed(op: FixedPointOperator, x: DataFrame) -> DataFrame:
+    """``x`` with fv. Operators that can add it to the rows by themselves, as
+    these have all that a state needs, spare a join of all states."""
+    if hasattr(op, "backed"):
+        return op.backed(x)
+    return x.join(op.apply(x), "state").select("state", "v", "fv")
+
+
 class Rounds:
     """``always``: a look costs nothing, as the round's own job has it.
     ``stalled``: more rounds don't help, as what is left is rounding."""
@@ -55,7 +63,7 @@ class Rounds:
         self.trail, self.rows = Trail(x.sparkSession, keep), None
 
     def look(self) -> Look:
-        rows = self.x.join(self.op.apply(self.x), "state").select("state", "v", "fv", F.abs(F.col("fv") - F.col("v")).alias("residual"))
+        rows = backed(self.op, self.x).withColumn("residual", F.abs(F.col("fv") - F.col("v")))
         rows, seen = observed(rows, self.stride)
         self.rows = self.trail.cut(rows)
         return told(seen)
@@ -84,7 +92,7 @@ class Synchronous(Rounds):
 
     def advance(self, k: int) -> int:
         step = damped(self.alpha)
-        self.x = self.rows.select("state", step(F.col("v"), F.col("fv")).alias("v"))
+        self.x = self.rows.withColumn("v", step(F.col("v"), F.col("fv"))).drop("fv", "residual")
         return self.n
 
 

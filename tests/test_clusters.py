@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators import clusters
 from tarnfold.operators.bellman import backup
+from tarnfold.operators.rounds import backed
 from tarnfold.operators.solvers import SolverConfig, iterate, solve
 from tarnfold.sources import generators as gen
 
@@ -49,3 +50,16 @@ def test_a_million_states(spark):
     assert found.converged and sum(r["n"] for r in rows) == n
     for r in rows:
         assert max(abs(r[c] - (b if r["b"] else a)) for c in ("lo", "hi")) <= 2e-3
+
+
+def test_sweeps_join_no_states(spark, tmp_path):
+    """Whatever the sizes of files, rows of all states are never broadcast: a
+    sweep joins them with a row a cluster alone."""
+    spark.range(3000).select("id", (F.col("id") % 3).alias("c"), F.lit(1.0).alias("w")).write.parquet(f"{tmp_path}/t")
+    op = clusters.from_table(spark.read.parquet(f"{tmp_path}/t"), F.col("id"), F.col("c"), F.col("w"), F.avg("w") * 0.9, 0.5)
+    x = op.zeros()
+    for rows in (backed(op, x), backed(op, x.select("state", "v"))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+        assert len(joins) == 1 and "[cluster" in joins[0] and "BuildRight" in joins[0]
+        assert rows.agg(F.min("fv"), F.max("fv"), F.count("*")).head() == (1.0, 1.0, 3000)
