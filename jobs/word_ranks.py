@@ -42,7 +42,8 @@ UNKNOWN = "und"
 class Settings:
     """``documents``: a folder, or a pattern of files and folders, to which
     files are added. ``max_files`` of one batch; ``damping`` is the chance of a step to a
-    neighbour; the solve ends when no rank moves by more than ``eps``."""
+    neighbour; the solve ends when no rank moves by more than ``eps``, or by
+    more than the rounding of the sum that makes it (``frontier.ROUNDING``)."""
 
     documents: str
     out: str
