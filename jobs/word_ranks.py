@@ -81,20 +81,23 @@ def take_new(spark: SparkSession, s: Settings) -> int:
     return len(taken)
 
 
+def number(word: str, seed: int) -> Column:
+    """A number that a word of a language has in one solve. Two words with the
+    same number are as good as never met, and then another seed is taken."""
+    return F.xxhash64(F.lit(seed), "lang", word)
+
+
 def walk(counts: DataFrame, damping: float) -> tuple[DataFrame, DataFrame]:
-    """Entries (row, col, a) and start (state, b, lang, word, steps) of the walk
-    over all languages' words. A state is a word of a language, under a number
-    of this solve alone; neighbours count in both directions."""
-    pairs = cut(counts.groupBy("lang", "a", "b").agg(F.sum("c").alias("c")))
+    """Entries (row, col, a) and start (state, b, scale, lang, word, steps) of
+    the walk over all languages' words. Neighbours count in both directions,
+    of which the entries have one, in a row for each batch."""
     ends = F.explode(F.array(F.struct(F.col("a").alias("word"), "c"), F.struct(F.col("b").alias("word"), "c")))
-    words = pairs.select("lang", ends.alias("e")).groupBy("lang", "e.word").agg(F.sum("e.c").alias("steps"))
-    start = cut(words.select(F.monotonically_increasing_id().alias("state"), F.lit(1 - damping).alias("b"), "lang", "word", "steps"))
-    number = lambda c: start.select("lang", F.col("word").alias(c), F.col("state").alias(f"{c}_at"))
-    pairs = pairs.join(number("a"), ["lang", "a"]).join(number("b"), ["lang", "b"])
-    ends = F.explode(F.array(F.struct(F.col("a_at").alias("row"), F.col("b_at").alias("col")), F.struct(F.col("b_at").alias("row"), F.col("a_at").alias("col"))))
-    both = pairs.select(ends.alias("e"), "c").groupBy("e.row", "e.col").agg(F.sum("c").alias("c"))
-    steps = start.select(F.col("state").alias("col"), "steps")
-    return cut(both.join(steps, "col").select("row", "col", (damping * F.col("c") / F.col("steps")).alias("a"))), start
+    words = cut(counts.select("lang", ends.alias("e")).groupBy("lang", "e.word").agg(F.sum("e.c").alias("steps")))
+    seed, n = 0, words.count()
+    while words.select(number("word", seed).alias("state")).distinct().count() < n:
+        seed += 1
+    start = words.select(number("word", seed).alias("state"), F.lit(1 - damping).alias("b"), (damping / F.col("steps")).alias("scale"), "lang", "word", "steps")
+    return counts.select(number("a", seed).alias("row"), number("b", seed).alias("col"), F.col("c").cast("double").alias("a")), start
 
 
 def first_ranks(start: DataFrame, damping: float) -> DataFrame:
@@ -113,8 +116,8 @@ def solve_ranks(spark: SparkSession, s: Settings, counts: DataFrame, last: int)
     former = existing(spark, f"{s.out}/ranks")
     if former is not None:
         x = x.join(former.select("lang", "word", F.col("rank").alias("old")), ["lang", "word"], "left").withColumn("v", F.coalesce("old", "v"))
-    walked = Affine(entries, start.select("state", "b"), s.damping)  # both ways alike: real eigenvalues
-    found = iterate(walked, cut(x.select("state", "v")), SolverConfig(mode="frontier", eps=s.eps, max_sweeps=s.max_sweeps))
+    walked = Affine(entries, start.select("state", "b", "scale"), s.damping, mirrored=True)  # both ways alike: real eigenvalues
+    found = iterate(walked, x.select("state", "v"), SolverConfig(mode="frontier", eps=s.eps, max_sweeps=s.max_sweeps), packed=True)
     ranks = found.values.join(start, "state").select("word", F.col("v").alias("rank"), "steps", "lang")
     replace_partitions(ranks.repartition("lang", F.pmod(F.xxhash64("word"), F.lit(32))), f"{s.out}/ranks", "lang")
     run = [(found.sweeps, found.final_residual_inf, found.converged, last)]

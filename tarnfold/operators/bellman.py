@@ -43,19 +43,32 @@ class PolicyEvaluation:
 
 
 class Affine:
-    """Any other linear contraction: rows of ``a`` (row, col, a) and ``b`` (state, b).
+    """Any other linear contraction: rows of ``a`` (row, col, a), where the same
+    entry's amounts add up, and ``b`` (state, b). Where ``b`` has a column
+    ``scale``, it multiplies the entries that read the state. ``mirrored``: each
+    row of ``a`` stands for an entry with row and column exchanged as well.
     ``spectrum``: the eigenvalues of ``a`` are known to be real, as those of a
     walk on an undirected graph, and none larger than this; 0: nothing is known."""
 
     name = "affine"
 
-    def __init__(self, a: DataFrame, b: DataFrame, spectrum: float = 0.0):
+    def __init__(self, a: DataFrame, b: DataFrame, spectrum: float = 0.0, mirrored: bool = False):
         if not 0 <= spectrum < 1:
             raise ValueError("spectrum must be in [0, 1)")
-        self.a, self.b, self.spectrum = a, b, spectrum
+        self.a, self.b, self.spectrum, self.mirrored = a, b, spectrum, mirrored
+
+    def entries(self) -> DataFrame:
+        """(row, col, a) of all entries, with their scale."""
+        a = self.a.select("row", "col", "a")
+        if self.mirrored:
+            a = a.union(a.select("col", "row", "a"))
+        if "scale" not in self.b.columns:
+            return a
+        return a.join(self.b.select(F.col("state").alias("col"), "scale"), "col").select("row", "col", (F.col("a") * F.col("scale")).alias("a"))
 
     def apply(self, x: DataFrame) -> DataFrame:
-        sums = self.a.join(x, self.a["col"] == x["state"]).groupBy(F.col("row").alias("state")).agg(F.sum(F.col("a") * F.col("v")).alias("s"))
+        a = self.entries()
+        sums = a.join(x, a["col"] == x["state"]).groupBy(F.col("row").alias("state")).agg(F.sum(F.col("a") * F.col("v")).alias("s"))
         return self.b.join(sums, "state", "left").select("state", (F.col("b") + F.coalesce("s", F.lit(0.0))).alias("fv"))
 
 

@@ -35,7 +35,7 @@ def entries(op: FixedPointOperator) -> DataFrame:
     if isinstance(op, PolicyEvaluation):
         return op.mdp.transitions.select(F.col("dst").alias("state"), F.col("src").alias("row"), (F.lit(op.mdp.beta) * F.col("p")).alias("a"))
     if isinstance(op, Affine):
-        return op.a.select(F.col("col").alias("state"), "row", "a")
+        return op.entries().select(F.col("col").alias("state"), "row", "a")
     raise ValueError("changes can be pushed through linear operators only")
 
 
@@ -76,9 +76,13 @@ class Frontier(Rounds):
         self._write(rows.repartition(self.buckets, "state"), least)
         self.known = True
 
+    def sure(self) -> None:
+        """Residuals of the values as they are, but for rounding."""
+        self._exact(self.rows.select("state", "v"), ROUNDING * F.abs("v"))
+
     def look(self) -> Look:
         if self.found.residual <= self.eps and not self.known:
-            self._exact(self.rows.select("state", "v"), ROUNDING * F.abs("v"))
+            self.sure()
             self.stalled = self.settled is not None and self.found.residual > self.settled / 2
             self.settled = self.found.residual
         return self.found

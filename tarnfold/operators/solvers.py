@@ -31,10 +31,11 @@ from ..plans.planners import Plan
 from ..plans.schedulers import Scheduler
 from ..profiling import COUNTERS, SCANS
 from . import kernels
-from .bellman import FixedPointOperator, PolicyEvaluation, backup, damped, residuals
+from .bellman import Affine, FixedPointOperator, PolicyEvaluation, backup, damped, residuals
 from .coloring import colors
 from .frontier import Frontier
 from .halo import Halo
+from .packed import Packed
 from .rounds import Colors, Phased, Rounds, Scheduled, Synchronous
 
 MODES = ("jacobi", "gauss_seidel", "colored", "async", "frontier")
@@ -246,9 +247,15 @@ def follow(s: Rounds, c: SolverConfig, below: bool = False) -> Solution:
         k += 1
 
 
-def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig = SolverConfig()) -> Solution:
+def iterate(op: FixedPointOperator, x: DataFrame, c: SolverConfig = SolverConfig(), packed: bool = False) -> Solution:
     """Any contraction over tables: all states at once, one job a sweep, or, in
-    the ``frontier`` mode and for linear ones, only those that change."""
+    the ``frontier`` mode and for linear ones, only those that change.
+    ``packed``: the frontier's rounds over arrays, which are worth their
+    packing where an ``Affine`` operator needs many rounds."""
+    if packed:
+        if c.mode != "frontier" or not isinstance(op, Affine) or c.residual_scan_stride > 1:
+            raise ValueError("rounds are packed for affine operators in the frontier mode, with residuals of all states")
+        return follow(Packed(op, x, c.eps, c.alpha), c)
     if c.mode == "frontier":
         return follow(Frontier(op, x, c.eps, c.alpha, c.residual_scan_stride), c)
     if c.mode != "jacobi":

@@ -85,6 +85,23 @@ def test_ranks_need_few_rounds(spark, tmp_path):
     assert did["converged"] and did["sweeps"] <= 35
 
 
+def test_words_of_one_number_get_another_seed(spark, tmp_path, monkeypatch):
+    """A solve must not take two words for one when their numbers meet."""
+    from pyspark.sql import functions as F
+
+    own, seeds = word_ranks.number, []
+
+    def number(word, seed):
+        seeds.append(seed)
+        return own(word, seed) if seed else F.pmod(own(word, seed), F.lit(5))
+
+    monkeypatch.setattr(word_ranks, "number", number)
+    source = f"{tmp_path}/documents"
+    spark.createDataFrame(DOCS + MORE, SCHEMA).repartition(2).write.parquet(source)
+    s = word_ranks.Settings(source, f"{tmp_path}/out", max_files=1)  # an entry's counts of two batches add up
+    assert close(ranks_of(word_ranks.run(spark, s)), brute_ranks(DOCS + MORE, s.damping), 1e-9) and set(seeds) == {0, 1}
+
+
 def test_a_batch_taken_again_replaces_itself(spark, tmp_path):
     counts = word_ranks.neighbours(spark.createDataFrame(DOCS, SCHEMA))
     from pyspark.sql import functions as F
