@@ -28,13 +28,17 @@ from .rounds import told
 MOST, LEAST = 4_000_000, 250_000
 #: Rows that a task gathers before it deals them to blocks.
 GATHERED = 1_000_000
+#: Arrays of a tile.
+PARTS = ("rows", "starts", "cols", "a")
 INDEX = "block long, states binary, b binary, scale binary, v binary"
 STATES = "block long, b binary, scale binary, v binary, d binary, p binary, largest double, n long, front long"
 
 
 def blocks_for(spark: SparkSession, entries: int) -> int:
     """Two for each core where that leaves enough to do; more where a task could not hold them."""
-    return max(1, -(-entries // MOST), min(2 * spark.sparkContext.defaultParallelism, entries // LEAST))
+    cores = spark.sparkContext.defaultParallelism
+    n = max(1, -(-entries // MOST), min(2 * cores, entries // LEAST))
+    return n if n <= cores else -(-n // cores) * cores
 
 
 def labels(spark: SparkSession, blocks: int) -> np.ndarray:
@@ -53,6 +57,16 @@ def _whole(t: pa.Table, name: str, kind: str = "f8") -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """The same numbers in fewer bytes, where those hold them exactly."""
+    for kind in ("u2", "i4") if x.dtype.kind == "i" else ("u2", "f4"):
+        if kind != "u2" or not len(x) or x.min() >= 0 and x.max() < 65536:
+            short = x.astype(kind)
+            if (short == x).all():
+                return short
+    return x
+
+
 def _dealt(columns: dict[str, np.ndarray], by: np.ndarray, names: np.ndarray) -> dict[str, list]:
     """A row of arrays for each block that has any; ``by``: whose block a row is of."""
     block = np.mod(by, len(names)).astype("u2" if len(names) < 65536 else "i8")
@@ -116,9 +130,8 @@ def _places(index: pa.Table, states: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _tiles(key: tuple, parts: pa.Table, index: pa.Table) -> pa.Table:
     """A block's entries for each block that they lead to: sorted by row, then
     column, where the same entry's amounts are added. ``starts`` has where the
-    entries of each of ``rows`` begin; amounts, such as counts, that four bytes
-    hold exactly have four."""
-    out = {k: [] for k in ("block", "to", "kind", "rows", "starts", "cols", "a")}
+    entries of each of ``rows`` begin; ``kinds`` are the types of the arrays."""
+    out = {k: [] for k in ("block", "to", "kinds", *PARTS)}
     to = parts.column("to").to_numpy()
     for t in np.unique(to):
         mine = parts.filter(pa.array(to == t))
@@ -132,12 +145,10 @@ def _tiles(key: tuple, parts: pa.Table, index: pa.Table) -> pa.Table:
         a, place = np.add.reduceat(_whole(mine, "a")[there][order], first), place[first]
         row = place >> 32
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        short = a.astype("f4")
-        kind = "f4" if (short == a).all() else "f8"
-        tile = (row[starts].astype("i4"), starts.astype("i4"), (place & 0xFFFFFFFF).astype("i4"), short if kind == "f4" else a)
-        for k, x in zip(out, (key[0].as_py(), int(t), kind, *(x.tobytes() for x in tile)), strict=True):
+        tile = [_short(x) for x in (row[starts], starts, place & 0xFFFFFFFF, a)]
+        for k, x in zip(out, (key[0].as_py(), int(t), " ".join(x.dtype.str for x in tile), *(x.tobytes() for x in tile)), strict=True):
             out[k].append(x)
-    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("to", pa.int64()), ("kind", pa.string()), *((k, pa.binary()) for k in ("rows", "starts", "cols", "a"))]))
+    return pa.table(out, schema=pa.schema([("block", pa.int64()), ("to", pa.int64()), ("kinds", pa.string()), *((k, pa.binary()) for k in PARTS)]))
 
 
 class Packed(Frontier):
@@ -172,7 +183,7 @@ class Packed(Frontier):
 
         entries = op.a.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("a").cast("double").alias("a"))
         placed = dealt(entries, "row", names, op.mirrored).groupBy("block").cogroup(own).applyInArrow(with_rows, "block long, row binary, col binary, a binary, to long")
-        tiles = placed.groupBy("block").cogroup(own).applyInArrow(_tiles, "block long, to long, kind string, rows binary, starts binary, cols binary, a binary")
+        tiles = placed.groupBy("block").cogroup(own).applyInArrow(_tiles, ", ".join(["block long, to long, kinds string", *(f"{k} binary" for k in PARTS)]))
         self.tiles = self._bucketed(tiles, True)
 
     def _write(self, rows: DataFrame, least: Column | None = None) -> None:
@@ -213,12 +224,13 @@ class Packed(Frontier):
                 state = row(own)
                 delta = (_array(state["v"]) if exact else move(state)) * _array(state["scale"])
                 for i in range(tiles.num_rows if delta.any() else 0):
-                    tile = {k: tiles.column(k)[i] for k in tiles.column_names}
-                    s = np.add.reduceat(_array(tile["a"], tile["kind"].as_py()) * delta[_array(tile["cols"], "i4")], _array(tile["starts"], "i4"))
+                    kinds = tiles.column("kinds")[i].as_py().split()
+                    rows, starts, cols, a = (_array(tiles.column(k)[i], kind) for k, kind in zip(PARTS, kinds, strict=True))
+                    s = np.add.reduceat(a * delta[cols], starts)
                     some = s != 0
                     if some.any():
-                        to.append(tile["to"].as_py())
-                        places.append(_array(tile["rows"], "i4")[some].tobytes())
+                        to.append(tiles.column("to")[i].as_py())
+                        places.append(rows[some].tobytes())
                         sums.append(s[some].tobytes())
             return pa.table({"block": pa.array(to, pa.int64()), "at": pa.array(places, pa.binary()), "add": pa.array(sums, pa.binary())})
 
@@ -232,7 +244,8 @@ class Packed(Frontier):
                 now, d = v + p, _array(state["d"]) - p
             add = np.zeros(len(v))
             for at, x in zip(sent.column("at"), sent.column("add"), strict=True):
-                add[_array(at, "i4")] += _array(x)
+                wide = len(at.as_buffer()) > len(x.as_buffer()) // 4
+                add[_array(at, "i4" if wide else "u2")] += _array(x)
             d = d + add
             left = np.abs(d)
             counted = np.where(left > rounding * np.abs(now), left, 0.0) if rounding else left
